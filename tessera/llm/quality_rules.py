@@ -29,8 +29,8 @@ RULES = (
     ("commonest_off", 0.12, 0.30),
 )
 PRIOR, ROUNDS = 0.85, 50
-#: How often a rule votes -1, 0, 1 on bad and on good texts, before anything is known of it.
-START = ({-1: 0.30, 0: 0.20, 1: 0.50}, {-1: 0.002, 0: 0.098, 1: 0.90})
+#: How often a rule that votes says -1 and 1 on bad and on good texts, before anything is known of it.
+START = ({-1: 0.40, 1: 0.60}, {-1: 0.002, 1: 0.998})
 #: Texts' worth of belief in START; it keeps every probability above zero.
 BELIEF = 2.0
 #: A bad vote is wrong on so many good texts at most (thresholds stand far from ordinary texts), and a bad
@@ -95,7 +95,8 @@ def votes() -> list[Column]:
 
 
 def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[dict, dict]]]:
-    """(share of good texts, each rule's accuracy: how often it votes -1, 0, 1 on bad and on good texts), from counts by vote pattern."""
+    """(share of good texts, each rule's accuracy: how often it says -1 and 1 on bad and on good texts), from counts
+    by vote pattern. Abstaining says nothing."""
     prior, rules, total = PRIOR, [START] * len(RULES), sum(n for _, n in patterns)
     for _ in range(ROUNDS if total else 0):
         weights = [{v: BELIEF * START[z][v] for v in START[z]} for _ in RULES for z in (0, 1)]
@@ -103,7 +104,7 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]]) -> tup
         for pattern, n in patterns:
             p = posterior(pattern, prior, rules)
             good += n * p
-            for r, v in enumerate(pattern):
+            for r, v in ((r, v) for r, v in enumerate(pattern) if v):
                 weights[2 * r][v] += n * (1 - p)
                 weights[2 * r + 1][v] += n * p
         prior = min(0.99, max(0.5, good / total))
@@ -119,7 +120,7 @@ def bounded(shares: dict[int, float], vote: int, least: float, most: float) -> d
 
 
 def posterior(pattern: tuple[int, ...], prior: float, rules: list[tuple[dict, dict]]) -> float:
-    z = math.log(prior / (1 - prior)) + sum(math.log(good[v] / bad[v]) for v, (bad, good) in zip(pattern, rules, strict=True))
+    z = math.log(prior / (1 - prior)) + sum(math.log(good[v] / bad[v]) for v, (bad, good) in zip(pattern, rules, strict=True) if v)
     return 1 / (1 + math.exp(-z))
 
 
@@ -135,7 +136,7 @@ def quality_rules(docs: DataFrame, *, key: str = "doc_id", text: str = "text", l
     prior, rules = expectation_maximisation(sorted(counts))
     z = F.lit(math.log(prior / (1 - prior)))
     for name, (bad, good) in zip(names, rules, strict=True):
-        says = {v: math.log(good[v] / bad[v]) for v in (-1, 0, 1)}
-        z = z + F.when(F.col(name) < 0, says[-1]).when(F.col(name) > 0, says[1]).otherwise(says[0])
+        says = {v: math.log(good[v] / bad[v]) for v in (-1, 1)}
+        z = z + F.when(F.col(name) < 0, says[-1]).when(F.col(name) > 0, says[1]).otherwise(0.0)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
     return voted.withColumns({"base_failed": failed, "posterior": 1 / (1 + F.exp(-z))}).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
