@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.components import drop_stored, shared_dir, stored  # noqa: F401
+
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words made of digits, ASCII letters and every character beyond ASCII.
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -15,36 +14,6 @@ NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WHITE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or a temporary one where the setting is absent (local tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held
-
-
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written as Parquet into the shared folder and read again: it is computed once, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the files of a table that stored() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if folder.getName().startswith("tessera-"):
-            folder.getFileSystem(conf).delete(folder, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """text with A-Z lower-cased and every other character kept; null becomes empty.
 

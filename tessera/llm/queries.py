@@ -10,6 +10,7 @@ from tessera.llm.common import table
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.license_scan import license_scan
 from tessera.llm.quality_rules import quality_rules
+from tessera.llm.simhash import simhash
 from tessera.llm.url_filter import url_filter
 
 #: The URL rules of op5.
@@ -25,6 +26,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -37,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontamination": op3_decontamination,
         "op5_url_filter": op5_url_filter,
+        "op6_simhash": op6_simhash,
         "op7_license_scan": op7_license_scan,
         "op8_quality_rules": op8_quality_rules,
     }
