@@ -11,12 +11,17 @@ from tessera.llm.decontaminate import decontaminate
 from tessera.llm.license_scan import license_scan
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.simhash import simhash
+from tessera.llm.suffix_dedup import suffix_dedup
 from tessera.llm.url_filter import url_filter
 
 #: The URL rules of op5.
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("text_sha256")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -40,6 +45,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_decontamination": op3_decontamination,
         "op5_url_filter": op5_url_filter,
         "op6_simhash": op6_simhash,
@@ -51,6 +57,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: A-Z lower-cased and nothing else, then words of digits, ASCII letters and characters beyond ASCII.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+OP2_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+cut AS (SELECT doc_id, i, substr(h, (2 * i + 1)::BIGINT, 100) AS x FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+least AS (SELECT x, min(doc_id) AS first FROM cut GROUP BY 1 HAVING count(*) > 1),
+hit AS MATERIALIZED (SELECT doc_id, i FROM cut JOIN least USING (x) WHERE first < doc_id),
+runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT doc_id, i, CASE WHEN i > lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM hit)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS g0, a AS g1, a, b FROM spans),
+kept AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * g0 + 1, 2 * (g1 - g0)), '' ORDER BY a) AS head, max(b) AS tail
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN head IS NULL THEN h ELSE head || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 OP3_SQL = rf"""
 WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -86,4 +109,4 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p L
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op5_url_filter": OP5_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_url_filter": OP5_SQL}
