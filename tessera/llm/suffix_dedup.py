@@ -184,10 +184,13 @@ class Block:
     def __init__(self, docs: pa.Table, told: list[dict], length: int, anchor: int):
         first = {x["a"] for x in told if x["bucket"] < 0}
         self.ids, self.keys, texts = [], [], []
-        for doc, key, text in zip(docs["doc_id"].to_pylist(), docs["key"].to_pylist(), docs["text"], strict=True):
+        # by key: a shuffle gives the rows in any order, and answers go by the order of pieces
+        named = [(key, i) for i, key in enumerate(docs["key"].to_pylist()) if key in first]
+        given, bodies = docs["doc_id"], docs["text"]
+        for key, i in sorted(named):
             if key in first:
                 first.discard(key)
-                text = text.as_buffer()
+                doc, text = given[i].as_py(), bodies[i].as_buffer()
                 if text.size >= length:
                     self.ids.append(doc)
                     self.keys.append(key)
