@@ -1,9 +1,9 @@
 """Licence scan: a positional rare-token index over licence templates.
 
-A template is a run of words. Of its words, the two that the fewest texts hold are its postings. A
-text's places of posting words are looked up; two postings of one template that point at the same start
-meet there (for words out of place they do not), and the words around then verify the mandatory phrase
-and count the rest of the template. Base templates are their phrase alone.
+A template is a run of words. Of its mandatory phrase, the two words that the fewest texts hold are its
+postings. A text's places of the rarer one are looked up; the other must stand where the same start puts
+it, and the words around then verify the mandatory phrase and count the rest of the template. Base
+templates are their phrase alone.
 
 Null and empty texts have no words, no places and score 0. Repeated rows get one result each; a label
 found often counts once; an empty table gives an empty result; extra columns are ignored.
@@ -38,7 +38,7 @@ OWN = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     ("mpl", "mozilla public license version 2 0", "mozilla public license"),
 )
-POSTINGS, REACH = 2, 20
+REACH = 20
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -52,12 +52,13 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def postings(listed: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """(template, token, offset): the POSTINGS rarest words of each phrase, over all texts."""
+    """(template, token, offset, second, second_offset): the two rarest words of each phrase, over all texts."""
     vocabulary = listed.select(F.explode("phrase").alias("word")).distinct()
     counts = word_counts(docs, text, vocabulary, vocabulary.count())
     placed = listed.select("template", "at", F.posexplode("phrase").alias("i", "word")).join(F.broadcast(counts), "word", "left")
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "word", (F.col("i") + F.col("at")).alias("offset"))))
-    return placed.groupBy("template").agg(F.slice(order, 1, POSTINGS).alias("p")).select("template", F.inline("p")).select("template", F.col("word").alias("token"), "offset")
+    two = placed.groupBy("template").agg(order.alias("p")).select("template", F.get("p", F.lit(0)).alias("a"), F.get("p", F.lit(1)).alias("b"))
+    return two.select("template", F.col("a.word").alias("token"), F.col("a.offset").alias("offset"), F.col("b.word").alias("second"), F.col("b.offset").alias("second_offset"))
 
 
 def license_scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -68,26 +69,21 @@ def license_scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     listed = templates(spark)
     # as many rows as the templates have postings, a fixed number
     index = [tuple(r) for r in postings(listed, docs, text).collect()]
-    base = stored(contexts(docs, sorted({t for _, t, _ in index}), REACH, key=key, text=text), "licences")
-    posted = spark.createDataFrame(index, "template int, token string, offset int")
-    needed = posted.groupBy("template").agg(F.count("*").alias("needed"))
-    start = F.col("pos") - F.col("offset")
+    base = stored(contexts(docs, sorted({x[1] for x in index}), REACH, key=key, text=text), "licences")
+    posted = spark.createDataFrame(index, "template int, token string, offset int, second string, second_offset int")
     met = (
         base.where(F.size("found") > 0)
         .select("doc_id", "text_hash", F.inline("found"))
         .withColumnRenamed("word", "token")
         .join(F.broadcast(posted), "token")
-        .withColumn("start", start)
-        .groupBy("doc_id", "text_hash", "template", "start")
-        .agg(F.count_distinct("offset").alias("meet"), F.min_by(F.struct("first", "near"), "pos").alias("around"))
-        .join(F.broadcast(needed), "template")
-        .where(F.col("meet") == F.col("needed"))
+        .withColumn("start", F.col("pos") - F.col("offset"))
+        .where(F.get("near", F.col("start") + F.col("second_offset") - F.col("first")) == F.col("second"))
         .join(F.broadcast(listed), "template")
     )
     # the template may begin before the text: words before it are missing, not the phrase
-    phrase_at = F.col("start") + F.col("at") - F.col("around.first")
-    verified = met.where(phrase_at >= 0).where(F.slice("around.near", phrase_at + 1, F.size("phrase")) == F.col("phrase"))
-    in_place = F.size(F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get(F.col("words"), i).eqNullSafe(F.get(F.col("around.near"), F.col("start") - F.col("around.first") + i))))
+    phrase_at = F.col("start") + F.col("at") - F.col("first")
+    verified = met.where(phrase_at >= 0).where(F.slice("near", phrase_at + 1, F.size("phrase")) == F.col("phrase"))
+    in_place = F.size(F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get(F.col("words"), i).eqNullSafe(F.get(F.col("near"), F.col("start") - F.col("first") + i))))
     found = (
         verified.withColumn("share", in_place / F.size("words"))
         .groupBy("doc_id", "text_hash")
