@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
 from tessera.llm.decontaminate import decontaminate
+from tessera.llm.html_extract import html_extract
 from tessera.llm.license_scan import license_scan
 from tessera.llm.quality_rules import quality_rules
+from tessera.llm.sentencepiece import encode
 from tessera.llm.simhash import simhash
 from tessera.llm.suffix_dedup import suffix_dedup
 from tessera.llm.url_filter import url_filter
@@ -43,6 +45,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_dedup": op2_suffix_dedup,
@@ -51,6 +61,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": op6_simhash,
         "op7_license_scan": op7_license_scan,
         "op8_quality_rules": op8_quality_rules,
+        "op9_sentencepiece": op9_sentencepiece,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 

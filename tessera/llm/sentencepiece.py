@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import accumulate, chain
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_SCORE = -100.0
-WORDS_KEPT, PAIRS_KEPT, BATCH_CHARS = 300_000, 2_000_000, 4_000_000
+WORDS_KEPT, PAIRS_KEPT, BATCH_CHARS = 400_000, 2_000_000, 4_000_000
 
 
 def vocabulary(model: bytes) -> tuple[str, list[str], list[float], list[str]]:
@@ -55,7 +55,11 @@ class Encoder:
         self.byte = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(pieces, types, strict=True)) if t == "byte"}
         self.unknown = next((i for i, p in enumerate(pieces) if p == "<unk>"), 0)
         self.value = {i: p.encode() for p, i in self.id.items()} | {i: bytes([b]) for b, i in self.byte.items()}
-        self.longest = max(map(len, self.id), default=1)
+        # the longest piece that ends with two given characters: few ends have long pieces
+        self.longest: dict[str, int] = {}
+        for p in self.id:
+            if len(p) > 1:
+                self.longest[p[-2:]] = max(self.longest.get(p[-2:], 2), len(p))
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece has a mark after other characters: words can't be cut at marks")
         if any(c not in self.id for p in self.id for c in p):
@@ -63,7 +67,7 @@ class Encoder:
         # white space that is no piece ends words too
         breaks = "".join(c for c in "\n\r\t" if c not in self.id)
         self.cut = re.compile(f"{MARK}*[^{MARK}{breaks}]+|{MARK}+|[{breaks}]" if breaks else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.words: dict[str, array] = {}
+        self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, word: str) -> list[str]:
@@ -95,7 +99,7 @@ class Encoder:
         last: list[str | None] = [None]  # the last piece of each prefix of the current path
         total = [0.0]
         before = ""
-        ids, fits, score, longest = self.id, self.fits, self.score, self.longest
+        ids, fits, score, longest, pairs, bpe = self.id, self.fits, self.score, self.longest, self.pairs, self.kind == "bpe"
         for word in words:
             shared = len(commonprefix((before, word)))
             del last[shared + 1 :], total[shared + 1 :]
@@ -105,13 +109,14 @@ class Encoder:
                     total.append(total[end - 1] + UNKNOWN_SCORE)
                     continue
                 best, piece = None, None
-                for start in range(max(0, end - longest), end):
+                for start in range(max(0, end - longest.get(word[end - 2 : end], 1)) if end > 1 else 0, end):
                     part = word[start:end]
                     if part not in ids:
                         continue
-                    if self.kind == "bpe":
+                    if bpe:
                         left = last[start]
-                        if fits(left, part) if left in ids else self.whole(part):
+                        known = pairs.get((left, part)) if left in ids else self.whole(part)
+                        if fits(left, part) if known is None else known:
                             best, piece = 0.0, part
                             break
                     elif best is None or total[start] + score[part] > best:
@@ -133,7 +138,8 @@ class Encoder:
             known = self.pairs[pair] = self.merged(part) == [part]
         return known
 
-    def ids_of(self, pieces: list[str]) -> array:
+    def packed(self, pieces: list[str]) -> bytes:
+        """The pieces' ids, four bytes each."""
         out = array("i")
         for p in pieces:
             i = self.id.get(p)
@@ -143,16 +149,17 @@ class Encoder:
                 out.extend(self.byte[b] for b in p.encode())
             else:
                 out.append(self.unknown)
-        return out
+        return out.tobytes()
 
-    def encode(self, texts: list[str]) -> list[array]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids, four bytes each."""
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.words) > WORDS_KEPT:
             self.words.clear()
-        for word, pieces in self.walk(sorted({w for ws in cut for w in set(ws)} - self.words.keys())):
-            self.words[word] = self.ids_of(pieces)
+        for word, pieces in self.walk(sorted(set(chain.from_iterable(cut)) - self.words.keys())):
+            self.words[word] = self.packed(pieces)
         known = self.words
-        return [array("i", chain.from_iterable([known[w] for w in ws])) for ws in cut]
+        return [b"".join([known[w] for w in ws]) for ws in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
         value = self.value
@@ -185,13 +192,11 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", model_pa
             at = 0
             for texts in _slices([x or "" for x in b.column(1).to_pylist()]):
                 found = encoder.encode(texts)
-                same = [encoder.decode(ids) == t.replace(MARK, " ") for ids, t in zip(found, texts, strict=True)]
-                offsets = array("i", [0])
-                for ids in found:
-                    offsets.append(offsets[-1] + len(ids))
-                values = pa.array(memoryview(array("i", chain.from_iterable(found))).cast("B").cast("i"), pa.int32()) if offsets[-1] else pa.array([], pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(map(len, found), pa.int64()), lists, pa.array(same)], ["doc_id", "n_tokens", "token_ids", "round_trip"])
+                same = [encoder.decode(array("i", ids)) == t.replace(MARK, " ") for ids, t in zip(found, texts, strict=True)]
+                sizes = [len(ids) // 4 for ids in found]
+                values = pa.Array.from_buffers(pa.int32(), sum(sizes), [None, pa.py_buffer(b"".join(found))])
+                lists = pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(sizes, pa.int64()), lists, pa.array(same)], ["doc_id", "n_tokens", "token_ids", "round_trip"])
                 at += len(texts)
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
