@@ -14,6 +14,7 @@ from tessera.llm.quality_rules import quality_rules
 from tessera.llm.sentencepiece import encode
 from tessera.llm.simhash import simhash
 from tessera.llm.suffix_dedup import suffix_dedup
+from tessera.llm.toxicity import toxicity
 from tessera.llm.url_filter import url_filter
 
 #: The URL rules of op5.
@@ -28,6 +29,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     return url_filter(table(spark, sf_dir, "pages"), rules)
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_decontamination": op3_decontamination,
+        "op4_toxicity": op4_toxicity,
         "op5_url_filter": op5_url_filter,
         "op6_simhash": op6_simhash,
         "op7_license_scan": op7_license_scan,
