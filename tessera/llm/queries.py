@@ -10,6 +10,7 @@ from tessera.llm.common import table
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.html_extract import html_extract
 from tessera.llm.license_scan import license_scan
+from tessera.llm.quality_classifier import quality_classifier
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.sentencepiece import encode
 from tessera.llm.simhash import simhash
@@ -21,6 +22,10 @@ from tessera.llm.url_filter import url_filter
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("text_sha256")
 
@@ -60,6 +65,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_toxicity": op4_toxicity,
