@@ -80,3 +80,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
         F.sha2(F.coalesce(F.array_join(F.array_sort("items"), ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
         ((hit > 0) & (share * hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, share: int = 20) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated."""
+    found = decontaminate(docs, benchmark, key=key, text=text, item=item, item_text=item_text, size=size, share=share)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    return docs.join(bad, docs[key].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs[text]) == bad["bad_hash"]), "left_anti")

@@ -31,14 +31,15 @@ LASSO, STEPS = 0.004, 400
 
 
 def statistics(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and STATISTICS of every row of docs."""
+    """doc_id, the whole row as a struct, and STATISTICS of every row of docs."""
     body = F.coalesce(F.col(text), F.lit(""))
-    split = docs.select(F.col(key).alias("doc_id"), body.alias("body"), white_words(F.col(text)).alias("words"))
+    split = docs.select(F.struct("*").alias("row"), F.col(key).alias("doc_id"), body.alias("body"), white_words(F.col(text)).alias("words"))
     n, distinct = F.size("words"), F.size(F.array_distinct("words"))
     chars = F.length("body")
     of = lambda pattern: F.regexp_count("body", F.lit(pattern)).cast("double")
     lines = F.split("body", "\n")
     counted = split.select(
+        "row",
         "doc_id",
         n.cast("double").alias("n_words"),
         chars.cast("double").alias("n_chars"),
@@ -55,6 +56,7 @@ def statistics(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return counted.select(
+        "row",
         "doc_id",
         "n_words",
         share("n_chars", "n_words").alias("word_length"),
@@ -211,3 +213,9 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id
     ensemble = train(docs, labels, key=key, text=text, label=label, label_key=label_key, sample=sample)
     scored = statistics(docs, key=key, text=text).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), ensemble.column().alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", label_key: str = "doc_id", sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold."""
+    ensemble = train(docs, labels, key=key, text=text, label=label, label_key=label_key, sample=sample)
+    return statistics(docs, key=key, text=text).where(ensemble.column() >= threshold).select("row.*")

@@ -99,3 +99,10 @@ def simhash(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(ids, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, whose id is the smallest of its component."""
+    found = simhash(docs, key=key, text=text, shingle=shingle)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs[key].eqNullSafe(kept["kept_id"]), "left_semi")

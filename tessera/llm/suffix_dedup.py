@@ -347,7 +347,7 @@ def _answer_pieces(messages, *, length):
     return _rows(out)
 
 
-def _mark(docs, right, *, length, anchor, buckets):
+def _mark(docs, right, *, length, anchor, buckets, texts_too):
     """3: a block's documents that lose bytes."""
     told = right.to_pylist()
     answers = {x["bucket"]: x for x in told if x["d"] is None}
@@ -368,7 +368,7 @@ def _mark(docs, right, *, length, anchor, buckets):
     for i in range(len(texts)):
         if sizes[i] is None:
             sizes[i], values[i] = counts[i : i + 1], least[i : i + 1]
-    empty = pa.table({"key": pa.array([], pa.binary()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string())})
+    empty = pa.table({"key": pa.array([], pa.binary()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string()), "kept": pa.array([], pa.binary())})
     if not len(start):
         return empty
     n_runs = np.fromiter(map(len, sizes), np.int64, len(sizes))
@@ -384,31 +384,31 @@ def _mark(docs, right, *, length, anchor, buckets):
     begin, end = begin[hit], (begin + flat_size[run] + length - 1)[hit]
     change = np.bincount(begin, minlength=len(block.buf) + 1) - np.bincount(end, minlength=len(block.buf) + 1)
     covered = np.cumsum(change[:-1]) > 0
-    out: dict[str, list] = {"key": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+    out: dict[str, list] = {"key": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
     for d in np.unique(np.searchsorted(block.begins, begin, "right") - 1).tolist():
         a, n = int(block.begins[d]), int(block.sizes[d])
         gone = covered[a : a + n]
         out["key"].append(block.keys[d])
         out["n_removed"].append(int(gone.sum()))
         out["n_spans"].append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-        out["kept_sha256"].append(hashlib.sha256(block.buf[a : a + n][~gone].tobytes()).hexdigest())
+        kept = block.buf[a : a + n][~gone].tobytes()
+        out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+        out["kept"].append(kept if texts_too else None)
     return pa.table(out, schema=empty.schema)
 
 
-def suffix_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs, and text_sha256 of the whole text.
-
-    length: bytes of the strings that count; anchor: less than that. hot: documents beyond which an anchor's
-    strings are dealt out one by one. block_bytes, bucket_bytes: text that one task holds at once."""
+def _searched(docs: DataFrame, key: str, text: str, length: int, anchor: int, hot: int, block_bytes: int, bucket_bytes: int, texts_too: bool) -> tuple[DataFrame, DataFrame]:
+    """(given_id, doc_id, n_bytes, sha, first) of every row, first being the smallest id of its text (null for texts that
+    are too short); and (marked, n_removed, n_spans, kept_sha256, kept) of the texts that their first document loses bytes of."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc_id"), body.alias("text"))
-    rows = rows.withColumn("sha", F.sha2("text", 256))
-    info = stored(docs.select(F.col(key).alias("given_id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha")), "texts")
+    ident = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
+    rows = docs.select(ident.alias("doc_id"), body.alias("text")).withColumn("sha", F.sha2("text", 256))
+    info = stored(docs.select(F.col(key).alias("given_id"), ident.alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha")), "texts")
     total = info.agg(F.sum("n_bytes")).first()[0] or 0
     blocks, buckets = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(total / bucket_bytes))
     of = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
     name = F.unhex(F.concat(F.lpad(F.hex("doc_id"), 16, "0"), "sha"))
-    firsts = stored(info.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "firsts")
+    firsts = stored(info.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("doc_id").alias("doc_id")), "firsts")
     none = [F.lit(b"").alias(x) for x in "bcd"]
     first = firsts.select(of, F.lit(-1).alias("bucket"), name.alias("a"), *none)
     dealt = rows.select(of, "doc_id", name.alias("key"), "text").groupBy("block")
@@ -419,12 +419,21 @@ def suffix_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     said = dealt.cogroup(known.groupBy("block")).applyInArrow(lambda a, b: _say_pieces(a, b, **o), _MESSAGE)
     answers = said.groupBy("bucket").applyInArrow(lambda x: _answer_pieces(x, length=length), _MESSAGE)
     answers = answers.withColumn("d", F.lit(None).cast("binary"))
-    kept = "key binary, n_removed long, n_spans long, kept_sha256 string"
-    marked = dealt.cogroup(known.unionByName(answers).groupBy("block")).applyInArrow(lambda a, b: _mark(a, b, **o), kept)
-    marked = marked.select(F.lower(F.substring(F.hex("key"), 17, 64)).alias("sha"), "n_removed", "n_spans", "kept_sha256")
+    kept = "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    marked = dealt.cogroup(known.unionByName(answers).groupBy("block")).applyInArrow(lambda a, b: _mark(a, b, texts_too=texts_too, **o), kept)
+    marked = marked.select(F.lower(F.substring(F.hex("key"), 17, 64)).alias("marked"), "n_removed", "n_spans", "kept_sha256", "kept")
+    return info.join(firsts.select(F.col("sha"), F.col("doc_id").alias("first")), "sha", "left"), marked
+
+
+def suffix_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs, and text_sha256 of the whole text.
+
+    length: bytes of the strings that count; anchor: less than that. hot: documents beyond which an anchor's
+    strings are dealt out one by one. block_bytes, bucket_bytes: text that one task holds at once."""
+    info, marked = _searched(docs, key, text, length, anchor, hot, block_bytes, bucket_bytes, False)
+    each = info.join(marked, F.col("sha") == F.col("marked"), "left")
     # a copy of a smaller document's text goes whole; the smallest of each text, and any other row of its id, as marked
-    each = info.join(firsts.select("sha", F.col("doc_id").alias("first")), "sha", "left").join(marked, "sha", "left")
-    copy = F.col("first") < F.col("doc_id")
+    copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
     return each.select(
         F.col("given_id").alias("doc_id"),
         "n_bytes",
@@ -433,3 +442,17 @@ def suffix_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
         F.when(copy, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The rows of docs, all columns, with what is kept of each text (null stays null). A character that a cut left in part goes too."""
+    info, marked = _searched(docs, key, text, length, anchor, hot, block_bytes, bucket_bytes, True)
+    firsts = info.where(F.col("first").isNotNull()).select("sha", "first").distinct()
+    changed = firsts.join(marked, F.col("sha") == F.col("marked"), "left").select(F.struct("sha", "first", "n_removed", "kept").alias("found"))
+    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("ident"), F.sha2(body, 256).alias("text_sha256"))
+    joined = rows.join(changed, F.col("text_sha256") == F.col("found.sha"), "left")
+    # UTF-8 cut within a character: read byte by byte, bytes that belong to no whole character are left out
+    whole = F.regexp_replace(F.call_function("make_valid_utf8", F.col("found.kept").cast("string")), "\uFFFD", "")
+    new = F.when(F.col("found.first") < F.col("ident"), F.lit("")).when(F.col("found.n_removed") > 0, whole).otherwise(F.col(f"row.`{text}`"))
+    return joined.select(*[new.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
