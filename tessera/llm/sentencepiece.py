@@ -17,11 +17,11 @@ an empty table gives an empty result, extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import accumulate, chain
-from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_SCORE = -100.0
-WORDS_KEPT, PAIRS_KEPT, BATCH_CHARS = 400_000, 2_000_000, 4_000_000
+WORDS_KEPT, PAIRS_KEPT, BATCH_CHARS = 600_000, 1_000_000, 4_000_000
 
 
 def vocabulary(model: bytes) -> tuple[str, list[str], list[float], list[str]]:
@@ -55,20 +55,18 @@ class Encoder:
         self.byte = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(pieces, types, strict=True)) if t == "byte"}
         self.unknown = next((i for i, p in enumerate(pieces) if p == "<unk>"), 0)
         self.value = {i: p.encode() for p, i in self.id.items()} | {i: bytes([b]) for b, i in self.byte.items()}
-        # the longest piece that ends with two given characters: few ends have long pieces
-        self.longest: dict[str, int] = {}
+        # how long pieces can be that end with two given characters, the longest first: few ends have many lengths
+        sizes: dict[str, set[int]] = {}
         for p in self.id:
             if len(p) > 1:
-                self.longest[p[-2:]] = max(self.longest.get(p[-2:], 2), len(p))
-        if any(MARK in p.lstrip(MARK) for p in self.id):
-            raise ValueError("a piece has a mark after other characters: words can't be cut at marks")
-        if any(c not in self.id for p in self.id for c in p):
-            raise ValueError("a piece has a character that is no piece")
+                sizes.setdefault(p[-2:], {1}).add(len(p))
+        self.sizes = {end: tuple(sorted(n, reverse=True)) for end, n in sizes.items()}
+        self.raw = {p: array("i", [i]).tobytes() for p, i in self.id.items()}
         # white space that is no piece ends words too
         breaks = "".join(c for c in "\n\r\t" if c not in self.id)
         self.cut = re.compile(f"{MARK}*[^{MARK}{breaks}]+|{MARK}+|[{breaks}]" if breaks else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[tuple[str | None, str], bool] = {}
 
     def merged(self, word: str) -> list[str]:
         """BPE as such: the adjacent pair with the best piece is merged, the first of equals, until none is left."""
@@ -84,81 +82,70 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, left: str, right: str) -> bool:
-        """Whether the two pieces together encode to themselves."""
+    def fits(self, left: str | None, right: str) -> bool:
+        """Whether the two pieces together encode to themselves; without a left one, whether the right one does."""
         pair = (left, right)
         known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= PAIRS_KEPT:
                 self.pairs.clear()
-            known = self.pairs[pair] = self.merged(left + right) == [left, right]
+            known = self.pairs[pair] = self.merged((left or "") + right) == ([right] if left is None else [left, right])
         return known
 
-    def walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
-        """Each of the sorted words with its pieces; a character that is no piece stands alone."""
-        last: list[str | None] = [None]  # the last piece of each prefix of the current path
-        total = [0.0]
+    def walk(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """Each of the sorted words with its ids. The state of each prefix of the current path is its last piece (None at
+        the word's begin, and after a character that is no piece), its ids, and its score (unigram)."""
+        last: list[str | None] = [None]
+        ids: list[bytes] = [b""]
+        total: list[float] = [0.0]
         before = ""
-        ids, fits, score, longest, pairs, bpe = self.id, self.fits, self.score, self.longest, self.pairs, self.kind == "bpe"
+        raw, sizes, pairs, score, alone, bpe = self.raw, self.sizes, self.pairs, self.score, (1,), self.kind == "bpe"
         for word in words:
-            shared = len(commonprefix((before, word)))
-            del last[shared + 1 :], total[shared + 1 :]
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
+            del last[shared + 1 :], ids[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                if word[end - 1] not in ids:
-                    last.append(word[end - 1])
-                    total.append(total[end - 1] + UNKNOWN_SCORE)
+                if word[end - 1] not in raw:
+                    last.append(None)
+                    ids.append(ids[-1] + self.unknown_ids(word[end - 1]))
+                    if not bpe:
+                        total[end:] = [total[end - 1] + UNKNOWN_SCORE]
                     continue
-                best, piece = None, None
-                for start in range(max(0, end - longest.get(word[end - 2 : end], 1)) if end > 1 else 0, end):
+                best, piece = None, ""
+                for n in sizes.get(word[end - 2 : end], alone) if end > 1 else alone:
+                    start = end - n
+                    if start < 0:
+                        continue
                     part = word[start:end]
-                    if part not in ids:
+                    if part not in raw:
                         continue
                     if bpe:
                         left = last[start]
-                        known = pairs.get((left, part)) if left in ids else self.whole(part)
-                        if fits(left, part) if known is None else known:
-                            best, piece = 0.0, part
+                        known = pairs.get((left, part))
+                        if self.fits(left, part) if known is None else known:
+                            best, piece = start, part
                             break
-                    elif best is None or total[start] + score[part] > best:
-                        best, piece = total[start] + score[part], part
+                    elif best is None or total[start] + score[part] > total[best] + score[piece]:
+                        best, piece = start, part
                 last.append(piece)
-                total.append(best)
-            out, end = [], len(word)
-            while end:
-                out.append(last[end])
-                end -= len(last[end])
+                ids.append(ids[best] + raw[piece])
+                if not bpe:
+                    total[end:] = [total[best] + score[piece]]
             before = word
-            yield word, out[::-1]
+            yield word, ids[len(word)]
 
-    def whole(self, part: str) -> bool:
-        """Whether the piece encodes to itself."""
-        pair = ("", part)
-        known = self.pairs.get(pair)
-        if known is None:
-            known = self.pairs[pair] = self.merged(part) == [part]
-        return known
-
-    def packed(self, pieces: list[str]) -> bytes:
-        """The pieces' ids, four bytes each."""
-        out = array("i")
-        for p in pieces:
-            i = self.id.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.byte:
-                out.extend(self.byte[b] for b in p.encode())
-            else:
-                out.append(self.unknown)
-        return out.tobytes()
+    def unknown_ids(self, character: str) -> bytes:
+        """Of a character that is no piece: its bytes, where the model has them."""
+        return array("i", [self.byte[b] for b in character.encode()] if self.byte else [self.unknown]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, four bytes each."""
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        for word, pieces in self.walk(sorted(set(chain.from_iterable(cut)) - self.words.keys())):
-            self.words[word] = self.packed(pieces)
-        known = self.words
+        distinct, known = set(chain.from_iterable(cut)), self.words
+        if len(known) > WORDS_KEPT:  # words that this batch has are likely to come again
+            known = self.words = {w: known[w] for w in distinct if w in known}
+        known.update(self.walk(sorted(distinct - known.keys())))
         return [b"".join([known[w] for w in ws]) for ws in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -167,6 +154,24 @@ class Encoder:
         return text[1:] if text[:1] == " " else text
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _shipped(docs: DataFrame, model_path: str):
+    """(name, broadcast vocabulary) of a model file that the driver can read; its size is the model's."""
+    with open(model_path, "rb") as f:
+        model = f.read()
+    return hashlib.sha256(model).hexdigest(), docs.sparkSession.sparkContext.broadcast(vocabulary(model))
+
+
+def _encoder(name: str, known) -> Encoder:
+    """One for each worker process and model: what it has learnt of words serves the next task too."""
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = Encoder(*known.value)
+    return _ENCODERS[name]
+
+
 def _slices(texts: list[str]) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
@@ -183,11 +188,10 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", model_pa
     """doc_id, n_tokens, token_ids, round_trip (whether decoding gives the text again) of every row of docs.
 
     model_path: a file that the driver can read; executors get the vocabulary by broadcast (its size is the model's)."""
-    with open(model_path, "rb") as f:
-        known = docs.sparkSession.sparkContext.broadcast(vocabulary(f.read()))
+    name, known = _shipped(docs, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*known.value)
+        encoder = _encoder(name, known)
         for b in batches:
             at = 0
             for texts in _slices([x or "" for x in b.column(1).to_pylist()]):
@@ -205,11 +209,10 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", model_pa
 
 def decode(tokens: DataFrame, *, key: str = "doc_id", ids: str = "token_ids", model_path: str = MODEL) -> DataFrame:
     """doc_id, text of every row of tokens; null ids give empty text."""
-    with open(model_path, "rb") as f:
-        known = tokens.sparkSession.sparkContext.broadcast(vocabulary(f.read()))
+    name, known = _shipped(tokens, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*known.value)
+        encoder = _encoder(name, known)
         for b in batches:
             texts = [encoder.decode(x or ()) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
