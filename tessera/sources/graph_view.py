@@ -78,14 +78,14 @@ GRAPH_SQL = """
 WITH RECURSIVE area AS (SELECT n_nationkey, n_name, n_regionkey, lower(r_name) AS area FROM nation JOIN region ON n_regionkey = r_regionkey),
 ordered AS (SELECT o.*, area, CAST(o_orderdate AS DATE) AS o_date FROM orders o JOIN customer ON o_custkey = c_custkey JOIN area ON c_nationkey = n_nationkey),
 nodes AS MATERIALIZED (
-  SELECT 'region:' || r_regionkey AS id, 'domain' AS type, 'public' AS ns, NULL::DATE AS vf, NULL::DATE AS vt, r_name AS name, NULL AS title, NULL AS brand, NULL AS summary, NULL AS segment, NULL AS status, NULL AS priority, 'region.md:' || (r_regionkey + 1) AS src FROM region
+  SELECT 'region:' || r_regionkey AS id, 'domain' AS type, 'public' AS ns, NULL::DATE AS vf, NULL::DATE AS vt, r_name AS name, NULL::VARCHAR AS title, NULL::VARCHAR AS brand, NULL::VARCHAR AS summary, NULL::VARCHAR AS segment, NULL::VARCHAR AS status, NULL::VARCHAR AS priority, 'region.md:' || (r_regionkey + 1) AS src FROM region
   UNION ALL SELECT 'nation:' || n_nationkey, 'team', area, NULL, NULL, n_name, NULL, NULL, NULL, NULL, NULL, NULL, 'nation.md:' || (n_nationkey + 1) FROM area
   UNION ALL SELECT 'cust:' || c_custkey, 'person', area, NULL, NULL, c_name, NULL, NULL, NULL, c_mktsegment, NULL, NULL, 'customer.md:' || (c_custkey + 1) FROM customer JOIN area ON c_nationkey = n_nationkey
   UNION ALL SELECT 'supp:' || s_suppkey, 'service', area, NULL, NULL, s_name, NULL, NULL, NULL, NULL, NULL, NULL, 'supplier.md:' || (s_suppkey + 1) FROM supplier JOIN area ON s_nationkey = n_nationkey
   UNION ALL SELECT 'part:' || p_partkey, 'project', 'public', NULL, NULL, p_name, NULL, p_brand, p_type, NULL, NULL, NULL, 'part.md:' || (p_partkey + 1) FROM part
   UNION ALL SELECT 'ord:' || o_orderkey, 'goal', area, o_date, CASE WHEN o_orderstatus = 'F' THEN o_date + 90 END, NULL, 'Order ' || o_orderkey, NULL, NULL, NULL, o_orderstatus, o_orderpriority, 'orders.md:' || (o_orderkey + 1) FROM ordered),
 edges AS MATERIALIZED (
-  SELECT 'm:c' || c_custkey AS id, 'member_of' AS type, area AS ns, NULL::DATE AS vf, NULL::DATE AS vt, 'cust:' || c_custkey AS from_id, 'nation:' || c_nationkey AS to_id, 'works in ' || n_name AS description, NULL AS reason, NULL AS note, NULL AS lines, 'customer.md:' || (c_custkey + 1) AS src FROM customer JOIN area ON c_nationkey = n_nationkey
+  SELECT 'm:c' || c_custkey AS id, 'member_of' AS type, area AS ns, NULL::DATE AS vf, NULL::DATE AS vt, 'cust:' || c_custkey AS from_id, 'nation:' || c_nationkey AS to_id, 'works in ' || n_name AS description, NULL::VARCHAR AS reason, NULL::VARCHAR AS note, NULL::VARCHAR AS lines, 'customer.md:' || (c_custkey + 1) AS src FROM customer JOIN area ON c_nationkey = n_nationkey
   UNION ALL SELECT 'm:s' || s_suppkey, 'member_of', area, NULL, NULL, 'supp:' || s_suppkey, 'nation:' || s_nationkey, 'serves ' || n_name, NULL, NULL, NULL, 'supplier.md:' || (s_suppkey + 1) FROM supplier JOIN area ON s_nationkey = n_nationkey
   UNION ALL SELECT 'd:' || n_nationkey, 'in_domain', 'public', NULL, NULL, 'nation:' || n_nationkey, 'region:' || n_regionkey, NULL, NULL, NULL, NULL, 'nation.md:' || (n_nationkey + 1) FROM nation
   UNION ALL SELECT 'p:' || o_orderkey, 'pursues', area, o_date, NULL, 'cust:' || o_custkey, 'ord:' || o_orderkey, NULL, o_orderpriority, NULL, NULL, 'orders.md:' || (o_orderkey + 1) FROM ordered
