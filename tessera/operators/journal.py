@@ -39,9 +39,9 @@ def decided(entries: DataFrame, nodes: DataFrame, ontology: Ontology | None = No
         reason = reason.when((F.col("kind") == "node") & ~F.col("type").isin(*ontology.node_types), F.concat(F.lit("unknown node type: "), "type"))
     judged = own.withColumn("reason", reason)
     if ontology is not None:
-        order = F.struct(F.lit(1), entry_key(), "agent")
+        order = F.struct(F.lit(1).alias("a"), entry_key().alias("b"), F.col("agent").alias("c"))
         brought = judged.where("kind = 'node' and reason is null").select("id", "type", order.alias("o"))
-        held = nodes.select("id", "type", F.struct(F.lit(0), F.lit("").alias("k"), F.lit("").alias("agent")).alias("o")).unionByName(brought).groupBy("id").agg(F.min_by("type", "o").alias("t"))
+        held = nodes.select("id", "type", F.struct(F.lit(0).alias("a"), F.lit("").alias("b"), F.lit("").alias("c")).alias("o")).unionByName(brought).groupBy("id").agg(F.min_by("type", "o").alias("t"))
         ends = F.broadcast(ontology.ends(entries.sparkSession).select(F.col("edge_type").alias("type"), "from_type", "to_type", F.lit(True).alias("legal")))
         a, b = held.select(F.col("id").alias("from_id"), F.col("t").alias("from_type")), held.select(F.col("id").alias("to_id"), F.col("t").alias("to_type"))
         judged = judged.join(a, "from_id", "left").join(b, "to_id", "left").join(ends, ["type", "from_type", "to_type"], "left")
