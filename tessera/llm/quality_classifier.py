@@ -218,4 +218,6 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id
 def accepted(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", label_key: str = "doc_id", sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, whose score reaches the threshold."""
     ensemble = train(docs, labels, key=key, text=text, label=label, label_key=label_key, sample=sample)
-    return statistics(docs, key=key, text=text).where(ensemble.column() >= threshold).select("row.*")
+    scored = statistics(docs, key=key, text=text).select("row", ensemble.column().alias("score"))
+    # a filter on the score itself would be pushed below the statistics, and each of its conditions would compute them again
+    return scored.select("row", F.explode(F.array("score")).alias("score")).where(F.col("score") >= threshold).select("row.*")
