@@ -65,7 +65,7 @@ def publish(df: DataFrame, root: str, version: str) -> str:
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    new, pointer = jvm.org.apache.hadoop.fs.Path(base, "_CURRENT.new"), jvm.org.apache.hadoop.fs.Path(base, "_CURRENT")
+    new, pointer = jvm.org.apache.hadoop.fs.Path(base, "CURRENT.new"), jvm.org.apache.hadoop.fs.Path(base, "CURRENT")
     out = fs.create(new, True)
     out.write(bytearray(version.encode()))
     out.close()
@@ -76,13 +76,13 @@ def publish(df: DataFrame, root: str, version: str) -> str:
 
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The version that root points at."""
-    version = spark.read.text(f"{root.rstrip('/')}/_CURRENT").first()["value"]
+    version = spark.read.text(f"{root.rstrip('/')}/CURRENT").first()["value"]
     return spark.read.parquet(f"{root.rstrip('/')}/v={version}")
 
 
 def read_documents(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
     """(path, text): text files under root, path relative to it."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).format("text").load(root)
     full = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/")
     return files.select(F.regexp_replace(full, "^.*?" + _quoted(root.rstrip("/")) + "/", "").alias("path"), F.col("value").alias("text"))
 
