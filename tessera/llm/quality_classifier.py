@@ -81,7 +81,7 @@ STATISTICS = ("n_words", "word_length", "distinct_share", "richness", "symbols",
 
 
 @dataclass(frozen=True, order=True)
-class Test:
+class Condition:
     statistic: int
     above: bool
     value: float
@@ -94,7 +94,7 @@ class Test:
         return c > self.value if self.above else c <= self.value
 
 
-Rule = tuple[Test, ...]
+Rule = tuple[Condition, ...]
 
 
 def simplified(path: Rule) -> Rule:
@@ -103,7 +103,7 @@ def simplified(path: Rule) -> Rule:
     for t in path:
         old = kept.get((t.statistic, t.above))
         kept[t.statistic, t.above] = t.value if old is None else max(old, t.value) if t.above else min(old, t.value)
-    return tuple(sorted(Test(s, a, v) for (s, a), v in kept.items()))
+    return tuple(sorted(Condition(s, a, v) for (s, a), v in kept.items()))
 
 
 def grow(x: np.ndarray, cuts: list[np.ndarray], binned: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, rows: np.ndarray, path: Rule, depth: int, out: list[Rule], score: np.ndarray) -> None:
@@ -127,7 +127,7 @@ def grow(x: np.ndarray, cuts: list[np.ndarray], binned: np.ndarray, gradient: np
         return
     _, s, k = best
     for above in (False, True):
-        test = Test(s, above, float(cuts[s][k]))
+        test = Condition(s, above, float(cuts[s][k]))
         own = rows[(binned[rows, s] > k) == above]
         out.append(simplified((*path, test)))
         grow(x, cuts, binned, gradient, curvature, own, (*path, test), depth - 1, out, score)
