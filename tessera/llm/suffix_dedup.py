@@ -27,16 +27,18 @@ from __future__ import annotations
 
 import hashlib
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import stored
 
 LENGTH, ANCHOR, HOT = 50, 20, 2000
-BLOCK_BYTES, BUCKET_BYTES, SUBS = 8 << 20, 4 << 20, 8
+BLOCK_BYTES, BUCKET_BYTES, SUBS = 4 << 20, 4 << 20, 8
 LAST = (1 << 63) - 1
 #: Bytes that UTF-8 never has: between pieces, and at the end.
 _GAP, _END = 0xFF, 0xFE
@@ -133,7 +135,7 @@ def smallest_holder(pieces: list[bytes], holders: np.ndarray, length: int) -> np
 def anchored(buf: np.ndarray, sizes: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, count, id): runs of consecutive strings of documents (of the given sizes, end to end in buf) with one anchor."""
     w = length - anchor + 1
-    ends = np.repeat(np.cumsum(sizes), sizes)
+    ends = np.cumsum(sizes)
     out: list[list[np.ndarray]] = [[], [], []]
     for c in range(0, len(buf) - length + 1, _CHUNK):
         m = min(_CHUNK, len(buf) - length + 1 - c)
@@ -162,7 +164,8 @@ def anchored(buf: np.ndarray, sizes: np.ndarray, length: int, anchor: int) -> tu
         if w > span:
             key = np.minimum(key[: len(key) - (w - span)], key[w - span :])
         least = (key[:m] & np.uint64(0xFFFFF)).astype(np.int64)
-        at = np.flatnonzero(ends[c : c + m] - np.arange(c, c + m) >= length)
+        at = np.arange(c, c + m)
+        at = np.flatnonzero(ends[np.searchsorted(ends, at, "right")] - at >= length)
         if not len(at):
             continue
         least = least[at]
@@ -182,29 +185,24 @@ class Block:
     """The first copies among a block's documents that have `length` bytes, end to end, and their runs of anchors."""
 
     def __init__(self, docs: pa.Table, told: list[dict], length: int, anchor: int):
-        first = {x["a"] for x in told if x["bucket"] < 0}
-        self.ids, self.keys, texts = [], [], []
+        self.first = {x["a"] for x in told if x["bucket"] < 0}
         # by key: a shuffle gives the rows in any order, and answers go by the order of pieces
-        named = [(key, i) for i, key in enumerate(docs["key"].to_pylist()) if key in first]
-        given, bodies = docs["doc_id"], docs["text"]
-        for key, i in sorted(named):
-            if key in first:
-                first.discard(key)
-                doc, text = given[i].as_py(), bodies[i].as_buffer()
-                if text.size >= length:
-                    self.ids.append(doc)
-                    self.keys.append(key)
-                    texts.append(np.frombuffer(text, np.uint8))
+        at = {key: i for i, key in enumerate(docs["key"].to_pylist()) if key in self.first}
+        self.keys = sorted(at)
+        bodies = docs["text"]
+        texts = [np.frombuffer(bodies[at[key]].as_buffer(), np.uint8) for key in self.keys]
+        self.ids = np.array([int.from_bytes(key[:8], "big", signed=True) for key in self.keys], np.int64)
         self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.begins = np.cumsum(self.sizes) - self.sizes
-        self.ids = np.array(self.ids, np.int64)
         self.buf = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
         self.start, self.count, self.id = anchored(self.buf, self.sizes, length, anchor)
         self.doc = np.searchsorted(self.begins, self.start, "right") - 1
         self.told = [x for x in told if x["bucket"] >= 0]
 
-    def pieces(self, buckets: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """(start, count, piece) of the runs around shared anchors; then the distinct pieces: bytes, smallest holder, bucket, sub-bucket."""
+    def pieces(self, buckets: int, length: int) -> tuple[np.ndarray, np.ndarray, list[int | array], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """The runs around shared anchors (their indices, and the piece of each), what of the texts to send stands for each
+        piece (one text, or for hot anchors one for each string); then what is sent, each distinct text once: bytes,
+        smallest holder, bucket, sub-bucket."""
         keys = [(np.uint64(x["bucket"]) << np.uint64(32)) | np.frombuffer(x["a"], np.uint32).astype(np.uint64) for x in self.told]
         keys = np.concatenate([*keys, np.zeros(0, np.uint64)])
         hot = np.frombuffer(b"".join(x["b"] for x in self.told), np.uint8)
@@ -213,27 +211,38 @@ class Block:
         mine = ((self.id % np.uint64(buckets)) << np.uint64(32)) | (self.id >> np.uint64(32))
         at = np.minimum(np.searchsorted(keys, mine), max(0, len(keys) - 1))
         shared = np.flatnonzero(keys[at] == mine) if len(keys) else np.zeros(0, np.int64)
-        raw, seen = self.buf.tobytes(), {}
-        texts, least, bucket, sub = [], [], [], []
-        starts, counts, which, docs = [], [], [], self.ids.tolist()
-        for start, count, doc, anchor, is_hot in zip(self.start[shared].tolist(), self.count[shared].tolist(), self.doc[shared].tolist(), self.id[shared].tolist(), hot[at[shared]].tolist()):
-            for s, n in [(start + i, 1) for i in range(count)] if is_hot else [(start, count)]:
-                piece = raw[s : s + n + length - 1]
-                k = seen.get(piece)
+        raw, seen, which = self.buf.tobytes(), {}, array("q")
+        least, of, holders = array("q"), [], self.ids[self.doc[shared]].tolist()
+        for run, start, count, doc in zip(shared.tolist(), self.start[shared].tolist(), self.count[shared].tolist(), holders):
+            piece = raw[start : start + count + length - 1]
+            k = seen.get(piece)
+            if k is None:
+                k = seen[piece] = len(of)
+                least.append(doc)
+                of.append(run)
+            elif doc < least[k]:
+                least[k] = doc
+            which.append(k)
+        parts: list[int | array] = []
+        texts, sent, low, bucket, sub = [], {}, array("q"), array("q"), array("q")
+        for piece, run, doc in zip(seen, of, least):
+            anchor_id, is_hot = int(self.id[run]), bool(hot[at[run]])
+            mine = array("q")
+            for text in [piece[i : i + length] for i in range(len(piece) - length + 1)] if is_hot else [piece]:
+                k = sent.get(text)
                 if k is None:
-                    k = seen[piece] = len(texts)
-                    texts.append(piece)
-                    least.append(docs[doc])
-                    h = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little") if is_hot else anchor
+                    k = sent[text] = len(texts)
+                    texts.append(text)
+                    low.append(doc)
+                    h = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") if is_hot else anchor_id
                     bucket.append((h >> 8) % buckets)
                     sub.append(h % SUBS)
-                elif docs[doc] < least[k]:
-                    least[k] = docs[doc]
-                starts.append(s)
-                counts.append(n)
-                which.append(k)
+                elif doc < low[k]:
+                    low[k] = doc
+                mine.append(k)
+            parts.append(mine if is_hot else mine[0])
         as_array = lambda x: np.array(x, np.int64)
-        return as_array(starts), as_array(counts), as_array(which), texts, as_array(least), as_array(bucket), as_array(sub)
+        return shared, as_array(which), parts, texts, as_array(low), as_array(bucket), as_array(sub)
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -348,13 +357,13 @@ def _answer_pieces(messages, *, length):
 
 
 def _mark(docs, right, *, length, anchor, buckets, texts_too):
-    """3: a block's documents that lose bytes."""
+    """3: every row of a block: what its text loses, and what is left of it if texts_too."""
     told = right.to_pylist()
     answers = {x["bucket"]: x for x in told if x["d"] is None}
     block = Block(docs, [x for x in told if x["d"] is not None], length, anchor)
-    start, count, which, texts, least, bucket, _ = block.pieces(buckets, length)
+    shared, which, parts, texts, least, bucket, _ = block.pieces(buckets, length)
     counts = np.fromiter(map(len, texts), np.int64, len(texts)) - (length - 1)
-    sizes, values = [None] * len(texts), [None] * len(texts)
+    sizes, values = [counts[i : i + 1] for i in range(len(texts))], [least[i : i + 1] for i in range(len(texts))]
     order = np.argsort(bucket, kind="stable")
     for b in np.unique(bucket).tolist():
         own = order[np.searchsorted(bucket[order], b) : np.searchsorted(bucket[order], b, "right")].tolist()
@@ -365,94 +374,88 @@ def _mark(docs, right, *, length, anchor, buckets, texts_too):
             for i, k, e in zip(own, n.tolist(), ends):
                 if k:
                     sizes[i], values[i] = size[e - k : e], value[e - k : e]
-    for i in range(len(texts)):
-        if sizes[i] is None:
-            sizes[i], values[i] = counts[i : i + 1], least[i : i + 1]
-    empty = pa.table({"key": pa.array([], pa.binary()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string()), "kept": pa.array([], pa.binary())})
-    if not len(start):
-        return empty
-    n_runs = np.fromiter(map(len, sizes), np.int64, len(sizes))
-    first = np.cumsum(n_runs) - n_runs
-    flat_size, flat_value = np.concatenate(sizes), np.concatenate(values)
-    flat_begin = np.concatenate([np.cumsum(s) - s for s in sizes])
-    times = n_runs[which]
-    occ = np.repeat(np.arange(len(which)), times)
-    run = np.arange(len(occ)) - np.repeat(np.cumsum(times) - times, times) + first[which][occ]
-    begin = start[occ] + flat_begin[run]
-    holder = block.ids[np.searchsorted(block.begins, start, "right") - 1][occ]
-    hit = flat_value[run] < holder
-    begin, end = begin[hit], (begin + flat_size[run] + length - 1)[hit]
-    change = np.bincount(begin, minlength=len(block.buf) + 1) - np.bincount(end, minlength=len(block.buf) + 1)
-    covered = np.cumsum(change[:-1]) > 0
-    out: dict[str, list] = {"key": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-    for d in np.unique(np.searchsorted(block.begins, begin, "right") - 1).tolist():
-        a, n = int(block.begins[d]), int(block.sizes[d])
+    covered = np.zeros(len(block.buf), bool)
+    if len(which):
+        # the runs of each piece, then of each place of a piece
+        own_sizes = [sizes[p] if isinstance(p, int) else np.ones(len(p), np.int64) for p in parts]
+        own_values = [values[p] if isinstance(p, int) else np.array([values[i][0] for i in p], np.int64) for p in parts]
+        n_runs = np.fromiter(map(len, own_sizes), np.int64, len(own_sizes))
+        first = np.cumsum(n_runs) - n_runs
+        flat_size, flat_value = np.concatenate(own_sizes), np.concatenate(own_values)
+        flat_begin = np.concatenate([np.cumsum(s) - s for s in own_sizes])
+        times = n_runs[which]
+        occ = np.repeat(np.arange(len(which)), times)
+        run = np.arange(len(occ)) - np.repeat(np.cumsum(times) - times, times) + first[which][occ]
+        begin = block.start[shared][occ] + flat_begin[run]
+        hit = flat_value[run] < block.ids[block.doc[shared]][occ]
+        begin, end = begin[hit], (begin + flat_size[run] + length - 1)[hit]
+        change = np.bincount(begin, minlength=len(block.buf) + 1) - np.bincount(end, minlength=len(block.buf) + 1)
+        covered = np.cumsum(change[:-1]) > 0
+    found = {}
+    for d, (key, a, n) in enumerate(zip(block.keys, block.begins.tolist(), block.sizes.tolist())):
         gone = covered[a : a + n]
-        out["key"].append(block.keys[d])
-        out["n_removed"].append(int(gone.sum()))
-        out["n_spans"].append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-        kept = block.buf[a : a + n][~gone].tobytes()
-        out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-        out["kept"].append(kept if texts_too else None)
-    return pa.table(out, schema=empty.schema)
-
-
-def _searched(docs: DataFrame, key: str, text: str, length: int, anchor: int, hot: int, block_bytes: int, bucket_bytes: int, texts_too: bool) -> tuple[DataFrame, DataFrame]:
-    """(given_id, doc_id, n_bytes, sha, first) of every row, first being the smallest id of its text (null for texts that
-    are too short); and (marked, n_removed, n_spans, kept_sha256, kept) of the texts that their first document loses bytes of."""
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    ident = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
-    rows = docs.select(ident.alias("doc_id"), body.alias("text")).withColumn("sha", F.sha2("text", 256))
-    info = stored(docs.select(F.col(key).alias("given_id"), ident.alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha")), "texts")
-    total = info.agg(F.sum("n_bytes")).first()[0] or 0
+        if gone.any():
+            kept = block.buf[a : a + n][~gone].tobytes()
+            found[key] = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept
+    out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+    nothing = hashlib.sha256(b"").hexdigest()
+    for key, text in zip(docs["key"].to_pylist(), docs["text"]):
+        n = text.as_buffer().size
+        if key in found:
+            removed, spans, digest, kept = found[key]
+        elif n >= length and key not in block.first:  # a copy of a smaller document's text
+            removed, spans, digest, kept = n, 1, nothing, b""
+        else:
+            removed, spans, digest, kept = 0, 0, key[8:].hex(), text.as_buffer().to_pybytes() if texts_too else b""
+        out["n_bytes"].append(n)
+        out["n_removed"].append(removed)
+        out["n_spans"].append(spans)
+        out["kept_sha256"].append(digest)
+        # bytes of a character that was cut are left out
+        out["kept"].append(kept.decode("utf-8", "ignore") if texts_too else None)
+    types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
+    return pa.table({"row": docs["row"], **{c: pa.array(v, types[c]) for c, v in out.items()}})
+
+
+def _searched(docs: DataFrame, carried: Column, key: str, text: str, length: int, anchor: int, hot: int, block_bytes: int, bucket_bytes: int, texts_too: bool) -> DataFrame:
+    """row (what is carried of each row), n_bytes, n_removed, n_spans, kept_sha256 and kept (null unless texts_too) of every row of docs."""
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), carried.alias("row"))
+    rows = rows.withColumn("sha", F.sha2("text", 256))
+    size = F.octet_length("text").cast("long")
+    firsts = stored(rows.where(size >= length).groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.sum(size).alias("bytes")), "firsts")
+    total = firsts.agg(F.sum("bytes")).first()[0] or 0
     blocks, buckets = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(total / bucket_bytes))
-    of = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    of = F.pmod(F.xxhash64("doc_id", "sha"), F.lit(blocks)).cast("int").alias("block")
     name = F.unhex(F.concat(F.lpad(F.hex("doc_id"), 16, "0"), "sha"))
-    firsts = stored(info.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    none = [F.lit(b"").alias(x) for x in "bcd"]
-    first = firsts.select(of, F.lit(-1).alias("bucket"), name.alias("a"), *none)
-    dealt = rows.select(of, "doc_id", name.alias("key"), "text").groupBy("block")
+    first = firsts.select(of, F.lit(-1).alias("bucket"), name.alias("a"), *[F.lit(b"").alias(x) for x in "bcd"])
+    # one exchange of the texts serves all three passes; so what they tell each other is part of one plan
+    dealt = rows.select(of, name.alias("key"), "text", "row").groupBy("block")
     o = {"length": length, "anchor": anchor, "buckets": buckets}
     said = dealt.cogroup(first.groupBy("block")).applyInArrow(lambda a, b: _say_anchors(a, b, **o), _MESSAGE)
-    shared = stored(said.groupBy("bucket").applyInArrow(lambda x: _answer_anchors(x, hot=hot), _MESSAGE), "shared")
+    shared = said.groupBy("bucket").applyInArrow(lambda x: _answer_anchors(x, hot=hot), _MESSAGE)
     known = first.unionByName(shared)
     said = dealt.cogroup(known.groupBy("block")).applyInArrow(lambda a, b: _say_pieces(a, b, **o), _MESSAGE)
     answers = said.groupBy("bucket").applyInArrow(lambda x: _answer_pieces(x, length=length), _MESSAGE)
     answers = answers.withColumn("d", F.lit(None).cast("binary"))
-    kept = "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    marked = dealt.cogroup(known.unionByName(answers).groupBy("block")).applyInArrow(lambda a, b: _mark(a, b, texts_too=texts_too, **o), kept)
-    marked = marked.select(F.lower(F.substring(F.hex("key"), 17, 64)).alias("marked"), "n_removed", "n_spans", "kept_sha256", "kept")
-    return info.join(firsts.select(F.col("sha"), F.col("doc_id").alias("first")), "sha", "left"), marked
+    told = known.unionByName(answers).groupBy("block")
+    long, string = T.LongType(), T.StringType()
+    result = T.StructType([rows.schema["row"], *[T.StructField(c, t) for c, t in (("n_bytes", long), ("n_removed", long), ("n_spans", long), ("kept_sha256", string), ("kept", string))]])
+    return dealt.cogroup(told).applyInArrow(lambda a, b: _mark(a, b, texts_too=texts_too, **o), result)
 
 
 def suffix_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs, and text_sha256 of the whole text.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs.
 
     length: bytes of the strings that count; anchor: less than that. hot: documents beyond which an anchor's
     strings are dealt out one by one. block_bytes, bucket_bytes: text that one task holds at once."""
-    info, marked = _searched(docs, key, text, length, anchor, hot, block_bytes, bucket_bytes, False)
-    each = info.join(marked, F.col("sha") == F.col("marked"), "left")
-    # a copy of a smaller document's text goes whole; the smallest of each text, and any other row of its id, as marked
-    copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
-    return each.select(
-        F.col("given_id").alias("doc_id"),
-        "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        F.col("sha").alias("text_sha256"),
-    )
+    found = _searched(docs, F.struct(F.col(key).alias("id")), key, text, length, anchor, hot, block_bytes, bucket_bytes, False)
+    return found.select(F.col("row.id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The rows of docs, all columns, with what is kept of each text (null stays null). A character that a cut left in part goes too."""
-    info, marked = _searched(docs, key, text, length, anchor, hot, block_bytes, bucket_bytes, True)
-    firsts = info.where(F.col("first").isNotNull()).select("sha", "first").distinct()
-    changed = firsts.join(marked, F.col("sha") == F.col("marked"), "left").select(F.struct("sha", "first", "n_removed", "kept").alias("found"))
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("ident"), F.sha2(body, 256).alias("text_sha256"))
-    joined = rows.join(changed, F.col("text_sha256") == F.col("found.sha"), "left")
-    # UTF-8 cut within a character: read byte by byte, bytes that belong to no whole character are left out
-    whole = F.regexp_replace(F.call_function("make_valid_utf8", F.col("found.kept").cast("string")), "\uFFFD", "")
-    new = F.when(F.col("found.first") < F.col("ident"), F.lit("")).when(F.col("found.n_removed") > 0, whole).otherwise(F.col(f"row.`{text}`"))
-    return joined.select(*[new.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c != text]
+    carried = F.struct(F.col(text).isNull().alias("none"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"))
+    found = _searched(docs, carried, key, text, length, anchor, hot, block_bytes, bucket_bytes, True)
+    kept = F.when(~F.col("row.none"), F.col("kept"))
+    return found.select(*[kept.alias(c) if c == text else F.col(f"row.others.`{c}`").alias(c) for c in docs.columns])
