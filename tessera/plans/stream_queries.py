@@ -110,3 +110,46 @@ def fact_lines(spark, d):
     from tessera.sources.graph_view import sample_graph
 
     return files.fact_lines(sample_graph(spark, d)).select("kind", "type", "id", "line")
+
+
+# ---------------------------------------------------------------- proposals and answers
+
+
+@query("proposal_checks", """
+WITH p AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'link' WHEN 2 THEN 'update' ELSE 'merge' END AS op, 'cust:' || (user_id * 20) AS a, 'cust:' || (event_id % 1500) AS b FROM events WHERE event_id < 2000),
+seen AS (SELECT 'cust:' || c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE lower(r_name) IN ('europe', 'middle east'))
+SELECT event_id, CASE WHEN op = 'create' AND a IN (SELECT id FROM seen) THEN 'already there' WHEN op = 'update' AND a NOT IN (SELECT id FROM seen) THEN 'no such node'
+  WHEN op IN ('link', 'merge') AND (a NOT IN (SELECT id FROM seen) OR b NOT IN (SELECT id FROM seen)) THEN 'end not visible' WHEN op = 'merge' AND a = b THEN 'one node' END AS error FROM p""")
+def proposal_checks(spark, d):
+    from tessera.operators import propose
+    from tessera.plans.queries import SCOPE, VIEW
+    from tessera.sources.graph_view import sample_graph
+
+    n = F.col("event_id") % 4
+    a, b = F.concat(F.lit("cust:"), (F.col("user_id") * 20).cast("string")), F.concat(F.lit("cust:"), (F.col("event_id") % 1500).cast("string"))
+    p = table(spark, d, "events").where("event_id < 2000").select(
+        "event_id", F.when(n == 0, "create").when(n == 1, "link").when(n == 2, "update").otherwise("merge").alias("operation"), F.when(n.isin(0, 2), a).alias("id"),
+        F.when(n == 1, "collaborates_with").otherwise("person").alias("type"), F.when(n.isin(1, 3), a).alias("from_id"), F.when(n.isin(1, 3), b).alias("to_id"),
+    )
+    return propose.checked(p, sample_graph(spark, d), SCOPE, VIEW).select("event_id", "error")
+
+
+@query("json_merge", """SELECT event_id, '{"a":"' || user_id || '","k":{"x":"1","y":"' || event_id || '"},"z":"t"}' AS merged FROM events""")
+def json_merge(spark, d):
+    from tessera.operators import propose
+
+    n = F.col("event_id").cast("string")
+    ours = F.concat(F.lit('{"k": {"x": 1, "y": 0}, "z": "o", "a": "'), F.col("user_id").cast("string"), F.lit('"}'))
+    theirs = F.concat(F.lit('{"z": "t", "k": {"y": '), n, F.lit("}}"))
+    merged = propose.merged_json(ours, theirs)
+    return table(spark, d, "events").select("event_id", F.regexp_replace(F.regexp_replace(F.replace(merged, F.lit("\\"), F.lit("")), r'"\{', "{"), r'\}"', "}").alias("merged"))
+
+
+@query("qa_harness", None)
+def qa_harness(spark, d):
+    from tessera.operators import answers
+    from tessera.sources.graph_view import sample_graph
+
+    rows = [("q1", "bolt", "blue bolt Brand", "1", False), ("q2", "Customer#000000042", "HOUSEHOLD", "2", False), ("q3", "nowhere", "nothing", "5", True)]
+    q = spark.createDataFrame(rows, "question string, word string, gold string, category string, adversarial boolean")
+    return answers.answered(q.drop("word"), sample_graph(spark, d), q.select("question", "word")).select("question", "category", "score")
