@@ -21,7 +21,7 @@ def active_at(facts: DataFrame, at: str | None) -> DataFrame:
 
 def resolve_ids(g: Graph, ids: DataFrame) -> DataFrame:
     """(asked, id): ids (column asked) with an alias replaced by its node, one hop."""
-    return ids.join(F.broadcast(g.aliases().withColumnRenamed("alias", "asked")), "asked", "left").select("asked", F.coalesce("id", "asked").alias("id"))
+    return ids.join(g.aliases().withColumnRenamed("alias", "asked"), "asked", "left").select("asked", F.coalesce("id", "asked").alias("id"))
 
 
 def get_node(g: Graph, id_: str) -> DataFrame:

@@ -283,3 +283,29 @@ def test_same_result_for_any_number_of_partitions(spark, sf):
         assert sorted(map(tuple, resolve_edges(spark, sf).collect())) == one
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_proposals(spark):
+    from tessera.operators import propose
+
+    g = graph(spark, [node("a"), node("b", props={"merged_ids": '["old-b"]'}), node("p", type_="person"), node("h", ns=["secret"])], [])
+    rows = [
+        ("create", None, "n", "service", None, None, None, 2.0), ("create", None, "a", "service", None, None, None, 0.5), ("create", None, "x", "thing", None, None, None, 0.5), ("link", None, None, "depends_on", "a", "b", None, 0.9),
+        ("link", None, None, "depends_on", "a", "h", None, 0.9), ("link", None, None, "owns", "a", "p", None, 0.9), ("merge", None, None, None, "a", "p", None, 0.1), ("merge", None, None, None, "a", "b", None, 0.1), ("drop", None, None, None, None, None, None, 0.1),
+    ]
+    p = spark.createDataFrame(rows, propose.PROPOSAL)
+    got = propose.checked(p, g, ["public"], Ontology())
+    assert sorted(r["error"] or "" for r in got.collect()) == ["", "", "", "already there", "different types", "end not visible", "ends not allowed", "unknown node type", "unknown operation"]
+    made = propose.entries(got.where("error is null"), agent="x", ns="team", proposed_at="t1").collect()
+    assert sorted((r["type"], r["confidence"], r["ns"]) for r in made) == [("depends_on", 0.9, "team"), ("same_as", 1.0, "team"), ("service", 1.0, "team")]
+    alias = spark.createDataFrame([("link", None, None, "depends_on", "a", "old-b", None, 0.9)], propose.PROPOSAL)
+    assert propose.canonical_proposals(alias, g).first()["to_id"] == "b"
+    with pytest.raises(ValueError):
+        propose.entries(got, agent="x", ns="team*", proposed_at="t")
+
+
+def test_summaries_carry_context(spark):
+    from tessera.operators.answers import summaries
+
+    df = spark.createDataFrame([("s", 0, "one"), ("s", 1, "two")], "session string, batch int, body string")
+    assert [r["summary"] for r in summaries(df, lambda t: t.upper()).orderBy("batch").collect()] == ["ONE", "ONE\nTWO"]
