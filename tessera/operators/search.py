@@ -125,3 +125,32 @@ def keywords(question: Column) -> Column:
     capital = F.filter(words, lambda w: w.rlike(r"^\p{Lu}") & ~F.lower(w).isin("what", "when", "where", "who", "which", "how", "why", "did", "does", "the"))
     rest = F.filter(words, lambda w: ~w.rlike(r"^\p{Lu}") & (F.length(w) > 4))
     return F.slice(F.array_distinct(F.concat(capital, F.slice(rest, 1, 3))), 1, 8)
+
+
+def token_index(texts: DataFrame) -> DataFrame:
+    """(token, kind, id, places): an inverted index of texts (a frame with body); write it sorted by token for lookups that skip files."""
+    each = texts.select("type", "id", F.posexplode(F.split(F.trim(tokens(F.col("body"))), " ")).alias("place", "token")).where("token <> ''")
+    return each.groupBy("token", "type", "id").agg(F.array_sort(F.collect_list("place")).alias("places"))
+
+
+def index_search(index: DataFrame, query: str, limit: int) -> DataFrame:
+    """(type, id): the first `limit` texts, in file order, that have every term of the query; a term of several tokens must stand as a run.
+
+    Only the postings of the query's tokens are read."""
+    terms = [[t for t in "".join(c if c.isalnum() else " " for c in term.lower()).split()] for term in query.split()]
+    terms = [t for t in terms if t]
+    wanted = sorted({t for term in terms for t in term})
+    if not wanted:
+        return index.select("type", "id").limit(0)
+    at = index.where(F.col("token").isin(wanted)).groupBy("type", "id").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("p"))
+    def run_of(others: Column, k: int):
+        return lambda i: F.array_contains(others, i + k)
+
+    hit: Column = F.lit(True)
+    for term in terms:
+        starts = F.try_element_at("p", F.lit(term[0]))
+        for k, t in enumerate(term[1:], 1):
+            others = F.coalesce(F.try_element_at("p", F.lit(t)), F.array().cast("array<int>"))
+            starts = F.filter(starts, run_of(others, k))
+        hit = hit & F.coalesce(F.size(starts) > 0, F.lit(False))
+    return at.where(hit).select("type", "id").orderBy("type", "id").limit(limit)

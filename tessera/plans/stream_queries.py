@@ -153,3 +153,11 @@ def qa_harness(spark, d):
     rows = [("q1", "bolt", "blue bolt Brand", "1", False), ("q2", "Customer#000000042", "HOUSEHOLD", "2", False), ("q3", "nowhere", "nothing", "5", True)]
     q = spark.createDataFrame(rows, "question string, word string, gold string, category string, adversarial boolean")
     return answers.answered(q.drop("word"), sample_graph(spark, d), q.select("question", "word")).select("question", "category", "score")
+
+
+@query("index_search", SQL["term_and_search"])
+def index_search(spark, d):
+    from tessera.operators import search
+    from tessera.sources.graph_view import sample_graph
+
+    return search.index_search(search.token_index(search.node_text(sample_graph(spark, d).nodes)), "brand#4 bolt", 25).select("id", "type")

@@ -152,3 +152,23 @@ def append_journal(entries: DataFrame, root: str) -> None:
 def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:
     """Files (path, hash) that are new or differ from what the manifest has."""
     return now.join(before.select("path", "hash"), ["path", "hash"], "left_anti")
+
+
+def dump_batches(batches: DataFrame, root: str, namespace: str) -> None:
+    """Rendered batches (session, batch, body) as text under root/namespace, one folder a session; sessions that are given are replaced whole, others stay."""
+    spark = batches.sparkSession
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        ordered = batches.repartition("session").sortWithinPartitions("session", "batch")
+        ordered.select("session", "body").write.mode("overwrite").partitionBy("session").option("lineSep", "\n").text(f"{root.rstrip('/')}/{namespace}")
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+
+
+def within(path: str, roots: list[str]) -> bool:
+    """Whether a path, with links and dots resolved, lies under one of the roots."""
+    import os
+
+    real = os.path.realpath(path)
+    return any(real == r or real.startswith(r.rstrip("/") + "/") for r in map(os.path.realpath, roots))

@@ -309,3 +309,12 @@ def test_summaries_carry_context(spark):
 
     df = spark.createDataFrame([("s", 0, "one"), ("s", 1, "two")], "session string, batch int, body string")
     assert [r["summary"] for r in summaries(df, lambda t: t.upper()).orderBy("batch").collect()] == ["ONE", "ONE\nTWO"]
+
+
+def test_dump_replaces_sessions_whole(spark, tmp_path):
+    df = lambda rows: spark.createDataFrame(rows, "session string, batch int, body string")
+    files.dump_batches(df([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")]), str(tmp_path), "n")
+    files.dump_batches(df([("a", 0, "w")]), str(tmp_path), "n")
+    got = spark.read.text(str(tmp_path / "n"))
+    assert sorted((r["session"], r["value"]) for r in got.collect()) == [("a", "w"), ("b", "z")]
+    assert files.within(str(tmp_path / "n" / "x"), [str(tmp_path)]) and not files.within(str(tmp_path / ".." / "x"), [str(tmp_path)])
