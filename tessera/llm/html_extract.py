@@ -30,12 +30,12 @@ BLOCK = frozenset(
     "header footer nav aside form fieldset address details summary hr center hgroup dialog menu search".split()
 )
 CONTAINER = frozenset("html body main article section div td aside blockquote".split())
-NEVER = frozenset("head nav header footer aside form menu dialog search button select option label legend fieldset template svg math canvas object audio video figcaption address".split()) | RAW
+NEVER = frozenset("head nav header footer aside form menu dialog search button select option label legend fieldset template svg canvas object audio video".split()) | RAW
 #: Words of a class or id, whole, that mark what isn't the article.
 BOILERPLATE = re.compile(
     r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|sponsors?|sponsored|promos?|banners?|cookies?|consent|notices?|alerts?|popups?|modals?|overlay|newsletters?|subscribe|signup|login|"
     r"sidebars?|side|widgets?|menus?|nav|navs|navbar|navigation|breadcrumbs?|footers?|headers?|masthead|toolbar|share|sharing|social|related|recommended|tags|meta|byline|"
-    r"comments?|replies|reply|respond|disqus|discussion|copyright|legal|skip)(?:$|[^a-z])"
+    r"comments?|replies|reply|respond|disqus|discussion|copyright|legal|skip|pagination|pager|toc|topbar|notifications?|gdpr|disclaimer|feedback|survey|search|complementary|contentinfo)(?:$|[^a-z])"
 )
 #: A start tag of these ends an open element of those (up to the nearest container).
 _P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul center dialog hgroup search".split())
@@ -44,19 +44,24 @@ _STOP = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 _TAG = re.compile(r"""<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z))""", re.S)
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?。，、！？]")
+#: Attributes of what a browser doesn't show.
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 KEEP_SHARE, SMOOTH = 0.35, 0.6
 
 
 class _Node:
-    __slots__ = ("tag", "path", "never", "container", "link")
+    __slots__ = ("tag", "path", "never", "container", "link", "whole")
 
-    def __init__(self, tag: str, marks: str, up: _Node | None):
+    def __init__(self, tag: str, marks: str, up: _Node | None, hidden: bool = False):
         self.tag = tag
         self.path = f"{up.path if up else ''}/{tag}{'.' + marks if marks else ''}"
-        self.never = bool(up and up.never) or tag in NEVER or bool(marks and BOILERPLATE.search(marks) and tag not in ("html", "body", "article", "main"))
+        self.never = bool(up and up.never) or hidden or tag in NEVER or bool(marks and BOILERPLATE.search(marks) and tag not in ("html", "body", "article", "main"))
         if tag == "article" and marks and re.search(r"(?:^|[^a-z])(?:comments?|reply|replies)(?:$|[^a-z])", marks):
             self.never = True
-        self.container = self.path if tag in CONTAINER or up is None else up.container
+        # an article is one container with all that is in it, and so is a main element but for its articles
+        self.whole = tag if tag in ("article", "main") and not (up and up.whole == "article") else up.whole if up else ""
+        apart = tag in CONTAINER and (not self.whole or not up or up.whole != self.whole)
+        self.container = self.path if apart or up is None else up.container
         self.link = tag == "a" or bool(up and up.link)
 
 
@@ -127,7 +132,7 @@ def runs(page: str) -> list[list[tuple[_Node, str]]]:
                 j = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
                 at = n if j is None else max(page.find(">", j.start()) + 1, j.end())
                 continue
-            stack.append(_Node(tag, marks, stack[-1]))
+            stack.append(_Node(tag, marks, stack[-1], bool(m[3]) and bool(HIDDEN.search(m[3]))))
     return [b for b in blocks if b]
 
 

@@ -249,3 +249,12 @@ def test_html():
     assert main_text("") == main_text("<p") == main_text("<nav>x</nav>") == ""
     assert main_text("plain text") == "plain text"
     assert main_text('<div class="content"><p>Long text, with sentences. And more of it.</p><p>Yes, more, and more.</p></div><div class="sidebar"><p>Side.</p></div><div id="cookie-notice">We use cookies, ok.</div>') == "Long text, with sentences. And more of it.\n\nYes, more, and more."
+
+
+def test_html_keeps_all_of_an_article():
+    page = (
+        "<body><main><div class='breadcrumb'><a href='/'>Home, sweet.</a></div><article class='post'><h1>T</h1><div><p>Body, with marks. And so on.</p><table><tr><td>a cell</td><td>b</td></tr></table></div>"
+        "<ul><li><a href='/x'>A link</a></li></ul><figure><img src=x><figcaption>Shown</figcaption></figure><div style='display: none'>Not shown, at all.</div><div class='newsletter-signup'><p>Sign up, now.</p></div></article>"
+        "<div class='user-comments'><p>First, I say. No.</p></div></main></body>"
+    )
+    assert main_text(page) == "T\n\nBody, with marks. And so on.\n\na cell\n\nb\n\nA link\n\nShown"
