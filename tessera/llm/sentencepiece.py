@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_SCORE = -100.0
-WORDS_KEPT, PAIRS_KEPT, BATCH_CHARS = 600_000, 1_000_000, 4_000_000
+WORDS_KEPT, PAIRS_KEPT, BATCH_CHARS = 150_000, 400_000, 4_000_000
 
 
 def vocabulary(model: bytes) -> tuple[str, list[str], list[float], list[str]]:
