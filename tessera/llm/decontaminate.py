@@ -32,7 +32,8 @@ def windows(benchmark: DataFrame, *, item: str = "item_id", text: str = "text",
 def necessary(cut: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, int]:
     """cut with each window's rarest word (token) and its place in it (offset), and the number of rows."""
     vocabulary = cut.select(F.explode("window").alias("word")).distinct()
-    counts = word_counts(docs, text, vocabulary, vocabulary.count())
+    words = vocabulary.count()
+    counts = small(word_counts(docs, text, vocabulary, words), words)
     placed = cut.select("item_id", "window", F.posexplode("window").alias("offset", "word")).join(counts, "word", "left")
     rarest = F.min_by(F.struct("word", "offset"), F.struct(F.coalesce("docs", F.lit(0)), "word", "offset"))
     out = stored(placed.groupBy("item_id", "window").agg(rarest.alias("r")).select("item_id", "window", F.col("r.word").alias("token"), F.col("r.offset").alias("offset")), "windows")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_SCORE = -100.0
-WORDS_KEPT, PAIRS_KEPT, BATCH_CHARS = 150_000, 400_000, 4_000_000
+WORDS_KEPT, PAIRS_KEPT, BATCH_CHARS = 200_000, 400_000, 12_000_000
 
 
 def vocabulary(model: bytes) -> tuple[str, list[str], list[float], list[str]]:
@@ -55,12 +55,11 @@ class Encoder:
         self.byte = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(pieces, types, strict=True)) if t == "byte"}
         self.unknown = next((i for i, p in enumerate(pieces) if p == "<unk>"), 0)
         self.value = {i: p.encode() for p, i in self.id.items()} | {i: bytes([b]) for b, i in self.byte.items()}
-        # how long pieces can be that end with two given characters, the longest first: few ends have many lengths
+        # how long pieces can be that end with up to three given characters, the longest first: few ends have many lengths
         sizes: dict[str, set[int]] = {}
         for p in self.id:
-            if len(p) > 1:
-                sizes.setdefault(p[-2:], {1}).add(len(p))
-        self.sizes = {end: tuple(sorted(n, reverse=True)) for end, n in sizes.items()}
+            sizes.setdefault(p[-3:], set()).add(len(p))
+        self.sizes = {end: tuple(sorted(set().union(*(sizes.get(end[k:], ()) for k in range(len(end)))), reverse=True)) for end in sizes}
         self.raw = {p: array("i", [i]).tobytes() for p, i in self.id.items()}
         # white space that is no piece ends words too
         breaks = "".join(c for c in "\n\r\t" if c not in self.id)
@@ -99,7 +98,7 @@ class Encoder:
         ids: list[bytes] = [b""]
         total: list[float] = [0.0]
         before = ""
-        raw, sizes, pairs, score, alone, bpe = self.raw, self.sizes, self.pairs, self.score, (1,), self.kind == "bpe"
+        raw, sizes, pairs, score, bpe = self.raw, self.sizes, self.pairs, self.score, self.kind == "bpe"
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
@@ -113,10 +112,10 @@ class Encoder:
                         total[end:] = [total[end - 1] + UNKNOWN_SCORE]
                     continue
                 best, piece = None, ""
-                for n in sizes.get(word[end - 2 : end], alone) if end > 1 else alone:
-                    start = end - n
-                    if start < 0:
+                for n in sizes.get(word[end - 3 : end] if end > 3 else word[:end]) or sizes.get(word[end - 2 : end] if end > 2 else word[end - 1 : end]) or sizes[word[end - 1]]:
+                    if n > end:
                         continue
+                    start = end - n
                     part = word[start:end]
                     if part not in raw:
                         continue
@@ -139,14 +138,19 @@ class Encoder:
         """Of a character that is no piece: its bytes, where the model has them."""
         return array("i", [self.byte[b] for b in character.encode()] if self.byte else [self.unknown]).tobytes()
 
+    def words_of(self, text: str) -> list[str]:
+        return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, four bytes each."""
-        cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        distinct, known = set(chain.from_iterable(cut)), self.words
+        """Each text's ids, four bytes each. Texts are cut twice, so only distinct words are held meanwhile."""
+        distinct, known = set(), self.words
+        for t in texts:
+            distinct.update(self.words_of(t))
         if len(known) > WORDS_KEPT:  # words that this batch has are likely to come again
             known = self.words = {w: known[w] for w in distinct if w in known}
         known.update(self.walk(sorted(distinct - known.keys())))
-        return [b"".join([known[w] for w in ws]) for ws in cut]
+        del distinct
+        return [b"".join([known[w] for w in self.words_of(t)]) for t in texts]
 
     def decode(self, ids: Iterable[int]) -> str:
         value = self.value
