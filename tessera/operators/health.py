@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normal_id, redacted
+from tessera.operators.components import stored
 from tessera.operators.lookup import closed
 from tessera.operators.scope import PUBLIC
 from tessera.operators.stats import coverage_gaps
@@ -59,7 +60,7 @@ def healed_edges(g: Graph) -> DataFrame:
 def self_heal(g: Graph) -> tuple[Graph, DataFrame]:
     """The graph with dangling and duplicate edges removed, and (action, id): removed, deduped; flagged cycles and orphans."""
     whole = closed(g).edges
-    kept = healed_edges(g)
+    kept = stored(healed_edges(g), "healed")  # four parts of the report read it
     fixed = Graph(g.nodes, kept)
     tag = lambda df, what: df.select(F.lit(what).alias("action"), "id")
     report = (
