@@ -1,21 +1,23 @@
-"""Toxicity: nearest labelled examples by exact TF-IDF cosine on a block-max inverted index.
+"""Toxicity: nearest labelled examples by exact TF-IDF cosine over all words.
 
-Texts are vectors of marked terms: words, and the beginnings of words (toxic words come in many endings),
-kept if they tell labelled examples apart (chi squared, more often in toxic ones). Weights are
-(1 + log tf) * idf, with idf over all texts. The examples' postings are cut into blocks of examples, and
-each term keeps its largest weight in each block; blocks are visited by the bound on their best cosine that
-these give, until no block can hold a nearer example than the K found. So the K nearest are exact.
-Votes are weighted by nearness, cos ** 2 / (1.05 - cos), against PRIOR clean votes, so far neighbours alone
-never make a text toxic.
+Texts are vectors of all their words, and of those beginnings of words (toxic words come in many endings)
+that are marked. Marked terms tell labelled examples apart (chi squared, more often in toxic ones) and weigh
+MARKED times as much. Weights are (1 + log tf) * idf, with idf over all texts; a word that no example has
+cannot meet one and counts in the text's norm only, as a word of a single text. The rarer words' postings are
+summed over all examples; the COMMON commonest words are multiplied as a table, in single precision for batches
+of texts. Examples within NEAR (more than its error) of the K nearest so far are compared in full. So the K
+nearest are exact. Votes are weighted by nearness, cos ** 2 / (1.05 - cos), against PRIOR clean votes, so far
+neighbours alone never make a text toxic.
 
 The examples are a bounded sample (`examples` toxic ones and twice as many clean, by hash of the id) of the labelled rows that
-aren't held out; everything else covers all rows. Null and empty texts, and texts without a marked term,
-have score `base`. Ties in cosine go to the smaller example id. Repeated rows get one result each. Without
-labels all scores are `base`; an empty table gives an empty result; extra columns are ignored.
+aren't held out; everything else covers all rows. Null and empty texts, and texts that share no word with an example,
+have score `base`. Ties in cosine go to the smaller example id. Repeated rows get one result each. Unless
+there are toxic and clean labels all scores are `base`; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -23,14 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import held_out, stored
 
 EXAMPLES, TERMS, LEAST_EXAMPLES = 2500, 768, 5
+MARKED, COMMON, NEAR = 8.0, 512, 2e-5
 PREFIXES = (3, 4, 5, 6)
-K, BLOCK, PRIOR, BASE = 9, 64, 0.8, 0.005
+K, BATCH, PRIOR, BASE = 9, 256, 0.8, 0.005
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -53,8 +57,8 @@ def examples_of(docs: DataFrame, labels: DataFrame, label: str, examples: int) -
     return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
-def marked_terms(chosen: DataFrame, count: int = TERMS, least: int = LEAST_EXAMPLES) -> list[str]:
-    """The `count` terms that tell toxic examples best from clean ones."""
+def terms_found(chosen: DataFrame, count: int = TERMS, least: int = LEAST_EXAMPLES) -> tuple[list[str], list[str]]:
+    """All words of the examples, and the `count` terms that tell toxic examples best from clean ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -65,79 +69,147 @@ def marked_terms(chosen: DataFrame, count: int = TERMS, least: int = LEAST_EXAMP
     n = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
-        return []
+        return [], []
     found = chosen.select(F.col("y").cast("int"), "text").mapInArrow(run, "y int, term string")
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    counts = found.groupBy("term").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b")).where(a + b >= least)
+    counts = stored(found.groupBy("term").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b")), "terms")
+    words = counts.where(~F.col("term").endswith("*")).select("term").toArrow().column(0).to_pylist()
     total = float(toxic + clean)
     chi = total * F.pow(a * (clean - b) - b * (toxic - a), F.lit(2)) / (toxic * clean * (a + b) * F.greatest(total - a - b, F.lit(1.0)))
     # the most that the label alone gives a term by chance stays far below 25
-    top = counts.where(a / toxic > 10 * (b + 0.5) / clean).withColumn("chi", chi).where("chi > 25").orderBy(F.desc("chi"), "term").limit(count)
-    return [r["term"] for r in top.select("term").collect()]
+    top = counts.where(a + b >= least).where(a / toxic > 10 * (b + 0.5) / clean).withColumn("chi", chi).where("chi > 25").orderBy(F.desc("chi"), "term").limit(count)
+    return sorted(words), [r["term"] for r in top.select("term").collect()]
+
+
+class Terms:
+    """Numbers of the terms: all words of the examples, then the marked beginnings."""
+
+    def __init__(self, words: list[str], marked: list[str]):
+        begins = [t[:-1] for t in marked if t.endswith("*")]
+        self.words = {w: i for i, w in enumerate(words)}
+        self.begins = {t: len(words) + i for i, t in enumerate(begins)}
+        self.heads = {t[:3] for t in begins}
+        self.n = len(words) + len(begins)
+        self.marked = [self.begins[t[:-1]] if t.endswith("*") else self.words[t] for t in marked]
+
+    def of(self, text: str | None) -> tuple[list[int], list[int], float]:
+        """(terms, their counts, sum of squared (1 + log tf) of the words that no example has)."""
+        found: dict[int, int] = {}
+        rest = 0.0
+        for w, n in Counter(WORD.findall(text.lower())).items() if text else ():
+            i = self.words.get(w)
+            if i is None:
+                rest += (1 + math.log(n)) ** 2
+            else:
+                found[i] = n
+            if w[:3] in self.heads:
+                for k in PREFIXES:
+                    if len(w) > k and (i := self.begins.get(w[:k])) is not None:
+                        found[i] = found.get(i, 0) + n
+        return list(found), list(found.values()), rest
+
+
+def vectors(docs: DataFrame, terms: Broadcast) -> DataFrame:
+    """(doc_id, y, term array<int>, tf array<int>) of examples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = terms.value.of
+        for b in batches:
+            found = [of(text) for text in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in (0, 1))], ["doc_id", "y", "term", "tf"])
+
+    rows = docs.select("doc_id", F.col("y").cast("int").alias("y"), "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, y int, term array<int>, tf array<int>")
 
 
-def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, term array<int>, tf array<int>) of every row: its marked terms."""
-    words = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
-    begins = {t[:-1]: i for i, t in enumerate(terms) if t.endswith("*")}
-    heads = {t[:3] for t in [*words, *begins]}
+def text_counts(docs: DataFrame, terms: Broadcast) -> np.ndarray:
+    """How many texts hold each term, and last how many rows there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = terms.value
+        held = np.zeros(own.n + 1, np.int64)
         for b in batches:
-            ids, tfs = [], []
-            for text in b.column(1).to_pylist():
-                found: Counter = Counter()
-                for w in [w for w in WORD.findall(text.lower()) if w[:3] in heads] if text else []:
-                    if w in words:
-                        found[words[w]] += 1
-                    for k in PREFIXES:
-                        if len(w) > k and (i := begins.get(w[:k])) is not None:
-                            found[i] += 1
-                ids.append(sorted(found))
-                tfs.append([found[i] for i in ids[-1]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], ["doc_id", "term", "tf"])
-
-    rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, term array<int>, tf array<int>")
+            held[-1] += b.num_rows
+            for text in b.column(0).to_pylist():
+                held[own.of(text)[0]] += 1
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(held[at], pa.int64())], ["term", "n"])
+
+    found = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(terms.value.n + 1, np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out
 
 
 class Index:
-    """Examples' postings by term, in blocks of BLOCK examples, with each term's largest weight in each block."""
+    """Examples by number: postings of the rarer terms, and a table of the weights of the COMMON commonest ones.
+
+    own: terms that are never counted as common, whatever they weigh."""
 
-    def __init__(self, rows: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray):
-        rows = sorted((r for r in rows if r[2]), key=lambda r: (max(zip(r[3], r[2]))[1], r[0]))  # likes stand in one block
+    def __init__(self, rows: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, own: list[int] = (), common: int = COMMON):
+        rows = sorted((r for r in rows if len(r[2])), key=lambda r: r[0])
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.y = np.array([r[1] for r in rows], np.float64)
-        self.idf, self.blocks = idf, -(-len(rows) // BLOCK)
-        self.weights = np.zeros((len(idf), self.blocks * BLOCK))
-        for e, (_, _, term, tf) in enumerate(rows):
-            self.weights[term, e] = self.unit(term, tf)
-        self.most = self.weights.reshape(len(idf), self.blocks, BLOCK).max(2) if self.blocks else np.zeros((len(idf), 0))
-
-    def unit(self, term: list[int], tf: list[int]) -> np.ndarray:
+        self.idf, n = idf, len(rows)
+        example = np.repeat(np.arange(n), [len(r[2]) for r in rows])
+        term = np.concatenate([np.asarray(r[2], np.int64) for r in rows]) if n else np.zeros(0, np.int64)
+        weight = np.concatenate([self.unit(r[2], r[3]) for r in rows]) if n else np.zeros(0)
+        held = np.bincount(term, minlength=len(idf))
+        held[list(own)] = 0
+        often = np.argsort(-held, kind="stable")[:common]
+        self.place = np.full(len(idf), -1)
+        self.place[often[held[often] > 1]] = np.arange((held[often] > 1).sum())
+        at = self.place[term]
+        self.dense = np.zeros((n, int(self.place.max(initial=-1)) + 1))
+        self.dense[example[at >= 0], at[at >= 0]] = weight[at >= 0]
+        self.single = self.dense.T.astype(np.float32)
+        order = np.argsort(term[at < 0], kind="stable")
+        self.example, self.weight = example[at < 0][order].astype(np.int32), weight[at < 0][order]
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(term[at < 0], minlength=len(idf)))))
+
+    @property
+    def weights(self) -> np.ndarray:
+        """terms x examples, for small indexes."""
+        out = np.zeros((len(self.idf), len(self.ids)))
+        out[self.place >= 0] = self.dense.T[self.place[self.place >= 0]]
+        out[np.repeat(np.arange(len(self.idf)), np.diff(self.start)), self.example] = self.weight
+        return out
+
+    def unit(self, term: list[int], tf: list[int], rest: float = 0.0) -> np.ndarray:
         w = (1 + np.log(tf)) * self.idf[term]
-        return w / np.sqrt((w * w).sum())
-
-    def nearest(self, term: list[int], tf: list[int], k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the k nearest, leaving out the example with id `but`."""
-        q = self.unit(term, tf)
-        bound = q @ self.most[term]
-        best = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best[0]) == k and bound[b] < best[0][-1] - 1e-12:
-                break
-            cosine = q @ self.weights[term, b * BLOCK : (b + 1) * BLOCK]
-            at = np.flatnonzero(cosine > 0)
-            at = at[self.ids[at + b * BLOCK] != but] if but is not None else at
-            cosine, at = np.concatenate((best[0], cosine[at])), np.concatenate((best[1], at + b * BLOCK))
-            order = np.lexsort((self.ids[at], -cosine.round(12)))[:k]
-            best = cosine[order], at[order]
-        return best[1], best[0]
-
-    def score(self, term: list[int], tf: list[int], but: int | None = None) -> tuple[float, list[int]]:
-        if not len(term) or not self.blocks:
+        return w / np.sqrt((w * w).sum() + rest)
+
+    def parts(self, queries: list[tuple[list[int], list[int], float]]) -> np.ndarray:
+        """queries x examples: what the common terms add to the cosines, in single precision."""
+        q = np.zeros((len(queries), self.dense.shape[1]), np.float32)
+        for i, (term, tf, rest) in enumerate(queries):
+            if len(term):
+                at = self.place[term]
+                q[i, at[at >= 0]] = self.unit(term, tf, rest)[at >= 0]
+        return q @ self.single
+
+    def nearest(self, term: list[int], tf: list[int], k: int, but: int | None = None, rest: float = 0.0, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(example, cosine) of the k nearest, leaving out the example with id `but`; rest: the square of what lies outside the index."""
+        term = np.asarray(term, np.int64)
+        q = self.unit(term, tf, rest)
+        at = self.place[term]
+        common, qc, rare, qr = at[at >= 0], q[at >= 0], term[at < 0], q[at < 0]
+        first, n = self.start[rare], self.start[rare + 1] - self.start[rare]
+        flat = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        cosine = np.bincount(self.example[flat], self.weight[flat] * np.repeat(qr, n), len(self.ids))
+        near = cosine + (self.parts([(term, tf, rest)])[0] if part is None else part)
+        if but is not None:
+            near[self.ids == but] = 0
+        least = np.partition(near, -k)[-k] - NEAR if len(near) > k else 0.0
+        at = np.flatnonzero((near > 0) & (near >= least))
+        full = cosine[at] + self.dense[np.ix_(at, common)] @ qc
+        order = np.lexsort((self.ids[at], -full.round(12)))[:k]
+        return at[order], full[order]
+
+    def score(self, term: list[int], tf: list[int], but: int | None = None, rest: float = 0.0, part: np.ndarray | None = None) -> tuple[float, list[int]]:
+        if not len(term) or not len(self.ids):
             return BASE, []
-        at, cosine = self.nearest(term, tf, K, but)
+        at, cosine = self.nearest(term, tf, K, but, rest, part)
         weight = cosine**2 / (1.05 - np.minimum(cosine, 1.0))
         total = weight.sum()
         return float(BASE + (1 - BASE) * (weight @ self.y[at]) / (total + PRIOR)), self.ids[at].tolist()
@@ -146,36 +218,47 @@ class Index:
 def toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", label_key: str = "doc_id", examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids of the nearest examples) of every row of docs.
 
-    examples: most toxic rows that are learnt from, and half of the most clean ones; they and the terms bound what is broadcast."""
+    examples: most toxic rows that are learnt from, and half of the most clean ones; they bound what is broadcast. terms: most
+    terms that weigh MARKED times as much; the others count too."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     given = labels.select(F.col(label_key).alias("doc_id"), F.col(label).alias(label))
     chosen = stored(examples_of(rows, given, label, examples), "examples")
-    marked = marked_terms(chosen, terms)
-    found = stored(vectors(rows, marked), "vectors")
-    learnt = [(r["doc_id"], r["y"], r["term"], r["tf"]) for r in vectors(chosen, marked).join(chosen.select("doc_id", "y"), "doc_id").dropDuplicates(["doc_id"]).collect()]
-    counts = {r["t"]: r["n"] for r in found.select(F.explode("term").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    total = found.count()
-    idf = np.array([math.log((total + 1) / (counts.get(i, 0) + 1)) + 1e-6 for i in range(len(marked))])
-    index = docs.sparkSession.sparkContext.broadcast((learnt, idf))
+    known_terms = Terms(*terms_found(chosen, terms))
+    numbers = spark.sparkContext.broadcast(known_terms)
+    found = vectors(chosen.dropDuplicates(["doc_id"]), numbers).toArrow()
+    learnt = [(i, y, t.values.to_numpy(), n.values.to_numpy()) for i, y, t, n in zip(*(found.column(k) for k in (0, 1)), found.column(2), found.column(3), strict=True)]
+    learnt = [(i.as_py(), y.as_py(), t, n) for i, y, t, n in learnt]
+    counts = text_counts(rows, numbers)
+    total = int(counts[-1])
+    idf = np.log((total + 1) / (counts[:-1] + 1)) + 1e-6
+    idf[known_terms.marked] *= MARKED
+    lone = math.log((total + 1) / 2) ** 2
+    index = spark.sparkContext.broadcast((learnt, idf, known_terms.marked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = Index(*index.value), {}
+        own, of, known = Index(*index.value), numbers.value.of, {}
         learnt_ids = set(own.ids.tolist())
         for b in batches:
+            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             scores, evidence = [], []
-            for doc, term, tf in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                but = doc if doc in learnt_ids else None  # an example doesn't vote for itself
-                name = (tuple(term), tuple(tf), but)
-                if name not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[name] = own.score(term, tf, but)
-                s, e = known[name]
-                scores.append(s)
-                evidence.append(e)
+            for i in range(0, len(docs), BATCH):
+                if len(known) > 20_000:
+                    known.clear()
+                names, new = [], {}
+                for doc, words in zip(docs[i : i + BATCH], texts[i : i + BATCH], strict=True):
+                    but = doc if doc in learnt_ids else None  # an example doesn't vote for itself
+                    names.append((hashlib.sha256((words or "").encode("utf-8", "surrogatepass")).digest(), but))
+                    if names[-1] not in known and names[-1] not in new:
+                        term, tf, rest = of(words)
+                        new[names[-1]] = term, tf, rest * lone
+                for (name, query), part in zip(new.items(), own.parts(list(new.values())), strict=True):
+                    known[name] = own.score(query[0], query[1], name[1], query[2], part)
+                scores += [known[name][0] for name in names]
+                evidence += [known[name][1] for name in names]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
-    scored = found.mapInArrow(run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, score double, evidence array<long>")
+    scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, evidence array<long>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted(F.col("score"), 0.5), "evidence")
 
 

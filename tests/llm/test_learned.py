@@ -55,6 +55,18 @@ def test_block_bounds_lose_no_neighbour():
         assert at.tolist() == want.tolist() and np.allclose(got, cosine[want])
 
 
+def test_all_words_and_clean_examples_count(spark):
+    """No word here is marked: examples are found all the same, clean ones too."""
+    rows = [(i, f"quiet{i} river stones moss bank") for i in range(40)] + [(i, f"vile{i} curse spit hate mob") for i in range(40, 44)]
+    labels = [(i, 1, int(i >= 40), "") for i, _ in rows]
+    rows += [(100, "quiet7 river bridge"), (101, "vile42 curse"), (102, "nothing shared")]
+    got = {r.doc_id: r for r in toxicity(docs_of(spark, rows), spark.createDataFrame(labels, LABELS)).collect()}
+    learnt = {i for i, *_ in labels if not got[i].held_out}
+    assert set(got[100].evidence) <= learnt & set(range(40)) and len(got[100].evidence) == 9 and got[100].score == pytest.approx(0.005)
+    assert set(got[101].evidence) == learnt & set(range(40, 44)) and got[101].score > 0.1
+    assert got[102].evidence == [] and got[102].score == 0.005
+
+
 def test_lasso_keeps_what_matters():
     rnd = np.random.default_rng(2)
     z = (rnd.random((2000, 12)) < 0.5).astype(float)
