@@ -434,4 +434,16 @@ z AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY relation, other) AS
 SELECT n.id, replace(n.id, ':', '-') AS slug, '# ' || name || E'\n\n' || 'Type: team · Valid: always' || E'\n\n' || '## Relationships (' || (SELECT count(*) FROM z WHERE z.id = n.id) || E')\n\n' || (SELECT string_agg(line, chr(10) ORDER BY no) FROM z WHERE z.id = n.id AND no <= 200) || E'\n\n## Sources\n\n- ' || src || chr(10) AS body
 FROM nodes n WHERE type = 'team'"""))
 def entity_pages(spark, d):
-    return pages.entity_pages(sample_graph(spark, d), VIEW).where("id like 'nation:%'")
+    return pages.entity_pages(sample_graph(spark, d), VIEW, 200).where("id like 'nation:%'")
+
+
+@query("entity_pages_all", on_graph(r"""
+, x AS (SELECT from_id AS id, to_id AS other, type, true AS o, coalesce(description, reason, note) AS description, """ + _VALID + r""" AS valid FROM edges UNION ALL SELECT to_id, from_id, type, false, coalesce(description, reason, note), """ + _VALID + r""" FROM edges),
+y AS (SELECT x.id, CASE x.type WHEN 'member_of' THEN CASE WHEN o THEN 'Member of' ELSE 'Has member' END WHEN 'in_domain' THEN CASE WHEN o THEN 'In domain' ELSE 'Includes' END WHEN 'pursues' THEN CASE WHEN o THEN 'Pursues' ELSE 'Pursued by' END
+  WHEN 'depends_on' THEN CASE WHEN o THEN 'Depends on' ELSE 'Depended on by' END WHEN 'contributes_to' THEN CASE WHEN o THEN 'Contributes to' ELSE 'Has contributor' END ELSE 'Relates to' END AS relation, other, coalesce(name, title, n.id) AS label, x.description, valid FROM x JOIN nodes n ON n.id = other),
+z AS (SELECT id, relation, other, '- ' || relation || ' [[' || replace(other, ':', '-') || '|' || label || ']]' || coalesce(': ' || description, '') || CASE WHEN valid = 'always' THEN '' ELSE ' (' || valid || ')' END AS line FROM y),
+l AS (SELECT id, count(*) AS n, string_agg(line, chr(10) ORDER BY relation, other) AS lines FROM z GROUP BY id)
+SELECT nodes.id, replace(nodes.id, ':', '-') AS slug, concat_ws(E'\n\n', '# ' || coalesce(name, title, nodes.id), 'Type: ' || type || ' · Valid: ' || """ + _VALID + r""", summary, '## Relationships (' || l.n || E')\n\n' || lines, '## Sources' || E'\n\n- ' || src) || chr(10) AS body
+FROM nodes LEFT JOIN l ON l.id = nodes.id"""))
+def entity_pages_all(spark, d):
+    return pages.entity_pages(sample_graph(spark, d), VIEW)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
-from tessera.operators import evaluate, health, journal, lookup, resolve, scope, search, sessions, stats, traversal
+from tessera.operators import evaluate, health, journal, lookup, pages, resolve, scope, search, sessions, stats, traversal
 from tessera.operators.components import connected_components
 from tessera.plans.compile import compile_graph, recovered
 from tessera.plans.graph import EDGE_SCHEMA, NODE_SCHEMA, Graph
@@ -96,6 +96,12 @@ def test_random_walks(spark):
     assert ids(traversal.on_cycle(g.edges)) == sorted(n for n in names if n in reach[n])
 
 
+def test_pages_print_every_relation(spark):
+    g = graph(spark, [node("hub"), *(node(f"n{i}") for i in range(250))], [edge(f"e{i}", f"n{i}", "hub") for i in range(250)])
+    body = {r["id"]: r["body"] for r in pages.entity_pages(g, Ontology()).collect()}["hub"]
+    assert "## Relationships (250)" in body and sum(x.startswith("- ") for x in body.split("## Sources")[0].splitlines()) == 250
+
+
 def test_long_chain_and_empty_components(spark):
     chain = spark.range(0, 300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert connected_components(chain).where("root <> 0").count() == 0
