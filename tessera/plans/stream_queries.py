@@ -121,13 +121,26 @@ seen AS (SELECT 'cust:' || c_custkey AS id FROM customer JOIN nation ON c_nation
 SELECT event_id, CASE WHEN op = 'create' AND a IN (SELECT id FROM seen) THEN 'already there' WHEN op = 'update' AND a NOT IN (SELECT id FROM seen) THEN 'no such node'
   WHEN op IN ('link', 'merge') AND (a NOT IN (SELECT id FROM seen) OR b NOT IN (SELECT id FROM seen)) THEN 'end not visible' WHEN op = 'merge' AND a = b THEN 'one node' END AS error FROM p""")
 def proposal_checks(spark, d):
+    return _checked(spark, d, table(spark, d, "events").where("event_id < 2000"))
+
+
+@query("proposal_checks_all", """
+WITH p AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'link' WHEN 2 THEN 'update' ELSE 'merge' END AS op, 'cust:' || (user_id * 20) AS a, 'cust:' || (event_id % 1500) AS b FROM events),
+seen AS (SELECT 'cust:' || c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE lower(r_name) IN ('europe', 'middle east'))
+SELECT event_id, CASE WHEN op = 'create' AND a IN (SELECT id FROM seen) THEN 'already there' WHEN op = 'update' AND a NOT IN (SELECT id FROM seen) THEN 'no such node'
+  WHEN op IN ('link', 'merge') AND (a NOT IN (SELECT id FROM seen) OR b NOT IN (SELECT id FROM seen)) THEN 'end not visible' WHEN op = 'merge' AND a = b THEN 'one node' END AS error FROM p""")
+def proposal_checks_all(spark, d):
+    return _checked(spark, d, table(spark, d, "events"))
+
+
+def _checked(spark, d, events):
     from tessera.operators import propose
     from tessera.plans.queries import SCOPE, VIEW
     from tessera.sources.graph_view import sample_graph
 
     n = F.col("event_id") % 4
     a, b = F.concat(F.lit("cust:"), (F.col("user_id") * 20).cast("string")), F.concat(F.lit("cust:"), (F.col("event_id") % 1500).cast("string"))
-    p = table(spark, d, "events").where("event_id < 2000").select(
+    p = events.select(
         "event_id", F.when(n == 0, "create").when(n == 1, "link").when(n == 2, "update").otherwise("merge").alias("operation"), F.when(n.isin(0, 2), a).alias("id"),
         F.when(n == 1, "collaborates_with").otherwise("person").alias("type"), F.when(n.isin(1, 3), a).alias("from_id"), F.when(n.isin(1, 3), b).alias("to_id"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as fn
 from tessera.operators import evaluate, health, journal, lookup, pages, resolve, scope, search, sessions, stats, traversal
 from tessera.operators.components import connected_components
+from tessera.plans import stream_queries
 from tessera.plans.compile import compile_graph, recovered
 from tessera.plans.graph import EDGE_SCHEMA, NODE_SCHEMA, Graph
 from tessera.plans.ontology import Ontology
@@ -102,6 +103,12 @@ def test_pages_print_every_relation(spark):
     assert "## Relationships (250)" in body and sum(x.startswith("- ") for x in body.split("## Sources")[0].splitlines()) == 250
 
 
+def test_all_proposals_are_checked(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    shifted = events.withColumn("event_id", F.col("event_id") + 5000)
+    assert stream_queries._checked(spark, sf, shifted).count() == events.count() == stream_queries.proposal_checks_all(spark, sf).count()
+
+
 def test_long_chain_and_empty_components(spark):
     chain = spark.range(0, 300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert connected_components(chain).where("root <> 0").count() == 0
