@@ -34,10 +34,9 @@ def journal_stream(spark, d):
 NOW = 1_704_153_600.0
 
 
-def _queue(spark, d):
-    e = table(spark, d, "events")
+def _queue(e):
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return e.where("ts < timestamp_ntz'2024-01-02 00:00:00'").select(
+    return e.select(
         F.concat(F.lit("agent/"), F.col("user_id").cast("string")).alias("key"), at.alias("received_at"), F.when(F.col("event_type") == "error", "session_end").otherwise(F.col("event_type")).alias("trigger"),
         (F.col("event_id") % 12).cast("int").alias("attempts"), F.when(F.col("event_id") % 12 > 0, at + 10).alias("last_attempt_at"),
     )
@@ -49,7 +48,19 @@ l AS (SELECT key, arg_max(q, (tm, trigger)) AS e FROM q GROUP BY 1)
 SELECT key, e.trigger AS trigger, CASE WHEN e.attempts >= 10 THEN 'dropped' WHEN e.attempts > 0 AND {NOW} - (e.tm + 10) < least(300.0, 2.0 ** least(e.attempts, 8)) THEN 'retrying' WHEN e.trigger <> 'session_end' AND {NOW} - e.tm < 300 THEN 'waiting' ELSE 'due' END AS state FROM l""")
 def event_queue_state(spark, d):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return streams.queue_state(streams.coalesced(_queue(spark, d)), NOW).select("key", "trigger", "state")
+    return streams.queue_state(streams.coalesced(_queue(table(spark, d, "events").where("ts < timestamp_ntz'2024-01-02 00:00:00'"))), NOW).select("key", "trigger", "state")
+
+
+@query("event_queue_state_all", """
+WITH q AS (SELECT 'agent/' || user_id AS key, epoch_us(ts) / 1e6 AS tm, CASE WHEN event_type = 'error' THEN 'session_end' ELSE event_type END AS trigger, event_id % 12 AS attempts FROM events),
+t AS (SELECT max(tm) + 1 AS now FROM q), l AS (SELECT key, arg_max(q, (tm, trigger)) AS e FROM q GROUP BY 1)
+SELECT key, e.trigger AS trigger, CASE WHEN e.attempts >= 10 THEN 'dropped' WHEN e.attempts > 0 AND now - (e.tm + 10) < least(300.0, 2.0 ** least(e.attempts, 8)) THEN 'retrying' WHEN e.trigger <> 'session_end' AND now - e.tm < 300 THEN 'waiting' ELSE 'due' END AS state FROM l, t""")
+def event_queue_state_all(spark, d):
+    """All events, a second after the last of them."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    queue = _queue(table(spark, d, "events"))
+    last = queue.agg(F.max("received_at")).first()[0]
+    return streams.queue_state(streams.coalesced(queue), (last or 0.0) + 1).select("key", "trigger", "state")
 
 
 @query("debounced_changes", "SELECT key, tm AS \"at\" FROM (SELECT event_type AS key, epoch_us(ts) / 1e6 AS tm, lag(epoch_us(ts) / 1e6) OVER (PARTITION BY event_type ORDER BY ts) AS b FROM events) WHERE b IS NULL OR tm - b >= 30")

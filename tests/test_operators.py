@@ -109,6 +109,11 @@ def test_all_proposals_are_checked(spark, sf):
     assert stream_queries._checked(spark, sf, shifted).count() == events.count() == stream_queries.proposal_checks_all(spark, sf).count()
 
 
+def test_queue_holds_every_key(spark, sf):
+    keys = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
+    assert stream_queries.event_queue_state_all(spark, sf).count() == keys
+
+
 def test_long_chain_and_empty_components(spark):
     chain = spark.range(0, 300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert connected_components(chain).where("root <> 0").count() == 0
