@@ -88,7 +88,8 @@ def license_scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
         verified.withColumn("share", in_place / F.size("words"))
         .groupBy("doc_id", "text_hash")
         .agg(
-            F.count_if("base").alias("n_base"),
+            # rows that agree in id and text bring the same places
+            F.size(F.collect_set(F.when(F.col("base"), F.struct("template", "start")))).alias("n_base"),
             F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"),
             F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"),
             F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),

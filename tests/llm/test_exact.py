@@ -40,6 +40,12 @@ def test_sql(spark, sf, name):
     agree(spark, sf, llm.queries()[name], llm.oracle_sql()[name])
 
 
+def test_licences_of_repeated_rows(spark):
+    text = "under the mit license and the mit license"
+    got = license_scan(docs_of(spark, [(1, text), (1, text), (None, text), (None, text), (2, text)])).collect()
+    assert len(got) == 5 and [r.n_base for r in got] == [2] * 5
+
+
 # ---------------------------------------------------------------- suffix array
 
 
