@@ -100,12 +100,8 @@ def hubs(g: Graph, limit: int = 10) -> DataFrame:
     return degrees(g).join(g.nodes, "id").select("id", label.alias("label"), "degree").orderBy(F.desc("degree"), F.lower("label"), "id").limit(limit)
 
 
-def on_cycle(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(id): nodes that reach themselves along directed edges.
-
-    Nodes without a way in or without a way out cannot, and are trimmed until none is left to trim; what remains is
-    closed under reachability, by doubling, to find those that come back. A loop counts."""
-    left = stored(edges.select("from_id", "to_id").distinct(), "links")
+def _trimmed(left: DataFrame) -> DataFrame:
+    """left without the links of nodes that have no way in or no way out, until none is left to trim."""
     count = left.count()
     while count:
         kept = left.join(left.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi").join(left.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi")
@@ -115,12 +111,38 @@ def on_cycle(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         left, before, count = kept, count, now
         if now == before:
             break
-    reach = left
-    for _ in range(most_rounds):
-        step = reach.alias("x").join(reach.alias("y"), F.col("x.to_id") == F.col("y.from_id")).select(F.col("x.from_id").alias("from_id"), F.col("y.to_id").alias("to_id"))
-        new = stored(reach.union(step).distinct(), "reach")
-        n, m = reach.count(), new.count()
-        reach = new
-        if n == m:
-            break
-    return reach.where(F.col("from_id") == F.col("to_id")).select(F.col("from_id").alias("id"))
+    return left
+
+
+def on_cycle(edges: DataFrame) -> DataFrame:
+    """(id): nodes that reach themselves along directed edges, by strongly connected components. A loop counts.
+
+    Nodes without a way in or without a way out are trimmed until none is left to trim. Then every node takes the greatest
+    id that reaches it as its colour; the nodes of a colour that reach its id are one component, and leave. What remains,
+    without links between colours, is trimmed and coloured again. Tables have a row for each node or link, never for pairs;
+    rounds go with the longest path that a colour takes."""
+    left = _trimmed(stored(edges.where("from_id is not null and to_id is not null").select("from_id", "to_id").distinct(), "links"))
+    found = stored(left.where("from_id = to_id").select(F.col("from_id").alias("id")), "cyclic")
+    left = left.where("from_id <> to_id")
+    while True:
+        left = _trimmed(stored(left, "links"))
+        if left.isEmpty():
+            return found.distinct()
+        colours = stored(left.select(F.col("from_id").alias("id"), F.col("from_id").alias("c")).distinct(), "colours")
+        moved = colours
+        while not moved.isEmpty():
+            come = left.join(moved.withColumnRenamed("id", "from_id"), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.max("c").alias("new"))
+            now = stored(colours.join(come, "id", "left").select("id", F.greatest("c", "new").alias("c"), F.coalesce(F.col("new") > F.col("c"), F.lit(False)).alias("moved")), "colours")
+            drop_stored(colours)
+            colours, moved = now.select("id", "c"), now.where("moved").select("id", "c")
+        one = left.join(colours.select(F.col("id").alias("from_id"), "c"), "from_id").join(colours.select(F.col("id").alias("to_id"), F.col("c").alias("to_c")), "to_id").where("c = to_c")
+        one = stored(one.select("from_id", "to_id"), "coloured")
+        reach = stored(colours.where("id = c").select("id"), "reach")
+        new = reach
+        while not new.isEmpty():
+            new = stored(one.join(new.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(F.col("from_id").alias("id")).distinct().join(reach, "id", "left_anti"), "new")
+            reach = stored(reach.unionByName(new), "reach")
+        inside = one.join(reach.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(reach.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+        # a component of one node has no link left; loops were taken before
+        found = stored(found.unionByName(inside.select(F.col("from_id").alias("id")).distinct()), "cyclic")
+        left = one.join(reach.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(reach.withColumnRenamed("id", "to_id"), "to_id", "left_anti")

@@ -229,6 +229,12 @@ def directed_cycles(spark, d):
     return traversal.on_cycle(pick.select(F.concat(F.lit("supp:"), F.col("l_suppkey") % 40).alias("from_id"), F.concat(F.lit("supp:"), F.col("l_partkey") % 40).alias("to_id")))
 
 
+@query("directed_cycles_all", None)
+def directed_cycles_all(spark, d):
+    rows = table(spark, d, "lineitem")
+    return traversal.on_cycle(rows.select(F.concat(F.lit("supp:"), F.col("l_suppkey")).alias("from_id"), F.concat(F.lit("supp:"), F.col("l_partkey")).alias("to_id")))
+
+
 # ---------------------------------------------------------------- search
 
 

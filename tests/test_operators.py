@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as fn
 from tessera.operators import evaluate, health, journal, lookup, pages, resolve, scope, search, sessions, stats, traversal
 from tessera.operators.components import connected_components
-from tessera.plans import stream_queries
+from tessera.plans import queries, stream_queries
 from tessera.plans.compile import compile_graph, recovered
 from tessera.plans.graph import EDGE_SCHEMA, NODE_SCHEMA, Graph
 from tessera.plans.ontology import Ontology
@@ -114,6 +114,25 @@ def test_queue_holds_every_key(spark, sf):
     assert stream_queries.event_queue_state_all(spark, sf).count() == keys
 
 
+def test_cycles_of_all_lineitems(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().collect()
+    out = {}
+    for a, b in rows:
+        out.setdefault(a, set()).add(b)
+
+    def reached(a):
+        seen, todo = set(), [a]
+        while todo:
+            for b in out.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    want = sorted(f"supp:{a}" for a in out if a in reached(a))
+    assert sorted(r["id"] for r in queries.directed_cycles_all(spark, sf).collect()) == want
+
+
 def test_long_chain_and_empty_components(spark):
     chain = spark.range(0, 300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert connected_components(chain).where("root <> 0").count() == 0
