@@ -12,6 +12,9 @@ paired: two fingerprints are within two bits just if they share a value within o
 member is listed under its 33 values (the other four bytes, and those with one bit turned) and linked to
 the smallest member there. That gives the same components, at 33 rows a member, whatever the list's size.
 
+Fingerprints are made in the JVM: a text's shingles become rows, and one sum carries two bits' counts, in the
+halves of a 64-bit integer, so a text leaves its scan as 32 sums whatever its length.
+
 Null and empty texts have fingerprint zero, linked like any other. Repeated rows get one result each; a
 component whose ids are all null has a null id; an empty table gives an empty result; extra columns are
 ignored.
@@ -19,49 +22,40 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
-from tessera.operators.components import connected_components
+from tessera.llm.common import ascii_lower, stored, white_words
+from tessera.operators.components import connected_components, drop_stored
 
-SHINGLE, SEED, DISTANCE, LIST = 3, 42, 2, 32
-_STEP = 1 << 16
+SHINGLE, DISTANCE, LIST = 3, 2, 32
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Of UTF-8 text, as a signed 64-bit integer: bit i is set if it is set in over half of the shingles' hashes."""
-    words = text.lower().split()  # bytes: only A-Z, and only ASCII white space
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    n = max(1, len(words) - shingle + 1)
-    starts = np.concatenate(([0], ends[: n - 1])).tolist()
-    stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for k in range(0, n, _STEP):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[k : k + _STEP], stops[k : k + _STEP])], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
+def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
+    """XXH64 (seed 42, which is what xxhash64() has) of each run of `shingle` words; fewer words are one run, none gives null."""
+    words = white_words(ascii_lower(text))
 
+    def run(w: Column, i: Column) -> Column:
+        return F.xxhash64(F.concat_ws(" ", *[F.get(w, i + k) for k in range(shingle)]))
 
-def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row of docs."""
+    # a one-element transform names the words, so that they are cut once
+    last = lambda w: F.greatest(F.size(w) - shingle, F.lit(0))
+    return F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), last(w)), lambda i: run(w, i)))), F.lit(0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [fingerprint(x.as_py() or b"", shingle) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp) of every row of docs: bit i of the signed 64-bit fp is set if it is set in over half of the shingles' hashes."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), shingle_hashes(F.col(text), shingle).alias("hashes"))
+    halves = F.lit(1 << 32 | 1)
+    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(halves)).alias(f"s{i}") for i in range(32)]
+    counted = rows.select("row", "doc_id", F.explode_outer("hashes").alias("h")).groupBy("row", "doc_id").agg(F.count("h").alias("n"), *sums)
+    bit = lambda count, k: F.when(2 * count > F.col("n"), F.lit(_turned(1 << k))).otherwise(F.lit(0).cast("long"))
+    fp = F.lit(0).cast("long")
+    for i in range(32):
+        fp = fp.bitwiseOR(bit(F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), i)).bitwiseOR(bit(F.shiftrightunsigned(f"s{i}", 32), i + 32))
+    return counted.select("doc_id", fp.alias("fp"))
 
 
 def _turned(x: int) -> int:
@@ -87,14 +81,18 @@ def links(fps: DataFrame) -> DataFrame:
     long = long.select("fp", "combo", F.col("fp").bitwiseXOR(F.col("bit")).alias("value"))
     least = long.groupBy("combo", "value").agg(F.min("fp").alias("b"), F.count("*").alias("members")).where("members > 1")
     star = long.join(least, ["combo", "value"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return near.unionByName(star).distinct()
+    found = stored(near.unionByName(star).distinct(), "near")
+    drop_stored(posted)
+    return found
 
 
 def simhash(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable by links) of every row of docs."""
     rows = stored(fingerprints(docs, key=key, text=text, shingle=shingle), "fingerprints")
     reps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    roots = connected_components(links(reps)).withColumnRenamed("node", "fp")
+    found = links(reps)
+    roots = connected_components(found).withColumnRenamed("node", "fp")
+    drop_stored(found)
     rooted = stored(reps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(ids, "root").select("fp", "component_id")

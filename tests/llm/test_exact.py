@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import queries as llm
 from tests.llm.by_hand import components_by_hand
@@ -16,7 +17,7 @@ from tessera.llm.html_extract import main_text
 from tessera.llm.license_scan import license_scan
 from tessera.llm.quality_rules import expectation_maximisation, quality_rules
 from tessera.llm.sentencepiece import MODEL, Encoder, decode, encode, vocabulary
-from tessera.llm.simhash import LIST, fingerprint, links, simhash
+from tessera.llm.simhash import LIST, links, simhash
 from tessera.llm.suffix_dedup import smallest_holder, suffix_dedup
 from tessera.llm.url_filter import url_filter
 from tests.oracle import agree
@@ -144,7 +145,18 @@ def test_simhash_odd_rows(spark):
     assert {c for i, f, c in got if f == "0" * 16} == {1} and {c for i, _, c in got if i in (7, 8)} == {7}
     assert all(f == f"{hash_by_hand(dict(ODD)[i]):016x}" for i, f, _ in got)
     assert simhash(docs_of(spark, [])).count() == 0
-    assert fingerprint(b"A b") == fingerprint(b"a\x0bB ")
+    assert len({r.fingerprint for r in simhash(docs_of(spark, [(1, "A b"), (2, "a\x0bB ")])).collect()}) == 1
+
+
+def test_simhash_of_a_long_text_and_a_large_near_group(spark):
+    """One text of 200,000 words, and 20,000 rows of near copies, which are one component."""
+    long = " ".join(f"w{i % 9973}" for i in range(200_000))
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d e f g h i j k l m n o p " * 30), F.col("id") % 400).alias("text"))
+    got = simhash(rows.unionByName(spark.createDataFrame([(-1, long)], "doc_id long, text string")))
+    assert got.where("doc_id = -1").first().fingerprint == f"{hash_by_hand(long):016x}"
+    near = {i: hash_by_hand("a b c d e f g h i j k l m n o p " * 30 + str(i)) for i in range(400)}
+    want = components_by_hand(near)
+    assert {r.doc_id: r.component_id for r in got.where("doc_id >= 0").collect()} == {i: want[i % 400] for i in range(20_000)}
 
 
 # ---------------------------------------------------------------- decontamination, licences, rules
