@@ -3,10 +3,8 @@
 Texts are vectors of all their words, and of those beginnings of words (toxic words come in many endings)
 that are marked. Marked terms tell labelled examples apart (chi squared, more often in toxic ones) and weigh
 MARKED times as much. Weights are (1 + log tf) * idf, with idf over all texts; a word that no example has
-cannot meet one and counts in the text's norm only, as a word of a single text. The rarer words' postings are
-summed over all examples; the COMMON commonest words are multiplied as a table, in single precision for batches
-of texts. Examples within NEAR (more than its error) of the K nearest so far are compared in full. So the K
-nearest are exact. Votes are weighted by nearness, cos ** 2 / (1.05 - cos), against PRIOR clean votes, so far
+cannot meet one and counts in the text's norm only, as a word of a single text. The K nearest come from a
+block-max inverted index over all these terms (class Index) and are exact. Votes are weighted by nearness, cos ** 2 / (1.05 - cos), against PRIOR clean votes, so far
 neighbours alone never make a text toxic.
 
 The examples are a bounded sample (`examples` toxic ones and twice as many clean, by hash of the id) of the labelled rows that
@@ -31,8 +29,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import held_out, stored
 
-EXAMPLES, TERMS, LEAST_EXAMPLES = 2500, 768, 5
-MARKED, COMMON, NEAR = 8.0, 512, 2e-5
+EXAMPLES, LEAST_EXAMPLES, LIFT, CHI = 2500, 5, 5.0, 12.0
+MARKED, NEAR = 8.0, 2e-5
+LONG, BLOCK, SEED = 512, 16, 8
 PREFIXES = (3, 4, 5, 6)
 K, BATCH, PRIOR, BASE = 9, 256, 0.8, 0.005
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -57,8 +56,8 @@ def examples_of(docs: DataFrame, labels: DataFrame, label: str, examples: int) -
     return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
-def terms_found(chosen: DataFrame, count: int = TERMS, least: int = LEAST_EXAMPLES) -> tuple[list[str], list[str]]:
-    """All words of the examples, and the `count` terms that tell toxic examples best from clean ones."""
+def terms_found(chosen: DataFrame, least: int = LEAST_EXAMPLES, lift: float = LIFT, chi_least: float = CHI) -> tuple[list[str], list[str]]:
+    """All words of the examples, and the terms that tell toxic examples from clean ones, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,9 +75,9 @@ def terms_found(chosen: DataFrame, count: int = TERMS, least: int = LEAST_EXAMPL
     words = counts.where(~F.col("term").endswith("*")).select("term").toArrow().column(0).to_pylist()
     total = float(toxic + clean)
     chi = total * F.pow(a * (clean - b) - b * (toxic - a), F.lit(2)) / (toxic * clean * (a + b) * F.greatest(total - a - b, F.lit(1.0)))
-    # the most that the label alone gives a term by chance stays far below 25
-    top = counts.where(a + b >= least).where(a / toxic > 10 * (b + 0.5) / clean).withColumn("chi", chi).where("chi > 25").orderBy(F.desc("chi"), "term").limit(count)
-    return sorted(words), [r["term"] for r in top.select("term").collect()]
+    # chance alone hardly gives a term CHI; the examples' number bounds what is found
+    top = counts.where(a + b >= least).where(a / toxic > lift * (b + 0.5) / clean).where(chi > chi_least)
+    return sorted(words), sorted(r["term"] for r in top.select("term").collect())
 
 
 class Terms:
@@ -92,6 +91,13 @@ class Terms:
         self.n = len(words) + len(begins)
         self.marked = [self.begins[t[:-1]] if t.endswith("*") else self.words[t] for t in marked]
 
+    def held(self, text: str | None) -> list[int]:
+        """The terms alone."""
+        words = set(WORD.findall(text.lower())) if text else ()
+        found = [self.words[w] for w in words if w in self.words]
+        begins = {w[:k] for w in words if w[:3] in self.heads for k in PREFIXES if len(w) > k}
+        return found + [self.begins[w] for w in begins if w in self.begins]
+
     def of(self, text: str | None) -> tuple[list[int], list[int], float]:
         """(terms, their counts, sum of squared (1 + log tf) of the words that no example has)."""
         found: dict[int, int] = {}
@@ -142,89 +148,119 @@ def text_counts(docs: DataFrame, terms: Broadcast) -> np.ndarray:
 
 
 class Index:
-    """Examples by number: postings of the rarer terms, and a table of the weights of the COMMON commonest ones.
-
-    own: terms that are never counted as common, whatever they weigh."""
-
-    def __init__(self, rows: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, own: list[int] = (), common: int = COMMON):
-        rows = sorted((r for r in rows if len(r[2])), key=lambda r: r[0])
-        self.ids = np.array([r[0] for r in rows], np.int64)
-        self.y = np.array([r[1] for r in rows], np.float64)
-        self.idf, n = idf, len(rows)
-        example = np.repeat(np.arange(n), [len(r[2]) for r in rows])
-        term = np.concatenate([np.asarray(r[2], np.int64) for r in rows]) if n else np.zeros(0, np.int64)
-        weight = np.concatenate([self.unit(r[2], r[3]) for r in rows]) if n else np.zeros(0)
-        held = np.bincount(term, minlength=len(idf))
-        held[list(own)] = 0
-        often = np.argsort(-held, kind="stable")[:common]
+    """Examples as a block-max inverted index.
+
+    Examples are numbered so that alike ones (label, heaviest common term) stand together, BLOCK to a block. The LONG longest
+    posting lists are kept by block, each block with its greatest weight; shorter lists are read whole, for their blocks would
+    hold a posting or two. A query's bound for a block is what the greatest weights of its long lists and its short lists can
+    give there. The SEED blocks of the highest bounds are scored first; of the rest only those whose bound reaches the k-th
+    best cosine so far, so no neighbour is lost. Blocks are scored in single precision, and all within NEAR (more than its
+    error) of the k-th best again in double."""
+
+    def __init__(self, rows: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, block: int = BLOCK, long: int = LONG):
+        self.idf, self.block = idf, block
+        rows = [r for r in rows if len(r[2])]
+        units = [self.unit(np.asarray(r[2], np.int64), np.asarray(r[3])) for r in rows]
+        held = np.bincount(np.concatenate([r[2] for r in rows]).astype(np.int64), minlength=len(idf)) if rows else np.zeros(len(idf), np.int64)
+        heads = [int(r[2][np.argmax(np.where(held[r[2]] >= block, u, 0.0))]) for r, u in zip(rows, units, strict=True)]
+        order = sorted(range(len(rows)), key=lambda i: (rows[i][1], heads[i], rows[i][0]))
+        self.ids = np.array([rows[i][0] for i in order], np.int64)
+        self.y = np.array([rows[i][1] for i in order], np.float64)
+        self.number = {x: i for i, x in enumerate(self.ids.tolist())}
+        self.blocks = -(-len(order) // block)
+        example = np.repeat(np.arange(len(order)), [len(units[i]) for i in order])
+        term = np.concatenate([np.asarray(rows[i][2], np.int64) for i in order]) if order else np.zeros(0, np.int64)
+        weight = np.concatenate([units[i] for i in order]) if order else np.zeros(0)
+        often = np.argsort(-held, kind="stable")[:long]
+        often = often[held[often] > max(1, self.blocks // 4)]
         self.place = np.full(len(idf), -1)
-        self.place[often[held[often] > 1]] = np.arange((held[often] > 1).sum())
+        self.place[often] = np.arange(len(often))
         at = self.place[term]
-        self.dense = np.zeros((n, int(self.place.max(initial=-1)) + 1))
-        self.dense[example[at >= 0], at[at >= 0]] = weight[at >= 0]
-        self.single = self.dense.T.astype(np.float32)
-        order = np.argsort(term[at < 0], kind="stable")
-        self.example, self.weight = example[at < 0][order].astype(np.int32), weight[at < 0][order]
+        self.full = np.zeros((len(often), self.blocks, block))
+        self.full[at[at >= 0], example[at >= 0] // block, example[at >= 0] % block] = weight[at >= 0]
+        self.tiles = self.full.astype(np.float32)
+        self.most = self.tiles.max(2) if order else np.zeros((len(often), 0), np.float32)
+        by_term = np.argsort(term[at < 0], kind="stable")
+        self.example, self.weight = example[at < 0][by_term].astype(np.int32), weight[at < 0][by_term]
         self.start = np.concatenate(([0], np.cumsum(np.bincount(term[at < 0], minlength=len(idf)))))
 
     @property
     def weights(self) -> np.ndarray:
         """terms x examples, for small indexes."""
         out = np.zeros((len(self.idf), len(self.ids)))
-        out[self.place >= 0] = self.dense.T[self.place[self.place >= 0]]
+        out[self.place >= 0] = self.full.reshape(len(self.full), -1)[self.place[self.place >= 0], : len(self.ids)]
         out[np.repeat(np.arange(len(self.idf)), np.diff(self.start)), self.example] = self.weight
         return out
 
-    def unit(self, term: list[int], tf: list[int], rest: float = 0.0) -> np.ndarray:
+    def unit(self, term: np.ndarray, tf: np.ndarray, rest: float = 0.0) -> np.ndarray:
         w = (1 + np.log(tf)) * self.idf[term]
         return w / np.sqrt((w * w).sum() + rest)
 
-    def parts(self, queries: list[tuple[list[int], list[int], float]]) -> np.ndarray:
-        """queries x examples: what the common terms add to the cosines, in single precision."""
-        q = np.zeros((len(queries), self.dense.shape[1]), np.float32)
+    def bounds(self, queries: list[tuple[list[int], list[int], float]]) -> np.ndarray:
+        """queries x blocks: what the long lists can give in each block at most."""
+        q = np.zeros((len(queries), len(self.most)), np.float32)
         for i, (term, tf, rest) in enumerate(queries):
             if len(term):
                 at = self.place[term]
-                q[i, at[at >= 0]] = self.unit(term, tf, rest)[at >= 0]
-        return q @ self.single
-
-    def nearest(self, term: list[int], tf: list[int], k: int, but: int | None = None, rest: float = 0.0, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the k nearest, leaving out the example with id `but`; rest: the square of what lies outside the index."""
+                q[i, at[at >= 0]] = self.unit(np.asarray(term), np.asarray(tf), rest)[at >= 0]
+        return q @ self.most
+
+    def nearest(self, term: list[int], tf: list[int], k: int, but: int | None = None, rest: float = 0.0, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(example, cosine) of the k nearest, leaving out the example with id `but`; rest: the square of what lies outside the
+        index; bound: its row of bounds()."""
+        if not len(term) or not self.blocks:
+            return np.zeros(0, np.int64), np.zeros(0)
+        if bound is None:
+            bound = self.bounds([(term, tf, rest)])[0]
         term = np.asarray(term, np.int64)
-        q = self.unit(term, tf, rest)
-        at = self.place[term]
-        common, qc, rare, qr = at[at >= 0], q[at >= 0], term[at < 0], q[at < 0]
-        first, n = self.start[rare], self.start[rare + 1] - self.start[rare]
+        q, at = self.unit(term, np.asarray(tf), rest), self.place[term]
+        long, q_long, short, q_short = at[at >= 0], q[at >= 0], term[at < 0], q[at < 0]
+        first, n = self.start[short], self.start[short + 1] - self.start[short]
         flat = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
-        cosine = np.bincount(self.example[flat], self.weight[flat] * np.repeat(qr, n), len(self.ids))
-        near = cosine + (self.parts([(term, tf, rest)])[0] if part is None else part)
-        if but is not None:
-            near[self.ids == but] = 0
-        least = np.partition(near, -k)[-k] - NEAR if len(near) > k else 0.0
-        at = np.flatnonzero((near > 0) & (near >= least))
-        full = cosine[at] + self.dense[np.ix_(at, common)] @ qc
-        order = np.lexsort((self.ids[at], -full.round(12)))[:k]
-        return at[order], full[order]
-
-    def score(self, term: list[int], tf: list[int], but: int | None = None, rest: float = 0.0, part: np.ndarray | None = None) -> tuple[float, list[int]]:
-        if not len(term) or not len(self.ids):
+        part = np.bincount(self.example[flat], self.weight[flat] * np.repeat(q_short, n), self.blocks * self.block).astype(np.float64, copy=False)
+        if but in self.number:
+            part[self.number[but]] = -np.inf
+        part = part.reshape(self.blocks, self.block)
+        bound = bound + part.max(1)
+        single = q_long.astype(np.float32)
+
+        def scored(blocks: np.ndarray) -> np.ndarray:
+            return part[blocks] + (single @ self.tiles[long[:, None], blocks].reshape(len(long), len(blocks) * self.block)).reshape(-1, self.block)
+
+        def least(cosines: np.ndarray) -> float:
+            return max(0.0, np.partition(cosines, -k)[-k] - NEAR) if len(cosines) > k else 0.0
+
+        seeds = np.argpartition(bound, -SEED)[-SEED:] if len(bound) > SEED else np.arange(len(bound))
+        cosine = scored(seeds).ravel()
+        reach = bound >= least(cosine)
+        reach[seeds] = False
+        more = np.flatnonzero(reach)
+        found = np.concatenate([seeds, more])
+        cosine = np.concatenate([cosine, scored(more).ravel()]) if len(more) else cosine
+        number = (found[:, None] * self.block + np.arange(self.block)).ravel()
+        close = (cosine > 0) & (cosine >= least(cosine))
+        number = number[close]
+        full = part.ravel()[number] + q_long @ self.full[long[:, None], number // self.block, number % self.block]
+        order = np.lexsort((self.ids[number], -full.round(12)))[:k]
+        return number[order], full[order]
+
+    def score(self, term: list[int], tf: list[int], but: int | None = None, rest: float = 0.0, bound: np.ndarray | None = None) -> tuple[float, list[int]]:
+        at, cosine = self.nearest(term, tf, K, but, rest, bound)
+        if not len(at):
             return BASE, []
-        at, cosine = self.nearest(term, tf, K, but, rest, part)
         weight = cosine**2 / (1.05 - np.minimum(cosine, 1.0))
-        total = weight.sum()
-        return float(BASE + (1 - BASE) * (weight @ self.y[at]) / (total + PRIOR)), self.ids[at].tolist()
+        return float(BASE + (1 - BASE) * (weight @ self.y[at]) / (weight.sum() + PRIOR)), self.ids[at].tolist()
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", label_key: str = "doc_id", examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", label_key: str = "doc_id", examples: int = EXAMPLES) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids of the nearest examples) of every row of docs.
 
-    examples: most toxic rows that are learnt from, and half of the most clean ones; they bound what is broadcast. terms: most
-    terms that weigh MARKED times as much; the others count too."""
+    examples: most toxic rows that are learnt from, and half of the most clean ones; they bound what is broadcast."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     given = labels.select(F.col(label_key).alias("doc_id"), F.col(label).alias(label))
     chosen = stored(examples_of(rows, given, label, examples), "examples")
-    known_terms = Terms(*terms_found(chosen, terms))
+    known_terms = Terms(*terms_found(chosen))
     numbers = spark.sparkContext.broadcast(known_terms)
     found = vectors(chosen.dropDuplicates(["doc_id"]), numbers).toArrow()
     learnt = [(i, y, t.values.to_numpy(), n.values.to_numpy()) for i, y, t, n in zip(*(found.column(k) for k in (0, 1)), found.column(2), found.column(3), strict=True)]
@@ -234,7 +270,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
     idf = np.log((total + 1) / (counts[:-1] + 1)) + 1e-6
     idf[known_terms.marked] *= MARKED
     lone = math.log((total + 1) / 2) ** 2
-    index = spark.sparkContext.broadcast((learnt, idf, known_terms.marked))
+    index = spark.sparkContext.broadcast((learnt, idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, of, known = Index(*index.value), numbers.value.of, {}
@@ -252,8 +288,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
                     if names[-1] not in known and names[-1] not in new:
                         term, tf, rest = of(words)
                         new[names[-1]] = term, tf, rest * lone
-                for (name, query), part in zip(new.items(), own.parts(list(new.values())), strict=True):
-                    known[name] = own.score(query[0], query[1], name[1], query[2], part)
+                for (name, query), bound in zip(new.items(), own.bounds(list(new.values())), strict=True):
+                    known[name] = own.score(query[0], query[1], name[1], query[2], bound)
                 scores += [known[name][0] for name in names]
                 evidence += [known[name][1] for name in names]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])

@@ -1,11 +1,14 @@
 """Learnt scores on rows that were held out, and their odd cases."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 
 from tessera.llm import queries as llm
 from tessera.llm.quality_classifier import STATISTICS, Ensemble, Condition, accepted, fit, lasso, quality_classifier
-from tessera.llm.toxicity import Index, toxicity
+from tessera.llm.toxicity import EXAMPLES, MARKED, Index, examples_of, terms_found, terms_of, toxicity
 from tests.llm.test_exact import ODD, docs_of
 
 
@@ -43,7 +46,8 @@ def test_block_bounds_lose_no_neighbour():
     rnd = np.random.default_rng(1)
     rows = [(i, int(i % 3 == 0), sorted(rnd.choice(40, rnd.integers(1, 6), replace=False).tolist()), None) for i in range(500)]
     rows = [(i, y, t, rnd.integers(1, 5, len(t)).tolist()) for i, y, t, _ in rows]
-    index = Index(rows, rnd.random(40) + 0.5)
+    index = Index(rows, rnd.random(40) + 0.5, block=8, long=20)
+    assert 0 < len(index.most) < 40 and index.blocks == 63
     full = index.weights[:, : len(index.ids)]
     for _ in range(50):
         term = sorted(rnd.choice(40, 4, replace=False).tolist())
@@ -55,6 +59,35 @@ def test_block_bounds_lose_no_neighbour():
         assert at.tolist() == want.tolist() and np.allclose(got, cosine[want])
 
 
+def test_the_whole_query_against_plain_cosines(spark, sf):
+    """Every text's score and evidence from all cosines, computed one by one from the definition."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    chosen = examples_of(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), "toxic", EXAMPLES)
+    words, marked = terms_found(chosen)
+    learnt = {r.doc_id: (r.text, r.y) for r in chosen.collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    begins = {t for t in marked if t.endswith("*")}
+    counts = {i: {t: n for t, n in terms_of(x).items() if not t.endswith("*") or t in begins} for i, x in texts.items()}
+    known, held = set(words) | begins, Counter(t for c in counts.values() for t in c)
+    idf = lambda t: (math.log((len(texts) + 1) / (held[t] + 1)) + 1e-6) * (MARKED if t in marked else 1.0) if t in known else math.log((len(texts) + 1) / 2)
+
+    def vector(c):
+        w = {t: (1 + math.log(n)) * idf(t) for t, n in c.items()}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / size for t, x in w.items()}
+
+    vectors = {i: vector(c) for i, c in counts.items()}
+    got = {r.doc_id: r for r in llm.queries()["op4_toxicity"](spark, sf).collect()}
+    assert marked and set(got) == set(texts)
+    for i, v in vectors.items():
+        cosines = [(round(sum(x * vectors[j].get(t, 0.0) for t, x in v.items()), 12), j) for j in learnt if j != i]
+        near = sorted((-c, j) for c, j in cosines if c > 0)[:9]
+        weight = [c * c / (1.05 - min(-c, 1.0)) for c, _ in near]
+        want = 0.005 + 0.995 * sum(w * learnt[j][1] for w, (_, j) in zip(weight, near, strict=True)) / (sum(weight) + 0.8)
+        assert got[i].score == pytest.approx(want, abs=1e-6), i
+        assert [round(c, 6) for c, _ in near] == pytest.approx([round(-dict((j, c) for c, j in cosines)[j], 6) for j in got[i].evidence], abs=2e-6), i
+
+
 def test_all_words_and_clean_examples_count(spark):
     """No word here is marked: examples are found all the same, clean ones too."""
     rows = [(i, f"quiet{i} river stones moss bank") for i in range(40)] + [(i, f"vile{i} curse spit hate mob") for i in range(40, 44)]
