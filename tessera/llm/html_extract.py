@@ -3,12 +3,17 @@
 Every run of text hangs on its root-to-leaf tag path (each tag with its class and id). Over a page, the
 length of text, its punctuation and its linked share are summed by path and turned into ratios per node;
 the ratios of text and of punctuation are fused, smoothed with those of the other paths in the same
-container (weighted by text), and paths under a share of the page's best are dropped. Paths through
-elements that never hold an article (menus, headers, footers, forms, scripts, ...) are dropped before.
+container (weighted by text), and paths under a share of the page's best are dropped.
+
+Before that, elements that never hold an article go (scripts, menus, hidden ones), and elements that their
+tag or class marks as something else (headers, footers, forms, adverts, comments, ...), unless the article or
+most of the page's text is inside them. Words of a class that also name parts of articles ("related-work")
+lower a path's score within an article, and no more. An article's header keeps its headings.
 
 Null, empty and text-free pages give empty text and zero characters. Unclosed elements, a tag cut off by
-the end of the page and stray < are read as browsers read them. Repeated rows get one result each; ties
-keep all paths; an empty table gives an empty result; extra columns are ignored.
+the end of the page and stray < are read as browsers read them. Memory is linear in the page, however deep
+its elements are. Repeated rows get one result each; ties keep all paths; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,63 +36,132 @@ BLOCK = frozenset(
     "header footer nav aside form fieldset address details summary hr center hgroup dialog menu search".split()
 )
 CONTAINER = frozenset("html body main article section div td aside blockquote".split())
-NEVER = frozenset("head nav header footer aside form menu dialog search button select option label legend fieldset template svg canvas object audio video".split()) | RAW
-#: Words of a class or id, whole, that mark what isn't the article.
-BOILERPLATE = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|sponsors?|sponsored|promos?|banners?|cookies?|consent|notices?|alerts?|popups?|modals?|overlay|newsletters?|subscribe|signup|login|"
-    r"sidebars?|side|widgets?|menus?|nav|navs|navbar|navigation|breadcrumbs?|footers?|headers?|masthead|toolbar|share|sharing|social|related|recommended|tags|meta|byline|"
-    r"comments?|replies|reply|respond|disqus|discussion|copyright|legal|skip|pagination|pager|toc|topbar|notifications?|gdpr|disclaimer|feedback|survey|search|complementary|contentinfo)(?:$|[^a-z])"
+NEVER = frozenset("head nav menu dialog search button select option label legend fieldset template svg canvas object audio video".split()) | RAW
+ASIDE = frozenset("header footer aside form".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Words of a class, id or role that mark what isn't the article, wherever they stand in it.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos cookie cookies consent gdpr popup popups modal modals newsletter newsletters "
+    "subscribe signup login sidebar sidebars widget widgets navbar breadcrumb breadcrumbs footer footers masthead topbar toolbar sharing social disqus pagination pager complementary contentinfo".split()
+)
+#: The same, for what readers write.
+COMMENTS = frozenset("comment comments commentlist reply replies respond".split())
+#: Words that mark it only where all of the name is such words or PLAIN ones.
+AMBIGUOUS = frozenset(
+    "side menu menus nav navs navigation header headers banner banners notice notices alert alerts notification notifications share related recommended tags meta byline discussion copyright "
+    "legal skip toc disclaimer feedback survey search overlay".split()
+)
+#: Words that say where something is or what it is made of.
+PLAIN = frozenset(
+    "site page global main primary secondary top bottom left right inner outer upper lower mobile desktop sticky fixed user reader post posts article articles story stories item items entry "
+    "wrap wrapper container box block section area panel module bar row col column content body text title list link links button buttons icon icons form group widget region role".split()
 )
+#: Words before a strong one that speak of a layout.
+FLAGS = frozenset("has no with without is not hide show".split())
 #: A start tag of these ends an open element of those (up to the nearest container).
 _P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul center dialog hgroup search".split())
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 _STOP = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "option": {"select"}}
+_P_STOP = CONTAINER | {"li", "table"}
 _TAG = re.compile(r"""<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z))""", re.S)
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?。，、！？]")
 #: Attributes of what a browser doesn't show.
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-KEEP_SHARE, SMOOTH = 0.35, 0.6
+KEEP_SHARE, SMOOTH, WEAK, MOST = 0.35, 0.6, 0.6, 0.6
+
+
+@lru_cache(10_000)
+def marked(marks: str) -> str:
+    """What classes, ids and roles say of an element: comments, other, maybe, or nothing."""
+    found = ""
+    for name in marks.split():
+        words = re.findall("[a-z]+", name)
+        if not words or words[0] in FLAGS:
+            continue
+        if COMMENTS.intersection(words):
+            return "comments"
+        if STRONG.intersection(words):
+            found = "other"
+        elif not found and AMBIGUOUS.intersection(words) and all(w in AMBIGUOUS or w in PLAIN or len(w) < 3 for w in words):
+            found = "maybe"
+    return found
 
 
 class _Node:
-    __slots__ = ("tag", "path", "never", "container", "link", "whole")
-
-    def __init__(self, tag: str, marks: str, up: _Node | None, hidden: bool = False):
-        self.tag = tag
-        self.path = f"{up.path if up else ''}/{tag}{'.' + marks if marks else ''}"
-        self.never = bool(up and up.never) or hidden or tag in NEVER or bool(marks and BOILERPLATE.search(marks) and tag not in ("html", "body", "article", "main"))
-        if tag == "article" and marks and re.search(r"(?:^|[^a-z])(?:comments?|reply|replies)(?:$|[^a-z])", marks):
-            self.never = True
+    """An element. Its tag path is a number, for paths share their beginnings."""
+
+    __slots__ = ("tag", "up", "path", "container", "whole", "link", "says", "never", "weak", "muted", "chars", "article")
+
+    def __init__(self, tag: str, marks: str, up: _Node | None, paths: dict, hidden: bool = False):
+        self.tag, self.up = tag, up
+        self.path = paths.setdefault((up.path if up else -1, tag, marks), len(paths))
+        self.says = "" if tag in ("html", "body") else marked(marks) if marks else ""
         # an article is one container with all that is in it, and so is a main element but for its articles
-        self.whole = tag if tag in ("article", "main") and not (up and up.whole == "article") else up.whole if up else ""
-        apart = tag in CONTAINER and (not self.whole or not up or up.whole != self.whole)
-        self.container = self.path if apart or up is None else up.container
+        inside = up.whole if up else ""
+        self.whole = tag if tag in ("article", "main") and inside != "article" else inside
+        self.container = self.path if up is None or tag in CONTAINER and (not self.whole or inside != self.whole) else up.container
         self.link = tag == "a" or bool(up and up.link)
+        self.weak = bool(up and up.weak)
+        self.never = bool(up and up.never) or hidden or tag in NEVER
+        # of an article's header only headings count
+        self.muted = tag not in HEADING and (bool(up and up.muted) or tag == "header" and inside != "")
+        if tag in ("article", "main") and self.says != "comments":
+            self.says = ""
+        elif self.says == "maybe" and inside == "article" or tag == "header" and inside:
+            self.weak, self.says = self.weak or self.says == "maybe", ""
+        elif tag in ASIDE:
+            self.says = self.says or "other"
+        self.chars, self.article = 0, tag in ("article", "main") and not self.says and not self.never
+
+
+class _Open:
+    """The stack of open elements, with the places of each tag, so that no search walks the stack."""
+
+    def __init__(self, root: _Node):
+        self.stack, self.places = [root], {}
 
+    def push(self, node: _Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
 
-def runs(page: str) -> list[list[tuple[_Node, str]]]:
-    """The page's blocks in order, each as its runs of text with the element that holds them."""
+    def last(self, tags) -> int:
+        """The place of the innermost open element with one of the tags, else 0."""
+        if len(tags) > len(self.places):
+            return max((p[-1] for t, p in self.places.items() if p and t in tags), default=0)
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+
+    def end(self, tags, stop) -> bool:
+        """Closes the innermost of the tags unless one of stop is open inside it."""
+        place = self.last(tags)
+        if place and place >= self.last(stop):
+            self.cut(place)
+            return True
+        return False
+
+
+def runs(page: str) -> tuple[list[list[tuple[_Node, str]]], list[_Node]]:
+    """The page's blocks in order, each as its runs of text with the element that holds them; and all elements."""
     blocks: list[list[tuple[_Node, str]]] = [[]]
-    stack = [_Node("html", "", None)]
+    paths: dict = {}
+    nodes = [_Node("html", "", None, paths)]
+    tree = _Open(nodes[0])
     at, n = 0, len(page)
 
     def text(s: str) -> None:
-        if s and not stack[-1].never:
-            blocks[-1].append((stack[-1], html.unescape(s)))
+        if s and not tree.stack[-1].never:
+            s = html.unescape(s)
+            blocks[-1].append((tree.stack[-1], s))
+            tree.stack[-1].chars += len(s) - s.count(" ") - s.count("\n")
 
     def cut() -> None:
         if blocks[-1]:
             blocks.append([])
 
-    def end(tags, stop) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in stop:
-                return
-
     while at < n:
         i = page.find("<", at)
         if i < 0:
@@ -101,14 +176,11 @@ def runs(page: str) -> list[list[tuple[_Node, str]]]:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            if tag in BLOCK or tag == "br":
-                cut() if tag != "br" else text(" ")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in CONTAINER and tag not in BLOCK:
-                    break
+            if tag == "br":
+                text(" ")
+            elif tag in BLOCK:
+                cut()
+            tree.end((tag,), () if tag in BLOCK else CONTAINER)
         elif m[2]:
             tag = m[2].lower()
             if tag == "br":
@@ -116,15 +188,15 @@ def runs(page: str) -> list[list[tuple[_Node, str]]]:
                 continue
             if tag in BLOCK:
                 cut()
-            if tag in ("html", "body") and len(stack) == 1 and tag == "html":
+            if tag == "html" and len(tree.stack) == 1:
                 continue
             if tag in _P_ENDS:
-                end({"p"}, CONTAINER | {"li", "table"})
+                tree.end(("p",), _P_STOP)
             if tag == "body":
-                end({"head"}, set())
+                tree.end(("head",), ())
             if tag in _ENDS:
                 for _ in range(3):
-                    end(_ENDS[tag], _STOP[tag])
+                    tree.end(_ENDS[tag], _STOP[tag])
             marks = " ".join(x.strip("\"'") for x in _MARKS.findall(m[3])).lower() if m[3] else ""
             if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
                 continue
@@ -132,34 +204,54 @@ def runs(page: str) -> list[list[tuple[_Node, str]]]:
                 j = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
                 at = n if j is None else max(page.find(">", j.start()) + 1, j.end())
                 continue
-            stack.append(_Node(tag, marks, stack[-1], bool(m[3]) and bool(HIDDEN.search(m[3]))))
-    return [b for b in blocks if b]
+            nodes.append(_Node(tag, marks, tree.stack[-1], paths, bool(m[3]) and bool(HIDDEN.search(m[3]))))
+            tree.push(nodes[-1])
+    return [b for b in blocks if b], nodes
+
+
+def judge(nodes: list[_Node]) -> None:
+    """Settles which elements never count: what says that it is something else, unless it holds an article, or, on a page
+    without articles, is a form or a class with most of the page's text, comments apart."""
+    for node in reversed(nodes):
+        if node.up:
+            node.up.chars += node.chars
+            node.up.article |= node.article
+    most = MOST * nodes[0].chars
+    for node in nodes[1:]:
+        spared = node.article or not nodes[0].article and node.says != "comments" and node.tag not in ("header", "footer", "aside") and node.chars > most
+        other = node.says and not spared
+        node.never = node.never or bool(other) or node.up.never
 
 
 def main_text(page: str) -> str:
     """The article's blocks, each with its white space as single spaces, joined by two line ends."""
-    found = [(b, " ".join("".join(t for _, t in b).split())) for b in runs(page)]
+    blocks, nodes = runs(page)
+    judge(nodes)
+    kept = [[(node, t) for node, t in b if not node.never and not node.muted] for b in blocks]
+    found = [(b, " ".join("".join(t for _, t in b).split())) for b in kept]
     found = [(b, t) for b, t in found if t]
     if not found:
         return ""
-    size: dict[str, list[float]] = {}
-    container: dict[str, str] = {}
+    size: dict[int, list[float]] = {}
+    holder: dict[int, _Node] = {}
     for b, t in found:
         x = size.setdefault(b[0][0].path, [0, 0, 0, 0])
-        container[b[0][0].path] = b[0][0].container
+        holder[b[0][0].path] = b[0][0]
         x[0] += len(t)
         x[1] += len(PUNCTUATION.findall(t))
         x[2] += sum(len(s) for node, s in b if node.link)
         x[3] += 1
-    fused = {p: math.log1p(chars / nodes) * (1 + math.log1p(marks / nodes)) * max(0.0, 1 - linked / chars) for p, (chars, marks, linked, nodes) in size.items()}
-    whole: dict[str, list[float]] = {}
+    fused = {p: math.log1p(chars / count) * (1 + math.log1p(points / count)) * max(0.0, 1 - linked / chars) for p, (chars, points, linked, count) in size.items()}
+    whole: dict[int, list[float]] = {}
     for p, (chars, *_) in size.items():
-        x = whole.setdefault(container[p], [0.0, 0.0])
+        x = whole.setdefault(holder[p].container, [0.0, 0.0])
         x[0] += chars * fused[p]
         x[1] += chars
-    smooth = {p: (1 - SMOOTH) * f + SMOOTH * whole[container[p]][0] / whole[container[p]][1] for p, f in fused.items()}
-    # containers count by the logarithm of their text too: one long article outweighs a long line elsewhere
-    smooth = {p: s * math.log1p(whole[container[p]][1]) for p, s in smooth.items()}
+    smooth = {}
+    for p, f in fused.items():
+        total, chars = whole[holder[p].container]
+        # containers count by the logarithm of their text too: one long article outweighs a long line elsewhere
+        smooth[p] = ((1 - SMOOTH) * f + SMOOTH * total / chars) * math.log1p(chars) * (WEAK if holder[p].weak else 1.0)
     least = KEEP_SHARE * max(smooth.values())
     return "\n\n".join(t for b, t in found if smooth[b[0][0].path] >= least)
 

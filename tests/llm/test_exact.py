@@ -1,6 +1,7 @@
 """Operators with an exact answer: against SQL, brute force, and libraries."""
 
 import hashlib
+import html as html_lib
 import random
 import re
 from collections import Counter
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.llm import queries as llm
 from tests.llm.by_hand import components_by_hand
 from tessera.llm.decontaminate import decontaminate
-from tessera.llm.html_extract import main_text
+from tessera.llm.html_extract import html_extract, main_text
 from tessera.llm.license_scan import license_scan
 from tessera.llm.quality_rules import expectation_maximisation, quality_rules
 from tessera.llm.sentencepiece import MODEL, Encoder, decode, encode, vocabulary
@@ -276,3 +277,55 @@ def test_html_keeps_all_of_an_article():
         "<div class='user-comments'><p>First, I say. No.</p></div></main></body>"
     )
     assert main_text(page) == "T\n\nBody, with marks. And so on.\n\na cell\n\nb\n\nA link\n\nShown"
+
+
+PROSE = "<p>This is a paragraph of prose, with marks. It goes on, and on, for a while.</p>"
+P = PROSE[3:-4]
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f'<body><div class="page has-sidebar"><div id="content">{PROSE * 3}</div><div class="sidebar"><p>Side text, here.</p></div></div>', [P] * 3),
+        (f'<body><form id="main"><input name="q">{PROSE * 3}<p>An end.</p></form>', [P, P, P, "An end."]),
+        (f'<div class="sidebar-layout"><main>{PROSE}</main><div class="sidebar">{PROSE}</div></div>', [P]),
+        (
+            f'<article><h1>T</h1>{PROSE}<p class="side-effects">Side effects, some. Yes.</p><p class="meta-analysis">Meta analysis, it is. Good.</p><p class="legal-notice">Legal notice, it is. Good.</p>'
+            f'<section id="related-work">{PROSE}</section><section class="discussion">{PROSE}</section><div class="ad-slot">{PROSE}</div><div class="related-posts"><a href="x">Foo bar</a></div></article>',
+            ["T", P, "Side effects, some. Yes.", "Meta analysis, it is. Good.", "Legal notice, it is. Good.", P, P],
+        ),
+        (f"<article><header><h1>Headline</h1><p>By someone, today.</p></header>{PROSE}</article><footer>Foot, of the page. {P * 9}</footer>", ["Headline", P]),
+        (f'<div class="post">{PROSE}</div><div class="comments">{PROSE * 8}</div>', [P]),
+        ("<div>" * 100_000 + PROSE + "</div>" * 100_000, [P]),
+        ("<div><span></p>" * 50_000 + PROSE, [P]),
+        (f"<p>{'long text, and more. ' * 100_000}", ["long text, and more. " * 99_999 + "long text, and more."]),
+    ],
+)
+def test_html_layouts(page, want):
+    assert main_text(page) == "\n\n".join(want)
+
+
+def test_html_rows(spark):
+    """Null, empty and repeated pages, a null id, columns that clash, and an empty table."""
+    rows = [(1, None), (2, ""), (3, " \n"), (4, f"<body>{PROSE}"), (4, f"<body>{PROSE}"), (None, "<p>é &amp; 🙂"), (6, "<<<>&&#0;")]
+    schema = "page_id long, url string, html string, text string, n_chars long, path string"
+    pages = spark.createDataFrame([(i, f"u{k}", x, "t", 1, "p") for k, (i, x) in enumerate(rows)], schema)
+    got = {(r.url, r.page_id): (r.text, r.n_chars) for r in html_extract(pages).collect()}
+    assert len(got) == len(rows) and got["u0", 1] == got["u1", 2] == got["u2", 3] == ("", 0)
+    assert got["u3", 4] == got["u4", 4] == (P, len(P)) and got["u5", None] == ("é & 🙂", 5) and all(len(t) == n for t, n in got.values())
+    empty = html_extract(pages.limit(0))
+    assert empty.count() == 0 and empty.columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_html_query_against_what_pages_are_made_of(spark, sf):
+    """Pages of the table keep their article: each block of the result stands in the page, and no advert, menu or footer does."""
+    pages = {r.page_id: r.html or "" for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in llm.queries()["op10_html_extraction"](spark, sf).collect()}
+    assert set(got) == set(pages)
+    for i, page in pages.items():
+        article = re.search(r"<article[^>]*>(.*?)</article>", page, re.S)
+        if article and "<" in page:
+            inner = re.sub(r"(?s)<(script|style|aside|form|nav|footer)\b.*?</\1>|<div class=\"ad\">.*?</div>|<!--.*?-->", " ", article[1])
+            words = re.sub(r"\s+", "", html_lib.unescape(re.sub(r"<[^>]*>", " ", inner)))
+            if "<" not in words and "comments" not in article[1]:
+                assert re.sub(r"\s+", "", got[i]) == words, i
