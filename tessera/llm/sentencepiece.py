@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_SCORE = -100.0
-WORDS_KEPT, PAIRS_KEPT, BATCH_CHARS = 200_000, 400_000, 12_000_000
+WORDS_KEPT, WORD_KEPT, PAIRS_KEPT, BATCH_CHARS = 200_000, 64, 400_000, 12_000_000
 
 
 def vocabulary(model: bytes) -> tuple[str, list[str], list[float], list[str]]:
@@ -93,9 +93,9 @@ class Encoder:
 
     def walk(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
         """Each of the sorted words with its ids. The state of each prefix of the current path is its last piece (None at
-        the word's begin, and after a character that is no piece), its ids, and its score (unigram)."""
+        the word's begin, and after a character that is no piece) and its score (unigram): a word's ids are read off
+        backwards, so memory is linear in the longest word."""
         last: list[str | None] = [None]
-        ids: list[bytes] = [b""]
         total: list[float] = [0.0]
         before = ""
         raw, sizes, pairs, score, bpe = self.raw, self.sizes, self.pairs, self.score, self.kind == "bpe"
@@ -103,11 +103,10 @@ class Encoder:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], ids[shared + 1 :]
+            del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 if word[end - 1] not in raw:
                     last.append(None)
-                    ids.append(ids[-1] + self.unknown_ids(word[end - 1]))
                     if not bpe:
                         total[end:] = [total[end - 1] + UNKNOWN_SCORE]
                     continue
@@ -128,11 +127,15 @@ class Encoder:
                     elif best is None or total[start] + score[part] > total[best] + score[piece]:
                         best, piece = start, part
                 last.append(piece)
-                ids.append(ids[best] + raw[piece])
                 if not bpe:
                     total[end:] = [total[best] + score[piece]]
             before = word
-            yield word, ids[len(word)]
+            ids, end = [], len(word)
+            while end:
+                piece = last[end]
+                ids.append(self.unknown_ids(word[end - 1]) if piece is None else raw[piece])
+                end -= 1 if piece is None else len(piece)
+            yield word, b"".join(reversed(ids))
 
     def unknown_ids(self, character: str) -> bytes:
         """Of a character that is no piece: its bytes, where the model has them."""
@@ -149,8 +152,11 @@ class Encoder:
         if len(known) > WORDS_KEPT:  # words that this batch has are likely to come again
             known = self.words = {w: known[w] for w in distinct if w in known}
         known.update(self.walk(sorted(distinct - known.keys())))
-        del distinct
-        return [b"".join([known[w] for w in self.words_of(t)]) for t in texts]
+        out = [b"".join([known[w] for w in self.words_of(t)]) for t in texts]
+        for w in distinct:
+            if len(w) > WORD_KEPT:  # a few words without spaces must not fill the memory
+                del known[w]
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         value = self.value

@@ -4,6 +4,7 @@ import hashlib
 import html as html_lib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -250,6 +251,24 @@ def test_tokens_are_the_librarys(spark, sf):
     assert len(odd) == len(ODD) and all(r.round_trip for r in odd) and encode(docs_of(spark, [])).count() == 0
 
 
+def test_words_of_any_length_take_linear_memory():
+    import sentencepiece
+
+    with open(MODEL, "rb") as f:
+        model = f.read()
+    sp, e = sentencepiece.SentencePieceProcessor(model_proto=model), Encoder(*vocabulary(model))
+    rnd = random.Random(6)
+    long = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzé日本語0123456789+/\U0001f642") for _ in range(20_000))
+    assert np.frombuffer(e.encode([long])[0], np.int32).tolist() == sp.encode(long)
+    whole = long * 50  # a million characters
+    tracemalloc.start()
+    found = e.encode([whole])[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert e.decode(np.frombuffer(found, np.int32).tolist()) == whole and most < 200e6
+    assert all(len(w) <= 64 for w in e.words)
+
+
 def test_unigram_models_take_the_best_score():
     pieces, scores = ["<unk>", "▁", "a", "b", "▁a", "ab", "▁ab"], [0.0, -1.5, -2.5, -2.5, -1.0, -1.2, -4.0]
     e = Encoder("unigram", pieces, scores, ["other"] + ["normal"] * 6)
