@@ -4,8 +4,8 @@ Texts are vectors of all their words, and of those beginnings of words (toxic wo
 that are marked. Marked terms tell labelled examples apart (chi squared, more often in toxic ones) and weigh
 MARKED times as much. Weights are (1 + log tf) * idf, with idf over all texts; a word that no example has
 cannot meet one and counts in the text's norm only, as a word of a single text. The K nearest come from a
-block-max inverted index over all these terms (class Index) and are exact. Votes are weighted by nearness, cos ** 2 / (1.05 - cos), against PRIOR clean votes, so far
-neighbours alone never make a text toxic.
+block-max inverted index over all these terms (class Index) and are exact. Votes are weighted by nearness,
+cos ** 2 / (1.05 - cos), against PRIOR clean votes, so far neighbours alone never make a text toxic.
 
 The examples are a bounded sample (`examples` toxic ones and twice as many clean, by hash of the id) of the labelled rows that
 aren't held out; everything else covers all rows. Null and empty texts, and texts that share no word with an example,
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,17 +34,30 @@ MARKED, NEAR = 8.0, 2e-5
 LONG, BLOCK, SEED = 512, 16, 8
 PREFIXES = (3, 4, 5, 6)
 K, BATCH, PRIOR, BASE = 9, 256, 0.8, 0.005
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Digits, letters and bytes beyond ASCII stay; every other byte becomes a space.
+_SPACED = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
+
+
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased words of digits, ASCII letters and characters beyond ASCII, in UTF-8."""
+    return text.lower().encode().translate(_SPACED).split()
+
+
+def beginnings(word: bytes) -> list[bytes]:
+    """Of PREFIXES characters, shorter than the word."""
+    if word.isascii():
+        return [word[:k] for k in PREFIXES if len(word) > k]
+    letters = word.decode()
+    return [letters[:k].encode() for k in PREFIXES if len(letters) > k]
 
 
 def terms_of(text: str) -> Counter:
     """Words and, marked by a trailing *, their beginnings."""
-    found = Counter(WORD.findall(text.lower()))
-    out = Counter(found)
+    found = Counter(words_of(text))
+    out = Counter({w.decode(): n for w, n in found.items()})
     for w, n in found.items():
-        for k in PREFIXES:
-            if len(w) > k:
-                out[w[:k] + "*"] += n
+        for head in beginnings(w):
+            out[head.decode() + "*"] += n
     return out
 
 
@@ -85,33 +98,34 @@ class Terms:
 
     def __init__(self, words: list[str], marked: list[str]):
         begins = [t[:-1] for t in marked if t.endswith("*")]
-        self.words = {w: i for i, w in enumerate(words)}
-        self.begins = {t: len(words) + i for i, t in enumerate(begins)}
-        self.heads = {t[:3] for t in begins}
+        self.words = {w.encode(): i for i, w in enumerate(words)}
+        self.begins = {t.encode(): len(words) + i for i, t in enumerate(begins)}
+        self.heads = {t[:3].encode() for t in begins}
         self.n = len(words) + len(begins)
-        self.marked = [self.begins[t[:-1]] if t.endswith("*") else self.words[t] for t in marked]
+        self.marked = [self.begins[t[:-1].encode()] if t.endswith("*") else self.words[t.encode()] for t in marked]
+
+    def begun(self, word: bytes) -> list[int]:
+        """The marked beginnings of a word."""
+        return [i for head in beginnings(word) if (i := self.begins.get(head)) is not None]
 
     def held(self, text: str | None) -> list[int]:
-        """The terms alone."""
-        words = set(WORD.findall(text.lower())) if text else ()
-        found = [self.words[w] for w in words if w in self.words]
-        begins = {w[:k] for w in words if w[:3] in self.heads for k in PREFIXES if len(w) > k}
-        return found + [self.begins[w] for w in begins if w in self.begins]
+        """The terms of a text alone."""
+        words = set(words_of(text)) if text else set()
+        return [self.words[w] for w in words if w in self.words] + list({i for w in words if w[:3] in self.heads or not w.isascii() for i in self.begun(w)})
 
     def of(self, text: str | None) -> tuple[list[int], list[int], float]:
         """(terms, their counts, sum of squared (1 + log tf) of the words that no example has)."""
         found: dict[int, int] = {}
         rest = 0.0
-        for w, n in Counter(WORD.findall(text.lower())).items() if text else ():
+        for w, n in Counter(words_of(text)).items() if text else ():
             i = self.words.get(w)
             if i is None:
                 rest += (1 + math.log(n)) ** 2
             else:
                 found[i] = n
-            if w[:3] in self.heads:
-                for k in PREFIXES:
-                    if len(w) > k and (i := self.begins.get(w[:k])) is not None:
-                        found[i] = found.get(i, 0) + n
+            if w[:3] in self.heads or not w.isascii():
+                for i in self.begun(w):
+                    found[i] = found.get(i, 0) + n
         return list(found), list(found.values()), rest
 
 
@@ -153,9 +167,9 @@ class Index:
     Examples are numbered so that alike ones (label, heaviest common term) stand together, BLOCK to a block. The LONG longest
     posting lists are kept by block, each block with its greatest weight; shorter lists are read whole, for their blocks would
     hold a posting or two. A query's bound for a block is what the greatest weights of its long lists and its short lists can
-    give there. The SEED blocks of the highest bounds are scored first; of the rest only those whose bound reaches the k-th
-    best cosine so far, so no neighbour is lost. Blocks are scored in single precision, and all within NEAR (more than its
-    error) of the k-th best again in double."""
+    give there. Queries come in batches. Each query's SEED blocks of the highest bounds are scored first; of the rest only
+    those whose bound reaches the k-th best cosine so far, so no neighbour is lost. A block is scored at once for all queries
+    that reach it, in single precision, and all within NEAR (more than its error) of the k-th best again in double."""
 
     def __init__(self, rows: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, block: int = BLOCK, long: int = LONG):
         self.idf, self.block = idf, block
@@ -178,8 +192,8 @@ class Index:
         at = self.place[term]
         self.full = np.zeros((len(often), self.blocks, block))
         self.full[at[at >= 0], example[at >= 0] // block, example[at >= 0] % block] = weight[at >= 0]
-        self.tiles = self.full.astype(np.float32)
-        self.most = self.tiles.max(2) if order else np.zeros((len(often), 0), np.float32)
+        self.tiles = np.ascontiguousarray(self.full.astype(np.float32).transpose(1, 0, 2))
+        self.most = np.ascontiguousarray(self.tiles.max(2).T) if order else np.zeros((len(often), 0), np.float32)
         by_term = np.argsort(term[at < 0], kind="stable")
         self.example, self.weight = example[at < 0][by_term].astype(np.int32), weight[at < 0][by_term]
         self.start = np.concatenate(([0], np.cumsum(np.bincount(term[at < 0], minlength=len(idf)))))
@@ -196,60 +210,73 @@ class Index:
         w = (1 + np.log(tf)) * self.idf[term]
         return w / np.sqrt((w * w).sum() + rest)
 
-    def bounds(self, queries: list[tuple[list[int], list[int], float]]) -> np.ndarray:
-        """queries x blocks: what the long lists can give in each block at most."""
-        q = np.zeros((len(queries), len(self.most)), np.float32)
+    def nearest(self, queries: list[tuple[list[int], list[int], float]], k: int, but: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of the k nearest of each query (terms, their counts, square of what lies outside the index),
+        leaving out the example with id `but`."""
+        m, shape = len(queries), (len(queries), self.blocks, self.block)
+        if not m or not self.blocks:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * m
+        part, q_long = np.zeros(shape), np.zeros((m, len(self.most)))
         for i, (term, tf, rest) in enumerate(queries):
-            if len(term):
-                at = self.place[term]
-                q[i, at[at >= 0]] = self.unit(np.asarray(term), np.asarray(tf), rest)[at >= 0]
-        return q @ self.most
-
-    def nearest(self, term: list[int], tf: list[int], k: int, but: int | None = None, rest: float = 0.0, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the k nearest, leaving out the example with id `but`; rest: the square of what lies outside the
-        index; bound: its row of bounds()."""
-        if not len(term) or not self.blocks:
-            return np.zeros(0, np.int64), np.zeros(0)
-        if bound is None:
-            bound = self.bounds([(term, tf, rest)])[0]
-        term = np.asarray(term, np.int64)
-        q, at = self.unit(term, np.asarray(tf), rest), self.place[term]
-        long, q_long, short, q_short = at[at >= 0], q[at >= 0], term[at < 0], q[at < 0]
-        first, n = self.start[short], self.start[short + 1] - self.start[short]
-        flat = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
-        part = np.bincount(self.example[flat], self.weight[flat] * np.repeat(q_short, n), self.blocks * self.block).astype(np.float64, copy=False)
-        if but in self.number:
-            part[self.number[but]] = -np.inf
-        part = part.reshape(self.blocks, self.block)
-        bound = bound + part.max(1)
+            if not len(term):
+                continue
+            term = np.asarray(term, np.int64)
+            q, at = self.unit(term, np.asarray(tf), rest), self.place[term]
+            q_long[i, at[at >= 0]] = q[at >= 0]
+            short = term[at < 0]
+            first, n = self.start[short], self.start[short + 1] - self.start[short]
+            flat = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+            part[i] = np.bincount(self.example[flat], self.weight[flat] * np.repeat(q[at < 0], n), self.blocks * self.block).reshape(shape[1:])
+            if but and but[i] in self.number:
+                part[i].flat[self.number[but[i]]] = -np.inf
         single = q_long.astype(np.float32)
+        bound = single @ self.most + part.max(2)
+        cosine = np.full(shape, -np.inf, np.float32)
+
+        def score(reach: np.ndarray) -> None:
+            for b in np.flatnonzero(reach.any(0)):
+                at = np.flatnonzero(reach[:, b])
+                cosine[at, b] = part[at, b] + single[at] @ self.tiles[b]
+
+        def least(row: np.ndarray) -> float:
+            return max(0.0, np.partition(row, -k)[-k] - NEAR) if len(row) > k else 0.0
+
+        seeds = np.argpartition(bound, -SEED, axis=1)[:, -SEED:] if self.blocks > SEED else np.tile(np.arange(self.blocks), (m, 1))
+        reach = np.zeros((m, self.blocks), bool)
+        np.put_along_axis(reach, seeds, True, axis=1)
+        score(reach)
+        best = np.take_along_axis(cosine, seeds[:, :, None], axis=1).reshape(m, -1)
+        floor = np.array([least(row) for row in best])
+        score((bound >= floor[:, None]) & ~reach)
+        out = []
+        for i in range(m):
+            row = cosine[i].ravel()
+            number = np.flatnonzero((row > 0) & (row >= floor[i]))
+            number = number[row[number] >= least(row[number])]
+            own = np.flatnonzero(q_long[i])
+            full = part[i].ravel()[number] + q_long[i, own] @ self.full[own[:, None], number // self.block, number % self.block]
+            order = np.lexsort((self.ids[number], -full.round(12)))[:k]
+            out.append((number[order], full[order]))
+        return out
+
+    def scores(self, queries: list[tuple[list[int], list[int], float]], but: list[int | None] | None = None) -> list[tuple[float, list[int]]]:
+        """(score, ids of the nearest) of each query."""
+        out = []
+        for at, cosine in self.nearest(queries, K, but):
+            weight = cosine**2 / (1.05 - np.minimum(cosine, 1.0))
+            out.append((float(BASE + (1 - BASE) * (weight @ self.y[at]) / (weight.sum() + PRIOR)), self.ids[at].tolist()))
+        return out
+
+
+_INDEXES: dict[str, Index] = {}
+
 
-        def scored(blocks: np.ndarray) -> np.ndarray:
-            return part[blocks] + (single @ self.tiles[long[:, None], blocks].reshape(len(long), len(blocks) * self.block)).reshape(-1, self.block)
-
-        def least(cosines: np.ndarray) -> float:
-            return max(0.0, np.partition(cosines, -k)[-k] - NEAR) if len(cosines) > k else 0.0
-
-        seeds = np.argpartition(bound, -SEED)[-SEED:] if len(bound) > SEED else np.arange(len(bound))
-        cosine = scored(seeds).ravel()
-        reach = bound >= least(cosine)
-        reach[seeds] = False
-        more = np.flatnonzero(reach)
-        found = np.concatenate([seeds, more])
-        cosine = np.concatenate([cosine, scored(more).ravel()]) if len(more) else cosine
-        number = (found[:, None] * self.block + np.arange(self.block)).ravel()
-        close = (cosine > 0) & (cosine >= least(cosine))
-        number = number[close]
-        full = part.ravel()[number] + q_long @ self.full[long[:, None], number // self.block, number % self.block]
-        order = np.lexsort((self.ids[number], -full.round(12)))[:k]
-        return number[order], full[order]
-
-    def score(self, term: list[int], tf: list[int], but: int | None = None, rest: float = 0.0, bound: np.ndarray | None = None) -> tuple[float, list[int]]:
-        at, cosine = self.nearest(term, tf, K, but, rest, bound)
-        if not len(at):
-            return BASE, []
-        weight = cosine**2 / (1.05 - np.minimum(cosine, 1.0))
-        return float(BASE + (1 - BASE) * (weight @ self.y[at]) / (weight.sum() + PRIOR)), self.ids[at].tolist()
+def _index(name: str, known: Broadcast) -> Index:
+    """One for each worker process and query."""
+    if name not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[name] = Index(*known.value)
+    return _INDEXES[name]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", label_key: str = "doc_id", examples: int = EXAMPLES) -> DataFrame:
@@ -270,10 +297,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
     idf = np.log((total + 1) / (counts[:-1] + 1)) + 1e-6
     idf[known_terms.marked] *= MARKED
     lone = math.log((total + 1) / 2) ** 2
-    index = spark.sparkContext.broadcast((learnt, idf))
+    index, query = spark.sparkContext.broadcast((learnt, idf)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, of, known = Index(*index.value), numbers.value.of, {}
+        own, of, known = _index(query, index), numbers.value.of, {}
         learnt_ids = set(own.ids.tolist())
         for b in batches:
             docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -288,8 +315,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
                     if names[-1] not in known and names[-1] not in new:
                         term, tf, rest = of(words)
                         new[names[-1]] = term, tf, rest * lone
-                for (name, query), bound in zip(new.items(), own.bounds(list(new.values())), strict=True):
-                    known[name] = own.score(query[0], query[1], name[1], query[2], bound)
+                known.update(zip(new, own.scores(list(new.values()), [name[1] for name in new]), strict=True))
                 scores += [known[name][0] for name in names]
                 evidence += [known[name][1] for name in names]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])

@@ -55,7 +55,8 @@ def test_block_bounds_lose_no_neighbour():
         cosine = (index.unit(term, tf) @ full[term]).round(12)
         want = np.lexsort((index.ids, -cosine))[:9]
         want = want[cosine[want] > 0]
-        at, got = index.nearest(term, tf, 9)
+        (at, got), (less, _) = index.nearest([(term, tf, 0.0)] * 2, 9, [None, index.ids[want[0]]])
+        assert less.tolist()[:8] == want.tolist()[1:]
         assert at.tolist() == want.tolist() and np.allclose(got, cosine[want])
 
 
