@@ -1,9 +1,13 @@
 """Quality rules under weak supervision: rules vote or abstain, EM weighs them, a posterior decides.
 
-Every rule looks at one statistic of a text and votes good (1), bad (-1) or abstains (0). Votes are
-counted by pattern (3 ** len(RULES) patterns at most, whatever the number of texts); expectation
-maximisation on those counts gives each rule's accuracy and the share of good texts, and the posterior
-probability of a good text is then one column expression over the votes. No UDF runs anywhere.
+Every rule looks at one statistic of a text and votes good (1), bad (-1) or abstains (0). Votes are counted
+by pattern (3 ** len(RULES) at most, whatever the number of texts). Rules that see the same fault vote
+together, so votes are independent only among texts with the same fault: the model is a mixture of good
+texts and of one kind of bad text for each rule. Expectation maximisation on the counts estimates the
+kinds' shares and how often each rule votes bad in each kind, which gives the rules' accuracies; nothing
+holds these numbers but START, worth BELIEF texts. Each fault is seen by two rules at least, so that
+START decides little. The posterior probability of a good text is then one column expression over the
+votes. No UDF runs anywhere.
 
 Nulls and empty texts have no words and fail the base rule. Repeated rows get one result each, ties at
 0.5 are kept, an empty table gives an empty result, extra columns are ignored.
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +32,14 @@ RULES = (
     ("capital_share", 0.15, 0.50),
     ("mean_word_off", 3.5, 7.0),
     ("commonest_off", 0.12, 0.30),
+    ("odd_word_share", 0.10, 0.30),
 )
-PRIOR, ROUNDS = 0.85, 50
-#: How often a rule that votes says -1 and 1 on bad and on good texts, before anything is known of it.
-START = ({-1: 0.40, 1: 0.60}, {-1: 0.002, 1: 0.998})
+#: Runs of marks, and marks that stand alone.
+ODD_WORDS = r"[^\p{L}\p{N}\x09-\x0D\x20]{2,}|(?<![^\x09-\x0D\x20])[^\p{L}\p{N}\x09-\x0D\x20](?![^\x09-\x0D\x20])"
+#: Share of good texts; how often a rule votes bad on good texts, on its own kind of bad text, and on other kinds.
+START = (0.8, 0.02, 0.8, 0.1)
 #: Texts' worth of belief in START; it keeps every probability above zero.
-BELIEF = 2.0
-#: A bad vote is wrong on so many good texts at most (thresholds stand far from ordinary texts), and a bad
-#: text passes each single rule so often at least (junk is of many kinds). Without these bounds the two
-#: classes drift to whatever splits the texts most evenly.
-FALSE_ALARMS, PASSES = 0.002, 0.40
+BELIEF, ROUNDS, SETTLED = 2.0, 500, 1e-9
 
 
 def _covered(positions: Column, width: int) -> Column:
@@ -72,6 +75,7 @@ def measures(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
         F.size("lines").alias("n_lines"),
         F.regexp_count("body", F.lit(r"\p{Lu}")).alias("n_capitals"),
         per(F.size(F.array_distinct("words"))).alias("distinct_share"),
+        F.regexp_count("body", F.lit(ODD_WORDS)).alias("n_odd_words"),
     )
     return counted
 
@@ -84,6 +88,7 @@ def statistics(counted: DataFrame) -> DataFrame:
         "dup_line_share": share("n_dup_lines", "n_lines"),
         "repeat_share": share("n_repeat_words", "n_words"),
         "capital_share": share("n_capitals", "word_chars"),
+        "odd_word_share": share("n_odd_words", "n_words"),
         "mean_word_off": F.abs(share("word_chars", "n_words") - F.lit(5.5)),
         # a text of n words has at most about 4 * n ** 0.85 words that differ, and far fewer if it stutters
         "commonest_off": F.greatest(F.lit(0.0), F.lit(0.45) - F.col("distinct_share") * F.pow(F.greatest("n_words", F.lit(1)) / 300.0, F.lit(0.25))),
@@ -94,34 +99,50 @@ def votes() -> list[Column]:
     return [F.when(F.col(s) <= good, 1).when(F.col(s) >= bad, -1).otherwise(0).cast("int").alias(f"vote_{s}") for s, good, bad in RULES]
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[dict, dict]]]:
-    """(share of good texts, each rule's accuracy: how often it says -1 and 1 on bad and on good texts), from counts
-    by vote pattern. Abstaining says nothing."""
-    prior, rules, total = PRIOR, [START] * len(RULES), sum(n for _, n in patterns)
-    for _ in range(ROUNDS if total else 0):
-        weights = [{v: BELIEF * START[z][v] for v in START[z]} for _ in RULES for z in (0, 1)]
-        good = 0.0
-        for pattern, n in patterns:
-            p = posterior(pattern, prior, rules)
-            good += n * p
-            for r, v in ((r, v) for r, v in enumerate(pattern) if v):
-                weights[2 * r][v] += n * (1 - p)
-                weights[2 * r + 1][v] += n * p
-        prior = min(0.99, max(0.5, good / total))
-        shares = [{v: x / sum(w.values()) for v, x in w.items()} for w in weights]
-        rules = [(bounded(shares[2 * r], 1, PASSES, 1.0), bounded(shares[2 * r + 1], -1, 0.0, FALSE_ALARMS)) for r in range(len(RULES))]
-    return prior, rules
-
-
-def bounded(shares: dict[int, float], vote: int, least: float, most: float) -> dict[int, float]:
-    """shares with that of one vote held within bounds, and the others scaled to sum to 1 with it."""
-    held = min(most, max(least, shares[vote]))
-    return {v: held if v == vote else x * (1 - held) / (1 - shares[vote]) for v, x in shares.items()}
-
-
-def posterior(pattern: tuple[int, ...], prior: float, rules: list[tuple[dict, dict]]) -> float:
-    z = math.log(prior / (1 - prior)) + sum(math.log(good[v] / bad[v]) for v, (bad, good) in zip(pattern, rules, strict=True) if v)
-    return 1 / (1 + math.exp(-z))
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(shares, bad) from counts by vote pattern: each kind's share of all texts, good ones first, and how often each rule
+    that votes says bad in each kind. Abstaining says nothing."""
+    good, alarm, own, other = START
+    n = len(RULES)
+    share0 = np.array([good] + [(1 - good) / n] * n)
+    bad0 = np.vstack([np.full(n, alarm), np.where(np.eye(n) > 0, own, other)])
+    share, bad = share0, bad0
+    if not patterns:
+        return share, bad
+    votes_, count = np.array([p for p, _ in patterns]), np.array([c for _, c in patterns], float)
+    says_bad, says = (votes_ < 0).astype(float), (votes_ != 0).astype(float)
+    for _ in range(ROUNDS):
+        weight = kinds(votes_, share, bad) * count[:, None]
+        share, before = (weight.sum(0) + BELIEF * share0) / (count.sum() + BELIEF), share
+        bad = (weight.T @ says_bad + BELIEF * bad0) / (weight.T @ says + BELIEF)
+        if np.abs(share - before).max() < SETTLED:
+            break
+    return share, bad
+
+
+def kinds(votes_: np.ndarray, share: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """patterns x kinds: the posterior of each kind."""
+    log = np.log(share) + (votes_ < 0) @ np.log(bad).T + (votes_ > 0) @ np.log(1 - bad).T
+    p = np.exp(log - log.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def accuracies(share: np.ndarray, bad: np.ndarray) -> list[tuple[float, float]]:
+    """Of each rule: how often it votes bad on bad texts, and good on good ones."""
+    of_bad = (share[1:] @ bad[1:]) / share[1:].sum()
+    return [(float(b), float(1 - a)) for b, a in zip(of_bad, bad[0], strict=True)]
+
+
+def posterior(share: np.ndarray, bad: np.ndarray) -> Column:
+    """The probability of a good text, over the vote columns."""
+    against = F.lit(0.0)
+    for k in range(1, len(share)):
+        z = F.lit(math.log(share[k] / share[0]))
+        for r, (s, *_) in enumerate(RULES):
+            vote = F.col(f"vote_{s}")
+            z = z + F.when(vote < 0, math.log(bad[k, r] / bad[0, r])).when(vote > 0, math.log((1 - bad[k, r]) / (1 - bad[0, r]))).otherwise(0.0)
+        against = against + F.exp(z)
+    return 1 / (1 + against)
 
 
 def quality_rules(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least_words: int = 20, most_repeat_percent: int = 30, threshold: float = 0.5) -> DataFrame:
@@ -133,10 +154,6 @@ def quality_rules(docs: DataFrame, *, key: str = "doc_id", text: str = "text", l
     voted = stored(statistics(measures(docs, key=key, text=text)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *votes()), "votes")
     # at most 3 ** len(RULES) rows come to the driver
     counts = [(tuple(r[n] for n in names), r["count"]) for r in voted.groupBy(*names).count().collect()]
-    prior, rules = expectation_maximisation(sorted(counts))
-    z = F.lit(math.log(prior / (1 - prior)))
-    for name, (bad, good) in zip(names, rules, strict=True):
-        says = {v: math.log(good[v] / bad[v]) for v in (-1, 1)}
-        z = z + F.when(F.col(name) < 0, says[-1]).when(F.col(name) > 0, says[1]).otherwise(0.0)
+    share, bad = expectation_maximisation(sorted(counts))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
-    return voted.withColumns({"base_failed": failed, "posterior": 1 / (1 + F.exp(-z))}).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+    return voted.withColumns({"base_failed": failed, "posterior": posterior(share, bad)}).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))

@@ -2,6 +2,7 @@
 
 import hashlib
 import html as html_lib
+import math
 import random
 import re
 import tracemalloc
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from tests.llm.by_hand import components_by_hand
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.html_extract import html_extract, main_text
 from tessera.llm.license_scan import license_scan
-from tessera.llm.quality_rules import expectation_maximisation, quality_rules
+from tessera.llm.quality_rules import ODD_WORDS, RULES, START, accuracies, expectation_maximisation, quality_rules
 from tessera.llm.sentencepiece import MODEL, Encoder, decode, encode, vocabulary
 from tessera.llm.simhash import LIST, links, simhash
 from tessera.llm.suffix_dedup import smallest_holder, suffix_dedup
@@ -203,17 +205,75 @@ def test_rules(spark, sf):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.base_failed and r.kept)
     assert quality_rules(docs_of(spark, [])).count() == 0
-
-
-def test_expectation_maximisation_finds_good_rules():
+    odd = quality_rules(docs_of(spark, ODD)).collect()
+    assert len(odd) == len(ODD) and [r.n_words for r in odd if r.doc_id == 6] == [3000, 3000] and [r.kept for r in odd if r.doc_id is None] == [False]
+
+
+def by_hand_posterior(patterns):
+    """The mixture by plain loops: posterior of a good text for each pattern."""
+    good, alarm, own, other = START
+    n, total = len(RULES), sum(patterns.values())
+    share0 = [good] + [(1 - good) / n] * n
+    bad0 = [[alarm] * n] + [[own if r == k else other for r in range(n)] for k in range(n)]
+    share, bad = share0, bad0
+
+    def kinds_of(p):
+        like = [s * math.prod((b[r] if v < 0 else 1 - b[r]) for r, v in enumerate(p) if v) for s, b in zip(share, bad)]
+        return [x / sum(like) for x in like]
+
+    for _ in range(500):
+        w = {p: [x * c for x in kinds_of(p)] for p, c in patterns.items()}
+        new = [(sum(x[k] for x in w.values()) + 2 * share0[k]) / (total + 2) for k in range(n + 1)]
+        bad = [[(sum(x[k] for p, x in w.items() if p[r] < 0) + 2 * bad0[k][r]) / (sum(x[k] for p, x in w.items() if p[r]) + 2) for r in range(n)] for k in range(n + 1)]
+        moved, share = max(abs(a - b) for a, b in zip(new, share)), new
+        if moved < 1e-9:
+            break
+    return {p: kinds_of(p)[0] for p in patterns}
+
+
+def test_posterior_and_kept_by_hand(spark, sf):
+    """Votes from the counts by plain Python, EM by plain loops, and the whole query's posterior and verdict."""
+    names = [f"vote_{s}" for s, *_ in RULES]
+    rows = llm.queries()["op8_quality_rules"](spark, sf).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    share = lambda a, b: a / b if b else 0.0
+    for r in rows:
+        t = texts[r.doc_id]
+        w, lines = SPACED.findall(t), [x for x in t.split("\n") if SPACED.search(x)]
+        odd = len(regex.findall(ODD_WORDS, t))
+        stats = [
+            share(r.n_symbols, len(w)), share(r.n_dup_lines, len(lines)), share(r.n_repeat_words, len(w)), share(len(regex.findall(r"\p{Lu}", t)), r.word_chars), abs(share(r.word_chars, len(w)) - 5.5),
+            max(0.0, 0.45 - share(len(set(w)), len(w)) * (max(len(w), 1) / 300) ** 0.25), share(odd, len(w)),
+        ]
+        assert [r[n] for n in names] == [1 if x <= good else -1 if x >= bad else 0 for x, (_, good, bad) in zip(stats, RULES, strict=True)], r.doc_id
+    want = by_hand_posterior(Counter(tuple(r[n] for n in names) for r in rows))
+    for r in rows:
+        p = want[tuple(r[n] for n in names)]
+        assert r.posterior == pytest.approx(p, abs=1e-6) and r.kept == (not r.base_failed and p >= 0.5)
+
+
+def test_expectation_maximisation_finds_kinds():
+    """Two faults, each seen by two rules: shares and accuracies come out, though START says other ones."""
     rnd = random.Random(2)
     counts = Counter()
-    for _ in range(4000):
-        good = rnd.random() < 0.8
-        counts[tuple((1 if good or rnd.random() > 0.4 else -1) if rnd.random() < 0.9 else 0 for _ in range(6))] += 1
-    prior, rules = expectation_maximisation(sorted(counts.items()))
-    assert 0.7 < prior < 0.9 and all(0.3 < bad[-1] < 0.5 for bad, _ in rules)
-    assert expectation_maximisation([])[0] == 0.85
+    for _ in range(6000):
+        kind = rnd.choices((0, 1, 2), (0.8, 0.12, 0.08))[0]
+        sees = {0: (), 1: (0, 3), 2: (1, 2)}[kind]
+        bad = lambda r: rnd.random() < (0.9 if r in sees else 0.005)
+        counts[tuple(0 if rnd.random() < 0.1 else -1 if bad(r) else 1 for r in range(len(RULES)))] += 1
+    found, bad = expectation_maximisation(sorted(counts.items()))
+    assert abs(found[0] - 0.8) < 0.04 and all(good > 0.98 for _, good in accuracies(found, bad))
+    assert [b for b, _ in accuracies(found, bad)[:4]] == pytest.approx([0.54, 0.36, 0.36, 0.54], abs=0.08)
+    assert expectation_maximisation([])[0][0] == START[0]
+
+
+def test_rules_against_labels(spark):
+    """What EM finds without labels stands near what the labels say."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = llm.queries()["op8_quality_rules"](spark, sf).join(labels, "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r.quality, r.kept): r["count"] for r in got}
+    assert n[0, True] < 0.02 * n[0, False] and n[1, False] < 0.04 * n[1, True]
 
 
 # ---------------------------------------------------------------- URLs
