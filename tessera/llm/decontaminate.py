@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import alnum_words, stored
-from tessera.llm.positional import TOKENS_A_SCAN, contexts, small, word_counts
+from tessera.llm.positional import contexts, small, word_counts
 
 WINDOW = 13
 
@@ -45,12 +45,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
 
     n_hit: words inside an occurrence of a window; contaminated: n_hit > 0 and share * n_hit >= n_words."""
     cut, rows = necessary(windows(benchmark, item=item, text=item_text, size=size), docs, text)
-    # one word for each window at most; they come to the driver as part of the next plan, some thousands at a time
-    tokens = sorted(r.token for r in cut.select("token").distinct().toLocalIterator())
-    base = stored(contexts(docs, tokens, size - 1, key=key, text=text), "contexts")
+    base = stored(contexts(docs, cut.select("token").distinct(), size - 1, key=key, text=text), "contexts")
     start = F.col("pos") - F.col("offset")
     length = F.size("window")
     inside = (start >= 0) & (start + length <= F.col("n_words"))
+    # spans by start: what each adds beyond the end so far
+    new = lambda a, s: F.greatest(F.lit(0), s["start"] + s["length"] - F.greatest(a["end"], s["start"]))
+    step = lambda a, s: F.struct(F.greatest(a["end"], s["start"] + s["length"]).alias("end"), (a["hit"] + new(a, s)).alias("hit"))
+    covered = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit")), step)["hit"]
     hits = (
         base.select("doc_id", "text_hash", "n_words", F.inline("found"))
         .withColumnRenamed("word", "token")
@@ -62,15 +64,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
         .select(
             F.col("doc_id").alias("hit_id"),
             F.col("text_hash").alias("hit_hash"),
-            F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))).alias("n_hit"),
+            covered.alias("n_hit"),
             F.transform("items", lambda x: x.cast("string")).alias("items"),
         )
     )
-    # several scans repeat the rows of docs; each row once is what the first of them has
-    scans = max(1, -(-len(tokens) // TOKENS_A_SCAN))
-    plain = base.select("doc_id", "text_hash", "n_words")
-    if scans > 1:
-        plain = plain.groupBy("doc_id", "text_hash", "n_words").agg((F.count("*") / scans).cast("int").alias("times")).select("doc_id", "text_hash", "n_words", F.explode(F.array_repeat(F.lit(0), F.col("times")))).drop("col")
+    plain = base.where("part = 0").select("doc_id", "text_hash", "n_words")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return plain.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left").select(
         "doc_id",

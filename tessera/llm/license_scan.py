@@ -69,8 +69,8 @@ def license_scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     listed = templates(spark)
     # as many rows as the templates have postings, a fixed number
     index = [tuple(r) for r in postings(listed, docs, text).collect()]
-    base = stored(contexts(docs, sorted({x[1] for x in index}), REACH, key=key, text=text), "licences")
     posted = spark.createDataFrame(index, "template int, token string, offset int, second string, second_offset int")
+    base = stored(contexts(docs, posted.select("token").distinct(), REACH, key=key, text=text), "licences")
     met = (
         base.where(F.size("found") > 0)
         .select("doc_id", "text_hash", F.inline("found"))
@@ -99,7 +99,7 @@ def license_scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
         .withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
     )
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
-    return base.select("doc_id", "text_hash", "n_words").join(found, same, "left").select(
+    return base.where("part = 0").select("doc_id", "text_hash", "n_words").join(found, same, "left").select(
         "doc_id",
         "text_hash",
         F.col("n_words").cast("long").alias("n_words"),

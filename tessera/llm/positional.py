@@ -2,6 +2,7 @@
 
 A row's words stay one array. Positions that hold one of the looked-for words are picked from it, each
 with the words around it, so that whatever is joined later carries a few dozen words, never a text.
+A row carries PLACES_A_ROW places at most; texts with more of them give more rows.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import alnum_words
 
-#: Words that one scan looks for: they are part of the plan. More words take more scans.
+#: Words that may be part of the plan. More of them are joined with the words of the texts instead.
 TOKENS_A_SCAN = 20_000
+PLACES_A_ROW = 1_000
 #: Rows of at most some hundred bytes that may be broadcast; beyond it a shuffle join does the same.
 BROADCAST_ROWS = 50_000
 
@@ -28,26 +30,30 @@ def word_counts(docs: DataFrame, text: str, vocabulary: DataFrame, rows: int) ->
     return words.join(small(vocabulary.select("word").distinct(), rows), "word").groupBy("word").agg(F.count("*").alias("docs"))
 
 
-def contexts(docs: DataFrame, tokens: list[str], reach: int, *, key: str, text: str) -> DataFrame:
-    """doc_id, text_hash, n_words and found: for every place of one of the tokens its word, position (from 0)
-    and the words from `reach` before it to `reach` after it (`first` is the position of the first of them).
+def contexts(docs: DataFrame, tokens: DataFrame, reach: int, *, key: str, text: str) -> DataFrame:
+    """doc_id, text_hash, n_words, part and found: for every place of one of the tokens (column token, distinct) its word, position
+    (from 0) and the words from `reach` before it to `reach` after it (`first` is the position of the first of them).
 
-    doc_id and text_hash together name a row; rows that agree in both have the same words."""
+    doc_id and text_hash together name a row; rows that agree in both have the same words. Every row of docs has one row
+    of part 0 here, and more parts only for more than PLACES_A_ROW places."""
     split = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), alnum_words(F.col(text)).alias("words"))
-    n = F.size("words")
-    parts = [tokens[i : i + TOKENS_A_SCAN] for i in range(0, len(tokens), TOKENS_A_SCAN)] or [[]]
-
-    def found(part: list[str]):
-        places = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("words"), i).isin(part)) if part else F.array().cast("array<int>")
-        return F.when(n > 0, places).otherwise(F.array().cast("array<int>"))
+    n, none = F.size("words"), F.array().cast("array<int>")
+    if tokens.limit(TOKENS_A_SCAN + 1).count() <= TOKENS_A_SCAN:
+        looked = sorted(r["token"] for r in tokens.select("token").collect())
+        wanted = lambda i: F.get(F.col("words"), i).isin(looked) if looked else F.lit(False)
+    else:
+        # each text's own looked-for words, by a join of its distinct words with the tokens; rare words, so no key is hot
+        distinct = split.select("doc_id", "text_hash", F.explode(F.array_distinct("words")).alias("token")).join(tokens.select("token"), "token")
+        own = distinct.groupBy("doc_id", "text_hash").agg(F.collect_set("token").alias("looked")).withColumnsRenamed({"doc_id": "own_id", "text_hash": "own_hash"})
+        split = split.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")), "left")
+        wanted = lambda i: F.coalesce(F.array_contains("looked", F.get(F.col("words"), i)), F.lit(False))
 
     def around(i):
         first = F.greatest(i - reach, F.lit(0))
         return F.struct(F.get(F.col("words"), i).alias("word"), i.alias("pos"), first.alias("first"), F.slice("words", first + 1, i + reach - first + 1).alias("near"))
 
-    out = None
-    for part in parts:
-        placed = split.withColumn("places", found(part))
-        rows = placed.select("doc_id", "text_hash", n.alias("n_words"), F.transform("places", around).alias("found"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    placed = split.withColumn("places", F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), wanted)).otherwise(none))
+    parts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("places") - 1) / PLACES_A_ROW).cast("int")))
+    cut = placed.select("doc_id", "text_hash", "words", "places", F.explode(parts).alias("part"))
+    here = F.slice("places", F.col("part") * PLACES_A_ROW + 1, PLACES_A_ROW)
+    return cut.select("doc_id", "text_hash", n.alias("n_words"), "part", F.transform(here, around).alias("found"))
