@@ -100,30 +100,32 @@ class Terms:
         begins = [t[:-1] for t in marked if t.endswith("*")]
         self.words = {w.encode(): i for i, w in enumerate(words)}
         self.begins = {t.encode(): len(words) + i for i, t in enumerate(begins)}
-        self.heads = {t[:3].encode() for t in begins}
+        self.heads, self.sizes = {t[:3] for t in self.begins}, sorted({len(t) for t in self.begins})
         self.n = len(words) + len(begins)
         self.marked = [self.begins[t[:-1].encode()] if t.endswith("*") else self.words[t.encode()] for t in marked]
 
     def begun(self, word: bytes) -> list[int]:
-        """The marked beginnings of a word."""
-        return [i for head in beginnings(word) if (i := self.begins.get(head)) is not None]
+        """The marked beginnings of a word; bytes begin a word as their characters do."""
+        return [i for k in self.sizes if k < len(word) and (i := self.begins.get(word[:k])) is not None]
 
     def held(self, text: str | None) -> list[int]:
         """The terms of a text alone."""
         words = set(words_of(text)) if text else set()
-        return [self.words[w] for w in words if w in self.words] + list({i for w in words if w[:3] in self.heads or not w.isascii() for i in self.begun(w)})
+        heads = self.heads
+        begun = {i for w in words if w[:3] in heads for i in self.begun(w)}
+        return [i for i in map(self.words.get, words) if i is not None] + list(begun)
 
     def of(self, text: str | None) -> tuple[list[int], list[int], float]:
         """(terms, their counts, sum of squared (1 + log tf) of the words that no example has)."""
         found: dict[int, int] = {}
-        rest = 0.0
+        rest, heads, number = 0.0, self.heads, self.words.get
         for w, n in Counter(words_of(text)).items() if text else ():
-            i = self.words.get(w)
+            i = number(w)
             if i is None:
-                rest += (1 + math.log(n)) ** 2
+                rest += 1.0 if n == 1 else (1 + math.log(n)) ** 2
             else:
                 found[i] = n
-            if w[:3] in self.heads or not w.isascii():
+            if w[:3] in heads:
                 for i in self.begun(w):
                     found[i] = found.get(i, 0) + n
         return list(found), list(found.values()), rest
