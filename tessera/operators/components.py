@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,31 +11,50 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or a temporary one where the setting is absent (local tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir, or else the context's checkpoint folder. Where neither is set, a temporary folder
+    serves a local master; on a cluster, whose machines share no such folder, that is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; dropped_all() empties it."""
+    return f"{shared_dir(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written as Parquet into the shared folder and read again: it is computed once, and survives lost executors."""
+    """df written as Parquet into the shared folder and read again: it is computed once, and survives lost executors.
+
+    Operators drop the tables that nothing reads any more; those that a returned DataFrame reads stay until dropped_all()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the files of a table that stored() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if folder.getName().startswith("tessera-"):
-            folder.getFileSystem(conf).delete(folder, True)
+def _deleted(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes the files of tables that stored() wrote, once nothing reads them any more."""
+    for df in tables:
+        own = own_dir(df.sparkSession).split("/")[-1]
+        for file in df.inputFiles()[:1]:
+            folder = file.rsplit("/", 1)[0]
+            if folder.split("/")[-2] == own:
+                _deleted(df.sparkSession, folder)
+
+
+def dropped_all(spark: SparkSession) -> None:
+    """Deletes everything that this application has stored; for the end of a job, when all results are written."""
+    _deleted(spark, own_dir(spark))
 
 
 def _round(links: DataFrame) -> DataFrame:
@@ -64,4 +84,5 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         drop_stored(old)
     else:
         raise RuntimeError(f"components have not settled in {most_rounds} rounds")
+    # the table of links stays: the result reads it
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

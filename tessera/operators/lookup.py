@@ -24,10 +24,17 @@ def resolve_ids(g: Graph, ids: DataFrame) -> DataFrame:
     return ids.join(g.aliases().withColumnRenamed("alias", "asked"), "asked", "left").select("asked", F.coalesce("id", "asked").alias("id"))
 
 
+def canonical(g: Graph, id_: str) -> str:
+    """The id of the node that an id or alias means, one hop; one row at most comes to the driver, so that reads of the node
+    and its edges are filters by a constant."""
+    found = g.aliases().where(F.col("alias") == id_).first()
+    return found["id"] if found else id_
+
+
 def get_node(g: Graph, id_: str) -> DataFrame:
     """The node with an id or alias, with resolved_from: the alias asked for, if it was one."""
-    asked = resolve_ids(g, g.nodes.sparkSession.createDataFrame([(id_,)], "asked string"))
-    return g.nodes.join(F.broadcast(asked), "id").withColumn("resolved_from", F.when(F.col("asked") != F.col("id"), F.col("asked"))).drop("asked")
+    own = canonical(g, id_)
+    return g.nodes.where(F.col("id") == own).withColumn("resolved_from", F.lit(id_ if own != id_ else None).cast("string"))
 
 
 def get_edge(g: Graph, id_: str) -> DataFrame:
@@ -57,14 +64,19 @@ def closed(g: Graph) -> Graph:
 
 
 def history(g: Graph, id_: str) -> DataFrame:
-    """The node, then its edges in order of valid_from (unbounded first, outgoing before incoming, then id).
+    """The node with an id or alias, then its edges in order of valid_from (unbounded first, outgoing before incoming, then id).
+
+    kind, direction, id, type, valid_from, valid_to, other."""
+    return history_of(g, canonical(g, id_))
+
 
-    kind, direction, id, type, valid_from, valid_to, other, and place: the order within the result."""
+def history_of(g: Graph, id_: str) -> DataFrame:
+    """history() of a node's own id."""
     null = F.lit(None).cast("string")
     node = g.nodes.where(F.col("id") == id_).select(F.lit("node").alias("kind"), null.alias("direction"), "id", "type", "valid_from", "valid_to", null.alias("other"), F.lit(0).alias("side"))
     edge = lambda df, way, other, side: df.select(F.lit("edge").alias("kind"), F.lit(way).alias("direction"), "id", "type", "valid_from", "valid_to", F.col(other).alias("other"), F.lit(side).alias("side"))
     rows = node.unionByName(edge(out_edges(g, id_), "out", "to_id", 1)).unionByName(edge(in_edges(g, id_), "in", "from_id", 2))
-    # one node's facts; a hub's many edges are sorted as one partition only when the place is asked for
+    # one node's facts, by range partitions
     return rows.orderBy(F.desc("kind"), F.col("valid_from").asc_nulls_first(), "side", "id").drop("side")
 
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.lookup import changes, closed, history, snapshot
+from tessera.operators.lookup import canonical, changes, closed, get_edge, get_node, history_of, snapshot
 from tessera.plans.graph import Graph
 
 PUBLIC = "public"
@@ -71,7 +71,18 @@ def scoped_snapshot(g: Graph, scope: list[str], at: str) -> Graph:
 
 
 def scoped_history(g: Graph, scope: list[str], id_: str) -> DataFrame:
-    return history(scoped(g, scope), id_)
+    """Nothing if the node is hidden, for then its edges are hidden too; an alias counts as its node."""
+    return history_of(scoped(g, scope), canonical(g, id_))
+
+
+def scoped_node(g: Graph, scope: list[str], id_: str) -> DataFrame:
+    """The visible node with an id or alias."""
+    return get_node(g, id_).where(visible(scope))
+
+
+def scoped_edge(g: Graph, scope: list[str], id_: str) -> DataFrame:
+    """The edge with an id if it and both its ends are visible."""
+    return closed(Graph(g.nodes.where(visible(scope)), get_edge(g, id_).where(visible(scope)))).edges
 
 
 def scoped_changes(g: Graph, scope: list[str], since: str, until: str) -> DataFrame:

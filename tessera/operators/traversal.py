@@ -1,7 +1,7 @@
 """Bounded traversal: neighbours, hop distances, typed hops, cycles, hubs.
 
-Distances grow round by round: the frontier joins the links, what is new is kept. Each round is a written
-table, so the plan stays short; links are read once per round, and only the frontier is new.
+Distances grow level by level over links that are computed and written once; each level is a written table
+of what is new, small ones being broadcast by their known size, and the result is the levels together.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.components import drop_stored, stored
-from tessera.operators.lookup import active_at
+from tessera.operators.lookup import active_at, canonical
 from tessera.operators.scope import scoped, visible
 from tessera.plans.graph import Graph
 from tessera.plans.ontology import GENERIC, IDENTITY, SEMANTIC
@@ -30,34 +30,48 @@ def distances(nodes: DataFrame, edges: DataFrame, starts: list[str] | DataFrame,
     spark = nodes.sparkSession
     first = spark.createDataFrame([(x,) for x in starts], "id string") if isinstance(starts, list) else starts.select("id")
     ids = nodes.select("id")
-    reached = stored(first.distinct().join(ids, "id", "left_semi").withColumn("dist", F.lit(0)), "reached")
-    links = links_of(edges)
+    levels = [stored(first.distinct().join(ids, "id", "left_semi").withColumn("dist", F.lit(0)), "level")]
+    links = links_of(edges).join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
+    # one hop reads them once
+    links = stored(links, "links") if cap > 1 else links
     for d in range(1, cap + 1):
-        frontier = reached.where(F.col("dist") == d - 1).select(F.col("id").alias("a"))
-        new = links.join(frontier, "a", "left_semi").select(F.col("b").alias("id")).distinct().join(reached, "id", "left_anti").join(ids, "id", "left_semi")
-        new = stored(new.withColumn("dist", F.lit(d)), "frontier")
-        if new.isEmpty():
+        new = links.join(levels[-1].select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        # what is two levels back can't come again: a link goes both ways
+        for level in levels[-2:]:
+            new = new.join(level.select("id"), "id", "left_anti")
+        levels.append(stored(new.withColumn("dist", F.lit(d)), "level"))
+        if levels[-1].isEmpty():
             break
-        old, reached = reached, stored(reached.unionByName(new), "reached")
-        drop_stored(old)
-        drop_stored(new)
-    return reached
+    if cap > 1:
+        drop_stored(links)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
 
 
 def neighbors(g: Graph, id_: str, edge_type: str | None = None, depth: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Nodes (with dist) within depth hops of a node, itself included, and the edges met on the way: those with an
-    end at less than depth hops. depth is held within 1 and 5."""
+    """Nodes (with dist) within depth hops of the node with an id or alias, itself included, and the edges met on the way:
+    those with an end at less than depth hops. depth is held within 1 and 5."""
+    return _around(g, canonical(g, id_), edge_type, depth)
+
+
+def _around(g: Graph, id_: str, edge_type: str | None, depth: int) -> tuple[DataFrame, DataFrame]:
     depth = max(1, min(5, depth))
     edges = g.edges if edge_type is None else g.edges.where(F.col("type") == edge_type)
     dist = distances(g.nodes, edges, [id_], depth)
     near = dist.where(F.col("dist") < depth).select("id")
-    met = edges.join(near.withColumnRenamed("id", "from_id"), "from_id", "left_semi").unionByName(edges.join(near.withColumnRenamed("id", "to_id"), "to_id", "left_semi"))
-    return g.nodes.join(dist, "id"), met.dropDuplicates(["id"])
+    outward = edges.join(near.withColumnRenamed("id", "from_id"), "from_id", "left_semi")
+    inward = edges.join(near.withColumnRenamed("id", "to_id"), "to_id", "left_semi").join(near.withColumnRenamed("id", "from_id"), "from_id", "left_anti")
+    return g.nodes.join(dist, "id"), outward.unionByName(inward)
 
 
 def scoped_neighbors(g: Graph, scope: list[str], id_: str, edge_type: str | None = None, depth: int = 1, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Neighbours that are visible. The walk itself passes through hidden nodes unless strict; an edge needs both ends kept."""
-    nodes, edges = neighbors(scoped(g, scope) if strict else g, id_, edge_type, depth)
+    """Neighbours that are visible; nothing around a node that is hidden itself. The walk passes through hidden nodes unless
+    strict; an edge needs both ends kept."""
+    own = canonical(g, id_)
+    start = g.nodes.where((F.col("id") == own) & visible(scope))
+    nodes, edges = _around(scoped(g, scope) if strict else g, own if not start.isEmpty() else "", edge_type, depth)
     nodes = nodes.where(visible(scope))
     ids = nodes.select("id")
     kept = edges.where(visible(scope)).join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
@@ -65,9 +79,11 @@ def scoped_neighbors(g: Graph, scope: list[str], id_: str, edge_type: str | None
 
 
 def scoped_distances(g: Graph, scope: list[str], center: str, as_of: str | None = None, cap: int = CAP) -> DataFrame:
-    """Hops over visible nodes and edges only, and only active ones if as_of is given; the centre must itself be both."""
+    """Hops from a node (id or alias) over visible nodes and edges only, and only active edges if as_of is given; the centre
+    must be visible and active itself, nodes on the way only visible."""
     seen = scoped(g, scope)
-    return distances(active_at(seen.nodes, as_of), active_at(seen.edges, as_of), [center], cap)
+    start = active_at(seen.nodes, as_of).where(F.col("id") == canonical(g, center))
+    return distances(seen.nodes, active_at(seen.edges, as_of), start, cap)
 
 
 def type_weight(edge_type: Column) -> Column:

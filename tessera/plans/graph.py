@@ -40,8 +40,8 @@ class Graph:
 
     def aliases(self) -> DataFrame:
         """(alias, id): merged ids that nodes carry as a JSON list in props.merged_ids."""
-        merged = F.from_json(F.try_element_at("props", F.lit("merged_ids")), "array<string>")
-        return self.nodes.select(F.explode(merged).alias("alias"), "id", "pos").groupBy("alias").agg(F.max_by("id", "pos").alias("id"))
+        text = F.try_element_at("props", F.lit("merged_ids"))
+        return self.nodes.where(text.isNotNull()).select(F.explode(F.from_json(text, "array<string>")).alias("alias"), "id", "pos").groupBy("alias").agg(F.max_by("id", "pos").alias("id"))
 
 
 def last_of(facts: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +89,16 @@ def history(spark, d):
     return lookup.history(sample_graph(spark, d), "cust:42").selectExpr(*HISTORY_COLUMNS)
 
 
+@query("history_by_alias", on_graph(_history_sql("nodes", "edges", "part:100")))
+def history_by_alias(spark, d):
+    return lookup.history(_with_aliases(sample_graph(spark, d)), "old-part:100").selectExpr(*HISTORY_COLUMNS)
+
+
+@query("scoped_history_by_alias", on_graph(SCOPED + _history_sql("sn", "se", "part:100")))
+def scoped_history_by_alias(spark, d):
+    return scope.scoped_history(_with_aliases(sample_graph(spark, d)), SCOPE, "old-part:100").selectExpr(*HISTORY_COLUMNS)
+
+
 @query("scoped_history", on_graph(SCOPED + _history_sql("sn", "se", "part:7")))
 def scoped_history(spark, d):
     return scope.scoped_history(sample_graph(spark, d), SCOPE, "part:7").selectExpr(*HISTORY_COLUMNS)
@@ -129,6 +140,23 @@ def get_node(spark, d):
     return lookup.get_node(_with_aliases(sample_graph(spark, d)), "old-part:100").select("id", "type", F.col("props")["name"].alias("name"), "resolved_from")
 
 
+@query("edge_by_id", on_graph("SELECT id, type, from_id, to_id FROM edges WHERE id = (SELECT min(id) FROM edges WHERE from_id = 'cust:42')"))
+def edge_by_id(spark, d):
+    g = sample_graph(spark, d)
+    return lookup.get_edge(g, lookup.out_edges(g, "cust:42").agg(F.min("id")).first()[0] or "").select("id", "type", "from_id", "to_id")
+
+
+@query("scoped_points", on_graph(SCOPED + """SELECT 'node' AS kind, id FROM sn WHERE id IN ('nation:3', 'nation:0', 'part:100')
+UNION ALL SELECT 'edge', id FROM se WHERE id IN (SELECT min(id) FROM edges WHERE from_id = 'cust:42' UNION SELECT min(id) FROM edges WHERE from_id = 'supp:7')"""))
+def scoped_points(spark, d):
+    """Three nodes, one of them asked for by its alias, and two edges, as far as they are visible."""
+    g = _with_aliases(sample_graph(spark, d))
+    some = [lookup.out_edges(g, x).agg(F.min("id")).first()[0] or "" for x in ("cust:42", "supp:7")]
+    out = [scope.scoped_node(g, SCOPE, x).select(F.lit("node").alias("kind"), "id") for x in ("nation:3", "nation:0", "old-part:100")]
+    out += [scope.scoped_edge(g, SCOPE, x).select(F.lit("edge").alias("kind"), "id") for x in some]
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("aliases", on_graph("SELECT 'old-' || id AS alias, id FROM nodes WHERE regexp_matches(id, '^part:[0-9]*00$')"))
 def aliases(spark, d):
     return _with_aliases(sample_graph(spark, d)).aliases()
@@ -156,38 +184,55 @@ def scoped_facts(spark, d):
 # ---------------------------------------------------------------- traversal
 
 
-def _walk(nodes: str, edges: str, start: str, cap: int, after: str) -> str:
-    """dist(id, dist): hops up to cap, level by level."""
-    out = f", links AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT from_id AS a, to_id AS b FROM {edges} UNION ALL SELECT to_id, from_id FROM {edges}) WHERE b IN (SELECT id FROM {nodes})), l0 AS MATERIALIZED (SELECT id, 0 AS dist FROM {nodes} WHERE id = '{start}')"
+def _walk(nodes: str, edges: str, start: str, cap: int, after: str, starts: str | None = None) -> str:
+    """dist(id, dist): hops up to cap, level by level; the start must be in `starts` (nodes unless given)."""
+    out = f", links AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT from_id AS a, to_id AS b FROM {edges} UNION ALL SELECT to_id, from_id FROM {edges}) SEMI JOIN {nodes} ON b = {nodes}.id), l0 AS MATERIALIZED (SELECT id, 0 AS dist FROM {starts or nodes} WHERE id = '{start}')"
     for i in range(1, cap + 1):
-        out += f", l{i} AS MATERIALIZED (SELECT * FROM l{i - 1} UNION ALL SELECT DISTINCT b, {i} FROM links JOIN l{i - 1} ON a = id AND dist = {i - 1} WHERE b NOT IN (SELECT id FROM l{i - 1}))"
+        out += f", n{i} AS MATERIALIZED (SELECT DISTINCT b AS id FROM links JOIN l{i - 1} ON a = id AND dist = {i - 1}), l{i} AS MATERIALIZED (SELECT * FROM l{i - 1} UNION ALL SELECT id, {i} FROM n{i} ANTI JOIN l{i - 1} USING (id))"
     return out + f", dist AS (SELECT id, CAST(dist AS INTEGER) AS dist FROM l{cap})" + after
 
 
-def _neighbors(depth: int, start: str) -> None:
-    sql = _walk("nodes", "edges", start, depth, f"""
-SELECT 'node' AS kind, id, dist FROM dist UNION ALL
-SELECT 'edge', id, -1 FROM edges WHERE from_id IN (SELECT id FROM dist WHERE dist < {depth}) OR to_id IN (SELECT id FROM dist WHERE dist < {depth})""")
+_MET = ", near AS MATERIALIZED (SELECT id FROM dist WHERE dist < {depth}), met AS MATERIALIZED (SELECT edges.id FROM edges SEMI JOIN near ON from_id = near.id UNION SELECT edges.id FROM edges SEMI JOIN near ON to_id = near.id)"
+
+
+def _both(nodes, edges, dist: bool = True):
+    shown = [F.col("dist")] if dist else []
+    return nodes.select(F.lit("node").alias("kind"), "id", *shown).unionByName(edges.select(F.lit("edge").alias("kind"), "id", *([F.lit(-1).alias("dist")] if dist else [])))
 
-    @query(f"neighbors_d{depth}", on_graph(sql))
+
+def _neighbors(name: str, depth: int, start: str, asked: str | None = None) -> None:
+    sql = _walk("nodes", "edges", start, depth, _MET.format(depth=depth) + " SELECT 'node' AS kind, id, dist FROM dist UNION ALL SELECT 'edge', id, -1 FROM met")
+
+    @query(name, on_graph(sql))
     def neighbors(spark, d):
-        nodes, edges = traversal.neighbors(sample_graph(spark, d), start, depth=depth)
-        return nodes.select(F.lit("node").alias("kind"), "id", "dist").unionByName(edges.select(F.lit("edge").alias("kind"), "id", F.lit(-1).alias("dist")))
+        return _both(*traversal.neighbors(_with_aliases(sample_graph(spark, d)), asked or start, depth=depth))
+
 
+_neighbors("neighbors_d1", 1, "nation:3")
+_neighbors("neighbors_d2", 2, "cust:42")
+_neighbors("neighbors_d3", 3, "ord:77")
+_neighbors("neighbors_by_alias", 2, "part:100", "old-part:100")
 
-_neighbors(1, "nation:3")
-_neighbors(2, "cust:42")
-_neighbors(3, "ord:77")
 
+def _scoped_neighbors(start: str) -> str:
+    kept = f", kept AS MATERIALIZED (SELECT dist.id FROM dist SEMI JOIN sn USING (id)) SELECT 'node' AS kind, id FROM kept UNION ALL SELECT 'edge', e.id FROM (SELECT * FROM edges WHERE ns IN {_IN}) e SEMI JOIN met ON e.id = met.id SEMI JOIN kept a ON from_id = a.id SEMI JOIN kept b ON to_id = b.id"
+    return on_graph(SCOPED + _walk("nodes", "edges", start, 2, _MET.format(depth=2) + kept, "sn"))
 
-@query("scoped_neighbors", on_graph(SCOPED + _walk("nodes", "edges", "part:7", 2, f""",
-kept AS (SELECT id FROM dist WHERE id IN (SELECT id FROM sn))
-SELECT 'node' AS kind, id FROM kept UNION ALL
-SELECT 'edge', id FROM edges WHERE ns IN {_IN} AND from_id IN (SELECT id FROM kept) AND to_id IN (SELECT id FROM kept)
-AND (from_id IN (SELECT id FROM dist WHERE dist < 2) OR to_id IN (SELECT id FROM dist WHERE dist < 2))""")))
+
+@query("scoped_neighbors", _scoped_neighbors("part:7"))
 def scoped_neighbors(spark, d):
-    nodes, edges = traversal.scoped_neighbors(sample_graph(spark, d), SCOPE, "part:7", depth=2)
-    return nodes.select(F.lit("node").alias("kind"), "id").unionByName(edges.select(F.lit("edge").alias("kind"), "id"))
+    return _both(*traversal.scoped_neighbors(sample_graph(spark, d), SCOPE, "part:7", depth=2), dist=False)
+
+
+@query("scoped_neighbors_by_alias", _scoped_neighbors("part:100"))
+def scoped_neighbors_by_alias(spark, d):
+    return _both(*traversal.scoped_neighbors(_with_aliases(sample_graph(spark, d)), SCOPE, "old-part:100", depth=2), dist=False)
+
+
+@query("scoped_neighbors_hidden_start", _scoped_neighbors("nation:0"))
+def scoped_neighbors_hidden_start(spark, d):
+    """nation:0 is African: its customers can't be asked for through it."""
+    return _both(*traversal.scoped_neighbors(sample_graph(spark, d), SCOPE, "nation:0", depth=2), dist=False)
 
 
 @query("distances_cap4", on_graph(_walk("nodes", "edges", "region:1", 4, " SELECT id, dist FROM dist")))
@@ -196,11 +241,25 @@ def distances(spark, d):
     return traversal.distances(g.nodes, g.edges, ["region:1"])
 
 
-@query("scoped_distances_asof", on_graph(SCOPED + f", an AS MATERIALIZED (SELECT * FROM sn WHERE {live(AT)}), ae AS MATERIALIZED (SELECT * FROM se WHERE {live(AT)})" + _walk("an", "ae", "region:3", 4, " SELECT id, dist FROM dist")))
+@query("distances_by_alias", on_graph(_walk("nodes", "edges", "part:100", 2, " SELECT id, dist FROM dist")))
+def distances_by_alias(spark, d):
+    g = _with_aliases(sample_graph(spark, d))
+    return traversal.distances(g.nodes, g.edges, [lookup.canonical(g, "old-part:100")], 2)
+
+
+_AS_OF = f", an AS MATERIALIZED (SELECT * FROM sn WHERE {live(AT)}), ae AS MATERIALIZED (SELECT * FROM se WHERE {live(AT)})"
+
+
+@query("scoped_distances_asof", on_graph(SCOPED + _AS_OF + _walk("sn", "ae", "region:3", 4, " SELECT id, dist FROM dist", "an")))
 def scoped_distances(spark, d):
     return traversal.scoped_distances(sample_graph(spark, d), SCOPE, "region:3", AT)
 
 
+@query("scoped_distances_by_alias", on_graph(SCOPED + _AS_OF + _walk("sn", "ae", "part:100", 4, " SELECT id, dist FROM dist", "an")))
+def scoped_distances_by_alias(spark, d):
+    return traversal.scoped_distances(_with_aliases(sample_graph(spark, d)), SCOPE, "old-part:100", AT)
+
+
 _HOPS = """
 ends AS (SELECT id, from_id AS e FROM edges UNION SELECT id, to_id FROM edges),
 hop AS (SELECT DISTINCT s.id AS seed, h.id AS hop, h.type AS hop_type FROM (SELECT * FROM ends WHERE id IN (SELECT id FROM seeds)) s JOIN (SELECT ends.*, type FROM ends JOIN edges USING (id) WHERE type <> 'relates_to') h ON s.e = h.e AND s.id <> h.id),
@@ -221,16 +280,11 @@ def hub_top10(spark, d):
 
 
 @query("directed_cycles", """
-WITH RECURSIVE e AS (SELECT DISTINCT 'supp:' || (l_suppkey % 40) AS a, 'supp:' || (l_partkey % 40) AS b FROM lineitem WHERE l_partkey % 97 = 0 AND l_quantity > 25),
+WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_partkey IN (SELECT l_suppkey FROM lineitem)),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT a AS id FROM r WHERE a = b""")
+SELECT 'supp:' || a AS id FROM r WHERE a = b""")
 def directed_cycles(spark, d):
-    pick = table(spark, d, "lineitem").where("l_partkey % 97 = 0 and l_quantity > 25")
-    return traversal.on_cycle(pick.select(F.concat(F.lit("supp:"), F.col("l_suppkey") % 40).alias("from_id"), F.concat(F.lit("supp:"), F.col("l_partkey") % 40).alias("to_id")))
-
-
-@query("directed_cycles_all", None)
-def directed_cycles_all(spark, d):
+    """Suppliers and parts of every line, their ids shared, so that there are cycles."""
     rows = table(spark, d, "lineitem")
     return traversal.on_cycle(rows.select(F.concat(F.lit("supp:"), F.col("l_suppkey")).alias("from_id"), F.concat(F.lit("supp:"), F.col("l_partkey")).alias("to_id")))
 
@@ -293,7 +347,7 @@ def scoped_search_nodes(spark, d):
     return search.scoped_search(sample_graph(spark, d), SCOPE, "Customer#", 20, as_of=AT).select("id", "type")
 
 
-@query("scoped_search_facts", on_graph(_facts_sql(SCOPED + f", {_FOUND_FACTS}, seen AS MATERIALIZED (SELECT * FROM found WHERE id IN (SELECT id FROM se) AND {live(AT)}), an AS MATERIALIZED (SELECT * FROM sn WHERE {live(AT)}), ae AS MATERIALIZED (SELECT * FROM se WHERE {live(AT)})" + _walk("an", "ae", "part:3", 4, ""), "seen")))
+@query("scoped_search_facts", on_graph(_facts_sql(SCOPED + f", {_FOUND_FACTS}, seen AS MATERIALIZED (SELECT * FROM found WHERE id IN (SELECT id FROM se) AND {live(AT)})" + _AS_OF + _walk("sn", "ae", "part:3", 4, "", "an"), "seen")))
 def scoped_search_facts(spark, d):
     return search.scoped_search(sample_graph(spark, d), SCOPE, "gear", 10, kind="facts", center="part:3", as_of=AT).select("id", "type", F.round("score", 9).alias("score"))
 
@@ -421,11 +475,11 @@ def suggest(spark, d):
     return health.suggestions(sample_graph(spark, d))
 
 
-_ERRORS = "SELECT event_type AS message, CAST(user_id % 5 AS VARCHAR) AS component, 'E' || (event_id % 3) AS error_type, event_type AS event FROM events WHERE event_type = 'error' OR event_id % 11 = 0"
+_ERRORS = "SELECT event_type AS message, CAST(user_id % 5 AS VARCHAR) AS component, 'E' || (event_id % 3) AS error_type, event_type AS event FROM events"
 
 
 def _errors(spark, d):
-    rows = table(spark, d, "events").where("event_type = 'error' or event_id % 11 = 0")
+    rows = table(spark, d, "events")
     return rows.select(F.col("event_type").alias("message"), (F.col("user_id") % 5).cast("string").alias("component"), F.concat(F.lit("E"), (F.col("event_id") % 3).cast("string")).alias("error_type"), F.col("event_type").alias("event"))
 
 

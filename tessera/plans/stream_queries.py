@@ -31,9 +31,6 @@ def journal_stream(spark, d):
     return streams.merge_stream(streams.table_stream(spark, d, "events"), start, merge).withColumn("last", F.col("last").cast("string"))
 
 
-NOW = 1_704_153_600.0
-
-
 def _queue(e):
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     return e.select(
@@ -42,20 +39,11 @@ def _queue(e):
     )
 
 
-@query("event_queue_state", f"""
-WITH q AS (SELECT 'agent/' || user_id AS key, epoch_us(ts) / 1e6 AS tm, CASE WHEN event_type = 'error' THEN 'session_end' ELSE event_type END AS trigger, event_id % 12 AS attempts FROM events WHERE ts < TIMESTAMP '2024-01-02 00:00:00'),
-l AS (SELECT key, arg_max(q, (tm, trigger)) AS e FROM q GROUP BY 1)
-SELECT key, e.trigger AS trigger, CASE WHEN e.attempts >= 10 THEN 'dropped' WHEN e.attempts > 0 AND {NOW} - (e.tm + 10) < least(300.0, 2.0 ** least(e.attempts, 8)) THEN 'retrying' WHEN e.trigger <> 'session_end' AND {NOW} - e.tm < 300 THEN 'waiting' ELSE 'due' END AS state FROM l""")
-def event_queue_state(spark, d):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return streams.queue_state(streams.coalesced(_queue(table(spark, d, "events").where("ts < timestamp_ntz'2024-01-02 00:00:00'"))), NOW).select("key", "trigger", "state")
-
-
-@query("event_queue_state_all", """
+@query("event_queue_state", """
 WITH q AS (SELECT 'agent/' || user_id AS key, epoch_us(ts) / 1e6 AS tm, CASE WHEN event_type = 'error' THEN 'session_end' ELSE event_type END AS trigger, event_id % 12 AS attempts FROM events),
 t AS (SELECT max(tm) + 1 AS now FROM q), l AS (SELECT key, arg_max(q, (tm, trigger)) AS e FROM q GROUP BY 1)
 SELECT key, e.trigger AS trigger, CASE WHEN e.attempts >= 10 THEN 'dropped' WHEN e.attempts > 0 AND now - (e.tm + 10) < least(300.0, 2.0 ** least(e.attempts, 8)) THEN 'retrying' WHEN e.trigger <> 'session_end' AND now - e.tm < 300 THEN 'waiting' ELSE 'due' END AS state FROM l, t""")
-def event_queue_state_all(spark, d):
+def event_queue_state(spark, d):
     """All events, a second after the last of them."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     queue = _queue(table(spark, d, "events"))
@@ -127,20 +115,11 @@ def fact_lines(spark, d):
 
 
 @query("proposal_checks", """
-WITH p AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'link' WHEN 2 THEN 'update' ELSE 'merge' END AS op, 'cust:' || (user_id * 20) AS a, 'cust:' || (event_id % 1500) AS b FROM events WHERE event_id < 2000),
-seen AS (SELECT 'cust:' || c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE lower(r_name) IN ('europe', 'middle east'))
-SELECT event_id, CASE WHEN op = 'create' AND a IN (SELECT id FROM seen) THEN 'already there' WHEN op = 'update' AND a NOT IN (SELECT id FROM seen) THEN 'no such node'
-  WHEN op IN ('link', 'merge') AND (a NOT IN (SELECT id FROM seen) OR b NOT IN (SELECT id FROM seen)) THEN 'end not visible' WHEN op = 'merge' AND a = b THEN 'one node' END AS error FROM p""")
-def proposal_checks(spark, d):
-    return _checked(spark, d, table(spark, d, "events").where("event_id < 2000"))
-
-
-@query("proposal_checks_all", """
 WITH p AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'link' WHEN 2 THEN 'update' ELSE 'merge' END AS op, 'cust:' || (user_id * 20) AS a, 'cust:' || (event_id % 1500) AS b FROM events),
 seen AS (SELECT 'cust:' || c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE lower(r_name) IN ('europe', 'middle east'))
 SELECT event_id, CASE WHEN op = 'create' AND a IN (SELECT id FROM seen) THEN 'already there' WHEN op = 'update' AND a NOT IN (SELECT id FROM seen) THEN 'no such node'
   WHEN op IN ('link', 'merge') AND (a NOT IN (SELECT id FROM seen) OR b NOT IN (SELECT id FROM seen)) THEN 'end not visible' WHEN op = 'merge' AND a = b THEN 'one node' END AS error FROM p""")
-def proposal_checks_all(spark, d):
+def proposal_checks(spark, d):
     return _checked(spark, d, table(spark, d, "events"))
 
 

@@ -106,12 +106,12 @@ def test_pages_print_every_relation(spark):
 def test_all_proposals_are_checked(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     shifted = events.withColumn("event_id", F.col("event_id") + 5000)
-    assert stream_queries._checked(spark, sf, shifted).count() == events.count() == stream_queries.proposal_checks_all(spark, sf).count()
+    assert stream_queries._checked(spark, sf, shifted).count() == events.count() == stream_queries.proposal_checks(spark, sf).count()
 
 
 def test_queue_holds_every_key(spark, sf):
     keys = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
-    assert stream_queries.event_queue_state_all(spark, sf).count() == keys
+    assert stream_queries.event_queue_state(spark, sf).count() == keys
 
 
 def test_cycles_of_all_lineitems(spark, sf):
@@ -130,7 +130,7 @@ def test_cycles_of_all_lineitems(spark, sf):
         return seen
 
     want = sorted(f"supp:{a}" for a in out if a in reached(a))
-    assert sorted(r["id"] for r in queries.directed_cycles_all(spark, sf).collect()) == want
+    assert sorted(r["id"] for r in queries.directed_cycles(spark, sf).collect()) == want
 
 
 def test_long_chain_and_empty_components(spark):
