@@ -71,18 +71,24 @@ def canonical_proposals(proposals: DataFrame, g: Graph) -> DataFrame:
 
 
 def merged_json(ours: Column, theirs: Column) -> Column:
-    """Two JSON objects as one, theirs winning, objects one level down united. Values are carried as text: numbers come out quoted."""
-    kind = "map<string,string>"
-    a, b = F.coalesce(F.from_json(ours, kind), F.create_map().cast(kind)), F.coalesce(F.from_json(theirs, kind), F.create_map().cast(kind))
-    keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
-    inner = lambda x: F.when(F.trim(x).startswith("{"), F.from_json(x, kind))
+    """Two JSON objects as one, theirs winning, objects one level down united; null unless both are objects.
+
+    Values keep their types: they are variants, from parsing to writing. Keys come out sorted."""
+    kind = "map<string,variant>"
+    parsed = lambda c: F.when(F.trim(c).startswith("{"), F.from_json(c, kind))
+    a, b = parsed(ours), parsed(theirs)
+    inner = lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT<")), F.from_json(F.to_json(v), kind))
+
+    def united(x: Column, y: Column) -> Column:
+        """y over x."""
+        return F.map_concat(F.map_filter(x, lambda k, _: ~F.array_contains(F.map_keys(y), k)), y)
 
     def value(k: Column) -> Column:
         x, y = F.try_element_at(a, k), F.try_element_at(b, k)
-        both = inner(x).isNotNull() & inner(y).isNotNull()
-        united = F.map_concat(F.map_filter(inner(x), lambda i, _: ~F.coalesce(F.array_contains(F.map_keys(inner(y)), i), F.lit(False))), inner(y))
-        return F.when(both, F.to_json(F.map_from_entries(F.array_sort(F.map_entries(united))))).otherwise(F.coalesce(y, x))
+        both = x.isNotNull() & y.isNotNull() & inner(x).isNotNull() & inner(y).isNotNull()
+        return F.when(both, F.parse_json(F.to_json(united(inner(x), inner(y))))).otherwise(F.coalesce(y, x))
 
+    keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
     return F.to_json(F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), value(k).alias("value")))))
 
 

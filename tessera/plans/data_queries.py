@@ -198,11 +198,12 @@ _status("journal_status_manual", True)
 _status("journal_status_auto", False)
 
 
-@query("jsonl_union", "SELECT id, min_by(origin, side * 100000000 + n) AS origin FROM (SELECT user_id AS id, 'ours' AS origin, 0 AS side, event_id AS n FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, 'theirs', 1, event_id FROM events WHERE event_id % 3 = 0) GROUP BY 1")
+@query("jsonl_union", "SELECT id, min_by(origin, side * 1000000000000 + n) AS origin FROM (SELECT user_id AS id, 'ours' AS origin, 0 AS side, event_id AS n FROM events WHERE event_type <> 'error' UNION ALL SELECT user_id, 'theirs', 1, event_id FROM events WHERE event_type <> 'click') GROUP BY 1")
 def jsonl_union(spark, d):
+    """Our events are all but errors, theirs all but clicks: every event is on a side, most are on both."""
     e = table(spark, d, "events")
     side = lambda name, w: e.where(w).select(F.col("user_id").alias("id"), F.lit(name).alias("origin"), F.col("event_id").alias("n"))
-    return journal.union_first(side("ours", "event_id % 2 = 0"), side("theirs", "event_id % 3 = 0"), ["id"], ["n"]).select("id", "origin")
+    return journal.union_first(side("ours", "event_type <> 'error'"), side("theirs", "event_type <> 'click'"), ["id"], ["n"]).select("id", "origin")
 
 
 # ---------------------------------------------------------------- files
@@ -310,11 +311,25 @@ def session_window_batch(spark, d):
 # ---------------------------------------------------------------- text and scores
 
 
-@query("redact", "SELECT doc_id, 'key [REDACTED] for api_key=[REDACTED] at https://[REDACTED]@h/x?token=[REDACTED]&b=1, Bearer [REDACTED]' AS text FROM documents")
+_REDACTED = "text"
+for _pattern, _by in (
+    (r"(?i)((?:api[-_]?key|access[-_]?token|auth[-_]?token|password|passwd|secret)\s*[:=]\s*)[^\s;,]+", r"\1[REDACTED]"),
+    (r"(?i)(\bbearer\s+)[-\w.~+/=]+", r"\1[REDACTED]"),
+    (r"(?i)(https?://)[^@/\s]+@", r"\1[REDACTED]@"),
+    (r"(?i)([&?](?:api[-_]?key|access[-_]?token|token|key|secret|password)=)[^#&\s]+", r"\1[REDACTED]"),
+    (r"(?i)\b(?:sk|rk|pk|or|ds)-[-\w]{12,}\b", "[REDACTED]"),
+):
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_pattern}', '{_by}', 'g')"
+
+
+@query("redact", f"""SELECT doc_id, sha256(text) AS sha, contains(text, '[REDACTED]') AS masked
+FROM (SELECT doc_id, {_REDACTED} AS text FROM (SELECT doc_id, text || ' at https://u' || doc_id || ':p@h/x?token=t' || doc_id || '&b=1, Bearer q.w' || doc_id AS text FROM documents))""")
 def redact(spark, d):
+    """Every document's text, with a line that holds secrets after it."""
     n = F.col("doc_id").cast("string")
-    raw = F.concat(F.lit("key sk-abcdefgh12345"), n, F.lit(" for api_key="), n, F.lit(" at https://u:p"), n, F.lit("@h/x?token=t"), n, F.lit("&b=1, Bearer q.w"), n)
-    return table(spark, d, "documents").select("doc_id", fn.redacted(raw).alias("text"))
+    raw = F.concat("text", F.lit(" at https://u"), n, F.lit(":p@h/x?token=t"), n, F.lit("&b=1, Bearer q.w"), n)
+    out = table(spark, d, "documents").select("doc_id", fn.redacted(raw).alias("text"))
+    return out.select("doc_id", F.sha2("text", 256).alias("sha"), F.contains("text", F.lit(fn.MASK)).alias("masked"))
 
 
 _TOKENS = r"list_filter(regexp_split_to_array(trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s]+', ' ', 'g')), '\s+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the', 'is', 'are', 'was', 'were', 'to', 'of', 'in', 'on', 'at'))"

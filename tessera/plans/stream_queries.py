@@ -51,7 +51,12 @@ def event_queue_state(spark, d):
     return streams.queue_state(streams.coalesced(queue), (last or 0.0) + 1).select("key", "trigger", "state")
 
 
-@query("debounced_changes", "SELECT key, tm AS \"at\" FROM (SELECT event_type AS key, epoch_us(ts) / 1e6 AS tm, lag(epoch_us(ts) / 1e6) OVER (PARTITION BY event_type ORDER BY ts) AS b FROM events) WHERE b IS NULL OR tm - b >= 30")
+@query("debounced_changes", """
+WITH RECURSIVE c AS MATERIALIZED (SELECT DISTINCT event_type AS key, epoch_us(ts) AS us FROM events),
+n AS MATERIALIZED (SELECT c.key, c.us, d.us AS later FROM c ASOF JOIN c d ON c.key = d.key AND c.us + 30000000 <= d.us),
+s AS (SELECT key, us FROM (SELECT *, lag(us) OVER (PARTITION BY key ORDER BY us) AS b FROM c) WHERE b IS NULL OR us - b >= 30000000),
+r AS (SELECT key, us FROM s UNION SELECT r.key, later FROM r JOIN n USING (key, us))
+SELECT key, us / 1e6 AS "at" FROM r""")
 def debounced_changes(spark, d):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     e = table(spark, d, "events").select(F.col("event_type").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
@@ -137,15 +142,14 @@ def _checked(spark, d, events):
     return propose.checked(p, sample_graph(spark, d), SCOPE, VIEW).select("event_id", "error")
 
 
-@query("json_merge", """SELECT event_id, '{"a":"' || user_id || '","k":{"x":"1","y":"' || event_id || '"},"z":"t"}' AS merged FROM events""")
+@query("json_merge", """SELECT event_id, '{"a":' || user_id || ',"f":1.5,"k":{"x":1,"y":' || event_id || '},"l":[1,"2",null],"n":true,"z":"t"}' AS merged FROM events""")
 def json_merge(spark, d):
     from tessera.operators import propose
 
     n = F.col("event_id").cast("string")
-    ours = F.concat(F.lit('{"k": {"x": 1, "y": 0}, "z": "o", "a": "'), F.col("user_id").cast("string"), F.lit('"}'))
-    theirs = F.concat(F.lit('{"z": "t", "k": {"y": '), n, F.lit("}}"))
-    merged = propose.merged_json(ours, theirs)
-    return table(spark, d, "events").select("event_id", F.regexp_replace(F.regexp_replace(F.replace(merged, F.lit("\\"), F.lit("")), r'"\{', "{"), r'\}"', "}").alias("merged"))
+    ours = F.concat(F.lit('{"k": {"x": 1, "y": 0}, "z": "o", "l": [3], "n": true, "a": '), F.col("user_id").cast("string"), F.lit("}"))
+    theirs = F.concat(F.lit('{"z": "t", "l": [1, "2", null], "f": 1.5, "k": {"y": '), n, F.lit("}}"))
+    return table(spark, d, "events").select("event_id", propose.merged_json(ours, theirs).alias("merged"))
 
 
 @query("qa_harness", None)

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -141,8 +142,23 @@ def drained(events: DataFrame, late: str = "0 seconds") -> DataFrame:
 
 
 def debounced(changes: DataFrame, gap_s: float = 30.0) -> DataFrame:
-    """Changes (key, at in seconds) that come gap_s or more after the one before them of the same key."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("key").orderBy("at")
-    return changes.withColumn("_before", F.lag("at").over(w)).where(F.col("_before").isNull() | (F.col("at") - F.col("_before") >= gap_s)).drop("_before")
+    """The changes (key, at in seconds) that lead to an import: the first of a key, and then each that comes gap_s or more after
+    the last import, not after the last change.
+
+    A key's imports follow one from another, so its changes pass through one task, in order; none is held but the last import."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = object(), 0.0
+        for b in batches:
+            taken = []
+            for k, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if k != key or at - last >= gap_s:
+                    key, last = k, at
+                    taken.append(True)
+                else:
+                    taken.append(False)
+            yield b.filter(pa.array(taken, pa.bool_()))
+
+    rows = changes.select("key", "at").where("at is not null")
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.repartition("key").sortWithinPartitions("key", "at").mapInArrow(fold, f"key {kind}, at double")

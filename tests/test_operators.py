@@ -355,3 +355,65 @@ def test_dump_replaces_sessions_whole(spark, tmp_path):
     got = spark.read.text(str(tmp_path / "n"))
     assert sorted((r["session"], r["value"]) for r in got.collect()) == [("a", "w"), ("b", "z")]
     assert files.within(str(tmp_path / "n" / "x"), [str(tmp_path)]) and not files.within(str(tmp_path / ".." / "x"), [str(tmp_path)])
+
+
+def test_debounce_counts_from_the_last_import(spark):
+    rows = [("a", float(t)) for t in range(0, 201, 20)] + [("b", 5.0), ("b", 5.0), ("b", 34.0), ("b", 35.0), (None, 1.0), ("c", None)]
+    got = streams.debounced(spark.createDataFrame(rows, "key string, at double").repartition(3)).collect()
+    assert sorted(r["at"] for r in got if r["key"] == "a") == [0, 40, 80, 120, 160, 200]
+    assert sorted(r["at"] for r in got if r["key"] == "b") == [5, 35] and [r["at"] for r in got if r["key"] is None] == [1.0]
+    assert streams.debounced(spark.createDataFrame([], "key string, at double")).count() == 0
+
+
+def test_merged_json_keeps_types(spark):
+    from tessera.operators import propose
+
+    rows = [
+        ('{"version":4,"node_types":{"project":{"props":{"name":"string"}}}}', '{"version":4,"node_types":{"service":{"props":{"name":"string"}}}}'),
+        ('{"n":1,"b":true,"l":[1,2],"k":{"x":1},"s":"1"}', "{}"), ('{"k":{"x":1},"m":{"a":1}}', '{"k":7,"m":null}'), ("[1]", "{}"), (None, "{}"),
+    ]
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(propose.merged_json(F.col("a"), F.col("b"))).collect()]
+    assert got == ['{"node_types":{"project":{"props":{"name":"string"}},"service":{"props":{"name":"string"}}},"version":4}', '{"b":true,"k":{"x":1},"l":[1,2],"n":1,"s":"1"}', '{"k":7,"m":null}', None, None]
+
+
+def test_aliases_and_hidden_starts(spark):
+    g = graph(
+        spark,
+        [node("a", props={"merged_ids": '["old-a"]'}), node("b"), node("h", ns=["secret"], props={"merged_ids": '["old-h"]'})],
+        [edge("ab", "a", "b"), edge("bh", "b", "h"), edge("hh", "h", "h")],
+    )
+    assert ids(traversal.neighbors(g, "old-a")[0]) == ["a", "b"] == ids(traversal.scoped_neighbors(g, ["public"], "old-a")[0])
+    for hidden in ("h", "old-h", "gone"):
+        nodes, edges = traversal.scoped_neighbors(g, ["public"], hidden)
+        assert nodes.count() == edges.count() == 0 and scope.scoped_history(g, ["public"], hidden).count() == 0 and traversal.scoped_distances(g, ["public"], hidden).count() == 0
+    assert [r["id"] for r in lookup.history(g, "old-h").collect()] == ["h", "hh", "bh", "hh"]
+    assert {r["id"]: r["dist"] for r in traversal.scoped_distances(g, ["public"], "old-a").collect()} == {"a": 0, "b": 1}
+    assert lookup.get_node(g, "old-a").first()["resolved_from"] == "old-a" and ids(scope.scoped_node(g, ["public"], "old-h")) == [] == ids(scope.scoped_edge(g, ["public"], "bh"))
+
+
+def test_nodes_on_the_way_need_not_be_active(spark):
+    g = graph(spark, [node("a"), node("b", vt=date(2020, 1, 1)), node("c")], [edge("ab", "a", "b"), edge("bc", "b", "c"), edge("ac", "a", "c", vt=date(2020, 1, 1))])
+    assert {r["id"]: r["dist"] for r in traversal.scoped_distances(g, ["public"], "a", "2024-01-01").collect()} == {"a": 0, "b": 1, "c": 2}
+    assert traversal.scoped_distances(g, ["public"], "b", "2024-01-01").count() == 0
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from tessera.operators import components
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {"spark.checkpoint.dir": None}
+
+    with pytest.raises(RuntimeError):
+        components.shared_dir(Session)
+    Session.conf = {"spark.checkpoint.dir": "/shared"}
+    assert components.shared_dir(Session) == "/shared"
+    held = components.stored(spark.range(5), "x")
+    assert held.count() == 5
+    components.drop_stored(held)
+    with pytest.raises(Exception):
+        spark.read.parquet(held.inputFiles()[0])
