@@ -79,3 +79,24 @@ def superset(expected: DataFrame, got: DataFrame, key: str) -> DataFrame:
     hit = got.select(key, "id").distinct().withColumn("hit", F.lit(1))
     per = expected.select(key, "id").distinct().join(hit, [key, "id"], "left").groupBy(key)
     return per.agg(F.count("*").alias("expected"), F.count_if(F.col("hit").isNull()).alias("missing")).withColumn("passed", F.col("missing") == 0)
+
+
+def edge_types_at(questions: DataFrame, edges: DataFrame) -> DataFrame:
+    """questions (question, time as date, present array<string>, absent array<string>) with passed: whether edges of all present
+    types, and none of the absent ones, are active at the time. A null list asks for nothing."""
+    live = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("time"))) & (F.col("valid_to").isNull() | (F.col("time") < F.col("valid_to")))
+    # the times asked for are few; edges are counted by type and time before anything else
+    times = F.broadcast(questions.select("time").distinct())
+    types = edges.select("type", "valid_from", "valid_to").join(times, live).groupBy("time").agg(F.collect_set("type").alias("types"))
+    none = F.array().cast("array<string>")
+    held = F.coalesce("types", none)
+    ok = (F.size(F.array_except(F.coalesce("present", none), held)) == 0) & (F.size(F.array_intersect(F.coalesce("absent", none), held)) == 0)
+    return questions.join(types, "time", "left").withColumn("passed", ok).drop("types")
+
+
+def evaluation(extraction: DataFrame, structure: DataFrame) -> DataFrame:
+    """One row of JSON (report): the construction report, its parts with sorted keys."""
+    part = lambda df, name: df.agg(F.array_sort(F.collect_list(F.to_json(F.struct(*sorted(df.columns))))).alias(name))
+    both = part(extraction, "extraction").crossJoin(F.broadcast(part(structure, "structure")))
+    listed = lambda c: F.concat(F.lit(f'"{c}":['), F.array_join(c, ","), F.lit("]"))
+    return both.select(F.concat(F.lit("{"), listed("extraction"), F.lit(","), listed("structure"), F.lit("}")).alias("report"))

@@ -119,12 +119,24 @@ def source_texts(facts: DataFrame, docs: DataFrame, limit: int = 5) -> DataFrame
     return docs.join(F.broadcast(paths), "path", "left_semi")
 
 
-def keywords(question: Column) -> Column:
-    """Up to eight words: those with a capital first, then three longer ones."""
-    words = F.filter(F.split(F.regexp_replace(question, r"(?U)[^\w\s'-]", " "), r"(?U)\s+"), lambda w: F.length(w) > 2)
-    capital = F.filter(words, lambda w: w.rlike(r"^\p{Lu}") & ~F.lower(w).isin("what", "when", "where", "who", "which", "how", "why", "did", "does", "the"))
-    rest = F.filter(words, lambda w: ~w.rlike(r"^\p{Lu}") & (F.length(w) > 4))
-    return F.slice(F.array_distinct(F.concat(capital, F.slice(rest, 1, 3))), 1, 8)
+#: Words with a capital that are no names.
+NO_NAMES = (
+    "What When Where Who Why How Did Do Does Was Were Is Are The A An I My Me Would Could Will Have Has Had They Them Their Her His Its This That These Those Which"
+).split()
+#: Words that say nothing of what is asked for.
+NO_CONTENT = (
+    "what when where who why how did do does was were is are the a an to of in on at for from about after before during and or not no yes can could would will have has had been being that this "
+    "these those it they them their her his its ago long much many old new first last"
+).split()
+
+
+def keywords(question: Column, most: int = 8, content: int = 3) -> Column:
+    """What to search for: words that begin with a capital, then the first `content` others, lower-cased, of three letters or more."""
+    words = F.filter(F.split(F.translate(question, "?.!", ""), r"(?U)\s+"), lambda w: w != "")
+    capital = lambda w: w.rlike(r"^\p{Lu}")
+    names = F.filter(words, lambda w: capital(w) & ~w.isin(*NO_NAMES))
+    rest = F.transform(F.filter(words, lambda w: ~capital(w) & ~F.lower(w).isin(*NO_CONTENT) & (F.length(w) > 2)), F.lower)
+    return F.slice(F.concat(names, F.slice(rest, 1, content)), 1, most)
 
 
 def token_index(texts: DataFrame) -> DataFrame:

@@ -35,11 +35,15 @@ def stats(g: Graph, today: str) -> DataFrame:
     return counted.crossJoin(F.broadcast(names))  # one row each
 
 
+def topic_hit(topic: str) -> Column:
+    """Whether a node's id, type or a property value holds a topic, whatever the case."""
+    t = F.lit(topic.lower())
+    return F.contains(F.lower("id"), t) | F.contains(F.lower("type"), t) | F.exists(F.map_values("props"), lambda v: F.contains(F.lower(v), t))
+
+
 def topic_coverage(g: Graph, scope: list[str], topic: str, first: int = 20) -> DataFrame:
     """(type, n, ids): visible nodes whose id, type or a property value holds the topic; ids: the first of all, joined, on every row."""
-    t = F.lit(topic.lower())
-    hit = F.contains(F.lower("id"), t) | F.contains(F.lower("type"), t) | F.exists(F.map_values("props"), lambda v: F.contains(F.lower(v), t))
-    found = scoped(g, scope).nodes.where(hit)
+    found = scoped(g, scope).nodes.where(topic_hit(topic))
     ids = found.orderBy("id").limit(first).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
     return found.groupBy("type").agg(F.count("*").alias("n")).crossJoin(F.broadcast(ids))
 

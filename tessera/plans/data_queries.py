@@ -442,23 +442,47 @@ def page_overview(spark, d):
     return pages.overview(sample_graph(spark, d), VIEW)
 
 
-@query("entity_pages", on_graph(r"""
-, x AS (SELECT from_id AS id, to_id AS other, type, true AS o, coalesce(description, reason, note) AS description, """ + _VALID + r""" AS valid FROM edges UNION ALL SELECT to_id, from_id, type, false, coalesce(description, reason, note), """ + _VALID + r""" FROM edges),
-y AS (SELECT x.id, CASE x.type WHEN 'member_of' THEN CASE WHEN o THEN 'Member of' ELSE 'Has member' END WHEN 'in_domain' THEN CASE WHEN o THEN 'In domain' ELSE 'Includes' END ELSE '' END AS relation, other, coalesce(name, title, n.id) AS label, x.description, valid FROM x JOIN nodes n ON n.id = other WHERE x.id LIKE 'nation:%'),
-z AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY relation, other) AS no, '- ' || relation || ' [[' || replace(other, ':', '-') || '|' || label || ']]' || coalesce(': ' || description, '') || CASE WHEN valid = 'always' THEN '' ELSE ' (' || valid || ')' END AS line FROM y)
-SELECT n.id, replace(n.id, ':', '-') AS slug, '# ' || name || E'\n\n' || 'Type: team · Valid: always' || E'\n\n' || '## Relationships (' || (SELECT count(*) FROM z WHERE z.id = n.id) || E')\n\n' || (SELECT string_agg(line, chr(10) ORDER BY no) FROM z WHERE z.id = n.id AND no <= 200) || E'\n\n## Sources\n\n- ' || src || chr(10) AS body
-FROM nodes n WHERE type = 'team'"""))
+_REL = "CASE x.type WHEN 'member_of' THEN CASE WHEN o THEN 'Member of' ELSE 'Has member' END WHEN 'in_domain' THEN CASE WHEN o THEN 'In domain' ELSE 'Includes' END WHEN 'pursues' THEN CASE WHEN o THEN 'Pursues' ELSE 'Pursued by' END WHEN 'depends_on' THEN CASE WHEN o THEN 'Depends on' ELSE 'Depended on by' END WHEN 'contributes_to' THEN CASE WHEN o THEN 'Contributes to' ELSE 'Has contributor' END ELSE 'Relates to' END"
+_KEYS = ("brand", "name", "priority", "segment", "status", "summary", "title")
+_OWN = "list_filter([" + ", ".join(f"'{k}: \"' || {k} || '\"'" for k in _KEYS) + "], lambda v: v IS NOT NULL)"
+_LABEL = "coalesce(name, title, id)"
+_KIND = "CASE type WHEN 'person' THEN 'Person' WHEN 'service' THEN 'Service' WHEN 'team' THEN 'Team' WHEN 'domain' THEN 'Domain' WHEN 'goal' THEN 'Goal' ELSE 'Project' END"
+
+
+@query("entity_pages", on_graph(rf"""
+, x AS (SELECT id AS edge, from_id AS id, to_id AS other, type, true AS o, coalesce(description, reason, note) AS said, {_VALID} AS valid, ns, src, description, reason, note, lines FROM edges
+  UNION ALL SELECT id, to_id, from_id, type, false, coalesce(description, reason, note), {_VALID}, ns, src, description, reason, note, lines FROM edges),
+y AS MATERIALIZED (SELECT x.*, {_REL} AS relation, coalesce(n.name, n.title, n.id) AS title FROM x JOIN nodes n ON n.id = other),
+gr AS (SELECT id, relation, o, type, string_agg('- [[' || replace(other, ':', '-') || '|' || title || ']]' || coalesce(' — ' || said, '') || CASE WHEN valid = 'always' THEN '' ELSE ' _(' || valid || ')_' END, chr(10) ORDER BY other, edge) AS ls, list_sort(list(DISTINCT replace(other, ':', '-'))) AS slugs FROM y GROUP BY ALL),
+co AS (SELECT id, string_agg('### ' || relation || E'\n\n' || ls, E'\n\n' ORDER BY relation, NOT o, type) AS connections, string_agg(type || ':' || chr(10) || array_to_string(list_transform(slugs, lambda v: '  - "[[' || v || ']]"'), chr(10)), chr(10) ORDER BY type) FILTER (o) AS targets FROM gr GROUP BY id),
+fa AS (SELECT id, string_agg('- `' || edge || '` — ' || relation || ' ' || title || '; namespaces: ["' || ns || '"]' || CASE WHEN valid = 'always' THEN '' ELSE '; validity: ' || valid END || '; sources: `' || src || '`' ||
+  CASE WHEN coalesce(description, reason, note, lines) IS NULL THEN '' ELSE '; properties: `{{' || concat_ws(', ', '"description": "' || description || '"', '"lines": "' || lines || '"', '"note": "' || note || '"', '"reason": "' || reason || '"') || '}}`' END, chr(10) ORDER BY edge, NOT o) AS facts FROM y GROUP BY id)
+SELECT nodes.id, replace(nodes.id, ':', '-') AS slug, concat_ws(E'\n\n',
+  concat_ws(chr(10), '---', 'kind: "node"', 'id: "' || nodes.id || '"', 'type: "' || type || '"', 'ns: ["' || ns || '"]', 'valid_from: "' || coalesce(vf::VARCHAR, '') || '"', 'valid_to: "' || coalesce(vt::VARCHAR, '') || '"', 'sources:', '  - "' || src || '"',
+    'tags: ["' || type || '", "' || ns || '", "entity"]', 'aliases: ["' || coalesce(name, title) || '"]', 'props:', array_to_string(list_transform({_OWN}, lambda v: '  ' || v), chr(10)), array_to_string({_OWN}, chr(10)), targets, '---'),
+  '# ' || coalesce(name, title), '> ' || coalesce(summary, coalesce(name, title) || ' — ' || {_KIND} || '.'),
+  '## At a glance' || chr(10) || chr(10) || concat_ws(chr(10), '- **Type:** ' || {_KIND}, '- **Status:** ' || status, '- **Brand:** ' || brand, '- **Priority:** ' || priority, '- **Segment:** ' || segment),
+  '## Connections' || E'\n\n' || connections, CASE WHEN vf IS NOT NULL THEN '## Timeline' || E'\n\n' || concat_ws(chr(10), '- **' || vf || '**: Valid from', '- **' || vt || '**: Valid until') END,
+  '## Sources' || E'\n\n- `' || src || '`', '## Technical details' || E'\n\n- **Fact ID:** `' || nodes.id || E'`\n- **Namespaces:** ["' || ns || E'"]\n- **Validity:** ' || {_VALID} || coalesce(E'\n\n### Relationship facts\n\n' || facts, '')) || chr(10) AS body
+FROM nodes LEFT JOIN co ON co.id = nodes.id LEFT JOIN fa ON fa.id = nodes.id"""))
 def entity_pages(spark, d):
-    return pages.entity_pages(sample_graph(spark, d), VIEW, 200).where("id like 'nation:%'")
-
-
-@query("entity_pages_all", on_graph(r"""
-, x AS (SELECT from_id AS id, to_id AS other, type, true AS o, coalesce(description, reason, note) AS description, """ + _VALID + r""" AS valid FROM edges UNION ALL SELECT to_id, from_id, type, false, coalesce(description, reason, note), """ + _VALID + r""" FROM edges),
-y AS (SELECT x.id, CASE x.type WHEN 'member_of' THEN CASE WHEN o THEN 'Member of' ELSE 'Has member' END WHEN 'in_domain' THEN CASE WHEN o THEN 'In domain' ELSE 'Includes' END WHEN 'pursues' THEN CASE WHEN o THEN 'Pursues' ELSE 'Pursued by' END
-  WHEN 'depends_on' THEN CASE WHEN o THEN 'Depends on' ELSE 'Depended on by' END WHEN 'contributes_to' THEN CASE WHEN o THEN 'Contributes to' ELSE 'Has contributor' END ELSE 'Relates to' END AS relation, other, coalesce(name, title, n.id) AS label, x.description, valid FROM x JOIN nodes n ON n.id = other),
-z AS (SELECT id, relation, other, '- ' || relation || ' [[' || replace(other, ':', '-') || '|' || label || ']]' || coalesce(': ' || description, '') || CASE WHEN valid = 'always' THEN '' ELSE ' (' || valid || ')' END AS line FROM y),
-l AS (SELECT id, count(*) AS n, string_agg(line, chr(10) ORDER BY relation, other) AS lines FROM z GROUP BY id)
-SELECT nodes.id, replace(nodes.id, ':', '-') AS slug, concat_ws(E'\n\n', '# ' || coalesce(name, title, nodes.id), 'Type: ' || type || ' · Valid: ' || """ + _VALID + r""", summary, '## Relationships (' || l.n || E')\n\n' || lines, '## Sources' || E'\n\n- ' || src) || chr(10) AS body
-FROM nodes LEFT JOIN l ON l.id = nodes.id"""))
-def entity_pages_all(spark, d):
     return pages.entity_pages(sample_graph(spark, d), VIEW)
+
+
+_CATALOG_LINE = f"'- [[' || replace(id, ':', '-') || '|' || {_LABEL} || ']]' || CASE WHEN coalesce(summary, status, vf::VARCHAR) IS NULL THEN '' ELSE ' — ' || concat_ws(' · ', summary, 'status: ' || status, 'since ' || vf) END"
+
+
+@query("index_sections", on_graph(rf"""
+, w AS (SELECT 'Goals and projects' AS section, row_number() OVER (ORDER BY type, lower({_LABEL}), id) AS place, {_CATALOG_LINE} AS line FROM nodes WHERE type IN ('goal', 'project')),
+p AS (SELECT 'People and teams' AS section, row_number() OVER (ORDER BY lower({_LABEL}), id) AS place, {_CATALOG_LINE} AS line FROM nodes WHERE type IN ('person', 'team')),
+dg AS (SELECT id, count(*) AS degree FROM nodes JOIN (SELECT from_id AS e FROM edges UNION ALL SELECT to_id FROM edges) ON id = e GROUP BY id),
+h AS (SELECT 'Key connected entities' AS section, row_number() OVER (ORDER BY degree DESC, lower({_LABEL}), id) AS place, '- [[' || replace(id, ':', '-') || '|' || {_LABEL} || ']] — ' || degree || ' connections' AS line FROM nodes JOIN dg USING (id)),
+t AS (SELECT 'Browse by type' AS section, row_number() OVER (ORDER BY type) AS place, '- [[catalog#' || k || '|' || k || ']] (' || n || ')' AS line FROM (SELECT type, CASE type WHEN 'person' THEN 'People' WHEN 'service' THEN 'Services' WHEN 'team' THEN 'Teams' WHEN 'domain' THEN 'Domains' WHEN 'goal' THEN 'Goals' ELSE 'Projects' END AS k, count(*) AS n FROM nodes GROUP BY type))
+SELECT section, CAST(place AS INTEGER) AS place, line FROM (SELECT * FROM w WHERE place <= 12 UNION ALL SELECT * FROM p WHERE place <= 12 UNION ALL SELECT * FROM h WHERE place <= 10 UNION ALL SELECT * FROM t)"""))
+def index_sections(spark, d):
+    return pages.index_sections(sample_graph(spark, d), VIEW)
+
+
+@query("node_aliases", on_graph("SELECT id, coalesce(name, title) AS alias FROM nodes"))
+def node_aliases(spark, d):
+    return sample_graph(spark, d).nodes.select("id", F.explode(pages.node_aliases()).alias("alias"))

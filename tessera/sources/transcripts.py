@@ -110,6 +110,45 @@ def newest(files: DataFrame, cwd: str | None = None) -> DataFrame:
     return files.agg(F.max_by("path", F.struct(match, "mtime", "path")).alias("path"))
 
 
+def first_record_cwd(lines: DataFrame) -> DataFrame:
+    """(path, cwd): the working directory that the first record of a file (path, pos, value) names, if it is the session's own."""
+    first = lines.groupBy("path").agg(F.min_by("value", "pos").alias("value"))
+    return first.select("path", F.when(_at("$.type") == "session_meta", _at("$.payload.cwd")).alias("cwd"))
+
+
+def early_cwd(lines: DataFrame, first: int = 64) -> DataFrame:
+    """(path, cwd): the first working directory that one of the first lines of a file (path, pos from 0, value) names."""
+    named = F.coalesce(F.nullif(_at("$.cwd"), F.lit("")), F.nullif(_at("$.data.cwd"), F.lit("")))
+    return lines.where(F.col("pos") < first).groupBy("path").agg(F.min_by(named, F.when(named.isNotNull(), F.col("pos"))).alias("cwd"))
+
+
+def session_of(files: DataFrame, recorded: DataFrame, cwd: str | None, fallback: bool = True) -> DataFrame:
+    """The newest file (path, mtime) whose recorded directory (path, cwd) is cwd; else the newest of all, or none without fallback."""
+    found = files.join(recorded, "path", "left")
+    if not fallback:
+        found = found.where(F.col("cwd") == cwd)
+    return newest(found, cwd).where("path is not null")
+
+
+# ---------------------------------------------------------------- conversations in a key-value table
+
+
+def composers(rows: DataFrame, prefix: str = "composerData:") -> DataFrame:
+    """(session, created, value) of rows (key, value) of a key-value table: values that are JSON objects, under the prefix, and hold
+    a conversation or a text. Others are left out; callers sort by created, newest first."""
+    doc = rows.where(F.col("key").startswith(prefix)).select("value").where(F.trim("value").startswith("{") & F.get_json_object("value", "$").isNotNull())
+    talk, text = F.coalesce(_at("$.conversationMap"), F.lit("{}")), F.coalesce(_at("$.text"), F.lit(""))
+    full = doc.where(~F.regexp_replace(talk, r"\s", "").isin("{}", "null", "[]") | (text != ""))
+    return full.select(F.coalesce(_at("$.composerId"), F.lit("unknown")).alias("session"), F.coalesce(_at("$.createdAt").cast("long"), F.lit(0)).alias("created"), "value")
+
+
+def conversation_hash(value: Column) -> Column:
+    """sha256 over a conversation's id, messages and text as JSON with sorted keys, so that the order of keys doesn't matter."""
+    doc = F.try_parse_json(value)
+    part = lambda path: F.coalesce(F.to_json(F.try_variant_get(doc, path, "variant")), F.lit("null"))
+    return F.sha2(F.concat_ws("\n", part("$.composerId"), part("$.conversationMap"), part("$.text")), 256)
+
+
 # ---------------------------------------------------------------- SQLite
 
 

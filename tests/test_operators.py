@@ -100,7 +100,19 @@ def test_random_walks(spark):
 def test_pages_print_every_relation(spark):
     g = graph(spark, [node("hub"), *(node(f"n{i}") for i in range(250))], [edge(f"e{i}", f"n{i}", "hub") for i in range(250)])
     body = {r["id"]: r["body"] for r in pages.entity_pages(g, Ontology()).collect()}["hub"]
-    assert "## Relationships (250)" in body and sum(x.startswith("- ") for x in body.split("## Sources")[0].splitlines()) == 250
+    said = body.split("## Connections")[1].split("## Sources")[0]
+    assert sum(x.startswith("- ") for x in said.splitlines()) == 250 and body.count("; namespaces: ") == 250
+
+
+def test_pages_of_odd_nodes(spark):
+    props = {"name": "A | b", "description": "First.\r\n\nSecond.", "summary": "S", "image_links": '["https://x/1.png", "ftp://no"]', "yes": "1", "tags": "own", "role_id": "r", "list": '["a", 1]'}
+    g = graph(spark, [node("svc:a", props=props, vf=date(2024, 1, 1), src=()), node("t", type_="odd_type")], [edge("e", "svc:a", "gone", type_="owns", props={"note": "n"}), edge("f", "svc:a", "t", type_="tags")])
+    body = {r["id"]: r["body"] for r in pages.entity_pages(g, Ontology()).collect()}
+    a = body["svc:a"]
+    for line in ('sources: []', '"yes": "1"', '  tags: "own"', 'list: ["a", 1]', "relation_tags:", 'owns:\n  - "[[gone]]"', "# A | b", "> S", "## About\n\nFirst.\n\nSecond.", "- **Role ID:** r", "## Images\n\n![](https://x/1.png)", "- `gone` — n", "## Timeline\n\n- **2024-01-01**: Valid from"):
+        assert line in a, line
+    assert "ftp" not in a.split("## Images")[1].split("##")[0] and "> t — Odd Type." in body["t"] and "## Timeline" not in body["t"] and "aliases" not in body["t"]
+    assert "## Sources" not in a and 'properties: `{"note": "n"}`' in a and "[[svc-a|A \\| b]]" in body["t"]
 
 
 def test_all_proposals_are_checked(spark, sf):
