@@ -109,13 +109,6 @@ def compile_edges(spark, d):
     return building.compile_graph(data._docs(spark, d), building.email_rules)["edges"].select("type", "from_id", "to_id")
 
 
-@query("fact_lines", None)
-def fact_lines(spark, d):
-    from tessera.sources.graph_view import sample_graph
-
-    return files.fact_lines(sample_graph(spark, d)).select("kind", "type", "id", "line")
-
-
 # ---------------------------------------------------------------- proposals and answers
 
 
@@ -152,16 +145,6 @@ def json_merge(spark, d):
     return table(spark, d, "events").select("event_id", propose.merged_json(ours, theirs).alias("merged"))
 
 
-@query("qa_harness", None)
-def qa_harness(spark, d):
-    from tessera.operators import answers
-    from tessera.sources.graph_view import sample_graph
-
-    rows = [("q1", "bolt", "blue bolt Brand", "1", False), ("q2", "Customer#000000042", "HOUSEHOLD", "2", False), ("q3", "nowhere", "nothing", "5", True)]
-    q = spark.createDataFrame(rows, "question string, word string, gold string, category string, adversarial boolean")
-    return answers.answered(q.drop("word"), sample_graph(spark, d), q.select("question", "word")).select("question", "category", "score")
-
-
 @query("index_search", SQL["term_and_search"])
 def index_search(spark, d):
     from tessera.operators import search

@@ -59,18 +59,12 @@ def facts_hash(g: Graph) -> DataFrame:
 
 
 def publish(df: DataFrame, root: str, version: str) -> str:
-    """Writes df as a version under root, then points CURRENT at it; readers of the old version are not disturbed."""
-    spark, path = df.sparkSession, f"{root.rstrip('/')}/v={version}"
+    """Writes df as a version under root, then points CURRENT at it in one step; readers of the old version are not disturbed."""
+    from tessera.plans.publication import replaced
+
+    path = f"{root.rstrip('/')}/v={version}"
     df.write.mode("overwrite").parquet(path)
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    new, pointer = jvm.org.apache.hadoop.fs.Path(base, "CURRENT.new"), jvm.org.apache.hadoop.fs.Path(base, "CURRENT")
-    out = fs.create(new, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    fs.delete(pointer, False)
-    fs.rename(new, pointer)
+    replaced(df.sparkSession, f"{root.rstrip('/')}/CURRENT", version)
     return path
 
 
@@ -140,6 +134,18 @@ def parsed_journal(lines: DataFrame) -> DataFrame:
     return raw.withColumn("f", fact).select("entry_id", "agent", "device", "ns", "confidence", "proposed_at", "status", "f.kind", "f.id", "f.type", F.col("f.from").alias("from_id"), F.col("f.to").alias("to_id"), F.col("f.ns").alias("fact_ns"), "f.valid_from", "f.valid_to", "f.props", "f.src")
 
 
+def bad_journal_lines(lines: DataFrame) -> DataFrame:
+    """The lines (column value) that parsed_journal() drops, but for blank ones: for counts and logs."""
+    entry = F.from_json("value", JOURNAL, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.where(F.trim("value") != "").select("value", entry.alias("e")).where("e._bad is not null or e.fact is null").select("value")
+
+
+def read_gold(spark: SparkSession, root: str) -> DataFrame:
+    """The facts of every *.facts.jsonl below root, for evaluation."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.facts.jsonl").text(root).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", FACT, {"mode": "FAILFAST", "dateFormat": "yyyy-MM-dd"}).alias("f")).select("f.*")
+
+
 def read_journals(spark: SparkSession, root: str) -> DataFrame:
     return parsed_journal(spark.read.option("recursiveFileLookup", True).text(root))
 

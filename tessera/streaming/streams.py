@@ -135,7 +135,8 @@ def drained(events: DataFrame, late: str = "0 seconds") -> DataFrame:
                 state.setTimeoutTimestamp(max(last // 1000 + IDLE_S * 1000, state.getCurrentWatermarkMs() + 1))
             elif state.exists:
                 state.remove()
-        yield pd.DataFrame(out, columns=["key", "closed_by", "n", "last_at"])
+        if out:
+            yield pd.DataFrame(out, columns=["key", "closed_by", "n", "last_at"])
 
     keyed = events.withWatermark("at", late).groupBy("key")
     return keyed.applyInPandasWithState(step, "key string, closed_by string, n long, last_at timestamp", "n long, last long", "append", GroupStateTimeout.EventTimeTimeout)
