@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import journal, sessions
+from tessera.operators.components import own_dir
 from tessera.plans import compile as building
 from tessera.plans import data_queries as data
 from tessera.plans.queries import SQL, query, table
@@ -19,6 +22,15 @@ def session_window_stream(spark, d):
     return found.select("user_id", F.col("started").cast("string").alias("started"), "n")
 
 
+@query("session_windows_final", SQL["session_window_batch"] + " HAVING max(ts) + INTERVAL 300 SECOND <= (SELECT max(ts) FROM events) - INTERVAL 3600 SECOND")
+def session_windows_final(spark, d):
+    """The sessions that the watermark, an hour behind the last event, has passed."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    root = f"{own_dir(spark)}/final-{uuid.uuid4().hex}"
+    found = streams.final_sessions(streams.table_stream(spark, d, "events"), f"{root}/out", f"{root}/checkpoint")
+    return found.select("user_id", F.col("started").cast("string").alias("started"), "n")
+
+
 @query("journal_stream", "SELECT 'user:' || user_id AS id, count(*) AS facts, CAST(max(event_id) AS VARCHAR) AS last FROM events WHERE event_type IN ('click', 'view') AND event_id % 101 >= 50 GROUP BY 1")
 def journal_stream(spark, d):
     start = spark.createDataFrame([], "id string, facts long, last long")
@@ -28,7 +40,8 @@ def journal_stream(spark, d):
         new = new.groupBy(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("id")).agg(F.count("*").alias("facts"), F.max("event_id").alias("last"))
         return held.unionByName(new).groupBy("id").agg(F.sum("facts").alias("facts"), F.max("last").alias("last"))
 
-    return streams.merge_stream(streams.table_stream(spark, d, "events"), start, merge).withColumn("last", F.col("last").cast("string"))
+    user = F.concat(F.lit("user:"), F.col("user_id").cast("string"))
+    return streams.merge_stream(streams.table_stream(spark, d, "events"), start, merge, state_key=F.col("id"), entry_key=user).withColumn("last", F.col("last").cast("string"))
 
 
 def _queue(e):

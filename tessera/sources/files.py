@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import sorted_map
 from tessera.plans.graph import PROVENANCE, Graph
+from tessera.sources.pointer import replace_small
 
 LINES = 60
 #: A fact as it is written: properties are JSON values, so they are read as text and kept as JSON literals.
@@ -60,11 +61,9 @@ def facts_hash(g: Graph) -> DataFrame:
 
 def publish(df: DataFrame, root: str, version: str) -> str:
     """Writes df as a version under root, then points CURRENT at it in one step; readers of the old version are not disturbed."""
-    from tessera.plans.publication import replaced
-
     path = f"{root.rstrip('/')}/v={version}"
     df.write.mode("overwrite").parquet(path)
-    replaced(df.sparkSession, f"{root.rstrip('/')}/CURRENT", version)
+    replace_small(df.sparkSession, f"{root.rstrip('/')}/CURRENT", version)
     return path
 
 

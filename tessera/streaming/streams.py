@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,14 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators.components import shared_dir
+from tessera.operators.components import own_dir
+from tessera.sources.pointer import read_small, replace_small
 
 IDLE_S, CEILING_S, MOST_ATTEMPTS, MOST_BYTES = 300, 300, 10, 256 * 1024
 EXACT = "session_end"
 
 
 def new_checkpoint(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tessera-stream-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,32 +46,64 @@ def session_windows(events: DataFrame, *, gap: str = "300 seconds", late: str =
 
 
 def collected_sessions(events: DataFrame, **options: str) -> DataFrame:
-    """All sessions of what the stream has now, from one complete pass; the result is a table in the shared folder."""
+    """All sessions of what the stream has now, open ones too, from one complete pass; for reports. A stream that goes on takes
+    final_sessions(), whose state sheds what is over. The result is a table in the shared folder."""
     spark = events.sparkSession
-    out = f"{shared_dir(spark).rstrip('/')}/tessera-sessions-{uuid.uuid4().hex}"
+    out = f"{own_dir(spark)}/sessions-{uuid.uuid4().hex}"
     run_available(session_windows(events, **options), lambda df, _: df.write.mode("overwrite").parquet(out), "complete")
     return spark.read.parquet(out)
 
 
+def final_sessions(events: DataFrame, out: str, checkpoint: str, **options: str) -> DataFrame:
+    """The sessions that are final, each written once below out; the next call with the same folders goes on from here."""
+    run_available(session_windows(events, **options), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), "append", checkpoint)
+    return events.sparkSession.read.parquet(out).drop("batch")
+
+
 # ---------------------------------------------------------------- journal
 
 
-def merge_stream(entries: DataFrame, start: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], root: str | None = None) -> DataFrame:
-    """State merged with a stream of entries: each micro-batch reads the last version, merges, and writes the next.
+BUCKETS = 64
+
 
-    A batch's version has its number, so a batch that is run again overwrites its own version only."""
+def merge_stream(entries: DataFrame, start: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], *, state_key: Column, entry_key: Column, root: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """State merged with a stream of entries, in buckets by key: a micro-batch reads, merges and writes only the buckets that it
+    touches. merge(held, batch) must be by key: equal keys of state and entries fall into one bucket.
+
+    root keeps buckets, their index and the checkpoint: the next call with the same root goes on from here, start then counts no
+    more. A batch's files and index have its number, so a batch that is run again overwrites its own ones only."""
     spark = entries.sparkSession
-    root = root or f"{shared_dir(spark).rstrip('/')}/tessera-merged-{uuid.uuid4().hex}"
-    start.write.mode("overwrite").parquet(f"{root}/v=-1")
-    last = {"v": -1}
+    root = (root or f"{own_dir(spark)}/merged-{uuid.uuid4().hex}").rstrip("/")
+    placed = lambda df, key: df.withColumn("bucket", F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int"))
 
-    def each(batch: DataFrame, number: int) -> None:
-        held = batch.sparkSession.read.schema(start.schema).parquet(f"{root}/v={number - 1}")
-        merge(held, batch).write.mode("overwrite").parquet(f"{root}/v={number}")
-        last["v"] = number
+    def index() -> tuple[int, dict[int, int]]:
+        held = json.loads(read_small(spark, f"{root}/INDEX") or "null")
+        return (held["batch"], {int(b): v for b, v in held["versions"].items()}) if held else (-2, {})
 
-    run_available(entries, each)
-    return spark.read.schema(start.schema).parquet(f"{root}/v={last['v']}")
+    def written(df: DataFrame, number: int, versions: dict[int, int]) -> None:
+        path = f"{root}/v={number}"
+        placed(df, state_key).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        touched = [r["bucket"] for r in spark.read.schema(f"{schema}, bucket int").parquet(path).select("bucket").distinct().collect()]  # at most `buckets`
+        replace_small(spark, f"{root}/INDEX", json.dumps({"batch": number, "versions": versions | dict.fromkeys(touched, number)}))
+
+    def state(versions: dict[int, int]) -> DataFrame:
+        paths = [f"{root}/v={v}/bucket={b}" for b, v in sorted(versions.items())]
+        return spark.read.schema(start.schema).parquet(*paths) if paths else spark.createDataFrame([], start.schema)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in start.schema.fields)
+    if index()[0] == -2:
+        written(start, -1, {})
+
+    def each(batch: DataFrame, number: int) -> None:
+        done, versions = index()
+        if number <= done:
+            return  # a batch whose index is written is done
+        touched = {r["bucket"] for r in placed(batch, entry_key).select("bucket").distinct().collect()}
+        if touched:
+            written(merge(state({b: v for b, v in versions.items() if b in touched}), batch), number, versions)
+
+    run_available(entries, each, checkpoint=f"{root}/checkpoint")
+    return state(index()[1])
 
 
 # ---------------------------------------------------------------- event queue
