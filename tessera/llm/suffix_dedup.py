@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import stored
 
 LENGTH, ANCHOR, HOT = 50, 20, 2000
-BLOCK_BYTES, BUCKET_BYTES, SUBS = 4 << 20, 4 << 20, 8
+BLOCK_BYTES, BUCKET_BYTES, SUBS = 2 << 20, 2 << 20, 8
 LAST = (1 << 63) - 1
 #: Bytes that UTF-8 never has: between pieces, and at the end.
 _GAP, _END = 0xFF, 0xFE
