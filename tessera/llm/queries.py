@@ -23,43 +23,53 @@ URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document's quality, learnt from the labels that aren't held out."""
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to strings of 50 bytes that one with a smaller id has."""
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words within windows of the benchmark, and its verdict."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document's toxicity by its nearest labelled examples, and their ids."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by the longest rule that its url fits."""
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     return url_filter(table(spark, sf_dir, "pages"), rules)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, and the smallest id that links of two bits or fewer reach."""
     return simhash(table(spark, sf_dir, "documents"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence phrases, labels and score."""
     return license_scan(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, votes and posterior, and whether it stays."""
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, and whether they decode to its text."""
     return encode(table(spark, sf_dir, "documents"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
     return html_extract(table(spark, sf_dir, "pages"))
 
 

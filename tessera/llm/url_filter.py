@@ -78,6 +78,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, *, key: str = "page_id", url:
     )
     longest = F.struct(F.length("rule"), "rule")
     fits = passed.join(listed, "rule").groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), longest).alias("best"))
-    return rows.join(fits, ["host", "path"], "left").select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
-    )
+    shown = ["page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")]
+    # rows without a host fit nothing; there may be many, so they stay out of the join
+    hosted = rows.where("host <> ''").join(fits, ["host", "path"], "left").select(*shown)
+    return hosted.unionByName(rows.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))

@@ -71,3 +71,18 @@ def test_tables_that_are_empty_or_odd(spark, sf, tmp_path):
     for _, stage in p.STAGES:
         assert stage(spark, empty, sf).count() == 0
         stage(spark, odd, sf).count()
+
+
+def test_extra_columns_pass_through(spark, sf):
+    """Columns beside doc_id and text, named as the operators name their own, come out as they went in."""
+    extra = "row string, score double, held_out boolean, words array<string>, bucket int, block int, key string, sha string, kept string, fp long, h long, n long, part int, found string, token string, text_hash long, none boolean, others string"
+    rows = [(1, "Some words that are not repeated at all, and quite a few of them, as it happens. " * 3), (2, None), (3, ""), (None, "no id"), (4, "x " * 300), (4, "x " * 300), (5, "tie " * 40), (6, "tie " * 40)]
+    values = ("r", 0.5, True, ["w"], 1, 2, "k", "s", "kept", 3, 4, 5, 6, "f", "t", 7, False, "o")
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t or ""), *values) for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert all(tuple(r)[5:] == values for r in out.collect()), name
+    out = p.STAGES[-1][1](spark, docs, sf)
+    assert out.columns == ["doc_id", "n_tokens", "token_ids", "round_trip"] and out.count() == len(rows)
+    assert sorted(str(r.doc_id) for r in p.near_duplicates(spark, docs, sf).collect()) == ["1", "2", "4", "4", "5", "None"]
