@@ -450,3 +450,30 @@ def qa_sources(spark, d):
     found = answers.evidence(type(g)(empty.nodes.limit(0), empty.edges), words, depths, docs=docs)
     parts = F.split("found", "\n")
     return found.select("question", F.size(parts).cast("long").alias("texts"), (F.length("found") - F.size(parts) + 1).cast("long").alias("chars"))
+
+
+@query("resolve_pending", "SELECT id, last FROM (" + SQL["journal_upsert_nodes"] + ")")
+def resolve_pending(spark, d):
+    """All pending entries merged, resolved and published; what readers then see."""
+    from tessera.plans.graph import Graph
+    from tessera.plans.ontology import Ontology
+
+    nodes, edges = data._held(spark, d)
+    root = f"{own_dir(spark)}/resolved-{uuid.uuid4().hex}"
+    publication.resolve_pending(Graph(nodes, edges), data._entries(spark, d), root, "1", ontology=Ontology())
+    return publication.Published(spark, root).graph().nodes.select("id", F.col("props")["last"].alias("last"))
+
+
+_CUT = "CASE WHEN length({0}) <= 4000 THEN {0} ELSE substr({0}, 1, 4000) || chr(10) || '…[truncated]' || chr(10) END"
+
+
+@query("deep_import", data.TURNS + rf"""
+SELECT session::VARCHAR AS session, 'n/' || session || '-batch-01.md' AS path, length(rtrim('---' || chr(10) || 'source: n' || chr(10) || 'session: ' || session || chr(10) || 'batch: 000' || chr(10) || 'turns: ' || count(*) || chr(10) || '---' || chr(10) || chr(10) ||
+string_agg('## Turn ' || turn_no || chr(10) || chr(10) || CASE WHEN user_content <> '' THEN '**User:** ' || {_CUT.format("user_content")} || chr(10) || chr(10) ELSE '' END || CASE WHEN assistant_text <> '' THEN '**Assistant:** ' || {_CUT.format("assistant_text")} || chr(10) || chr(10) ELSE '' END, '' ORDER BY turn_no), chr(10) || ' ') || chr(10))::VARCHAR AS body FROM t GROUP BY session""")
+def deep_import(spark, d):
+    """Every conversation as one batch; the provider tells how long it is."""
+    from tessera.operators.imports import imported_sessions
+
+    messages = table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"), "role", "text", F.array().cast("array<string>").alias("tools"))
+    none = spark.createDataFrame([], "session string, digest string")
+    return imported_sessions(messages, none, lambda t: str(len(t)), namespace="n", max_chars=10**9, overlap=0)[0].select("session", "path", "body")

@@ -218,3 +218,32 @@ def test_gold_and_bad_lines(spark, tmp_path):
     assert ids(files.read_gold(spark, str(tmp_path))) == ["a"]
     lines = spark.createDataFrame([('{"entry_id":"1","fact":{"kind":"node","id":"a"}}',), ("{",), (" ",), (None,), ('{"entry_id":"2"}',)], "value string")
     assert ids(files.parsed_journal(lines)) == ["a"] and sorted(r.value for r in files.bad_journal_lines(lines).collect()) == ["{", '{"entry_id":"2"}']
+
+
+def test_pending_entries_are_resolved_and_published(spark, tmp_path):
+    from tessera.operators.journal import ENTRY
+
+    g = graph(spark, [node("svc:a", props={"name": "A"}), node("svc:b", ns=["x"])], [edge("e", "svc:a", "svc:b")])
+    entry = lambda k, conf, kind, id_, type_, a=None, b=None, status="pending": (k, "ag", None, "public", conf, f"t{k}", status, kind, id_, type_, a, b, ["public"], None, None, {"name": k}, [])
+    rows = [entry("1", 0.9, "node", "svc:c", "service"), entry("2", 0.6, "edge", "", "depends_on", "svc:b", "svc:c"), entry("3", 0.1, "node", "svc:d", "service"), entry("4", 1.0, "edge", "", "same_as", "svc:a", "svc:b"), entry("5", 0.9, "node", "svc:e", "service", status="merged")]
+    root = str(tmp_path / "pub")
+    after = publication.resolve_pending(g, spark.createDataFrame(rows, ENTRY), root, "1")
+    assert {r.entry_id: r.status for r in after.collect()} == {"1": "merged", "2": "merged", "3": "quarantined", "4": "merged", "5": "merged"}
+    reader = publication.Published(spark, root)
+    assert ids(reader.graph().nodes) == ["svc:b", "svc:c"] and ids(reader.scoped(["x*"]).nodes) == ["svc:b", "svc:c"]
+    assert [(r.from_id, r.to_id) for r in reader.graph().edges.collect()] == [("svc:b", "svc:c")]
+    assert {r.id: r.provenance and r.provenance.confidence for r in reader.graph().nodes.collect()} == {"svc:b": None, "svc:c": 0.9}
+    m = reader.table("manifest").first()
+    assert (m.merged_count, m.flagged_count, m.quarantined_count) == (3, 1, 1)
+
+
+def test_imported_sessions(spark):
+    rows = [("s/1", 0, "user", "hi", []), ("s/1", 1, "assistant", "yo", ["b", "a"]), ("t", 0, "user", "x" * 30, []), ("t", 1, "user", "y" * 30, []), ("t", 2, "user", "z" * 30, [])]
+    messages = spark.createDataFrame(rows, "session string, pos int, role string, text string, tools array<string>")
+    none = spark.createDataFrame([], "session string, digest string")
+    texts, manifest = imports.imported_sessions(messages, none, lambda t: t.splitlines()[-1], namespace="n", max_chars=40, overlap=0, most_batches=2)
+    assert {r.path: r.body for r in texts.collect()} == {"n/s-1-batch-01.md": "**Tools:** a, b", "n/t-batch-01.md": "**User:** " + "x" * 30, "n/t-batch-02.md": "**User:** " + "y" * 30}
+    memory = spark.createDataFrame([("a.md", "h1", "A"), ("b.md", "h2", "B")], "path string, hash string, text string")
+    held = spark.createDataFrame([("a.md", "h1"), ("b.md", "old")], "path string, hash string")
+    out = imports.imported(memory, held, messages, manifest, lambda t: t, namespace="n")
+    assert [(r.path, r.body) for r in out["documents"].collect()] == [("n-memory/b.md", "B")] and out["session_manifest"].count() == 2
