@@ -24,21 +24,55 @@ BASE = (
     ("cc-by", "cc by"),
     ("mit", "mit license"),
 )
-#: Label, words, mandatory phrase within them.
+#: Label, words of the notice, mandatory phrase within them.
 OWN = (
     ("gpl-3.0", "gnu general public license version 3", "gnu general public license version 3"),
     ("gpl-2.0", "gnu general public license version 2", "gnu general public license version 2"),
+    (
+        "gpl-or-later",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+        "gnu general public license as published by the free software foundation",
+    ),
     ("lgpl", "gnu lesser general public license", "lesser general public license"),
     ("agpl", "gnu affero general public license", "affero general public license"),
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "apache license version 2 0",
+    ),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("mpl", "mozilla public license version 2 0", "mozilla public license"),
+    ("cc0", "creative commons cc0 1 0 universal", "cc0 1 0 universal"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "permission is hereby granted free of charge",
+    ),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistribution and use in source and binary forms",
+    ),
+    (
+        "bsd-3-clause",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "may be used to endorse or promote products derived from this software",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        "in no event will the authors be held liable for any damages",
+    ),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("epl", "eclipse public license v 2 0", "eclipse public license"),
+    ("boost", "boost software license version 1 0", "boost software license"),
+    ("artistic", "the artistic license 2 0", "artistic license"),
 )
-REACH = 20
+#: Words around a place that are looked at: no template is longer.
+REACH = 40
 
 
 def templates(spark: SparkSession) -> DataFrame:

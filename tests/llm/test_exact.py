@@ -19,7 +19,7 @@ from tessera.llm import queries as llm
 from tests.llm.by_hand import components_by_hand
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.html_extract import html_extract, main_text
-from tessera.llm.license_scan import license_scan
+from tessera.llm.license_scan import OWN, REACH, license_scan
 from tessera.llm.quality_rules import ODD_WORDS, RULES, START, accuracies, expectation_maximisation, quality_rules
 from tessera.llm.sentencepiece import MODEL, Encoder, decode, encode, vocabulary
 from tessera.llm.simhash import LIST, links, simhash
@@ -194,7 +194,7 @@ def test_decontamination_without_limits_of_a_scan(spark, monkeypatch):
 
 def test_licences(spark, sf):
     phrases = [("gpl", "gnu general public license"), ("apache", "apache license"), ("cc-by", "cc by"), ("mit", "mit license")]
-    extra = [(9001, "CC-BY cc by, MIT\nLicense the Apache; LICENSE GNU general public license version 3"), (9002, "permission is hereby granted free of charge"), (9003, "license gnu"), *[(9100 + (i or 0), t) for i, t in ODD]]
+    extra = [(9001, "CC-BY cc by, MIT\nLicense the Apache; LICENSE GNU general public license version 3"), (9002, "permission is hereby granted free of charge"), (9003, "license gnu"), (9004, "x " * 70 + "subject to the terms of the Mozilla Public License, v. 2.0; neither the name of nor may be used to endorse or promote products derived from this software. Apache License, Version 2.0 (the License)"), *[(9010 + k, words) for k, (_, words, _) in enumerate(OWN)], *[(9100 + (i or 0), t) for i, t in ODD]]
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + extra
     got = {r.doc_id: r for r in license_scan(docs_of(spark, rows)).collect()}
     for i, t in rows:
@@ -203,6 +203,16 @@ def test_licences(spark, sf):
         want = (len(v), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted({x for _, x in at})))
         assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == want
         assert set(filter(None, got[i].base_labels.split(","))) <= set(got[i].labels.split(",")) and 0 <= got[i].score <= 1
+    listed = [(lab, p.split(), p.split()) for lab, p in phrases] + [(lab, words.split(), p.split()) for lab, words, p in OWN]
+    assert max(len(w) for _, w, _ in listed) <= REACH
+    for i, t in rows:
+        v, found = ALNUM.findall((t or "").translate(A)), []
+        for lab, words, p in listed:
+            at = next(k for k in range(len(words)) if words[k : k + len(p)] == p)
+            for k in range(len(v)):
+                if v[k : k + len(p)] == p:
+                    found.append((lab, sum(0 <= k - at + j < len(v) and v[k - at + j] == w for j, w in enumerate(words)) / len(words)))
+        assert got[i].labels == ",".join(sorted({x for x, _ in found})) and got[i].score == pytest.approx(max((x for _, x in found), default=0.0)), i
     assert got[9002].labels == "mit" and got[9002].base_labels == "" and "gpl-3.0" in got[9001].labels
     assert license_scan(docs_of(spark, [])).count() == 0
 
