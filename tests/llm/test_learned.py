@@ -1,10 +1,13 @@
 """Learnt scores on rows that were held out, and their odd cases."""
 
 import math
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 
 from tessera.llm import queries as llm
 from tessera.llm.quality_classifier import STATISTICS, Ensemble, Condition, accepted, fit, lasso, quality_classifier
@@ -24,6 +27,33 @@ def test_quality(spark):
     assert auc(spark, "op1_quality_classifier", "quality") > 0.99
 
 
+def plain_statistics(t):
+    """STATISTICS of a text, by plain Python."""
+    w, lines = re.findall(r"[^\x20\x09-\x0D]+", t), t.split("\n")
+    share = lambda a, b: a / b if b else 0.0
+    n, count = len(w), lambda p: len(regex.findall(p, t))
+    distinct = share(len(set(w)), n)
+    return [
+        n, share(len(t), n), distinct, distinct * (max(n, 1) / 300) ** 0.25, share(count(r"[#*$%&|<>]"), n), share(t.count("|"), n), share(count(r"\p{Lu}"), len(t)), share(count("[0-9]"), len(t)), share(t.count("!"), n), share(count("[.,;:?]"), n),
+        1 - len(set(lines)) / len(lines), share(n, len(lines)), share(sum(a == b for a, b in zip(w, w[1:])), n),
+    ]
+
+
+def test_the_whole_quality_query_against_plain_python(spark, sf):
+    """Statistics, the choice of rows to learn from, and every score."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    learnt = sorted(i for i, q in labels.items() if q is not None and not out(i) and i in texts)
+    e = fit(np.array([plain_statistics(texts[i]) for i in learnt], float), np.array([labels[i] for i in learnt], float))
+    x = {i: np.array([plain_statistics(t)], float) for i, t in texts.items()}
+    got = {r.doc_id: r for r in llm.queries()["op1_quality_classifier"](spark, sf).collect()}
+    assert set(got) == set(texts) and e.rules
+    for i, row in got.items():
+        z = e.intercept + sum(w * np.logical_and.reduce([t.on(x[i]) for t in r])[0] for w, r in e.rules)
+        assert row.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6) and row.predicted == int(row.score >= 0.3) and row.held_out == out(i), i
+
+
 def test_toxicity(spark):
     assert auc(spark, "op4_toxicity", "toxic") > 0.93
 
