@@ -211,6 +211,25 @@ def test_alias_chains_and_cycles(spark):
     assert got == {"a": "c", "b": "c", "y": "x", "z": "x"}
 
 
+def test_alias_chains_by_hand(spark):
+    """Long chains, tails into cycles, loops, and repeated pairs."""
+    rnd = random.Random(8)
+    to = {f"N{i}": f"N{i + 1}" for i in range(100)} | {f"t{i}": f"t{i + 1}" for i in range(20)} | {"t20": "t7", "self": "self", "s": "self"}
+    to |= {f"r{i}": f"r{rnd.randrange(60)}" for i in range(50)}
+
+    def end(x):
+        seen = []
+        while x in to and to[x] != x and x not in seen:
+            seen.append(x)
+            x = to[x]
+        return x if x not in seen else min(seen[seen.index(x) :], key=lambda i: (i.lower(), i))
+
+    rows = list(to.items()) * 2
+    got = {r["alias"]: r["canonical"] for r in resolve.followed(spark.createDataFrame(rows, "alias string, canonical string")).collect()}
+    assert got == {a: end(a) for a in to if end(a) != a}
+    assert resolve.followed(spark.createDataFrame([], "alias string, canonical string")).count() == 0
+
+
 def test_gate_boundaries(spark):
     df = spark.createDataFrame([(0.8,), (0.5,), (0.4999,)], "c double")
     assert [r[0] for r in df.select(journal.gate(F.col("c"))).collect()] == ["merged", "flagged", "quarantined"]
