@@ -16,7 +16,8 @@ from tessera.plans.graph import Graph, prop
 
 def orphans(g: Graph) -> DataFrame:
     """(id): nodes without an edge."""
-    return g.nodes.select("id").join(links_of(g.edges).select(F.col("a").alias("id")), "id", "left_anti")
+    # ends are made distinct before the exchange, where hubs count once
+    return g.nodes.select("id").join(links_of(g.edges).select(F.col("a").alias("id")).distinct(), "id", "left_anti")
 
 
 def dangling(g: Graph) -> DataFrame:

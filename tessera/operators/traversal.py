@@ -19,8 +19,9 @@ CAP = 4
 
 
 def links_of(edges: DataFrame) -> DataFrame:
-    """(a, b): both directions of every edge."""
-    return edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).union(edges.select(F.col("to_id"), F.col("from_id")))
+    """(a, b): both directions of every edge, from one pass over the edges."""
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    return edges.select(F.inline(F.array(way("from_id", "to_id"), way("to_id", "from_id"))))
 
 
 def distances(nodes: DataFrame, edges: DataFrame, starts: list[str] | DataFrame, cap: int = CAP) -> DataFrame:
@@ -93,7 +94,7 @@ def type_weight(edge_type: Column) -> Column:
 
 def typed_hops(seeds: DataFrame, edges: DataFrame, limit: int = CAP) -> DataFrame:
     """(seed, hop, hop_type, rank): for each seed edge the first `limit` semantic edges that share an end with it, by weight then id."""
-    ends = lambda df, name: df.select(F.col("id").alias(name), F.col("from_id").alias("end")).union(df.select("id", "to_id"))
+    ends = lambda df, name: df.select(F.col("id").alias(name), F.explode(F.array("from_id", "to_id")).alias("end"))
     semantic = edges.where(type_weight(F.col("type")) == 1.0)
     pairs = ends(seeds, "seed").join(ends(semantic, "hop"), "end").where("seed <> hop").select("seed", "hop").distinct()
     w = Window.partitionBy("seed").orderBy("hop")
