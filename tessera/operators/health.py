@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import normal_id, redacted
+from tessera.functions.redaction import redacted
+from tessera.functions.text import normal_id
 from tessera.operators.components import stored
 from tessera.operators.lookup import closed
 from tessera.operators.scope import PUBLIC

@@ -181,14 +181,19 @@ def carried_aliases(spark, d):
 
 
 @query("merged_texts", """
-WITH r AS (SELECT p_brand AS brand, p_type AS s, '<' || p_name || '>' AS n, p_partkey AS o FROM part),
+WITH r AS (SELECT p_brand AS brand, p_type AS s, p_name AS n, p_partkey AS o FROM part),
+w AS (SELECT brand, s, n, o, CASE WHEN o % 3 = 0 THEN '- ' || n || ' of ' || s || chr(10) || chr(10) || 'all' ELSE n END AS t FROM r),
 s AS (SELECT brand, arg_max(s, (len(list_distinct(string_split(lower(s), ' '))), length(s), lower(s))) AS summary FROM r GROUP BY brand),
-n AS (SELECT brand, string_agg(n, chr(10) || chr(10) ORDER BY o) AS description FROM (SELECT brand, n, min(o) AS o FROM r GROUP BY ALL) GROUP BY brand)
+p AS MATERIALIZED (SELECT brand, x, min((o, i)) AS place FROM (SELECT brand, o, unnest(string_split(t, chr(10) || chr(10))) AS x, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS i FROM w) GROUP BY ALL),
+held AS MATERIALIZED (SELECT a.brand, a.x, a.place, b.x AS whole, b.place AS wat FROM p a JOIN p b ON a.brand = b.brand AND a.x <> b.x AND contains(lower(b.x), lower(a.x))),
+stay AS (SELECT * FROM p ANTI JOIN held USING (brand, x)),
+won AS (SELECT brand, whole AS x, min(place) AS first FROM (SELECT brand, x, place, arg_min(whole, wat) AS whole FROM held h WHERE EXISTS (FROM stay WHERE stay.brand = h.brand AND stay.x = whole) GROUP BY ALL) GROUP BY ALL),
+n AS (SELECT brand, string_agg(x, chr(10) || chr(10) ORDER BY least(place, coalesce(first, place)), place) AS description FROM stay LEFT JOIN won USING (brand, x) GROUP BY brand)
 SELECT brand, summary, description, last FROM s JOIN n USING (brand) JOIN (SELECT brand, arg_max(n, o) AS last FROM r GROUP BY brand) USING (brand)""")
 def merged_texts(spark, d):
-    """Of a brand's parts: the richest summary, the paragraphs of all descriptions, and the last name."""
-    name = F.concat(F.lit("<"), "p_name", F.lit(">"))  # so that none holds another
-    rows = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("o"), F.create_map(F.lit("summary"), "p_type", F.lit("description"), name, F.lit("last"), name).alias("props"))
+    """Of a brand's parts: the richest summary, the paragraphs of all descriptions, some of which hold others, and the last name."""
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("- "), "p_name", F.lit(" of "), "p_type", F.lit("\n\nall"))).otherwise(F.col("p_name"))
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("o"), F.create_map(F.lit("summary"), "p_type", F.lit("description"), text, F.lit("last"), "p_name").alias("props"))
     return resolve.merged_props(rows, ["brand"], "o").select("brand", *[F.col("props")[k].alias(k) for k in ("summary", "description", "last")])
 
 

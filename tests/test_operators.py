@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
+from tessera.functions.redaction import redacted
 from tessera.operators import evaluate, health, journal, lookup, pages, resolve, scope, search, sessions, stats, traversal
 from tessera.operators.components import connected_components
 from tessera.plans import queries, stream_queries
@@ -262,9 +263,19 @@ def test_precision_of_nothing(spark):
 
 
 def test_redaction(spark):
-    raw = "password: hunter2, bearer abc.def https://u:p@h/?token=1&x=2 sk-abcdefghijkl"
-    got = spark.createDataFrame([(raw,)], "t string").select(fn.redacted(F.col("t"))).first()[0]
-    assert got == "password: [REDACTED], bearer [REDACTED] https://[REDACTED]@h/?token=[REDACTED]&x=2 [REDACTED]"
+    cases = {
+        "password: hunter2, bearer abc.def https://u:p@h/?token=1&x=2 sk-abcdefghijkl": "password: [REDACTED], bearer [REDACTED] https://[REDACTED]@h/?token=[REDACTED]&x=2 [REDACTED]",
+        "api-key=a;b ACCESS_TOKEN = c d authToken:e,f my.passwd =g": "api-key=[REDACTED];b ACCESS_TOKEN = [REDACTED] d authToken:[REDACTED],f my.passwd =[REDACTED]",
+        '{"client_secret":"x"} Authorization: Bearer t0k.en~1': '{"client_secret":[REDACTED] Authorization: Bearer [REDACTED]',
+        "postgres://me@db:5432/x http://h/a@b http://h?q=a@b&key=1#f": "postgres://[REDACTED]@db:5432/x http://h/a@b http://h?q=a@b&key=[REDACTED]#f",
+        "or-short for-the-or-abcdefghijklmn (pk-aaaa-bbbb-cccc)!": "or-short for-the-[REDACTED] ([REDACTED])!",
+        "secret; a password is, secretary: no, monkey=1, a:b=c, 12:30": "secret; a password is, secretary: no, monkey=1, a:b=c, 12:30",
+        "password:": "password:", "": "", " \n": " \n", "password =": "password =", "a=:": "a=:",
+    }
+    got = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, w string").select("t", "w", redacted(F.col("t")).alias("g")).collect()
+    assert all(r.g == r.w for r in got), [(r.t, r.g) for r in got if r.g != r.w]
+    r = spark.createDataFrame([("in /home/me/x", None)], "t string, n string").select(redacted(F.col("t"), "/home/me"), redacted(F.col("n"))).first()
+    assert tuple(r) == ("in ~/x", None)
 
 
 def test_facts_round_trip(spark, tmp_path):

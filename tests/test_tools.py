@@ -7,10 +7,10 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import answers, evaluate, imports, pages, search, tools
+from tessera.operators import answers, evaluate, imports, pages, resolve, search, tools
 from tessera.plans import publication
 from tessera.plans.compile import email_rules
-from tessera.plans.ontology import Ontology, upgraded
+from tessera.plans.ontology import Ontology, OntologyStore, fingerprint
 from tessera.sources import files, pointer, transcripts
 from tessera.streaming import streams
 from tests.test_operators import edge, graph, ids, node
@@ -166,14 +166,17 @@ def test_sessions_by_directory(spark):
     assert pick(transcripts.early_cwd(lines), "/w") == ["new"] and pick(transcripts.early_cwd(lines), "/q") == ["late"] and pick(transcripts.early_cwd(lines), None) == ["late"]
 
 
-def test_schema_upgrade(tmp_path):
-    path, old, new = tmp_path / "schema.json", {"version": 3, "node_types": {}}, {"version": 5, "node_types": {"a": {}}}
-    path.write_text(json.dumps(old))
-    assert upgraded(str(path), (old,), new, dry_run=True)["changed"] and json.loads(path.read_text()) == old
-    assert upgraded(str(path), (), new) == {"changed": False, "from": 3, "to": 5, "custom": True}
-    done = upgraded(str(path), (old,), new)
-    assert done["changed"] and not done["custom"] and json.loads(path.read_text()) == new and json.loads((tmp_path / "schema.v3.backup.json").read_text()) == old
-    assert upgraded(str(path), (old,), new) == {"changed": False, "from": 5, "to": 5, "custom": False}
+def test_ontology_store(spark, tmp_path):
+    store, old, new = OntologyStore(spark, str(tmp_path / "ontologies")), {"version": 3, "node_types": {}}, {"version": 5, "node_types": {"a": {"label": "É"}}}
+    assert store.definition() is None and store.back() is None
+    first = store.use(old)
+    assert store.outlook(new, []) == "own" and not store.offer(new, []) and store.definition() == old
+    assert store.outlook(new, [first]) == "stock" and store.offer(new, [first]) and store.definition() == new and store.ontology().version == 5
+    assert store.outlook(new, [first]) == "current" and not store.offer(new, [first], over_own=True)
+    assert store.back() == first and store.definition() == old and store.offer(new, [], over_own=True) and store.ontology().is_valid_node_type("a")
+    with pytest.raises(ValueError):
+        store.use({"version": 9, "surprise": 1})
+    assert store.definition() == new and fingerprint({"b": 1, "a": 2}) == fingerprint({"a": 2, "b": 1})
 
 
 def test_keywords(spark):
@@ -247,3 +250,26 @@ def test_imported_sessions(spark):
     held = spark.createDataFrame([("a.md", "h1"), ("b.md", "old")], "path string, hash string")
     out = imports.imported(memory, held, messages, manifest, lambda t: t, namespace="n")
     assert [(r.path, r.body) for r in out["documents"].collect()] == [("n-memory/b.md", "B")] and out["session_manifest"].count() == 2
+
+
+def test_merged_paragraphs(spark):
+    """Against the same by comparing all paragraphs of a group."""
+    rnd = random.Random(4)
+    words = ["pay", "Pay api", "the pay API of us", "x", "É", "one two three four", "one two three four five", "Two", "a" * 30]
+    rows = [(g, o, "\n\n".join(" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randint(1, 3)))) for g in (None, "a", "b", "c") for o in range(rnd.choice([1, 4, 12]))]
+    want = {}
+    for g in {r[0] for r in rows}:
+        at = {}
+        for _, o, t in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            for i, p in enumerate(t.split("\n\n")):
+                at.setdefault(p.lower(), (o, i, p))
+        stay = {f: v for f, v in at.items() if not any(f in w and f != w for w in at)}
+        first = {f: v[:2] for f, v in stay.items()}
+        for f, v in at.items():
+            holders = [w for w in stay if f in w and f != w]
+            if holders:
+                heir = min(holders, key=lambda w: stay[w][:2])
+                first[heir] = min(first[heir], v[:2])
+        want[g] = "\n\n".join(stay[f][2] for f in sorted(stay, key=lambda f: (first[f], stay[f][:2])))
+    frame = spark.createDataFrame(rows, "g string, place int, text string")
+    assert {r.g: r.text for r in resolve.merged_paragraphs(frame, ["g"]).collect()} == want
