@@ -85,9 +85,9 @@ def content_quality(g: Graph, ontology: Ontology) -> DataFrame:
 
 
 def quality_warnings(quality: DataFrame) -> DataFrame:
-    """quality with warn: coverage under 1, over half of the edges generic, or labels that repeat."""
-    coverage = F.least("node_label_coverage", "node_summary_coverage", "node_description_coverage", "edge_description_coverage")
-    return quality.withColumn("warn", (coverage < 1.0) | (F.col("generic_edge_ratio") > 0.5) | (F.col("duplicate_label_count") > 0))
+    """quality with warn: summaries or edge descriptions that are missing, over half of the edges generic, or labels that repeat."""
+    missing = (F.col("node_summary_coverage") < 1.0) | (F.col("edge_description_coverage") < 1.0)
+    return quality.withColumn("warn", missing | (F.col("generic_edge_ratio") > 0.5) | (F.col("duplicate_label_count") > 0))
 
 
 def structure_report(g: Graph) -> DataFrame:

@@ -469,6 +469,23 @@ def resolve_pending(spark, d):
     return publication.Published(spark, root).graph().nodes.select("id", F.col("props")["last"].alias("last"))
 
 
+@query("incremental_resolution", SQL["resolve_pending"])
+def incremental_resolution(spark, d):
+    """The same journal as a stream of three micro-batches, each of which folds only the groups that it touches."""
+    from tessera.operators.journal import ENTRY
+    from tessera.plans.graph import Graph
+    from tessera.plans.incremental import IncrementalGraph
+
+    root = f"{own_dir(spark)}/incremental-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("entry_id"), F.lit(3))  # not in the order of entries
+    data._entries(spark, d).withColumn("_part", part).repartition(3, "_part").drop("_part").write.parquet(f"{root}/feed")
+    nodes, edges = data._held(spark, d)
+    state = IncrementalGraph(spark, f"{root}/graph", buckets=8)
+    state.load(Graph(nodes, edges))
+    state.follow(spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed"))
+    return state.graph().nodes.select("id", F.col("props")["last"].alias("last"))
+
+
 _CUT = "CASE WHEN length({0}) <= 4000 THEN {0} ELSE substr({0}, 1, 4000) || chr(10) || '…[truncated]' || chr(10) END"
 
 
