@@ -64,6 +64,61 @@ def event_queue_state(spark, d):
     return streams.queue_state(streams.coalesced(queue), (last or 0.0) + 1).select("key", "trigger", "state")
 
 
+_LATER = "[" + ", ".join(str(sum(min(300, 2 ** min(j, 8)) for j in range(1, i)) * 1000) for i in range(1, 11)) + "]"
+
+
+def _works(key: str, event: int, trigger: str, attempt: int) -> bool:
+    """An import that fails as often as its event's number says."""
+    if event % 12 >= attempt:
+        raise OSError("not yet")
+    return True
+
+
+@query("queue_attempts", f"""
+WITH e AS (SELECT 'agent/' || user_id AS key, event_id, CASE WHEN event_type = 'error' THEN 'session_end' ELSE event_type END AS trigger, epoch_ms(ts) AS ms FROM events),
+n AS (SELECT *, lead(ms) OVER (PARTITION BY key ORDER BY ms, event_id) AS later, ms + CASE WHEN trigger = 'session_end' THEN 0 ELSE 300000 END AS due, max(ms) OVER () AS ends FROM e),
+t AS (SELECT *, due + list_extract({_LATER}, attempt) AS fell FROM (SELECT *, unnest(range(1, least(event_id % 12 + 1, 10) + 1)) AS attempt FROM n))
+SELECT key, event_id, attempt::INTEGER AS attempt, CASE WHEN attempt = event_id % 12 + 1 THEN 'imported' WHEN attempt = 10 THEN 'dropped' ELSE 'failed' END AS outcome, fell AS ms FROM t WHERE fell < coalesce(later, ends)""")
+def queue_attempts(spark, d):
+    """Every attempt at every session of the events, replayed by their own clock; the log stops at its last event."""
+    from tessera.streaming.queue import drained_to
+
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    trigger = F.when(F.col("event_type") == "error", "session_end").otherwise(F.col("event_type"))
+    at = F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp")))
+    events = streams.table_stream(spark, d, "events").select(F.concat(F.lit("agent/"), F.col("user_id").cast("string")).alias("key"), "event_id", trigger.alias("trigger"), at.alias("at"))
+    root = f"{own_dir(spark)}/queue-{uuid.uuid4().hex}"
+    found, _ = drained_to(events, _works, f"{root}/out", f"{root}/checkpoint")
+    return found.select("key", "event_id", "attempt", "outcome", F.unix_millis("at").alias("ms"))
+
+
+@query("watched_changes", """
+WITH n AS (SELECT c_nationkey AS nation, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS few, count(*) FILTER (WHERE c_acctbal > 0) AS rich, count(*) AS every FROM customer GROUP BY 1)
+SELECT nation, 1::BIGINT AS version, 'new' AS change FROM n WHERE few > 0
+UNION ALL SELECT nation, 2, CASE WHEN few = 0 THEN 'new' WHEN nation % 5 = 0 THEN 'deleted' ELSE 'changed' END FROM n WHERE nation % 5 <> 0 AND few <> rich OR nation % 5 = 0 AND few > 0""")
+def watched_changes(spark, d):
+    """A file a nation says how many customers of a segment it has, then how many with money; every fifth goes."""
+    from tessera.sources.pointer import file_system, replace_small
+    from tessera.streaming.watch import Watch
+
+    root = f"{own_dir(spark)}/watched-{uuid.uuid4().hex}"
+    counts = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count_if(F.col("c_mktsegment") == "BUILDING").alias("some"), F.count_if(F.col("c_acctbal") > 0).alias("rich")).collect()  # a row a nation
+    watch = Watch(spark, f"{root}/state", {"texts": (f"{root}/raw", "*.md")}, content=True)
+    said = {}
+    for step in ("some", "rich"):
+        for r in counts:
+            path, n = f"{root}/raw/{r['c_nationkey']}.md", r["c_nationkey"]
+            if step == "rich" and n % 5 == 0:
+                file_system(spark, path)[1].delete(file_system(spark, path)[0], False)
+            elif (step == "rich" or r["some"]) and said.get(n) != r[step]:
+                replace_small(spark, path, f"{r[step]:09d}")
+                said[n] = r[step]
+        watch.poll()
+    out = f"{root}/out"
+    watch.deliver(lambda df: df.write.mode("append").parquet(out))
+    return spark.read.parquet(out).select(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("int").alias("nation"), "version", "change")
+
+
 @query("debounced_changes", """
 WITH RECURSIVE c AS MATERIALIZED (SELECT DISTINCT event_type AS key, epoch_us(ts) AS us FROM events),
 n AS MATERIALIZED (SELECT c.key, c.us, d.us AS later FROM c ASOF JOIN c d ON c.key = d.key AND c.us + 30000000 <= d.us),

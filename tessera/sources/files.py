@@ -1,14 +1,16 @@
-"""Files in and out: facts as JSON lines, Markdown trees cut into chunks, journals, versioned publications."""
+"""Files in and out: facts as JSON lines, Markdown trees cut into chunks, journals."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import sorted_map
 from tessera.plans.graph import PROVENANCE, Graph
-from tessera.sources.pointer import replace_small
 
 LINES = 60
 #: A fact as it is written: properties are JSON values, so they are read as text and kept as JSON literals.
@@ -59,25 +61,38 @@ def facts_hash(g: Graph) -> DataFrame:
     )
 
 
-def publish(df: DataFrame, root: str, version: str) -> str:
-    """Writes df as a version under root, then points CURRENT at it in one step; readers of the old version are not disturbed."""
-    path = f"{root.rstrip('/')}/v={version}"
-    df.write.mode("overwrite").parquet(path)
-    replace_small(df.sparkSession, f"{root.rstrip('/')}/CURRENT", version)
-    return path
+def inside_root(root: str, path: Column) -> Column:
+    """Whether a file's path, with links resolved, lies below root. Only local file systems have links; elsewhere every file does."""
+    if "://" in root and not root.startswith("file:"):
+        return F.lit(True)
+    import os
+    from urllib.parse import unquote
 
+    local = lambda p: unquote(p.removeprefix("file:")) if p.startswith("file:") else p
+    real = os.path.realpath(re.sub("^/+", "/", local(root)))
 
-def current(spark: SparkSession, root: str) -> DataFrame:
-    """The version that root points at."""
-    version = spark.read.text(f"{root.rstrip('/')}/CURRENT").first()["value"]
-    return spark.read.parquet(f"{root.rstrip('/')}/v={version}")
+    @F.pandas_udf(T.BooleanType())
+    def check(paths: pd.Series) -> pd.Series:
+        found = {p: os.path.realpath(re.sub("^/+", "/", local(p))) for p in paths.unique()}
+        return paths.map(lambda p: found[p] == real or found[p].startswith(real.rstrip("/") + "/"))
 
+    return check(path)
 
-def read_documents(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
-    """(path, text): text files under root, path relative to it."""
+
+def _texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).format("text").load(root)
     full = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/")
-    return files.select(F.regexp_replace(full, "^.*?" + _quoted(root.rstrip("/")) + "/", "").alias("path"), F.col("value").alias("text"))
+    return files.select(F.regexp_replace(full, "^.*?" + _quoted(root.rstrip("/")) + "/", "").alias("path"), F.col("value").alias("text"), inside_root(root, F.col("_metadata.file_path")).alias("inside"))
+
+
+def read_documents(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
+    """(path, text): text files under root, path relative to it. Links that lead out of root are not followed."""
+    return _texts(spark, root, glob).where("inside").drop("inside")
+
+
+def refused_links(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
+    """(path): what read_documents() leaves out, for counts and logs."""
+    return _texts(spark, root, glob).where("not inside").select("path")
 
 
 def _quoted(s: str) -> str:

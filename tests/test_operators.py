@@ -288,13 +288,6 @@ def test_facts_round_trip(spark, tmp_path):
     assert len(files.facts_hash(g).first()[0]) == 16
 
 
-def test_publish_and_current(spark, tmp_path):
-    root = str(tmp_path / "pub")
-    files.publish(spark.range(3), root, "1")
-    files.publish(spark.range(5), root, "2")
-    assert files.current(spark, root).count() == 5
-
-
 def test_documents_and_chunks(spark, tmp_path):
     (tmp_path / "backend").mkdir()
     (tmp_path / "backend" / "a.md").write_text("\n".join(f"l{i}" for i in range(5)) + "\n")

@@ -2,7 +2,7 @@
 
 import json
 import random
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from tessera.plans.compile import email_rules
 from tessera.plans.ontology import Ontology, OntologyStore, fingerprint
 from tessera.sources import files, pointer, transcripts
 from tessera.streaming import streams
+from tessera.streaming.watch import Watch, watched
 from tests.test_operators import edge, graph, ids, node
 
 
@@ -78,15 +79,104 @@ def test_pointer(spark, tmp_path):
         assert pointer.read_small(spark, path) == text
 
 
-def test_watch_hands_files_out_once(spark, tmp_path):
+def test_watch_reports_each_change_once(spark, tmp_path):
     raw, seen = tmp_path / "raw", []
     (raw / "x").mkdir(parents=True)
     (raw / "x" / "a.md").write_text("ann@mail1.example.com")
-    watch = lambda: publication.watched(spark, str(raw), str(tmp_path / "check"), lambda df: seen.extend(r.path.rsplit("/", 1)[1] for r in df.collect()), "*.md")
-    assert watch() == 1 and watch() == 0
+    (raw / "same.md").write_text("same")
+    (tmp_path / "secret.md").write_text("outside")
+    (raw / "link.md").symlink_to(tmp_path / "secret.md")
+    take = lambda df: seen.extend((r.change, r.path.rsplit("/", 1)[1]) for r in df.orderBy("version", "path").collect())
+    watch = lambda on=take: watched(spark, str(raw), str(tmp_path / "state"), on, "*.md")
+    assert watch() == 2 and sorted(seen) == [("new", "a.md"), ("new", "same.md")] and watch() == 0
+    (raw / "x" / "a.md").write_text("longer than before")
     (raw / "b.md").write_text("two")
     (raw / "c.txt").write_text("other")
-    assert watch() == 1 and seen == ["a.md", "b.md"]
+
+    def broken(_):
+        raise OSError("not now")
+
+    with pytest.raises(Exception, match="not now"):
+        watch(broken)
+    seen.clear()
+    (raw / "b.md").unlink()
+    assert watch() == 3 and seen == [("new", "b.md"), ("changed", "a.md"), ("deleted", "b.md")] and watch() == 0
+
+
+def test_watch_recovers_between_commit_and_hand_over(spark, tmp_path, monkeypatch):
+    raw, seen = tmp_path / "raw", []
+    raw.mkdir()
+    (raw / "a.md").write_text("a")
+    w = Watch(spark, str(tmp_path / "s"), {"texts": (str(raw), "*.md"), "journals": (str(tmp_path / "none"), "*")})
+    moved = w._moved
+    monkeypatch.setattr(w, "_moved", lambda v: moved(v) if v == 0 else (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        w.poll()
+    again = Watch(spark, str(tmp_path / "s"), w.roots)
+    assert again.poll() == 0
+    again.deliver(lambda df: seen.extend(r.change for r in df.collect()))
+    assert seen == ["new"]
+
+
+def test_links_out_of_the_root(spark, tmp_path):
+    root, other = tmp_path / "root", tmp_path / "other"
+    (root / "in side").mkdir(parents=True)
+    other.mkdir()
+    (root / "in side" / "a b.md").write_text("in")
+    (other / "secret.md").write_text("out")
+    (root / "link.md").symlink_to(other / "secret.md")
+    (root / "dir").symlink_to(other)
+    (root / "own.md").symlink_to(root / "in side" / "a b.md")
+    assert {r.text for r in files.read_documents(spark, str(root)).collect()} == {"in"}
+    assert sorted(r.path for r in files.refused_links(spark, str(root)).collect()) == ["dir/secret.md", "link.md"]
+
+
+def test_publish_refuses_names_that_exist(spark, tmp_path):
+    root = str(tmp_path / "pub")
+    for v in ("1", "2"):
+        publication.publish(spark, root, v, {"t": spark.range(int(v))})
+    bad = spark.range(1).select(F.raise_error(F.lit("broken")).alias("x"))
+    for v, tables in (("1", {"t": bad}), ("1", {"t": spark.range(9)}), ("2", {})):
+        with pytest.raises(ValueError, match="exists"):
+            publication.publish(spark, root, v, tables)
+    with pytest.raises(Exception, match="broken"):
+        publication.publish(spark, root, "3", {"a": spark.range(1), "t": bad})
+    assert sorted(p.name for p in (tmp_path / "pub").iterdir() if not p.name.startswith(".")) == ["CURRENT", "v=1", "v=2"]
+    assert publication.version_of(spark, root) == "2" and spark.read.parquet(f"{root}/v=1/t").count() == 1
+
+
+def test_quality_warnings(spark):
+    from tessera.operators.stats import quality_warnings
+
+    cases = [((0.0, 1.0, 0.0, 1.0, 0.5, 0), False), ((1.0, 0.99, 1.0, 1.0, 0.0, 0), True), ((1.0, 1.0, 1.0, 0.99, 0.0, 0), True), ((1.0, 1.0, 1.0, 1.0, 0.51, 0), True), ((1.0, 1.0, 1.0, 1.0, 0.0, 1), True)]
+    names = ["node_label_coverage", "node_summary_coverage", "node_description_coverage", "edge_description_coverage", "generic_edge_ratio", "duplicate_label_count"]
+    got = quality_warnings(spark.createDataFrame([c for c, _ in cases], names)).collect()
+    assert {tuple(r)[:6]: r.warn for r in got} == dict(cases)
+
+
+def test_queue_goes_on_after_a_restart(spark, tmp_path):
+    from tessera.streaming.queue import drained_to
+
+    feed, out, check = str(tmp_path / "feed"), str(tmp_path / "out"), str(tmp_path / "check")
+    schema = "key string, event_id long, trigger string, at timestamp"
+
+    def put(*rows):
+        spark.createDataFrame([(k, i, t, datetime.fromtimestamp(s)) for k, i, t, s in rows], schema).coalesce(1).write.mode("append").parquet(feed)
+
+    def drain():
+        every, dead = drained_to(spark.readStream.schema(schema).parquet(feed), lambda key, event, trigger, n: key == "good" or (key == "late" and n >= 3), out, check)
+        return sorted((r.key, r.event_id, r.attempt, r.outcome, r.s) for r in every.withColumn("s", F.unix_seconds("at")).collect()), sorted(r.key for r in dead.collect())
+
+    put(("good", 1, "session_end", 1000), ("late", 2, "stop", 1000), ("bad", 3, "session_end", 1000), ("good", 4, "stop", 1100))
+    first = [("bad", 3, n, "failed", s) for n, s in ((1, 1000), (2, 1002), (3, 1006), (4, 1014), (5, 1030), (6, 1062))] + [("good", 1, 1, "imported", 1000)]
+    assert drain() == (first, [])
+    assert drain() == (first, [])
+    put(("late", 5, "stop", 1301), ("clock", 6, "session_end", 5000))
+    every, dead = drain()
+    # the first event of `late` was idle at 1300, just before a newer one took its place
+    assert [x[1:] for x in every if x[0] == "late"] == [(2, 1, "failed", 1300), (5, 1, "failed", 1601), (5, 2, "failed", 1603), (5, 3, "imported", 1607)]
+    assert [x[2:] for x in every if x[0] == "bad"][-2:] == [(9, "failed", 1510), (10, "dropped", 1766)] and dead == ["bad"]
+    assert [x for x in every if x[0] == "good"][1:] == [("good", 4, 1, "imported", 1400)] and not [x for x in every if x[0] == "clock"]
 
 
 def test_compile_in_steps_asks_once(spark, tmp_path):
