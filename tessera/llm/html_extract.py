@@ -7,8 +7,14 @@ container (weighted by text), and paths under a share of the page's best are dro
 
 Before that, elements that never hold an article go (scripts, menus, hidden ones), and elements that their
 tag or class marks as something else (headers, footers, forms, adverts, comments, ...), unless the article or
-most of the page's text is inside them. Words of a class that also name parts of articles ("related-work")
-lower a path's score within an article, and no more. An article's header keeps its headings.
+most of the page's text is inside them. A name marks an element if it is made of such words and words of layout alone; one that only begins or ends
+so ("social-issues", "comment-on-results") lowers a path's score, and is decisive only where an element is short or mostly links. Words that
+also name parts of articles ("related-work") lower a score within an article, and no more; a short notice goes there, too. An
+article's header keeps its headings.
+
+What the ratios leave out comes back where it belongs to kept text: tables, lists, headings and captions in a container most of whose text is
+kept, unless they are mostly links; and, where no headline is kept, the last one before the text whose parent holds the text. A table's cell is a
+container of its own only if it is as long as a text.
 
 Null, empty and text-free pages give empty text and zero characters. Unclosed elements, a tag cut off by
 the end of the page and stray < are read as browsers read them. Memory is linear in the page, however deep
@@ -48,14 +54,17 @@ STRONG = frozenset(
 COMMENTS = frozenset("comment comments commentlist reply replies respond".split())
 #: Words that mark it only where all of the name is such words or PLAIN ones.
 AMBIGUOUS = frozenset(
-    "side menu menus nav navs navigation header headers banner banners notice notices alert alerts notification notifications share related recommended tags meta byline discussion copyright "
-    "legal skip toc disclaimer feedback survey search overlay".split()
+    "side menu menus nav navs navigation header headers share related recommended tags meta byline discussion copyright legal skip toc feedback survey search".split()
 )
+#: The same, for notices.
+NOTICE = frozenset("banner banners notice notices alert alerts notification notifications disclaimer overlay".split())
 #: Words that say where something is or what it is made of.
 PLAIN = frozenset(
     "site page global main primary secondary top bottom left right inner outer upper lower mobile desktop sticky fixed user reader post posts article articles story stories item items entry "
-    "wrap wrapper container box block section area panel module bar row col column content body text title list link links button buttons icon icons form group widget region role".split()
+    "wrap wrapper container box block section area panel module bar row col column content body text title list link links button buttons icon icons form group widget region role "
+    "author avatar thread count slot unit zone placement rail strip leaderboard skyscraper rectangle holder".split()
 )
+_LAYOUT = STRONG | COMMENTS | AMBIGUOUS | NOTICE | PLAIN
 #: Words before a strong one that speak of a layout.
 FLAGS = frozenset("has no with without is not hide show".split())
 #: A start tag of these ends an open element of those (up to the nearest container).
@@ -69,29 +78,29 @@ PUNCTUATION = re.compile(r"[.,;:!?。，、！？]")
 #: Attributes of what a browser doesn't show.
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 KEEP_SHARE, SMOOTH, WEAK, MOST = 0.35, 0.6, 0.6, 0.6
+#: Characters: what is named like something else only in part is dropped below SHORT, a notice in an article below NOTE; a cell holds text of its own from CELL.
+SHORT, NOTE, CELL = 80, 300, 400
 
 
 @lru_cache(10_000)
 def marked(marks: str) -> str:
-    """What classes, ids and roles say of an element: comments, other, maybe, or nothing."""
-    found = ""
+    """What classes, ids and roles say of an element: comments, other, notice, likely (something else), maybe, or nothing."""
+    said = set()
     for name in marks.split():
         words = re.findall("[a-z]+", name)
         if not words or words[0] in FLAGS:
             continue
-        if COMMENTS.intersection(words):
-            return "comments"
-        if STRONG.intersection(words):
-            found = "other"
-        elif not found and AMBIGUOUS.intersection(words) and all(w in AMBIGUOUS or w in PLAIN or len(w) < 3 for w in words):
-            found = "maybe"
-    return found
+        if all(w in _LAYOUT or len(w) < 3 for w in words):
+            said.update(what for what, known in (("comments", COMMENTS), ("other", STRONG), ("notice", NOTICE), ("maybe", AMBIGUOUS)) if known.intersection(words))
+        elif {words[0], words[-1]} & (STRONG | COMMENTS):
+            said.add("likely")
+    return next((x for x in ("comments", "other", "notice", "likely", "maybe") if x in said), "")
 
 
 class _Node:
     """An element. Its tag path is a number, for paths share their beginnings."""
 
-    __slots__ = ("tag", "up", "path", "container", "whole", "link", "says", "never", "weak", "muted", "chars", "article")
+    __slots__ = ("tag", "up", "path", "container", "whole", "link", "says", "never", "weak", "muted", "chars", "linked", "article")
 
     def __init__(self, tag: str, marks: str, up: _Node | None, paths: dict, hidden: bool = False):
         self.tag, self.up = tag, up
@@ -100,7 +109,7 @@ class _Node:
         # an article is one container with all that is in it, and so is a main element but for its articles
         inside = up.whole if up else ""
         self.whole = tag if tag in ("article", "main") and inside != "article" else inside
-        self.container = self.path if up is None or tag in CONTAINER and (not self.whole or inside != self.whole) else up.container
+        self.container = up is None or tag in CONTAINER and (not self.whole or inside != self.whole)  # a path, once all is read
         self.link = tag == "a" or bool(up and up.link)
         self.weak = bool(up and up.weak)
         self.never = bool(up and up.never) or hidden or tag in NEVER
@@ -111,8 +120,8 @@ class _Node:
         elif self.says == "maybe" and inside == "article" or tag == "header" and inside:
             self.weak, self.says = self.weak or self.says == "maybe", ""
         elif tag in ASIDE:
-            self.says = self.says or "other"
-        self.chars, self.article = 0, tag in ("article", "main") and not self.says and not self.never
+            self.says = self.says if self.says == "comments" else "other"
+        self.chars, self.linked, self.article = 0, 0, tag in ("article", "main") and not self.says and not self.never
 
 
 class _Open:
@@ -156,7 +165,9 @@ def runs(page: str) -> tuple[list[list[tuple[_Node, str]]], list[_Node]]:
         if s and not tree.stack[-1].never:
             s = html.unescape(s)
             blocks[-1].append((tree.stack[-1], s))
-            tree.stack[-1].chars += len(s) - s.count(" ") - s.count("\n")
+            n = len(s) - s.count(" ") - s.count("\n")
+            tree.stack[-1].chars += n
+            tree.stack[-1].linked += n * tree.stack[-1].link
 
     def cut() -> None:
         if blocks[-1]:
@@ -215,12 +226,25 @@ def judge(nodes: list[_Node]) -> None:
     for node in reversed(nodes):
         if node.up:
             node.up.chars += node.chars
+            node.up.linked += node.linked
             node.up.article |= node.article
     most = MOST * nodes[0].chars
-    for node in nodes[1:]:
+    for k, node in enumerate(nodes):
+        up = node.up
+        # cells of one path are a menu and a text, so a long one is a container by itself
+        own = node.container and (node.tag not in ("td", "blockquote") or node.chars >= CELL)
+        node.container = (-k if node.tag == "td" else node.path) if own else up.container
+        if up is None:
+            continue
         spared = node.article or not nodes[0].article and node.says != "comments" and node.tag not in ("header", "footer", "aside") and node.chars > most
-        other = node.says and not spared
-        node.never = node.never or bool(other) or node.up.never
+        other = bool(node.says) and not spared
+        if node.says == "notice" and node.whole == "article" and node.tag not in CONTAINER:
+            other, node.weak = False, True
+        elif node.says == "likely" or node.says == "notice" and node.whole == "article":
+            other = other and (node.chars < (SHORT if node.says == "likely" else NOTE) or 2 * node.linked > node.chars)
+            node.weak = node.weak or not other
+        node.weak = node.weak or up.weak
+        node.never = node.never or other or up.never
 
 
 def main_text(page: str) -> str:
@@ -253,7 +277,48 @@ def main_text(page: str) -> str:
         # containers count by the logarithm of their text too: one long article outweighs a long line elsewhere
         smooth[p] = ((1 - SMOOTH) * f + SMOOTH * total / chars) * math.log1p(chars) * (WEAK if holder[p].weak else 1.0)
     least = KEEP_SHARE * max(smooth.values())
-    return "\n\n".join(t for b, t in found if smooth[b[0][0].path] >= least)
+    stay = [smooth[b[0][0].path] >= least for b, _ in found]
+    text: dict[int, list[int]] = {}
+    for (b, t), s in zip(found, stay):
+        x = text.setdefault(b[0][0].container, [0, 0])
+        x[0] += len(t)
+        x[1] += len(t) * s
+    for i, (b, t) in enumerate(found):
+        chars, kept_chars = text[b[0][0].container]
+        stay[i] = stay[i] or not b[0][0].weak and 2 * kept_chars > chars and 2 * sum(len(s) for node, s in b if node.link) <= len(t)
+    _headline(found, stay)
+    return "\n\n".join(t for (_, t), s in zip(found, stay) if s)
+
+
+def _headline(found: list, stay: list[bool]) -> None:
+    """Keeps the last headline before the text, if none is kept and its parent holds the text."""
+    first = next((i for i, s in enumerate(stay) if s), 0)
+    if any(s and "h1" in _tags(b[0][0]) for (b, _), s in zip(found, stay)):
+        return
+    above = set()
+    node = found[first][0][0][0]
+    while node is not None:
+        above.add(id(node))
+        node = node.up
+    for i in range(first - 1, -1, -1):
+        b, t = found[i]
+        head = b[0][0]
+        while head is not None and head.tag != "h1":
+            head = head.up
+        if head is not None and id(head.up) in above and 2 * sum(len(s) for n, s in b if n.link) <= len(t):
+            stay[i] = True
+            return
+
+
+def _tags(node: _Node | None) -> set[str]:
+    """The tags around a text up to its block."""
+    out = set()
+    while node is not None:
+        out.add(node.tag)
+        if node.tag in BLOCK:
+            break
+        node = node.up
+    return out
 
 
 def html_extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:

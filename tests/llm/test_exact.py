@@ -410,6 +410,35 @@ def test_html_layouts(page, want):
     assert main_text(page) == "\n\n".join(want)
 
 
+PARA = "This paragraph is part of the text, with commas, full stops and words enough that nobody takes it for a menu or for a label. So it stays. "
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<body><h1>The headline of it</h1><div class=byline>By A</div><div class=text><p>{P}</p><p>{P}</p><p>{P}</p></div>", ["The headline of it", "{P}", "{P}", "{P}"]),
+        ("<div class=content><h1>Head</h1><p>{P}</p><ul><li>one</li><li>two</li></ul><table><tr><td>1</td><td>2</td></tr></table><h2>Next</h2><p>{P}</p></div>", ["Head", "{P}", "one", "two", "1", "2", "Next", "{P}"]),
+        ('<article><p>{P}</p><section class="social-issues"><p>{P}</p></section></article>', ["{P}", "{P}"]),
+        ('<article><p>{P}</p><div id="comment-on-results"><p>{P}</p></div></article>', ["{P}", "{P}"]),
+        ('<article><p>{P}</p><div class="widget-guide"><p>{P}</p></div></article>', ["{P}", "{P}"]),
+        ('<article><p>{P}</p><div class="notice">We use cookies, please accept them all.</div><p>{P}</p></article>', ["{P}", "{P}"]),
+        # ten pages without article
+        ('<div id="page"><div id="nav"><a href=a>Home</a> <a href=b>About</a></div><div id="body"><h2>Part</h2><p>{P}</p><ol><li>first step</li><li>second step</li></ol><p>{P}</p></div></div>', ["Part", "{P}", "first step", "second step", "{P}"]),
+        ('<div class="post"><p>{P}</p><table><caption>Figures</caption><tr><th>Year</th><th>Sum</th></tr><tr><td>1999</td><td>12</td></tr></table></div><div class="sidebar"><p>{P}</p></div>', ["{P}", "Figures", "Year", "Sum", "1999", "12"]),
+        ("<table><tr><td><a href=a>Home</a><br><a href=b>News</a></td><td><h1>Old page</h1><p>{P}</p><p>{P}</p><p>{P}</p><p>{P}</p></td></tr></table>", ["Old page", "{P}", "{P}", "{P}", "{P}"]),
+        ('<div class="text"><p>{P}</p><figure><img src=x><figcaption>A picture.</figcaption></figure><p>{P}</p></div><div class="footer">Imprint</div>', ["{P}", "A picture.", "{P}"]),
+        ('<div class="text"><p>{P}</p><blockquote>Short quote.</blockquote><pre>x = 1</pre><p>{P}</p></div><div class="comments"><p>{P}</p></div>', ["{P}", "Short quote.", "x = 1", "{P}"]),
+        ('<div class="text"><dl><dt>Word</dt><dd>{P}</dd></dl></div><div class="share-links"><a href=a>Share</a></div>', ["Word", "{P}"]),
+        ('<body><h1>Title</h1><p>{P}</p><h2>Two</h2><p>{P}</p><div class="newsletter-signup"><form>Mail</form></div>', ["Title", "{P}", "Two", "{P}"]),
+        ('<div class="cookie-banner">We use cookies.</div><h1>Title</h1><div class="story"><p>{P}</p><p>{P}</p></div><div class="related"><a href=x>More</a></div>', ["Title", "{P}", "{P}"]),
+        ('<div class="content"><section class="social-issues"><h2>Issues</h2><p>{P}</p></section><section class="policy"><h2>Policy</h2><p>{P}</p></section></div>', ["Issues", "{P}", "Policy", "{P}"]),
+        ('<div class="content"><p>{P}</p><p>Short one.</p><p>{P}</p><p>See <a href=x>this</a> as well.</p></div><div class="ad-slot">Buy this now, it is good.</div>', ["{P}", "Short one.", "{P}", "See this as well."]),
+    ],
+)
+def test_html_keeps_what_belongs_to_the_text(page, want):
+    assert main_text(page.replace("{P}", PARA)).split("\n\n") == [x.replace("{P}", PARA.strip()) for x in want]
+
+
 def test_html_rows(spark):
     """Null, empty and repeated pages, a null id, columns that clash, and an empty table."""
     rows = [(1, None), (2, ""), (3, " \n"), (4, f"<body>{PROSE}"), (4, f"<body>{PROSE}"), (None, "<p>é &amp; 🙂"), (6, "<<<>&&#0;")]
