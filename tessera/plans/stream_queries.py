@@ -75,7 +75,7 @@ def _works(key: str, event: int, trigger: str, attempt: int) -> bool:
 
 
 @query("queue_attempts", f"""
-WITH e AS (SELECT 'agent/' || user_id AS key, event_id, CASE WHEN event_type = 'error' THEN 'session_end' ELSE event_type END AS trigger, epoch_ms(ts) AS ms FROM events),
+WITH e AS (SELECT 'agent/' || user_id AS key, event_id, CASE WHEN event_type = 'error' THEN 'session_end' ELSE event_type END AS trigger, epoch_us(ts) // 1000 AS ms FROM events),
 n AS (SELECT *, lead(ms) OVER (PARTITION BY key ORDER BY ms, event_id) AS later, ms + CASE WHEN trigger = 'session_end' THEN 0 ELSE 300000 END AS due, max(ms) OVER () AS ends FROM e),
 t AS (SELECT *, due + list_extract({_LATER}, attempt) AS fell FROM (SELECT *, unnest(range(1, least(event_id % 12 + 1, 10) + 1)) AS attempt FROM n))
 SELECT key, event_id, attempt::INTEGER AS attempt, CASE WHEN attempt = event_id % 12 + 1 THEN 'imported' WHEN attempt = 10 THEN 'dropped' ELSE 'failed' END AS outcome, fell AS ms FROM t WHERE fell < coalesce(later, ends)""")
