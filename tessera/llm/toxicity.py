@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import held_out, stored
 
 EXAMPLES, LEAST_EXAMPLES, LIFT, CHI = 2500, 5, 5.0, 12.0
-MARKED, NEAR = 8.0, 2e-5
+MARKED, NEAR = 4.0, 2e-5
 LONG, BLOCK, SEED = 512, 16, 8
 PREFIXES = (3, 4, 5, 6)
 K, BATCH, PRIOR, BASE = 9, 256, 0.8, 0.005
