@@ -117,49 +117,114 @@ def hubs(g: Graph, limit: int = 10) -> DataFrame:
     return degrees(g).join(g.nodes, "id").select("id", label.alias("label"), "degree").orderBy(F.desc("degree"), F.lower("label"), "id").limit(limit)
 
 
-def _trimmed(left: DataFrame) -> DataFrame:
-    """left without the links of nodes that have no way in or no way out, until none is left to trim."""
+def _raked(left: DataFrame) -> DataFrame:
+    """left without the links of nodes that have no way in or no way out; one layer of them."""
+    kept = left.join(left.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi").join(left.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi")
+    return stored(kept.select("from_id", "to_id"), "links")
+
+
+def _compressed(left: DataFrame, log: list[str]) -> tuple[DataFrame, DataFrame] | None:
+    """Nodes with one way in and one way out, as paths (id, u, w) between other nodes and as rings (id, c) without any; None if there are none.
+
+    Pointers to both sides double until they leave such nodes; those that have not after as many rounds as their number has digits go round
+    a ring, and have seen all of it."""
+    out = left.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("n_out"), F.min("to_id").alias("w")).where("n_out = 1")
+    come = left.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("n_in"), F.min("from_id").alias("u")).where("n_in = 1")
+    chain = stored(out.join(come, "id").select("id", "u", "w", F.col("id").alias("c")), "chain")
+    n, covered = chain.count(), 1
+    if n == 0:
+        return None
+    mark = lambda c: chain.select(F.col("id").alias(c), F.lit(True).alias(f"on_{c}"))
+    going = lambda df: df.where("on_u OR on_w")
+    state = chain.join(mark("u"), "u", "left").join(mark("w"), "w", "left").fillna(False, ["on_u", "on_w"])
+    state = stored(state.select("id", "u", "w", "c", "on_u", "on_w"), "paths")
+    while covered <= 2 * n and not going(state).isEmpty():
+        far = lambda c, *also: state.select(F.col("id").alias(c), F.col(c).alias(f"{c}2"), F.col(f"on_{c}").alias(f"on_{c}2"), *also)  # noqa: B023, E731
+        moved = going(state).join(far("u", F.col("c").alias("c2")), "u", "left").join(far("w"), "w", "left")
+        step = lambda c: (F.when(F.col(f"on_{c}"), F.col(f"{c}2")).otherwise(F.col(c)).alias(c), (F.col(f"on_{c}") & F.coalesce(F.col(f"on_{c}2"), F.lit(False))).alias(f"on_{c}"))
+        (u, on_u), (w, on_w) = step("u"), step("w")
+        old, state = state, stored(state.where("NOT on_u AND NOT on_w").unionByName(moved.select("id", u, w, F.least("c", F.when(F.col("on_u"), F.col("c2"))).alias("c"), on_u, on_w)), "paths")
+        drop_stored(old)
+        covered *= 2
+        log.append("double")
+    drop_stored(chain)
+    return state.where("NOT on_u AND NOT on_w").select("id", "u", "w"), state.where("on_u").select("id", "c")
+
+
+def _coloured(left: DataFrame, log: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Some strongly connected components (id, c) of a core, and the links that remain. Every node takes the greatest id that reaches it as its
+    colour; the nodes of a colour that reach its id are one component."""
+    colours = stored(left.select(F.col("from_id").alias("id"), F.col("from_id").alias("c")).distinct(), "colours")
+    moved = colours
+    while not moved.isEmpty():
+        come = left.join(moved.withColumnRenamed("id", "from_id"), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.max("c").alias("new"))
+        now = stored(colours.join(come, "id", "left").select("id", F.greatest("c", "new").alias("c"), F.coalesce(F.col("new") > F.col("c"), F.lit(False)).alias("moved")), "colours")
+        drop_stored(colours)
+        colours, moved = now.select("id", "c"), now.where("moved").select("id", "c")
+        log.append("colour")
+    one = left.join(colours.select(F.col("id").alias("from_id"), "c"), "from_id").join(colours.select(F.col("id").alias("to_id"), F.col("c").alias("to_c")), "to_id").where("c = to_c")
+    one = stored(one.select("from_id", "to_id", "c"), "coloured")
+    reach = stored(colours.where("id = c").select("id"), "reach")
+    new = reach
+    while not new.isEmpty():
+        old_new, old = new, reach
+        new = stored(one.join(new.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(F.col("from_id").alias("id")).distinct().join(reach, "id", "left_anti"), "new")
+        reach = stored(reach.unionByName(new), "reach")
+        drop_stored(old, *([old_new] if old_new is not old else []))
+        log.append("reach")
+    ends = lambda df, how: df.join(reach.withColumnRenamed("id", "from_id"), "from_id", how).join(reach.withColumnRenamed("id", "to_id"), "to_id", how)
+    # a component of one node has no link left; loops were taken before
+    found = stored(ends(one, "left_semi").select(F.col("from_id").alias("id"), "c").distinct(), "cyclic")
+    return found, stored(ends(one, "left_anti").select("from_id", "to_id"), "links")
+
+
+def on_cycle(edges: DataFrame, log: list[str] | None = None) -> DataFrame:
+    """(id): nodes that reach themselves along directed edges. A loop counts. log takes the name of each round.
+
+    Nodes without a way in or out are raked off, layer by layer; where that is slow, paths of nodes with one way in and one way out become
+    single links by doubling pointers, so chains, rings and trees of any length take rounds by the logarithm of it. The core that neither changes
+    is cut into strongly connected components by colouring, whose rounds go with the longest path that a colour takes there. Backwards, a path's nodes
+    belong to the component that both its ends are in. Tables have a row for each node or link, never for pairs."""
+    log = [] if log is None else log
+    every = edges.where("from_id is not null and to_id is not null").select("from_id", "to_id").distinct()
+    left = stored(every.where("from_id <> to_id"), "links")
+    loops = stored(every.where("from_id = to_id").select(F.col("from_id").alias("id")), "loops")
+    parts, paths = loops.select("id", F.col("id").alias("c")).limit(0), []
     count = left.count()
     while count:
-        kept = left.join(left.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi").join(left.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi")
-        kept = stored(kept.select("from_id", "to_id"), "links")
-        now = kept.count()
+        old, left = left, _raked(left)
+        drop_stored(old)
+        before, count = count, left.count()
+        log.append("rake")
+        if count == 0 or count <= 0.9 * before:
+            continue
+        squeezed = _compressed(left, log)
+        if squeezed is None and count < before:
+            continue
+        if squeezed is None:
+            found, rest = _coloured(left, log)
+            parts = parts.unionByName(found)
+        else:
+            path, ring = squeezed
+            paths.append(path)
+            parts = parts.unionByName(ring)
+            loops = loops.unionByName(path.where("u = w").select(F.col("u").alias("id")))
+            gone = path.select("id").unionByName(ring.select("id"))
+            kept = left.join(gone.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(gone.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
+            rest = stored(kept.select("from_id", "to_id").unionByName(path.where("u <> w").select(F.col("u").alias("from_id"), F.col("w").alias("to_id"))).distinct(), "links")
         drop_stored(left)
-        left, before, count = kept, count, now
-        if now == before:
-            break
-    return left
-
-
-def on_cycle(edges: DataFrame) -> DataFrame:
-    """(id): nodes that reach themselves along directed edges, by strongly connected components. A loop counts.
-
-    Nodes without a way in or without a way out are trimmed until none is left to trim. Then every node takes the greatest
-    id that reaches it as its colour; the nodes of a colour that reach its id are one component, and leave. What remains,
-    without links between colours, is trimmed and coloured again. Tables have a row for each node or link, never for pairs;
-    rounds go with the longest path that a colour takes."""
-    left = _trimmed(stored(edges.where("from_id is not null and to_id is not null").select("from_id", "to_id").distinct(), "links"))
-    found = stored(left.where("from_id = to_id").select(F.col("from_id").alias("id")), "cyclic")
-    left = left.where("from_id <> to_id")
-    while True:
-        left = _trimmed(stored(left, "links"))
-        if left.isEmpty():
-            return found.distinct()
-        colours = stored(left.select(F.col("from_id").alias("id"), F.col("from_id").alias("c")).distinct(), "colours")
-        moved = colours
-        while not moved.isEmpty():
-            come = left.join(moved.withColumnRenamed("id", "from_id"), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.max("c").alias("new"))
-            now = stored(colours.join(come, "id", "left").select("id", F.greatest("c", "new").alias("c"), F.coalesce(F.col("new") > F.col("c"), F.lit(False)).alias("moved")), "colours")
-            drop_stored(colours)
-            colours, moved = now.select("id", "c"), now.where("moved").select("id", "c")
-        one = left.join(colours.select(F.col("id").alias("from_id"), "c"), "from_id").join(colours.select(F.col("id").alias("to_id"), F.col("c").alias("to_c")), "to_id").where("c = to_c")
-        one = stored(one.select("from_id", "to_id"), "coloured")
-        reach = stored(colours.where("id = c").select("id"), "reach")
-        new = reach
-        while not new.isEmpty():
-            new = stored(one.join(new.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(F.col("from_id").alias("id")).distinct().join(reach, "id", "left_anti"), "new")
-            reach = stored(reach.unionByName(new), "reach")
-        inside = one.join(reach.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(reach.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
-        # a component of one node has no link left; loops were taken before
-        found = stored(found.unionByName(inside.select(F.col("from_id").alias("id")).distinct()), "cyclic")
-        left = one.join(reach.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(reach.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
+        left = rest
+        count = left.count()
+    loops = loops.distinct()
+    alone = loops.join(parts, "id", "left_anti")
+    for path in paths:
+        alone = alone.join(path, "id", "left_anti")
+    parts = parts.unionByName(alone.select("id", F.col("id").alias("c")))
+    for path in reversed(paths):
+        known = stored(parts, "parts")
+        of = lambda c: known.select(F.col("id").alias(c), F.col("c").alias(f"c_{c}"))  # noqa: B023, E731
+        both = path.join(of("u"), "u", "left").join(of("w"), "w", "left").join(loops.withColumn("loop", F.lit(True)), "id", "left")
+        c = F.coalesce(F.when(F.col("c_u") == F.col("c_w"), F.col("c_u")), F.when(F.col("loop"), F.col("id")))
+        parts = known.unionByName(both.select("id", c.alias("c")).where("c is not null"))
+        log.append("back")
+    return parts.select("id").distinct()

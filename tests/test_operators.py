@@ -452,3 +452,37 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
     components.drop_stored(held)
     with pytest.raises(Exception):
         spark.read.parquet(held.inputFiles()[0])
+
+
+def _links(spark, pairs):
+    return spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "from_id string, to_id string")
+
+
+def test_cycles_by_transitive_closure(spark):
+    """Chains, rings, chains between rings, loops and bushes, against plain reachability."""
+    rnd = random.Random(11)
+    pairs, n = [], 0
+    for _ in range(9):
+        size = rnd.randint(2, 12)
+        ring = list(range(n, n + size))
+        pairs += list(zip(ring, ring[1:])) + ([(ring[-1], ring[0])] if rnd.random() < 0.5 else [])
+        pairs += [(rnd.choice(ring), rnd.randint(0, n + size))] if rnd.random() < 0.7 else []
+        pairs += [(ring[0], ring[0])] if rnd.random() < 0.3 else []
+        n += size
+    pairs += [(rnd.randint(0, n), rnd.randint(0, n)) for _ in range(10)]
+    reach = {a: {b for x, b in pairs if x == a} for a, _ in pairs}
+    changed = True
+    while changed:
+        changed = False
+        for a in reach:
+            more = reach[a].union(*[reach.get(b, set()) for b in reach[a]])
+            changed, reach[a] = changed or more != reach[a], more
+    assert ids(traversal.on_cycle(_links(spark, pairs))) == sorted(str(a) for a in reach if a in reach[a])
+
+
+def test_long_rings_and_chains_take_few_rounds(spark):
+    n, log = 10_000, []
+    ring = [(f"r{i}", f"r{(i + 1) % n}") for i in range(n)]
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(n)]
+    assert traversal.on_cycle(_links(spark, ring + chain + [("c5", "r7")]), log).count() == n
+    assert len(log) < 60, log
