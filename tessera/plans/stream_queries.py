@@ -137,6 +137,25 @@ def retry_backoff(spark, d):
     return table(spark, d, "events").select(n.alias("attempts"), streams.backoff(n).alias("seconds")).distinct()
 
 
+@query("journal_log", """
+SELECT 'e' || event_id AS entry_id, CASE WHEN event_id % 2 = 0 AND event_id % 3 = 0 THEN 'merged' WHEN event_id % 3 = 0 OR event_id % 5 = 0 THEN 'quarantined' ELSE 'pending' END AS status FROM events""")
+def journal_log(spark, d):
+    """All events as entries in two commits, with statuses before, between and after, and a folding."""
+    from tessera.sources.journal_log import JournalLog
+
+    e = table(spark, d, "events").select(F.col("event_id"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("entry_id"))
+    entry = e.select("event_id", *[(F.col("entry_id") if c == "entry_id" else F.lit("pending") if c == "status" else F.lit(None)).cast(t).alias(c) for c, t in spark.createDataFrame([], journal.ENTRY).dtypes])
+    said = lambda rule, s: e.where(rule).select(F.col("entry_id").alias("key"), F.lit(s).alias("new_status"))
+    log = JournalLog(spark, f"{own_dir(spark)}/log-{uuid.uuid4().hex}")
+    log.set_status(said("event_id % 7 = 0", "flagged"))
+    log.append(entry.where("event_id % 2 = 0"))
+    log.set_status(said("event_id % 3 = 0", "merged"))
+    log.append(entry.where("event_id % 2 = 1"))
+    log.compact()
+    log.set_status(said("event_id % 3 = 0 OR event_id % 5 = 0", "quarantined"))
+    return log.read().select("entry_id", "status")
+
+
 #: How each format writes a message of the conversations table, as JSON.
 _WRITTEN = {
     "nested": lambda r, t: F.to_json(F.struct(r.alias("type"), F.struct(r.alias("role"), F.array(F.struct(F.lit("text").alias("type"), t.alias("text"))).alias("content")).alias("message"))),

@@ -164,11 +164,6 @@ def read_journals(spark: SparkSession, root: str) -> DataFrame:
     return parsed_journal(spark.read.option("recursiveFileLookup", True).text(root))
 
 
-def append_journal(entries: DataFrame, root: str) -> None:
-    """Adds entries, by namespace."""
-    entries.write.mode("append").partitionBy("ns").json(root)
-
-
 def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:
     """Files (path, hash) that are new or differ from what the manifest has."""
     return now.join(before.select("path", "hash"), ["path", "hash"], "left_anti")
