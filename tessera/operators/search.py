@@ -6,6 +6,8 @@ substring; `terms` wants every term of the query, each as a run of adjacent toke
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from tessera.operators.scope import scoped
 from tessera.operators.traversal import CAP, scoped_distances, type_weight, typed_hops
 from tessera.plans.graph import Graph, prop, text_or_null
 
+if TYPE_CHECKING:
+    from tessera.operators.text_index import SearchIndex
+
 OVER_FETCH = 8
 
 
@@ -86,10 +91,16 @@ def rank_nodes(found: DataFrame, dist: DataFrame | None, limit: int) -> DataFram
     return near.orderBy(F.coalesce("dist", F.lit(99)), "place").limit(limit)
 
 
-def scoped_search(g: Graph, scope: list[str], query: str, limit: int, *, kind: str = "nodes", center: str | None = None, as_of: str | None = None, mode: str = "scan") -> DataFrame:
+def scoped_search(g: Graph, scope: list[str], query: str, limit: int, *, kind: str = "nodes", center: str | None = None, as_of: str | None = None, mode: str = "scan", index: SearchIndex | None = None) -> DataFrame:
     """Search, then visibility, activity, rank and limit, in this order: OVER_FETCH * limit candidates are drawn before
-    the filters, so fewer than `limit` may be left. kind: nodes or facts."""
+    the filters, so fewer than `limit` may be left. kind: nodes or facts. An index of g takes the place of reading all texts; it wants every term
+    of the query, as mode `terms` does."""
     seen = scoped(g, scope)
+    if index is not None:
+        places = F.broadcast(index.find(query, OVER_FETCH * limit, kind).select("id", "place"))  # OVER_FETCH * limit rows
+        near = None if center is None else scoped_distances(g, scope, center, as_of)
+        facts, rank = (seen.nodes, rank_nodes) if kind == "nodes" else (seen.edges, rank_facts)
+        return rank(active_at(facts.join(places, "id"), as_of), near, limit)
     dist = None if center is None else scoped_distances(g, scope, center, as_of)
     if kind == "nodes":
         found = search(node_text(g.nodes), query, OVER_FETCH * limit, mode).join(seen.nodes.select("id"), "id", "left_semi")
@@ -145,13 +156,22 @@ def token_index(texts: DataFrame) -> DataFrame:
     return each.groupBy("token", "type", "id").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
+def _query_terms(query: str) -> list[list[str]]:
+    """The tokens of each term."""
+    terms = ["".join(c if c.isalnum() else " " for c in term.lower()).split() for term in query.split()]
+    return [t for t in terms if t]
+
+
+def query_tokens(query: str) -> list[str]:
+    return sorted({t for term in _query_terms(query) for t in term})
+
+
 def index_search(index: DataFrame, query: str, limit: int) -> DataFrame:
     """(type, id): the first `limit` texts, in file order, that have every term of the query; a term of several tokens must stand as a run.
 
     Only the postings of the query's tokens are read."""
-    terms = [[t for t in "".join(c if c.isalnum() else " " for c in term.lower()).split()] for term in query.split()]
-    terms = [t for t in terms if t]
-    wanted = sorted({t for term in terms for t in term})
+    terms = _query_terms(query)
+    wanted = query_tokens(query)
     if not wanted:
         return index.select("type", "id").limit(0)
     at = index.where(F.col("token").isin(wanted)).groupBy("type", "id").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("p"))

@@ -10,7 +10,7 @@ from tessera.operators import journal, sessions
 from tessera.operators.components import own_dir
 from tessera.plans import compile as building
 from tessera.plans import data_queries as data
-from tessera.plans.queries import SQL, query, table
+from tessera.plans.queries import _EDGE_BODY, _EDGES, _NODE_BODY, SQL, on_graph, query, table
 from tessera.sources import files, transcripts
 from tessera.streaming import streams
 
@@ -238,3 +238,20 @@ def index_search(spark, d):
     from tessera.sources.graph_view import sample_graph
 
     return search.index_search(search.token_index(search.node_text(sample_graph(spark, d).nodes)), "brand#4 bolt", 25).select("id", "type")
+
+
+@query("published_index", on_graph(f"""
+, t AS (SELECT 'nodes' AS kind, id, type, {_NODE_BODY} AS body FROM nodes UNION ALL SELECT 'facts', e.id, e.type, {_EDGE_BODY} FROM {_EDGES}),
+x AS (SELECT kind, id, type, ' ' || trim(regexp_replace(lower(body), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' AS x FROM t),
+q AS (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY type, id) - 1 AS INTEGER) AS place FROM x WHERE contains(x, ' blue ') AND contains(x, ' bolt '))
+SELECT kind, type, id, place FROM q WHERE place < 40"""))
+def published_index(spark, d):
+    """Nodes and facts with two words, from the index that was published with the graph."""
+    from tessera.plans import publication
+    from tessera.sources.graph_view import sample_graph
+
+    g, root = sample_graph(spark, d), f"{own_dir(spark)}/indexed-{uuid.uuid4().hex}"
+    publication.publish_graph(g, root, "1", spark.range(1), index=True)
+    index = publication.Published(spark, root).index()
+    of = lambda kind: index.find("blue bolt", 40, kind).select(F.lit(kind).alias("kind"), "type", "id", "place")
+    return of("nodes").unionByName(of("facts"))

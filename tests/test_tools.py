@@ -404,3 +404,39 @@ def test_journal_of_many_writers(spark, tmp_path):
     now = {r.entry_id: r.status for r in log.read().collect()}
     assert {k for k, s in now.items() if s == "merged"} == merged and set(now.values()) <= {"merged", "quarantined"}
     assert log.read(last).count() == len(rows) and log.read(0).count() == 0
+
+
+def test_written_index_equals_the_scan(spark, tmp_path):
+    """Nodes and facts, after a build, an update, a merge and through a publication; only the buckets of a query's tokens are read."""
+    from tessera.operators.text_index import SearchIndex
+
+    g = graph(spark, [node(f"svc:{i}", props={"name": f"Pay API {i % 3}", "note": "É x-ray"}, ns=["a" if i % 2 else "b"]) for i in range(30)], [edge(f"e{i}", f"svc:{i}", f"svc:{i + 1}", props={"note": f"calls {i % 4}"}) for i in range(29)])
+    index = SearchIndex(spark, str(tmp_path / "index"), buckets=16)
+    queries = ["pay-api 1", "calls 3", "É ray", "ray-x", "-", ""]
+
+    def same(g):
+        for kind, texts in (("nodes", search.node_text(g.nodes)), ("facts", search.edge_text(g.edges, g.nodes))):
+            for q in queries[:4]:
+                want = [(r.type, r.id, r.place) for r in search.search(texts, q, 7, "terms").collect()]
+                assert [(r.type, r.id, r.place) for r in index.find(q, 7, kind).orderBy("place").collect()] == want, (kind, q)
+
+    index.build(g)
+    assert [index.find(q, 5).count() for q in queries[4:]] == [0, 0]
+    same(g)
+    read = {f.rsplit("bucket=", 1)[1].split("/")[0] for f in index.find("calls 3", 5, "facts").inputFiles()}
+    assert 1 <= len(read) <= 2
+    now = graph(spark, [*[node(f"svc:{i}", props={"name": "Renamed" if i == 5 else f"Pay API {i % 3}", "note": "É x-ray"}, ns=["a" if i % 2 else "b"]) for i in range(30) if i != 9], node("svc:new", props={"name": "pay none such"})], [edge(f"e{i}", f"svc:{i}", f"svc:{i + 1}", props={"note": f"calls {i % 4}"}) for i in range(29) if i not in (8, 9, 20)])
+    ids_of = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    index.update(now, ids_of("svc:5", "svc:9", "svc:new"), ids_of("e8", "e9", "e20"))
+    queries[0] = "renamed"
+    assert index.find("renamed", 9, "facts").count() == 2 and len(index.segments()) == 2
+    same(now)
+    index.merge()
+    assert len(index.segments()) == 1
+    same(now)
+    root = str(tmp_path / "pub")
+    publication.publish_graph(now, root, "1", publication.manifest(now, Ontology()), index=True)
+    reader = publication.Published(spark, root)
+    for kind in ("nodes", "facts"):
+        want = search.scoped_search(now, ["a", "b", "public"], "pay", 5, kind=kind, center="svc:3", mode="terms").select("id").collect()
+        assert want and search.scoped_search(reader.graph(), ["a", "b", "public"], "pay", 5, kind=kind, center="svc:3", index=reader.index()).select("id").collect() == want
