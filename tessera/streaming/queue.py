@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tessera.streaming.streams import CEILING_S, EXACT, IDLE_S, MOST_ATTEMPTS, run_available
 
 ATTEMPT = "key string, event_id long, trigger string, attempt int, outcome string, at timestamp"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _STATE = "event_id long, trigger string, received long, attempts int, due long"
 
 
@@ -89,7 +90,7 @@ def attempts(events: DataFrame, work: Callable[[str, int, str, int], bool], *, e
     """The attempts (ATTEMPT) at the sessions of a stream of (key, event_id, trigger, at): a newer event of a key takes the place of an older one.
 
     Its state needs the RocksDB state store, which this sets for the session."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events.sparkSession.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = events.select("key", "event_id", "trigger", F.col("at").cast("timestamp").alias("at")).where("key is not null and at is not null")
     rows = rows.withWatermark("at", late) if event_time else rows
     return rows.groupBy("key").transformWithStateInPandas(_Queue(work, event_time), ATTEMPT, "append", "EventTime" if event_time else "ProcessingTime")
@@ -102,7 +103,11 @@ def drained_to(events: DataFrame, work: Callable[[str, int, str, int], bool], ou
         kept = batch.withColumn("dead", F.col("outcome") == "dropped")
         kept.write.mode("overwrite").partitionBy("dead").parquet(f"{out}/batch={n}")
 
-    run_available(attempts(events, work, **options), each, checkpoint=checkpoint)
     spark = events.sparkSession
+    before = spark.conf.get(_PROVIDER, None)
+    try:
+        run_available(attempts(events, work, **options), each, checkpoint=checkpoint)
+    finally:  # other streams keep the store that they had
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
     found = spark.read.schema(f"{ATTEMPT}, dead boolean, batch int").parquet(out)
     return found.drop("dead", "batch"), found.where("dead").drop("dead", "batch", "outcome")
