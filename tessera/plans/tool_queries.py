@@ -103,6 +103,19 @@ def quality_warnings(spark, d):
     return pages.quality_warning(stats.content_quality(g, VIEW)).select("needs_attention").crossJoin(F.broadcast(found.select("schema_outdated")))
 
 
+@query("quality_bars", """
+WITH q AS (SELECT l_orderkey AS id, avg((l_quantity > 2)::INT) AS summaries, avg((l_tax > 0)::INT) AS told, avg((l_linenumber <= 2)::INT) AS generic, count(*) - count(DISTINCT l_suppkey) AS surplus FROM lineitem GROUP BY 1)
+SELECT id, summaries < 1 OR told < 1 OR generic > 0.5 OR surplus > 0 AS warn FROM q""")
+def quality_bars(spark, d):
+    """Warnings for the qualities of every order's lines, on both sides of each bar; labels and node descriptions don't count."""
+    share = lambda c: F.avg(c.cast("int"))
+    q = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
+        share(F.col("l_quantity") > 2).alias("node_summary_coverage"), share(F.col("l_tax") > 0).alias("edge_description_coverage"), share(F.col("l_linenumber") <= 2).alias("generic_edge_ratio"),
+        (F.count("*") - F.count_distinct("l_suppkey")).alias("duplicate_label_count"), F.lit(0.0).alias("node_label_coverage"), F.lit(0.0).alias("node_description_coverage"),
+    )
+    return stats.quality_warnings(q).select("id", "warn")
+
+
 @query("manifest_summary", on_graph("""
 SELECT 'loaded' AS status, 'unknown' AS compiled_at, 'run' AS run_id, 12 AS hash_length, 7::BIGINT AS chunk_count, (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count,
 1::BIGINT AS error_count, 2::BIGINT AS quarantined_count, 0::BIGINT AS flagged_count, 3::BIGINT AS merged_count"""))
