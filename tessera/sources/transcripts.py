@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
 from tessera.functions.text import first_text
 
@@ -161,6 +162,8 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict, schema):
         self.path, self.table = options["path"], options["table"]
         self.parts, self.columns = int(options.get("partitions", "4")), schema.names
+        self.conditions: list[str] = []
+        self.values: list = []
         if not all(c.replace("_", "").isalnum() for c in [self.table, *self.columns]):
             raise ValueError("names of tables and columns hold letters, digits and _ only")
 
@@ -179,13 +182,79 @@ class _Reader(DataSourceReader):
         return [_Part(a, min(a + step, high + 1)) for a in range(low, high + 1, step)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        yield from self._rows(f"SELECT {', '.join(self.columns)} FROM {self.table} WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high))
+        where = " AND ".join(["rowid >= ?", "rowid < ?", *self.conditions])
+        yield from self._rows(f"SELECT {', '.join(self.columns)} FROM {self.table} WHERE {where}", (partition.low, partition.high, *self.values))
+
+
+_RANGES = {GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+
+class _PushingReader(_Reader):
+    """Reads only rows that may pass: texts by equality, list, range and prefix, whole numbers by equality, list and range.
+
+    Values are parameters, never text of the statement. A condition is handed on only where SQLite can't be stricter than Spark: the
+    column's declared type must be of the schema's kind. Spark judges all conditions again."""
+
+    def __init__(self, options: dict, schema):
+        super().__init__(options, schema)
+        declared = {r[1]: r[2].upper() for r in self._rows(f"PRAGMA table_info({self.table})")}
+        self.kinds: dict[str, type] = {}
+        for f in schema.fields:
+            if isinstance(f.dataType, T.StringType) and any(k in declared.get(f.name, "") for k in ("CHAR", "TEXT", "CLOB")):
+                self.kinds[f.name] = str
+            elif isinstance(f.dataType, T.IntegralType) and "INT" in declared.get(f.name, ""):
+                self.kinds[f.name] = int
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            column = ".".join(getattr(f, "attribute", ()))
+            kind = self.kinds.get(column)
+            if kind is not None:
+                self._push(f, column, kind)
+            yield f
+
+    def _push(self, f: Filter, column: str, kind: type) -> None:
+        exact = f"{column} COLLATE BINARY" if kind is str else column
+        values = f.value if isinstance(f, In) else (f.value,) if hasattr(f, "value") else ()
+        if any(type(v) is not kind for v in values):
+            return
+        if isinstance(f, EqualTo):
+            self._add(f"{exact} = ?", *values)
+        elif isinstance(f, In) and 0 < len(values) <= 500:
+            self._add(f"{exact} IN ({', '.join('?' * len(values))})", *values)
+        elif type(f) in _RANGES:
+            self._add(f"{exact} {_RANGES[type(f)]} ?", *values)
+        elif isinstance(f, StringStartsWith) and f.value:
+            self._add(f"{exact} >= ?", f.value)
+            if (end := after_prefix(f.value)) is not None:
+                self._add(f"{exact} < ?", end)
+
+    def _add(self, condition: str, *values) -> None:
+        self.conditions.append(condition)
+        self.values.extend(values)
+
+
+def after_prefix(prefix: str) -> str | None:
+    """The least text, by code points, above all that begin with prefix; None if there is none."""
+    kept = prefix.rstrip(chr(0x10FFFF))
+    if not kept:
+        return None
+    last = ord(kept[-1]) + 1
+    return kept[:-1] + chr(0xE000 if last == 0xD800 else last)
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, partitions: int = 4) -> DataFrame:
+    """A table of an SQLite file; conditions on it reach SQLite, so its indexes serve them. Turns on the session's push-down to Python sources."""
+    spark.dataSource.register(SQLiteSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("sqlite").schema(schema).option("path", path).option("table", table).option("partitions", str(partitions)).option("push", "true").load()
 
 
 class SQLiteSource(DataSource):
     """spark.read.format("sqlite").schema(...).option("path", ...).option("table", ...).load(): read by ranges of rowid.
 
-    The file must be readable where the tasks run."""
+    The file must be readable where the tasks run. With option("push", "true") conditions are handed to SQLite, which needs
+    spark.sql.python.filterPushdown.enabled; read_sqlite() sets both."""
 
     @classmethod
     def name(cls) -> str:
@@ -195,7 +264,8 @@ class SQLiteSource(DataSource):
         raise ValueError("give a schema")
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options, schema)
+        push = self.options.get("push", "false").lower() == "true"
+        return (_PushingReader if push else _Reader)(self.options, schema)
 
 
 def current_session(sessions: DataFrame, projects: DataFrame, worktree: str) -> DataFrame:
