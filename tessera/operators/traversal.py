@@ -6,6 +6,8 @@ of what is new, small ones being broadcast by their known size, and the result i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,16 +37,23 @@ def distances(nodes: DataFrame, edges: DataFrame, starts: list[str] | DataFrame,
     links = links_of(edges).join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
     # one hop reads them once
     links = stored(links, "links") if cap > 1 else links
+    out = grown(levels[0], lambda level: links.join(level.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")), cap)
+    if cap > 1:
+        drop_stored(links)
+    return out
+
+
+def grown(first: DataFrame, hop: Callable[[DataFrame], DataFrame], cap: int, kept: Callable[[DataFrame], DataFrame] = lambda new: new) -> DataFrame:
+    """(id, dist): what hop (of a level, to ids, over undirected links) reaches from the written table `first` in at most cap steps; kept says which new ids count."""
+    levels = [first]
     for d in range(1, cap + 1):
-        new = links.join(levels[-1].select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        new = hop(levels[-1]).distinct()
         # what is two levels back can't come again: a link goes both ways
         for level in levels[-2:]:
             new = new.join(level.select("id"), "id", "left_anti")
-        levels.append(stored(new.withColumn("dist", F.lit(d)), "level"))
+        levels.append(stored(kept(new).withColumn("dist", F.lit(d)), "level"))
         if levels[-1].isEmpty():
             break
-    if cap > 1:
-        drop_stored(links)
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)

@@ -18,7 +18,7 @@ class BucketTables:
 
     An update has a number. It writes new versions of buckets into folders of that number, which nothing reads until commit()
     replaces the index; run again, it overwrites its own folders only. A bucket's rows are written by up to FILES tasks, so a hot key's
-    rows don't pass through one."""
+    rows don't pass through one, and sorted by their key, so a filter on keys skips row groups."""
 
     def __init__(self, spark: SparkSession, root: str, keys: dict[str, str], schemas: dict[str, StructType], buckets: int = BUCKETS):
         self.spark, self.root, self.keys, self.schemas, self.buckets = spark, root.rstrip("/"), keys, schemas, buckets
@@ -51,7 +51,7 @@ class BucketTables:
         shaped = rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[table].fields])
         placed = shaped.withColumn("bucket", self._bucket(F.col(self.keys[table])))
         spread = F.pmod(F.xxhash64(*[c for c, t in shaped.dtypes if not t.startswith("map")]), F.lit(FILES))
-        placed.repartition("bucket", spread).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        placed.repartition("bucket", spread).sortWithinPartitions("bucket", self.keys[table]).write.mode("overwrite").partitionBy("bucket").parquet(path)
         schema = StructType([*self.schemas[table].fields, StructField("bucket", IntegerType())])
         full = {r[0] for r in self.spark.read.schema(schema).parquet(path).select("bucket").distinct().collect()}
         held = self.next.setdefault(table, {})
