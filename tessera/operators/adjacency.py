@@ -14,7 +14,7 @@ from tessera.operators.components import drop_stored, stored
 from tessera.operators.lookup import active
 from tessera.operators.scope import visible
 from tessera.operators.traversal import CAP, grown
-from tessera.plans.graph import EDGE_SCHEMA, NODE_SCHEMA, Graph
+from tessera.plans.graph import EDGE_SCHEMA, NODE_SCHEMA, Graph, shaped
 from tessera.sources.buckets import BUCKETS, BucketTables
 
 LISTED = 1000  # so many ids are listed in a filter, which reaches the files; more are joined
@@ -37,21 +37,21 @@ class Adjacency:
         return self.tables.batch >= 0
 
     def build(self, g: Graph) -> None:
-        number = self.tables.batch + 1
-        for table, rows in {"nodes": g.nodes, "out": g.edges, "into": g.edges, "aliases": _aliases(g.nodes)}.items():
+        number, nodes, edges = self.tables.batch + 1, shaped(g.nodes, NODE_SCHEMA), shaped(g.edges, EDGE_SCHEMA)
+        for table, rows in {"nodes": nodes, "out": edges, "into": edges, "aliases": _aliases(nodes)}.items():
             self.tables.write(table, rows, list(range(self.tables.buckets)), number)
         self.tables.commit(number)
 
     def update(self, nodes: DataFrame, edges: DataFrame, gone: DataFrame | None = None) -> None:
         """Takes nodes and edges that are new or changed, and takes away the edges in gone (rows as they were). A changed edge must keep its ends, else
         its old row goes into gone."""
-        number = self.tables.batch + 1
+        number, nodes, edges = self.tables.batch + 1, shaped(nodes, NODE_SCHEMA), shaped(edges, EDGE_SCHEMA)
         before, ids = self._at("nodes", nodes), nodes.select("id").distinct()
         named = stored(_aliases(before).unionByName(_aliases(nodes)).select("alias").distinct(), "named")
         other = self.tables.rows("aliases", named).join(ids, "id", "left_anti")
         self.tables.replace("aliases", named, other.unionByName(_aliases(nodes)), number)
         self.tables.replace("nodes", ids, nodes, number)
-        gone = edges.limit(0) if gone is None else gone.select(*edges.columns)
+        gone = edges.limit(0) if gone is None else shaped(gone, EDGE_SCHEMA)
         for table in ("out", "into"):
             ends = stored(gone.unionByName(edges).select(KEYS[table]).distinct(), "ends")
             left = self.tables.rows(table, ends).join(gone.unionByName(edges).select("id"), "id", "left_anti")

@@ -17,6 +17,7 @@ from tessera.operators.traversal import CAP, scoped_distances, type_weight, type
 from tessera.plans.graph import Graph, prop, text_or_null
 
 if TYPE_CHECKING:
+    from tessera.operators.adjacency import Adjacency
     from tessera.operators.text_index import SearchIndex
 
 OVER_FETCH = 8
@@ -91,17 +92,18 @@ def rank_nodes(found: DataFrame, dist: DataFrame | None, limit: int) -> DataFram
     return near.orderBy(F.coalesce("dist", F.lit(99)), "place").limit(limit)
 
 
-def scoped_search(g: Graph, scope: list[str], query: str, limit: int, *, kind: str = "nodes", center: str | None = None, as_of: str | None = None, mode: str = "scan", index: SearchIndex | None = None) -> DataFrame:
+def scoped_search(g: Graph, scope: list[str], query: str, limit: int, *, kind: str = "nodes", center: str | None = None, as_of: str | None = None, mode: str = "scan", index: SearchIndex | None = None, layout: Adjacency | None = None) -> DataFrame:
     """Search, then visibility, activity, rank and limit, in this order: OVER_FETCH * limit candidates are drawn before
     the filters, so fewer than `limit` may be left. kind: nodes or facts. An index of g takes the place of reading all texts; it wants every term
-    of the query, as mode `terms` does."""
+    of the query, as mode `terms` does. A layout of g for traversal serves the distances."""
     seen = scoped(g, scope)
+    dist = None
+    if center is not None:
+        dist = scoped_distances(g, scope, center, as_of) if layout is None else layout.scoped_distances(scope, center, as_of)
     if index is not None:
         places = F.broadcast(index.find(query, OVER_FETCH * limit, kind).select("id", "place"))  # OVER_FETCH * limit rows
-        near = None if center is None else scoped_distances(g, scope, center, as_of)
         facts, rank = (seen.nodes, rank_nodes) if kind == "nodes" else (seen.edges, rank_facts)
-        return rank(active_at(facts.join(places, "id"), as_of), near, limit)
-    dist = None if center is None else scoped_distances(g, scope, center, as_of)
+        return rank(active_at(facts.join(places, "id"), as_of), dist, limit)
     if kind == "nodes":
         found = search(node_text(g.nodes), query, OVER_FETCH * limit, mode).join(seen.nodes.select("id"), "id", "left_semi")
         return rank_nodes(active_at(found, as_of), dist, limit)

@@ -57,6 +57,11 @@ def positioned(facts: DataFrame) -> DataFrame:
     return facts.withColumn("pos", F.xxhash64("type", "id"))
 
 
+def shaped(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """df with a fact's columns, nulls for those that it lacks."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def prop(name: str) -> Column:
     """A property's value, null if absent."""
     return F.try_element_at("props", F.lit(name))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tessera.plans import data_queries, stream_queries, tool_queries  # noqa: F401
+from tessera.plans import data_queries, layout_queries, stream_queries, tool_queries  # noqa: F401
 from tessera.plans.queries import QUERIES, SQL
 from tests.oracle import agree
 
