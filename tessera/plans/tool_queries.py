@@ -388,6 +388,40 @@ def session_by_early_lines(spark, d):
     return transcripts.session_of(files_, transcripts.early_cwd(lines), "/w2")
 
 
+def _listing(spark, d, kinds: tuple[str, ...]):
+    """Files of each conversation, in folders of three projects; the kinds differ in time."""
+    each = table(spark, d, "conversations").groupBy("conv_id").agg((F.sum(F.length("text")) % 97).alias("mtime"))
+    named = each.select("conv_id", "mtime", F.posexplode(F.array(*map(F.lit, kinds))).alias("k", "kind"))
+    folder = F.concat(F.lit("/home/p/-w-my-app"), (F.col("conv_id") % 3).cast("string"), F.lit("/"))
+    # the first kind lies in the project's folder, the others in its session folders; every fifth session has no file of the last kind
+    listed = named.where(f"k < {len(kinds) - 1} OR conv_id % 5 > 0")
+    return listed.select("conv_id", "k", F.concat(folder, F.when(F.col("k") == 0, F.lit("s")).otherwise(F.lit("d/s")), F.col("conv_id").cast("string"), "kind").alias("path"), (F.col("mtime") + F.col("k") * (F.col("conv_id") % 7)).alias("mtime"))
+
+
+@query("session_by_project", "WITH f AS (SELECT conv_id, sum(length(text)) % 97 AS mtime FROM conversations GROUP BY conv_id), n AS (SELECT '/home/p/-w-my-app1/s' || conv_id || '.jsonl' AS path, mtime FROM f WHERE conv_id % 3 = 1) SELECT arg_max(path, (mtime, path)) AS path FROM n")
+def session_by_project(spark, d):
+    found = transcripts.project_transcripts(_listing(spark, d, (".jsonl", ".jsonl")), "/home/p", transcripts.project_slug("/w/my_app1"))
+    return transcripts.newest(found)
+
+
+@query("session_by_summary_time", """WITH f AS (SELECT conv_id, sum(length(text)) % 97 AS m FROM conversations GROUP BY conv_id),
+n AS (SELECT '/home/p/%2Fw' || conv_id % 2 || '/s' || conv_id AS path, CASE WHEN conv_id % 5 > 0 THEN m + conv_id % 7 ELSE m END AS mtime FROM f WHERE conv_id % 2 = 1 AND conv_id % 4 > 1)
+SELECT arg_max(path, (mtime, path)) AS path FROM n""")
+def session_by_summary_time(spark, d):
+    each = table(spark, d, "conversations").groupBy("conv_id").agg((F.sum(F.length("text")) % 97).alias("m"))
+    folder = F.concat(F.lit("/home/p/"), F.concat(F.lit(transcripts.url_name("/w")), (F.col("conv_id") % 2).cast("string")), F.lit("/s"), F.col("conv_id").cast("string"), F.lit("/"))
+    file = lambda name, mtime: each.select("conv_id", F.concat(folder, F.lit(name)).alias("path"), mtime.alias("mtime"))
+    # some have a history alone, some a summary alone, which is no session
+    files_ = file(transcripts.CHAT, F.col("m")).where("conv_id % 4 > 1").unionByName(file(transcripts.SUMMARY, F.col("m") + F.col("conv_id") % 7).where("conv_id % 5 > 0"))
+    return transcripts.newest(transcripts.session_folders(files_, "/home/p", transcripts.url_name("/w") + "1"))
+
+
+@query("session_without_sidecars", "WITH f AS (SELECT conv_id, sum(length(text)) % 97 AS mtime FROM conversations GROUP BY conv_id) SELECT arg_max('/home/p/-w-my-app' || conv_id % 3 || '/s' || conv_id || '.jsonl', (mtime, '/home/p/-w-my-app' || conv_id % 3 || '/s' || conv_id || '.jsonl')) AS path FROM f")
+def session_without_sidecars(spark, d):
+    """The files beside transcripts are newer."""
+    return transcripts.newest(transcripts.main_transcripts(_listing(spark, d, (".jsonl", *transcripts.SIDECARS))))
+
+
 @query("rendered_batches", data.TURNS + r"""
 SELECT session, 0 AS batch, sha256(rtrim('---' || chr(10) || 'source: n' || chr(10) || 'session: ' || session || chr(10) || 'batch: 000' || chr(10) || 'turns: ' || count(*) || chr(10) || '---' || chr(10) || chr(10) ||
 string_agg('## Turn ' || turn_no || chr(10) || chr(10) || CASE WHEN user_content <> '' THEN '**User:** ' || user_content || chr(10) || chr(10) ELSE '' END || CASE WHEN assistant_text <> '' THEN '**Assistant:** ' || assistant_text || chr(10) || chr(10) ELSE '' END, '' ORDER BY turn_no), chr(10) || ' ') || chr(10)) AS sha FROM t GROUP BY session""")

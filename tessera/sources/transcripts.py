@@ -6,6 +6,7 @@ Each reader takes lines (session, pos, value: one JSON record a line); what is n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,6 +132,47 @@ def session_of(files: DataFrame, recorded: DataFrame, cwd: str | None, fallback:
     return newest(found, cwd).where("path is not null")
 
 
+#: Ends of the names of files that lie beside transcripts; names of a session's files.
+SIDECARS = (".checkpoints.jsonl", ".prompts.jsonl", ".share.jsonl")
+SUMMARY, CHAT = "summary.json", "chat_history.jsonl"
+
+
+def project_slug(cwd: str) -> str:
+    """The name of the folder that keeps a working directory's sessions: slashes and underscores become dashes."""
+    return "-" + cwd.lstrip("/").translate(str.maketrans("/_", "--"))
+
+
+def url_name(cwd: str) -> str:
+    """The same for clients that quote the directory as in a URL."""
+    return quote(cwd, safe="")
+
+
+def _parent(path: Column) -> Column:
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def project_transcripts(files: DataFrame, root: str, name: str) -> DataFrame:
+    """The transcripts (path, mtime) that lie in a project's own folder below root, those in folders of it left out."""
+    return files.where((_parent(F.col("path")) == f"{root.rstrip('/')}/{name}") & F.col("path").endswith(".jsonl"))
+
+
+def session_folders(files: DataFrame, root: str, name: str) -> DataFrame:
+    """(path, mtime) of the session folders in a project's folder: those with a chat history, at the time of their summary or else of their history."""
+    inside = files.withColumns({"folder": _parent(F.col("path")), "file": F.element_at(F.split("path", "/"), -1)})
+    inside = inside.where((_parent(F.col("folder")) == f"{root.rstrip('/')}/{name}") & F.col("file").isin(SUMMARY, CHAT))
+    time_of = lambda file: F.max(F.when(F.col("file") == file, F.col("mtime")))
+    each = inside.groupBy(F.col("folder").alias("path")).agg(time_of(SUMMARY).alias("summary"), time_of(CHAT).alias("chat"))
+    return each.where("chat is not null").select("path", F.coalesce("summary", "chat").alias("mtime"))
+
+
+def main_transcripts(files: DataFrame) -> DataFrame:
+    """The transcripts (path, mtime) without the files beside them."""
+    beside = F.lit(False)
+    for end in SIDECARS:
+        beside = beside | F.col("path").endswith(end)
+    return files.where(F.col("path").endswith(".jsonl") & ~beside)
+
+
 # ---------------------------------------------------------------- conversations in a key-value table
 
 

@@ -162,3 +162,15 @@ def test_facts_by_validity(spark, tmp_path):
     narrow = reader.snapshot("1975-05-05").edges
     read = narrow.select(F.input_file_name()).distinct().count()
     assert 0 < read * 2 < len(reader.placed.edges.inputFiles())
+
+
+def test_session_folders(spark):
+    rows = [("/h/p/a/summary.json", 1), ("/h/p/a/chat_history.jsonl", 9), ("/h/p/b/chat_history.jsonl", 5), ("/h/p/c/summary.json", 99), ("/h/p/x/deep/chat_history.jsonl", 99), ("/h/q/e/chat_history.jsonl", 99)]
+    files = spark.createDataFrame(rows, "path string, mtime long")
+    found = transcripts.session_folders(files, "/h/", "p")
+    assert sorted(map(tuple, found.collect())) == [("/h/p/a", 1), ("/h/p/b", 5)] and transcripts.newest(found).first()["path"] == "/h/p/b"
+    assert transcripts.newest(found.limit(0)).first()["path"] is None
+    assert transcripts.project_slug("/home/my_user/app") == "-home-my-user-app" and transcripts.url_name("/w x") == "%2Fw%20x"
+    plain = spark.createDataFrame([("/h/p/t.jsonl", 1), ("/h/p/t.prompts.jsonl", 2), ("/h/p/prompts.jsonl", 3), ("/h/p/d/u.jsonl", 4), ("/h/p/n.txt", 5)], "path string, mtime long")
+    assert sorted(r.mtime for r in transcripts.main_transcripts(plain).collect()) == [1, 3, 4]
+    assert sorted(r.mtime for r in transcripts.project_transcripts(plain, "/h", "p").collect()) == [1, 2, 3]
