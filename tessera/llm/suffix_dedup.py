@@ -12,7 +12,8 @@ at equal places. Documents are dealt to blocks, and blocks talk to buckets (of a
 1. each block sends the hashes of its anchors; buckets answer with those that two documents hold;
 2. each block cuts the pieces around such anchors (all strings that have them), each distinct one once,
    and sends them to the anchor's bucket, with the smallest document that holds them; there the
-   transform finds the equal strings among the pieces, and the smallest document of each is the answer;
+   transform finds the equal strings among the pieces, and the smallest document of each is the answer
+   (strings whose hash occurs once in the bucket have no equal and don't enter the transform);
 3. each block marks the bytes covered.
 
 Exact copies are one entry: only the smallest id of equal texts is searched. An anchor that over `hot`
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ BLOCK_BYTES, BUCKET_BYTES, SUBS = 2 << 20, 2 << 20, 8
 LAST = (1 << 63) - 1
 #: Bytes that UTF-8 never has: between pieces, and at the end.
 _GAP, _END = 0xFF, 0xFE
-_CHUNK = 1 << 17
+_CHUNK, _GATHERED = 1 << 17, 4 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _BYTES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MESSAGE = "block int, bucket int, a binary, b binary, c binary, d binary"
@@ -136,6 +136,8 @@ def anchored(buf: np.ndarray, sizes: np.ndarray, length: int, anchor: int) -> tu
     """(start, count, id): runs of consecutive strings of documents (of the given sizes, end to end in buf) with one anchor."""
     w = length - anchor + 1
     ends = np.cumsum(sizes)
+    whole_string = np.ones(len(buf), bool)
+    whole_string[np.maximum(ends[:, None] - np.arange(1, length), (ends - sizes)[:, None])] = False
     out: list[list[np.ndarray]] = [[], [], []]
     for c in range(0, len(buf) - length + 1, _CHUNK):
         m = min(_CHUNK, len(buf) - length + 1 - c)
@@ -164,8 +166,7 @@ def anchored(buf: np.ndarray, sizes: np.ndarray, length: int, anchor: int) -> tu
         if w > span:
             key = np.minimum(key[: len(key) - (w - span)], key[w - span :])
         least = (key[:m] & np.uint64(0xFFFFF)).astype(np.int64)
-        at = np.arange(c, c + m)
-        at = np.flatnonzero(ends[np.searchsorted(ends, at, "right")] - at >= length)
+        at = np.flatnonzero(whole_string[c : c + m])
         if not len(at):
             continue
         least = least[at]
@@ -181,6 +182,65 @@ def anchored(buf: np.ndarray, sizes: np.ndarray, length: int, anchor: int) -> tu
     return tuple(np.concatenate(x) for x in out)
 
 
+def _ragged(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each, as many as its size, end to end."""
+    return np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts, end to end, and where each begins and the last ends."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _distinct(buf: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The spans of buf with each distinct text once, in the order in which they come: the text of each span, and the texts."""
+    which, texts, known, a, ends = [np.zeros(0, np.int64)], [pa.array([], pa.large_binary())], 0, 0, np.cumsum(sizes)
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + _GATHERED, "right")))
+        offsets = np.concatenate(([0], np.cumsum(sizes[a:b]))).astype(np.int64)
+        bodies = buf[_ragged(begins[a:b], sizes[a:b])]
+        part = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(bodies)]).dictionary_encode()
+        which.append(part.indices.to_numpy().astype(np.int64) + known)
+        texts.append(part.dictionary)
+        known, a = known + len(part.dictionary), b
+    whole = pa.concat_arrays(texts).dictionary_encode()
+    return whole.indices.to_numpy().astype(np.int64)[np.concatenate(which)], whole.dictionary
+
+
+def _least(holders: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+    """The smallest holder of each of n texts."""
+    out = np.full(n, LAST, np.int64)
+    np.minimum.at(out, which, holders)
+    return out
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _MIX[3]
+    h = (h ^ (h >> np.uint64(33))) * _MIX[4]
+    return h ^ (h >> np.uint64(32))
+
+
+def _hashes(buf: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each string of `length` bytes in buf."""
+    span, h, at, left, whole = 1, _BYTES[buf], 0, length, None
+    n = len(buf) - length + 1
+    parts = {1: h}
+    while span * 2 <= length:
+        h = h[:-span] * _MIX[0] + h[span:]
+        span *= 2
+        parts[span] = h
+    for span in sorted(parts, reverse=True):
+        while left >= span:
+            part = parts[span][at : at + n]
+            whole = part if whole is None else whole * _MIX[1] + part
+            at, left = at + span, left - span
+    return _mixed(whole)
+
+
 class Block:
     """The first copies among a block's documents that have `length` bytes, end to end, and their runs of anchors."""
 
@@ -199,10 +259,10 @@ class Block:
         self.doc = np.searchsorted(self.begins, self.start, "right") - 1
         self.told = [x for x in told if x["bucket"] >= 0]
 
-    def pieces(self, buckets: int, length: int) -> tuple[np.ndarray, np.ndarray, list[int | array], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """The runs around shared anchors (their indices, and the piece of each), what of the texts to send stands for each
-        piece (one text, or for hot anchors one for each string); then what is sent, each distinct text once: bytes,
-        smallest holder, bucket, sub-bucket."""
+    def pieces(self, buckets: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """The runs around shared anchors: their indices, which of the texts to send stands for each (or for hot anchors, for its
+        first string), where the texts of its strings are listed (-1 unless hot), and that list; then what is sent, each distinct
+        text once: bytes, smallest holder, bucket, sub-bucket."""
         keys = [(np.uint64(x["bucket"]) << np.uint64(32)) | np.frombuffer(x["a"], np.uint32).astype(np.uint64) for x in self.told]
         keys = np.concatenate([*keys, np.zeros(0, np.uint64)])
         hot = np.frombuffer(b"".join(x["b"] for x in self.told), np.uint8)
@@ -211,38 +271,27 @@ class Block:
         mine = ((self.id % np.uint64(buckets)) << np.uint64(32)) | (self.id >> np.uint64(32))
         at = np.minimum(np.searchsorted(keys, mine), max(0, len(keys) - 1))
         shared = np.flatnonzero(keys[at] == mine) if len(keys) else np.zeros(0, np.int64)
-        raw, seen, which = self.buf.tobytes(), {}, array("q")
-        least, of, holders = array("q"), [], self.ids[self.doc[shared]].tolist()
-        for run, start, count, doc in zip(shared.tolist(), self.start[shared].tolist(), self.count[shared].tolist(), holders):
-            piece = raw[start : start + count + length - 1]
-            k = seen.get(piece)
-            if k is None:
-                k = seen[piece] = len(of)
-                least.append(doc)
-                of.append(run)
-            elif doc < least[k]:
-                least[k] = doc
-            which.append(k)
-        parts: list[int | array] = []
-        texts, sent, low, bucket, sub = [], {}, array("q"), array("q"), array("q")
-        for piece, run, doc in zip(seen, of, least):
-            anchor_id, is_hot = int(self.id[run]), bool(hot[at[run]])
-            mine = array("q")
-            for text in [piece[i : i + length] for i in range(len(piece) - length + 1)] if is_hot else [piece]:
-                k = sent.get(text)
-                if k is None:
-                    k = sent[text] = len(texts)
-                    texts.append(text)
-                    low.append(doc)
-                    h = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") if is_hot else anchor_id
-                    bucket.append((h >> 8) % buckets)
-                    sub.append(h % SUBS)
-                elif doc < low[k]:
-                    low[k] = doc
-                mine.append(k)
-            parts.append(mine if is_hot else mine[0])
-        as_array = lambda x: np.array(x, np.int64)
-        return shared, as_array(which), parts, texts, as_array(low), as_array(bucket), as_array(sub)
+        sizes = self.count[shared] + length - 1
+        which, texts = _distinct(self.buf, self.start[shared], sizes)
+        least = _least(self.ids[self.doc[shared]], which, len(texts))
+        of = np.empty(len(texts), np.int64)
+        of[which] = shared
+        is_hot = hot[at[of]].astype(bool)
+        plain, split = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
+        data, offsets = _bytes_of(texts)
+        n = np.diff(offsets)[split] - (length - 1)
+        strings, each = _distinct(data, _ragged(offsets[split], n), np.full(int(n.sum()), length, np.int64))
+        low = _least(np.repeat(least[split], n), strings, len(each))
+        own = _hashes(_bytes_of(each)[0], length)[::length] if len(each) else np.zeros(0, np.uint64)
+        h = np.concatenate((self.id[of[plain]], own))
+        sent = pa.concat_arrays([texts.take(pa.array(plain)), each])
+        stands, listed = np.empty(len(texts), np.int64), np.full(len(texts), -1, np.int64)
+        stands[plain] = np.arange(len(plain))
+        listed[split] = np.cumsum(n) - n
+        strings = strings + len(plain)
+        stands[split] = strings[listed[split]]
+        as_int = lambda x: x.astype(np.int64)
+        return shared, stands[which], listed[which], strings, sent, np.concatenate((least[plain], low)), as_int((h >> np.uint64(8)) % np.uint64(buckets)), as_int(h % np.uint64(SUBS))
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -293,66 +342,79 @@ def _say_pieces(docs, right, *, length, anchor, buckets):
     block = Block(docs, right.to_pylist(), length, anchor)
     *_, texts, least, bucket, sub = block.pieces(buckets, length)
     order = np.argsort(bucket, kind="stable")
-    out, me = [], _block_of(docs, right)
-    for b in np.unique(bucket).tolist():
-        own = order[np.searchsorted(bucket[order], b) : np.searchsorted(bucket[order], b, "right")]
-        mine = [texts[i] for i in own.tolist()]
-        out.append((me, b, b"".join(mine), np.fromiter(map(len, mine), np.uint32, len(mine)).tobytes(), least[own].tobytes(), sub[own].astype(np.uint8).tobytes()))
-    return _rows(out)
+    data, offsets = _bytes_of(texts.take(pa.array(order)))
+    sizes, least, sub, bucket = np.diff(offsets).astype(np.uint32), least[order], sub[order].astype(np.uint8), bucket[order]
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[: len(bucket)].tolist()
+    me = _block_of(docs, right)
+    return _rows([(me, int(bucket[i]), data[offsets[i] : offsets[j]].tobytes(), sizes[i:j].tobytes(), least[i:j].tobytes(), sub[i:j].tobytes()) for i, j in zip(cuts, [*cuts[1:], len(bucket)])])
+
+
+def _holders_found(texts: pa.Array, holders: np.ndarray, length: int) -> np.ndarray:
+    """For each `length`-byte string of each text, in order, the smallest holder of any text that has it. Strings whose hash no other has
+    can't occur twice; the runs of the others are searched."""
+    data, offsets = _bytes_of(texts)
+    counts = np.diff(offsets) - (length - 1)
+    found = np.repeat(holders, counts)
+    h = _hashes(data, length)[_ragged(offsets[:-1], counts)]
+    order = np.argsort(h)
+    h = h[order]
+    same = np.concatenate(([False], h[1:] == h[:-1], [False]))
+    twice = np.zeros(len(h) + 1, bool)
+    twice[order] = same[1:] | same[:-1]
+    starts = np.zeros(len(h) + 1, bool)
+    begins = np.cumsum(counts) - counts
+    starts[begins] = True
+    # runs of strings that may occur twice, none beyond its text
+    first = np.flatnonzero(twice[:-1] & (starts[:-1] | ~np.concatenate(([False], twice[:-2]))))
+    if len(first):
+        last = np.flatnonzero(twice[:-1] & (starts[1:] | ~twice[1:] | (np.arange(1, len(h) + 1) == len(h))))
+        of = np.searchsorted(begins, first, "right") - 1
+        places = first - begins[of] + offsets[of]
+        sizes = last - first + 1
+        raw = data.tobytes()
+        pieces = [raw[a : a + n] for a, n in zip(places.tolist(), (sizes + length - 1).tolist())]
+        found[_ragged(first, sizes)] = smallest_holder(pieces, holders[of], length)
+    return found
 
 
 def _answer_pieces(messages, *, length):
     """A bucket's answer to each block: for each of its pieces a: the number of runs (none: the block knows as much),
     b: each run's strings, c: the smallest document that holds them."""
-    rows, seen = messages.to_pylist(), {}
-    texts, holders, subs, which = [], [], [], []
-    for x in rows:
-        sizes, least = np.frombuffer(x["b"], np.uint32).tolist(), np.frombuffer(x["c"], np.int64).tolist()
-        at, mine = 0, []
-        for size, doc, sub in zip(sizes, least, x["d"], strict=True):
-            piece = x["a"][at : at + size]
-            at += size
-            k = seen.get(piece)
-            if k is None:
-                k = seen[piece] = len(texts)
-                texts.append(piece)
-                holders.append(doc)
-                subs.append(sub)
-            elif doc < holders[k]:
-                holders[k] = doc
-            mine.append(k)
-        which.append((np.array(mine, np.int64), np.array(least, np.int64)))
-        x["a"] = b""
-    del seen, messages
-    holders, subs = np.array(holders, np.int64), np.array(subs, np.int64)
-    runs: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
-    whole = sum(map(len, texts)) <= BUCKET_BYTES // 8
+    rows = messages.to_pylist()
+    sizes = [np.frombuffer(x["b"], np.uint32) for x in rows]
+    ends = np.cumsum([len(x) for x in sizes])
+    sizes = np.concatenate(sizes).astype(np.int64)
+    said = np.frombuffer(b"".join(x["c"] for x in rows), np.int64)
+    which, texts = _distinct(np.frombuffer(b"".join(x.pop("a") for x in rows), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    holders, subs = _least(said, which, len(texts)), np.empty(len(texts), np.uint8)
+    subs[which] = np.frombuffer(b"".join(x["d"] for x in rows), np.uint8)
+    n, first = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    run_sizes, run_values, known = [], [], 0
+    whole = texts.nbytes <= BUCKET_BYTES // 8
     for s in [None] if whole else range(SUBS):
         own = np.arange(len(texts)) if s is None else np.flatnonzero(subs == s)
         if not len(own):
             continue
-        mine = [texts[i] for i in own.tolist()]
-        found = smallest_holder(mine, holders[own], length)
-        counts = np.fromiter(map(len, mine), np.int64, len(mine)) - (length - 1)
+        mine = texts.take(pa.array(own))
+        found = _holders_found(mine, holders[own], length)
+        counts = np.diff(_bytes_of(mine)[1]) - (length - 1)
         begins = np.cumsum(counts) - counts
         cut = np.concatenate(([True], found[1:] != found[:-1]))
         cut[begins] = True
         cut = np.flatnonzero(cut)
-        sizes, values = np.diff(np.append(cut, len(found))), found[cut]
-        first = np.append(np.searchsorted(cut, begins), len(cut)).tolist()
-        for i, a, b in zip(own.tolist(), first, first[1:]):
-            runs[i] = (sizes[a:b], values[a:b])
+        run_sizes.append(np.diff(np.append(cut, len(found))))
+        run_values.append(found[cut])
+        first[own] = np.searchsorted(cut, begins) + known
+        n[own] = np.diff(np.append(first[own], known + len(cut)))
+        known += len(cut)
+    run_sizes, run_values = np.concatenate(run_sizes).astype(np.uint32), np.concatenate(run_values)
     out = []
-    for x, (mine, least) in zip(rows, which, strict=True):
-        n, sizes, values = np.zeros(len(mine), np.uint32), [], []
-        for j, (k, doc) in enumerate(zip(mine.tolist(), least.tolist())):
-            size, value = runs[k]
-            if len(value) > 1 or value[0] != doc:
-                n[j] = len(value)
-                sizes.append(size)
-                values.append(value)
-        if values:
-            out.append((x["block"], x["bucket"], n.tobytes(), np.concatenate(sizes).astype(np.uint32).tobytes(), np.concatenate(values).tobytes(), b""))
+    for x, a, b in zip(rows, [0, *ends.tolist()], ends.tolist()):
+        mine = which[a:b]
+        new = (n[mine] > 1) | (run_values[first[mine]] != said[a:b])
+        if new.any():
+            at = _ragged(first[mine[new]], n[mine[new]])
+            out.append((x["block"], x["bucket"], np.where(new, n[mine], 0).astype(np.uint32).tobytes(), run_sizes[at].tobytes(), run_values[at].tobytes(), b""))
     return _rows(out)
 
 
@@ -361,34 +423,37 @@ def _mark(docs, right, *, length, anchor, buckets, texts_too):
     told = right.to_pylist()
     answers = {x["bucket"]: x for x in told if x["d"] is None}
     block = Block(docs, [x for x in told if x["d"] is not None], length, anchor)
-    shared, which, parts, texts, least, bucket, _ = block.pieces(buckets, length)
-    counts = np.fromiter(map(len, texts), np.int64, len(texts)) - (length - 1)
-    sizes, values = [counts[i : i + 1] for i in range(len(texts))], [least[i : i + 1] for i in range(len(texts))]
+    shared, stands, listed, strings, texts, least, bucket, _ = block.pieces(buckets, length)
+    # the runs of each text that was sent: as the bucket says, else all of it is the smallest holder's that the block knows
+    counts = np.diff(_bytes_of(texts)[1]) - (length - 1)
     order = np.argsort(bucket, kind="stable")
-    for b in np.unique(bucket).tolist():
-        own = order[np.searchsorted(bucket[order], b) : np.searchsorted(bucket[order], b, "right")].tolist()
+    n, size, value = np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    ordered = bucket[order]
+    for b in np.unique(ordered).tolist():
         if x := answers.get(b):
-            n = np.frombuffer(x["a"], np.uint32)
-            ends = np.cumsum(n).tolist()
-            size, value = np.frombuffer(x["b"], np.uint32).astype(np.int64), np.frombuffer(x["c"], np.int64)
-            for i, k, e in zip(own, n.tolist(), ends):
-                if k:
-                    sizes[i], values[i] = size[e - k : e], value[e - k : e]
+            n[np.searchsorted(ordered, b) : np.searchsorted(ordered, b, "right")] = np.frombuffer(x["a"], np.uint32)
+            size.append(np.frombuffer(x["b"], np.uint32).astype(np.int64))
+            value.append(np.frombuffer(x["c"], np.int64))
+    times = np.maximum(n, 1)
+    run_size, run_value, told_of = np.repeat(counts[order], times), np.repeat(least[order], times), np.repeat(n > 0, times)
+    run_size[told_of], run_value[told_of] = np.concatenate(size), np.concatenate(value)
+    begin, first, n_runs = np.cumsum(times) - times, np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+    first[order], n_runs[order] = begin, times
+    run_begin = np.cumsum(run_size) - run_size
     covered = np.zeros(len(block.buf), bool)
-    if len(which):
-        # the runs of each piece, then of each place of a piece
-        own_sizes = [sizes[p] if isinstance(p, int) else np.ones(len(p), np.int64) for p in parts]
-        own_values = [values[p] if isinstance(p, int) else np.array([values[i][0] for i in p], np.int64) for p in parts]
-        n_runs = np.fromiter(map(len, own_sizes), np.int64, len(own_sizes))
-        first = np.cumsum(n_runs) - n_runs
-        flat_size, flat_value = np.concatenate(own_sizes), np.concatenate(own_values)
-        flat_begin = np.concatenate([np.cumsum(s) - s for s in own_sizes])
-        times = n_runs[which]
-        occ = np.repeat(np.arange(len(which)), times)
-        run = np.arange(len(occ)) - np.repeat(np.cumsum(times) - times, times) + first[which][occ]
-        begin = block.start[shared][occ] + flat_begin[run]
-        hit = flat_value[run] < block.ids[block.doc[shared]][occ]
-        begin, end = begin[hit], (begin + flat_size[run] + length - 1)[hit]
+    if len(shared):
+        start, holder, count = block.start[shared], block.ids[block.doc[shared]], block.count[shared]
+        hot = np.flatnonzero(listed >= 0)
+        plain = np.flatnonzero(listed < 0)
+        # the runs of each plain piece, then each string of the hot ones
+        times = n_runs[stands[plain]]
+        run, occ = _ragged(first[stands[plain]], times), np.repeat(plain, times)
+        own = strings[_ragged(listed[hot], count[hot])]
+        begin = np.concatenate((start[occ] + run_begin[run] - run_begin[first[stands[occ]]], _ragged(start[hot], count[hot])))
+        long = np.concatenate((run_size[run], np.ones(len(own), np.int64)))
+        value = np.concatenate((run_value[run], run_value[first[own]]))
+        hit = value < np.concatenate((holder[occ], np.repeat(holder[hot], count[hot])))
+        begin, end = begin[hit], (begin + long + length - 1)[hit]
         change = np.bincount(begin, minlength=len(block.buf) + 1) - np.bincount(end, minlength=len(block.buf) + 1)
         covered = np.cumsum(change[:-1]) > 0
     found = {}

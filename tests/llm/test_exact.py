@@ -23,7 +23,7 @@ from tessera.llm.license_scan import OWN, REACH, license_scan
 from tessera.llm.quality_rules import ODD_WORDS, RULES, START, accuracies, expectation_maximisation, quality_rules
 from tessera.llm.sentencepiece import MODEL, Encoder, decode, encode, vocabulary
 from tessera.llm.simhash import LIST, links, simhash
-from tessera.llm.suffix_dedup import smallest_holder, suffix_dedup
+from tessera.llm.suffix_dedup import _answer_pieces, _rows, smallest_holder, suffix_dedup
 from tessera.llm.url_filter import url_filter
 from tests.oracle import agree
 
@@ -83,6 +83,32 @@ def test_suffix_dedup(spark, seed, options):
     assert got == by_hand(rows, options.get("length", 50))
 
 
+def test_suffix_search_takes_only_strings_that_may_repeat(monkeypatch):
+    """Pieces that share an anchor but no string of 50 bytes are not sorted; of others only the runs that may occur twice."""
+    from tessera.llm import suffix_dedup as module
+
+    rng, searched = np.random.default_rng(3), []
+    alone = [bytes(rng.integers(97, 123, 30, dtype=np.uint8)) + b"x" * 20 + bytes(rng.integers(97, 123, 30, dtype=np.uint8)) for _ in range(40)]
+    shared = bytes(rng.integers(97, 123, 51, dtype=np.uint8))
+    pieces = [*alone, b"0123456789" + shared, shared + b"9876543210"]
+    sizes, holders = np.array([len(x) for x in pieces], np.uint32), np.arange(len(pieces), dtype=np.int64)
+    message = _rows([(0, 0, b"".join(pieces), sizes.tobytes(), holders.tobytes(), bytes(len(pieces)))])
+    monkeypatch.setattr(module, "sorted_suffixes", lambda text, real=module.sorted_suffixes: searched.append(len(text)) or real(text))
+    (answer,) = _answer_pieces(message, length=50).to_pylist()
+    assert sum(searched) < 120
+    n = np.frombuffer(answer["a"], np.uint32)
+    assert n.tolist() == [0] * 41 + [2]
+    assert np.frombuffer(answer["b"], np.uint32).tolist() == [2, 10] and np.frombuffer(answer["c"], np.int64).tolist() == [40, 41]
+
+
+@pytest.mark.parametrize("hot", [1, 2000])
+def test_suffix_dedup_of_one_character(spark, hot):
+    """Every string of the larger text is one string; it goes as one."""
+    rows = [(1, "a" * 3_000_000), (2, "b" * 100 + "a" * 2_000_000), (3, "a" * 60 + "c")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup(docs_of(spark, rows), hot=hot).collect()}
+    assert got == {1: (3_000_000, 0, 0), 2: (2_000_100, 2_000_000, 1), 3: (61, 60, 1)}
+
+
 def test_suffix_dedup_odd_rows(spark):
     rows = [*ODD, (10, "tie " * 30 + "x" * 60)]
     got = suffix_dedup(docs_of(spark, rows)).collect()
