@@ -328,7 +328,7 @@ def _facts_sql(more: str, edges: str = "found", limit: int = 10) -> str:
 @query("rank_facts", on_graph(_facts_sql(", " + _FOUND_FACTS + _walk("nodes", "edges", "part:7", 2, ""))))
 def rank_facts(spark, d):
     g = sample_graph(spark, d)
-    found = search.search(search.edge_text(g.edges, g.nodes), "gear", 80)
+    found = search.search_edges(g, "gear", 80)
     return search.rank_facts(found, traversal.distances(g.nodes, g.edges, ["part:7"], 2), 10).select("id", "type", F.round("score", 9).alias("score"))
 
 
