@@ -8,11 +8,12 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.components import stored
 from tessera.operators.lookup import active_at, resolve_ids
 from tessera.operators.scope import scoped
 from tessera.operators.search import scoped_search
 from tessera.operators.stats import by_type, stats, topic_hit
-from tessera.operators.traversal import CAP, typed_hops
+from tessera.operators.traversal import CAP, touching, typed_hops
 from tessera.plans.graph import Graph, prop
 from tessera.plans.ontology import Ontology
 
@@ -53,9 +54,9 @@ def search_tool(g: Graph, scope: list[str], query: str, limit: int = 10, *, kind
         found = scoped_search(g, scope, query, limit, kind="nodes", center=center, as_of=at, mode=mode)
         nodes = _ranked(found, [F.coalesce("dist", F.lit(99)), F.col("place")]).select("rank", "id", "type", prop("name").alias("name"))
     if kind != "nodes":
-        found = scoped_search(g, scope, query, limit, kind="facts", center=center, as_of=at, mode=mode)
-        seen = active_at(scoped(g, scope).edges, at)
-        around = typed_hops(found, seen, hops).select("seed", "hop", "rank")
+        found = stored(scoped_search(g, scope, query, limit, kind="facts", center=center, as_of=at, mode=mode), "found")
+        seen = active_at(scoped(g.with_edges(touching(g.edges, found)), scope).edges, at)
+        around = typed_hops(F.broadcast(found), seen, hops).select("seed", "hop", "rank")
         packed = around.join(seen.withColumnRenamed("id", "hop").select("hop", *[c for c in seen.columns if c != "id"]), "hop")
         fact = packed.withColumnRenamed("hop", "id").select("seed", "rank", F.struct(*compact_fact()).alias("fact"))
         listed = fact.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "fact"))), lambda x: x["fact"]).alias("neighbors"))
