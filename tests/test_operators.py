@@ -509,3 +509,27 @@ def test_postings_pass_no_exchange(spark):
     assert index._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
     assert {(r.token, r.id, tuple(r.places)) for r in index.collect()} == {(t, i, p) for i, t, p in [("a", "team", (1, 2)), ("a", "a", (0, 3)), ("b", "team", (1, 2)), ("b", "b", (0, 3))]}
     assert [r.id for r in search.index_search(index, "team b", 5).collect()] == ["b"]
+
+
+def test_search_joins_labels_to_edges_that_may_hold_the_query(spark):
+    g = _small_graph(spark)
+    of = lambda *pieces: search.edges_that_may_hold(g.edges, g.nodes, list(pieces)).count()
+    assert of("zzzz") == 0 and of("team") == 1 and of("knows") == 1 and of("zz", "b") == 1
+    assert [r.id for r in search.search_edges(g, "b knows", 5).collect()] == [] and [r.id for r in search.search_edges(g, "Team A team B", 5).collect()] == ["e"]
+
+
+def test_hops_join_edges_once(spark):
+    g = _small_graph(spark)
+    plan = traversal.typed_hops(g.edges, g.edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert {r.id: r.dist for r in traversal.distances(g.nodes, g.edges.unionByName(g.edges.withColumn("to_id", F.lit("gone"))), ["a"]).collect()} == {"a": 0, "b": 1}
+
+
+def test_evidence_of_few_and_many_keywords_agree(spark, monkeypatch):
+    from tessera.operators import answers
+
+    words = spark.createDataFrame([("q", "Team B"), ("q", "kno"), ("r", "zz"), ("s", "")], "question string, word string")
+    found = lambda: {r.question: r.found for r in answers.evidence(_small_graph(spark), words).collect()}
+    some = found()
+    monkeypatch.setattr(answers, "MANY", 0)
+    assert set(some) == {"q"} and found() == some
