@@ -42,9 +42,9 @@ BLOCK_BYTES, BUCKET_BYTES, SUBS = 2 << 20, 2 << 20, 8
 LAST = (1 << 63) - 1
 #: Bytes that UTF-8 never has: between pieces, and at the end.
 _GAP, _END = 0xFF, 0xFE
-_CHUNK, _GATHERED = 1 << 17, 4 << 20
+_CHUNK, _GATHERED = 1 << 15, 4 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
-_BYTES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = np.arange(_CHUNK + (1 << 10), dtype=np.uint64)
 _MESSAGE = "block int, bucket int, a binary, b binary, c binary, d binary"
 _NAMES = ["block", "bucket", "a", "b", "c", "d"]
 
@@ -132,6 +132,25 @@ def smallest_holder(pieces: list[bytes], holders: np.ndarray, length: int) -> np
 # ---------------------------------------------------------------- anchors
 
 
+def _rolled(buf: np.ndarray, n: int, width: int) -> np.ndarray:
+    """A number for each of the first n substrings of `width` bytes in buf, equal for equal ones: eight bytes at a time."""
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    eight = np.ndarray(n + max(0, width - 8), np.uint64, padded, strides=(1,)).copy()
+    if width < 8:
+        eight &= np.uint64((1 << 8 * width) - 1)
+    whole = eight[:n].copy()
+    for at in [*range(8, width - 7, 8), *([width - 8] if width > 8 and width % 8 else [])]:
+        whole *= _MIX[0]
+        whole += eight[at : at + n]
+    return whole
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _MIX[3]
+    h = (h ^ (h >> np.uint64(33))) * _MIX[4]
+    return h ^ (h >> np.uint64(32))
+
+
 def anchored(buf: np.ndarray, sizes: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, count, id): runs of consecutive strings of documents (of the given sizes, end to end in buf) with one anchor."""
     w = length - anchor + 1
@@ -141,42 +160,27 @@ def anchored(buf: np.ndarray, sizes: np.ndarray, length: int, anchor: int) -> tu
     out: list[list[np.ndarray]] = [[], [], []]
     for c in range(0, len(buf) - length + 1, _CHUNK):
         m = min(_CHUNK, len(buf) - length + 1 - c)
-        h = _BYTES[buf[c : c + m + length - 1]]
-        span, parts, left = 1, {1: h}, anchor
-        while span * 2 <= anchor:
-            h = h[:-span] * _MIX[0] + h[span:]
-            span *= 2
-            parts[span] = h
-        at, whole = 0, None
-        for span in sorted(parts, reverse=True):  # the anchor's length in powers of two
-            while left >= span:
-                part = parts[span][at:]
-                whole = part if whole is None else whole[: len(part)] * _MIX[1] + part
-                at, left = at + span, left - span
-        whole = whole[: m + w - 1]
-        key = whole ^ (whole >> np.uint64(29))
+        whole = _rolled(buf[c : c + m + length - 1], m + w - 1, anchor)
+        key = whole >> np.uint64(29)
+        key ^= whole
         key *= _MIX[2]
-        key ^= key >> np.uint64(32)
         key &= np.uint64(0xFFFFFFFFFFF00000)
-        key |= np.arange(len(key), dtype=np.uint64)
+        key |= _PLACES[: len(key)] if len(key) <= len(_PLACES) else np.arange(len(key), dtype=np.uint64)
         span = 1
         while span * 2 <= w:
             key = np.minimum(key[:-span], key[span:])
             span *= 2
         if w > span:
             key = np.minimum(key[: len(key) - (w - span)], key[w - span :])
-        least = (key[:m] & np.uint64(0xFFFFF)).astype(np.int64)
-        at = np.flatnonzero(whole_string[c : c + m])
-        if not len(at):
-            continue
-        least = least[at]
-        cut = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1))))
-        ids = whole[least[cut]]
-        ids = (ids ^ (ids >> np.uint64(31))) * _MIX[3]
-        ids = (ids ^ (ids >> np.uint64(33))) * _MIX[4]
-        out[0].append(at[cut] + c)
-        out[1].append(np.diff(np.append(cut, len(at))))
-        out[2].append(ids ^ (ids >> np.uint64(32)))
+        # a key holds its place, so two are equal only for the same anchor
+        cut, within = np.ones(m, bool), whole_string[c : c + m]
+        cut[1:] = (key[1:m] != key[: m - 1]) | (within[1:] != within[:-1])
+        cut = np.flatnonzero(cut)
+        count, mine = np.diff(np.append(cut, m)), within[cut]
+        cut = cut[mine]
+        out[0].append(cut + c)
+        out[1].append(count[mine])
+        out[2].append(_mixed(whole[(key[cut] & np.uint64(0xFFFFF)).astype(np.int64)]))
     if not out[0]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in out)
@@ -218,27 +222,9 @@ def _least(holders: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * _MIX[3]
-    h = (h ^ (h >> np.uint64(33))) * _MIX[4]
-    return h ^ (h >> np.uint64(32))
-
-
 def _hashes(buf: np.ndarray, length: int) -> np.ndarray:
     """A hash of each string of `length` bytes in buf."""
-    span, h, at, left, whole = 1, _BYTES[buf], 0, length, None
-    n = len(buf) - length + 1
-    parts = {1: h}
-    while span * 2 <= length:
-        h = h[:-span] * _MIX[0] + h[span:]
-        span *= 2
-        parts[span] = h
-    for span in sorted(parts, reverse=True):
-        while left >= span:
-            part = parts[span][at : at + n]
-            whole = part if whole is None else whole * _MIX[1] + part
-            at, left = at + span, left - span
-    return _mixed(whole)
+    return _mixed(_rolled(buf, len(buf) - length + 1, length))
 
 
 class Block:
@@ -256,9 +242,13 @@ class Block:
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.buf = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
         self.start, self.count, self.id = anchored(self.buf, self.sizes, length, anchor)
-        self.doc = np.searchsorted(self.begins, self.start, "right") - 1
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(np.append(np.searchsorted(self.start, self.begins), len(self.start))))
         self.told = [x for x in told if x["bucket"] >= 0]
 
+    def told_as(self, buckets: int) -> np.ndarray:
+        """What stands for each anchor: its bucket, then 32 bits that the bucket is told."""
+        return ((self.id % np.uint64(buckets)) << np.uint64(32)) | (self.id >> np.uint64(32))
+
     def pieces(self, buckets: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         """The runs around shared anchors: their indices, which of the texts to send stands for each (or for hot anchors, for its
         first string), where the texts of its strings are listed (-1 unless hot), and that list; then what is sent, each distinct
@@ -268,7 +258,7 @@ class Block:
         hot = np.frombuffer(b"".join(x["b"] for x in self.told), np.uint8)
         order = np.argsort(keys)
         keys, hot = keys[order], hot[order]
-        mine = ((self.id % np.uint64(buckets)) << np.uint64(32)) | (self.id >> np.uint64(32))
+        mine = self.told_as(buckets)
         at = np.minimum(np.searchsorted(keys, mine), max(0, len(keys) - 1))
         shared = np.flatnonzero(keys[at] == mine) if len(keys) else np.zeros(0, np.int64)
         sizes = self.count[shared] + length - 1
@@ -309,13 +299,14 @@ def _block_of(docs: pa.Table, right: pa.Table) -> int:
 def _say_anchors(docs, right, *, length, anchor, buckets):
     """1: a block's anchors, by bucket: a: 32-bit hashes, b: how many of its documents hold each (255 at most)."""
     block = Block(docs, right.to_pylist(), length, anchor)
-    order = np.lexsort((block.doc, block.id))
-    ids, doc = block.id[order], block.doc[order]
-    once = np.concatenate(([True], (ids[1:] != ids[:-1]) | (doc[1:] != doc[:-1])))[: len(ids)]
-    ids, times = np.unique(ids[once], return_counts=True)
-    bucket = (ids % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    ids, times, bucket = (ids[order] >> np.uint64(32)).astype(np.uint32), np.minimum(times[order], 255).astype(np.uint8), bucket[order]
+    told = block.told_as(buckets)
+    order = np.argsort(told, kind="stable")  # documents stay in order
+    told, doc = told[order], block.doc[order]
+    once = np.concatenate(([True], (told[1:] != told[:-1]) | (doc[1:] != doc[:-1])))[: len(told)]
+    told = told[once]
+    at = np.flatnonzero(np.concatenate(([True], told[1:] != told[:-1]))[: len(told)])
+    times, told = np.minimum(np.diff(np.append(at, len(told))), 255).astype(np.uint8), told[at]
+    ids, bucket = told.astype(np.uint32), (told >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[: len(bucket)].tolist()
     me = _block_of(docs, right)
     return _rows([(me, int(bucket[i]), ids[i:j].tobytes(), times[i:j].tobytes(), b"", b"") for i, j in zip(cuts, [*cuts[1:], len(bucket)])])
@@ -454,8 +445,12 @@ def _mark(docs, right, *, length, anchor, buckets, texts_too):
         value = np.concatenate((run_value[run], run_value[first[own]]))
         hit = value < np.concatenate((holder[occ], np.repeat(holder[hot], count[hot])))
         begin, end = begin[hit], (begin + long + length - 1)[hit]
-        change = np.bincount(begin, minlength=len(block.buf) + 1) - np.bincount(end, minlength=len(block.buf) + 1)
-        covered = np.cumsum(change[:-1]) > 0
+        order = np.argsort(begin)
+        begin, reach = begin[order], np.maximum.accumulate(end[order])
+        cut = np.flatnonzero(np.concatenate(([True], begin[1:] > reach[:-1])))[: len(begin)]
+        change = np.zeros(len(block.buf) + 1, np.int8)
+        change[begin[cut]], change[reach[np.append(cut[1:], len(begin))[: len(cut)] - 1]] = 1, -1
+        covered = np.cumsum(change[:-1], dtype=np.int8).view(bool)
     found = {}
     for d, (key, a, n) in enumerate(zip(block.keys, block.begins.tolist(), block.sizes.tolist())):
         gone = covered[a : a + n]

@@ -101,6 +101,25 @@ def test_suffix_search_takes_only_strings_that_may_repeat(monkeypatch):
     assert np.frombuffer(answer["b"], np.uint32).tolist() == [2, 10] and np.frombuffer(answer["c"], np.int64).tolist() == [40, 41]
 
 
+@pytest.mark.parametrize("width", [1, 3, 7, 8, 9, 16, 20, 50])
+def test_windows_hash_by_eight_bytes(width):
+    """Equal substrings have equal numbers and anchors, and others differ; before, each byte was looked up and doubled."""
+    from tessera.llm.suffix_dedup import _rolled, anchored
+
+    buf = np.frombuffer(b"".join(random.Random(width).choices([b"ab", b"abc", b"cab" * 20], k=300)), np.uint8)
+    n, raw = len(buf) - width + 1, buf.tobytes()
+    found = _rolled(buf, n, width).tolist()
+    strings = [raw[i : i + width] for i in range(n)]
+    assert len(set(zip(strings, found))) == len(set(strings)) == len(set(found))
+    sizes = np.array([200, len(buf) - 200])
+    start, count, ids = anchored(buf, sizes, width + 30, width)
+    places = [i + j for i, c in zip(start.tolist(), count.tolist()) for j in range(c)]
+    assert places == [*range(200 - width - 29), *range(200, len(buf) - width - 29)]
+    anchors = dict(zip(places, np.repeat(ids, count).tolist()))
+    own = {}
+    assert all(own.setdefault(raw[p : p + width + 30], a) == a for p, a in anchors.items())
+
+
 @pytest.mark.parametrize("hot", [1, 2000])
 def test_suffix_dedup_of_one_character(spark, hot):
     """Every string of the larger text is one string; it goes as one."""
