@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.redaction import redacted
 from tessera.functions.text import normal_id
-from tessera.operators.components import stored
+from tessera.operators.components import drop_stored, stored, stored_in_turns, together
 from tessera.operators.lookup import closed
 from tessera.operators.scope import PUBLIC
 from tessera.operators.stats import coverage_gaps
@@ -61,17 +61,34 @@ def healed_edges(g: Graph) -> DataFrame:
 
 def self_heal(g: Graph) -> tuple[Graph, DataFrame]:
     """The graph with dangling and duplicate edges removed, and (action, id): removed, deduped; flagged cycles and orphans."""
-    whole = closed(g).edges
-    kept = stored(healed_edges(g), "healed")  # four parts of the report read it
-    fixed = Graph(g.nodes, kept)
+    ids = stored(g.nodes.select("id").distinct(), "ids", "zstd")
+    judged = _judged(g, ids)
+    kept = judged.where("whole AND id = first")
     tag = lambda df, what: df.select(F.lit(what).alias("action"), "id")
     report = (
-        tag(dangling(g), "removed")
-        .unionByName(tag(whole.select("id").join(kept.select("id"), "id", "left_anti"), "deduped"))
+        tag(judged.where("NOT whole"), "removed")
+        .unionByName(tag(judged.where("whole AND id <> first"), "deduped"))
         .unionByName(tag(on_cycle(kept), "circular_dependency"))
-        .unionByName(tag(orphans(fixed), "orphan"))
+        .unionByName(tag(orphans(Graph(ids, kept)), "orphan"))
     )
-    return fixed, report
+    return Graph(g.nodes, healed_edges(g)), report
+
+
+def _judged(g: Graph, ids: DataFrame) -> DataFrame:
+    """(id, from_id, to_id, whole, first): every edge, whether both its ends are among ids, and the first id of those that agree with it.
+
+    Only the columns that tell are exchanged, once for each end, and written in between; the second exchange, by from_id, also serves to find those that agree."""
+    key = ["type", "from_id", "to_id", "valid_from", "valid_to"]
+    known = lambda end: ids.select(F.col("id").alias(end), F.lit(True).alias(f"known_{end}"))
+    bare = stored(g.edges.select("id", *key), "bare", "zstd")
+    half = stored_in_turns(bare, "to_id", lambda part: part.join(known("to_id"), "to_id", "left"), "half")
+    drop_stored(bare)
+    whole = F.col("known_from_id").isNotNull() & F.col("known_to_id").isNotNull()
+    first = F.min("id").over(Window.partitionBy(*key))
+    both = lambda part: part.join(known("from_id"), "from_id", "left").select("id", "from_id", "to_id", whole.alias("whole"), first.alias("first"))
+    judged = stored_in_turns(together(half), "from_id", both, "judged")
+    drop_stored(*half)
+    return together(judged)
 
 
 def suggestions(g: Graph) -> DataFrame:

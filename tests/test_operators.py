@@ -533,3 +533,26 @@ def test_evidence_of_few_and_many_keywords_agree(spark, monkeypatch):
     some = found()
     monkeypatch.setattr(answers, "MANY", 0)
     assert set(some) == {"q"} and found() == some
+
+
+def test_self_heal_exchanges_no_more_than_it_needs(spark):
+    """Before, whole edges went through every exchange, and shuffle files of earlier jobs stayed until the driver's next collection."""
+    from tessera.operators import components
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    seen, before = [], spark.conf.get(key)
+    frame = spark.range(4)
+    real = type(frame.write).parquet
+    try:
+        type(frame.write).parquet = lambda self, *a, **b: seen.append(spark.conf.get(key)) or real(self, *a, **b)
+        components.stored(frame)
+    finally:
+        type(frame.write).parquet = real
+    assert seen == ["true"] and spark.conf.get(key) == before
+    g = graph(spark, [node(x) for x in "abc"], [
+        edge("2", "a", "b"), edge("1", "a", "b"), edge("3", "a", "b", vf=date(2020, 1, 1)), edge("4", "b", "x"), edge("5", "y", "z"), edge("6", "b", "a"),
+    ])
+    fixed, report = health.self_heal(g)
+    assert sorted((r["action"], r["id"]) for r in report.collect()) == [("circular_dependency", "a"), ("circular_dependency", "b"), ("deduped", "2"), ("orphan", "c"), ("removed", "4"), ("removed", "5")]
+    assert sorted(r["id"] for r in fixed.edges.collect()) == ["1", "3", "6"]
+    assert health._judged(g, g.nodes.select("id")).columns == ["id", "from_id", "to_id", "whole", "first"]
