@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import sorted_map
+from tessera.operators.components import stored_in_turns, together
 from tessera.plans.graph import PROVENANCE, Graph
 
 LINES = 60
@@ -54,11 +55,16 @@ def write_facts(g: Graph, path: str, files: int | None = None) -> None:
     dealt.sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
 
 
-def facts_hash(g: Graph) -> DataFrame:
-    """(facts_hash): over the sorted hashes of all lines, so that no task needs all lines."""
-    return fact_lines(g).select(F.sha2("line", 256).alias("h"), F.substring(F.sha2("id", 256), 1, 2).alias("part")).groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h")).agg(
-        F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256), 1, 16).alias("facts_hash")
-    )
+def facts_hash(g: Graph, turns: int = 1) -> DataFrame:
+    """(facts_hash): over the sorted hashes of all lines, so that no task needs all lines. turns: over 1, a written graph is read so often, and
+    only the hashes of one turn are exchanged at a time; the result is the same."""
+    # hashes travel as bytes, half the length; their order is that of their digits
+    joined = lambda: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("h")), lambda h: F.lower(F.hex(h))), ""), 256)
+    part = F.substring(F.sha2("id", 256), 1, 2)
+    by_part = lambda lines: lines.select(F.unhex(F.sha2("line", 256)).alias("h"), "part").groupBy("part").agg(F.unhex(joined()).alias("h"))
+    lines = fact_lines(g).withColumn("part", part)
+    parts = by_part(lines) if turns == 1 else together(stored_in_turns(lines, "part", by_part, "hashes", turns))
+    return parts.agg(F.substring(joined(), 1, 16).alias("facts_hash"))
 
 
 def inside_root(root: str, path: Column) -> Column:

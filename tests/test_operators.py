@@ -556,3 +556,28 @@ def test_self_heal_exchanges_no_more_than_it_needs(spark):
     assert sorted((r["action"], r["id"]) for r in report.collect()) == [("circular_dependency", "a"), ("circular_dependency", "b"), ("deduped", "2"), ("orphan", "c"), ("removed", "4"), ("removed", "5")]
     assert sorted(r["id"] for r in fixed.edges.collect()) == ["1", "3", "6"]
     assert health._judged(g, g.nodes.select("id")).columns == ["id", "from_id", "to_id", "whole", "first"]
+
+
+def test_facts_hash_is_the_same_in_turns(spark):
+    """Also as it was when hashes travelled as digits."""
+    import hashlib
+
+    g = graph(spark, [node(f"n{i}") for i in range(40)], [edge(f"e{i}", f"n{i}", f"n{i + 1}") for i in range(39)])
+    sha, parts = lambda s: hashlib.sha256(s.encode()).hexdigest(), {}
+    for r in files.fact_lines(g).collect():
+        parts.setdefault(sha(r["id"])[:2], []).append(sha(r["line"]))
+    want = sha("".join(sorted(sha("".join(sorted(x))) for x in parts.values())))[:16]
+    assert [files.facts_hash(g, turns).first()[0] for turns in (1, 3)] == [want, want]
+
+
+def test_manifest_reads_the_graph_as_written(spark, tmp_path):
+    """Before, the manifest computed the whole graph anew for each of its parts."""
+    from tessera.plans import publication
+    from tessera.plans.ontology import Ontology
+
+    g, seen = graph(spark, [node("a"), node("b")], [edge("1", "a", "b")]), []
+    found = lambda written: seen.append(written) or publication.manifest(written, Ontology(), turns=2)
+    publication.publish_graph(g, f"file://{tmp_path}/pub", "1", found)
+    assert all("/nodes/" in f for f in seen[0].nodes.inputFiles()) and all("/edges/" in f for f in seen[0].edges.inputFiles())
+    own, want = publication.Published(spark, f"file://{tmp_path}/pub").table("manifest").first(), publication.manifest(g, Ontology()).first()
+    assert own == want and own["edge_count"] == 1
