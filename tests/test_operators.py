@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
 from tessera.functions.redaction import redacted
-from tessera.operators import evaluate, health, journal, lookup, pages, resolve, scope, search, sessions, stats, traversal
+from tessera.operators import answers, evaluate, health, journal, lookup, pages, resolve, scope, search, sessions, stats, traversal
 from tessera.operators.components import connected_components
 from tessera.plans import publication, queries, stream_queries
 from tessera.plans.compile import compile_graph, recovered
@@ -546,6 +546,21 @@ def test_index_is_built_from_the_graph_as_written(spark, tmp_path):
         assert [x.id for x in out.index().find(r.props["name"], 5).collect()] == [r.id]
 
 
+def test_few_pieces_are_looked_for_whole(spark):
+    rows = spark.createDataFrame([("mirage",), ("of IRAN",), (None,)], "x string")
+    of = lambda pieces: [r[0] for r in rows.select(search.may_hold(F.col("x"), pieces)).collect()]
+    assert of(["iran"]) == [False, True, None] and of(["iran", "rage"]) == [True, True, None] and of([])[:2] == [False, False]
+    assert of(["iran", *(f"none{i}" for i in range(search.PIECES))])[1]
+
+
+def test_evidence_reads_facts_that_were_computed_once(spark):
+    g = _small_graph(spark)
+    found = answers.evidence(g, spark.createDataFrame([("q", "team b")], "question string, word string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RDD" not in plan and "LocalRelation" not in plan and "Relation [" in plan
+    assert [r.question for r in found.collect()] == ["q"] and "team a a" in found.first().found
+
+
 def test_search_joins_labels_to_edges_that_may_hold_the_query(spark):
     g = _small_graph(spark)
     of = lambda *pieces: search.edges_that_may_hold(g.edges, g.nodes, list(pieces)).count()
